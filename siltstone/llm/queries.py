@@ -6,21 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_texts
 from .common import table
 from .licences import scan_licences
 from .media import media_columns
+from .packing import pack_documents
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed vocabulary lies; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), with_ids=False)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), with_media=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op6_bpe": op6_bpe,
     "op8_media_columns": op8_media_columns,
 }
 ORACLE: dict[str, str] = {}
