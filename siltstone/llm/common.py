@@ -34,7 +34,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def bucket_of(key: Column, n: int) -> Column:
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(n))
+    """crc32 of the key as text, modulo ``n``; a null key counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
 def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], schema: str) -> DataFrame:
