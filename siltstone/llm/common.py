@@ -17,14 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder; a lost executor costs nothing then.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder is set only where there is none (tests)."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+        named = context._jsc.sc().getCheckpointDir().get()
+    return named
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where there is none (tests).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the shared checkpoint folder; a lost executor costs nothing then."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

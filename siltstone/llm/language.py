@@ -106,8 +106,8 @@ def _by_count():
     return Window.partitionBy("k").orderBy(F.desc("n"), "g")
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: lang_pred and score, from whole texts.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """One row per row of ``docs``: lang_pred and score (or the names ``into``), from whole texts.
 
     A null text, one without a letter, and every text when nothing was learned get ``und`` and 0. Equal scores go to the
     language that sorts first. The score is the posterior of the mean word, sharpened by the root of the number of words.
@@ -138,11 +138,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 best = int(mean.argmax())
                 langs.append(own.langs[best])
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-            return {"lang_pred": langs, "score": scores}
+            return {into[0]: langs, into[1]: scores}
 
         return work
 
-    return map_texts(docs, keep or [id_col], text_col, make, "lang_pred string, score double")
+    return map_texts(docs, keep or [id_col], text_col, make, f"{into[0]} string, {into[1]} double")
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -140,8 +140,8 @@ def vote(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.where(total > 0, weight @ model.labels / np.where(total > 0, total, 1), model.prior)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs`` with ``score``, from whole texts; null texts count as empty. Without a model: 0.5."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
+    """One row per row of ``docs`` with ``score`` (or the name ``into``), from whole texts; null texts count as empty. Without a model: 0.5."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -149,11 +149,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
         def work(texts):
             rows = [shapes(t) for t in texts]
-            return {"score": vote(own, rows).clip(0, 1) if own else np.full(len(rows), 0.5)}
+            return {into: vote(own, rows).clip(0, 1) if own else np.full(len(rows), 0.5)}
 
         return work
 
-    return map_texts(docs, keep or [id_col], text_col, make, "score double")
+    return map_texts(docs, keep or [id_col], text_col, make, f"{into} double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
