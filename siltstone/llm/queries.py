@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat
+from . import chat, sql
 from .bpe import encode_texts
 from .common import table
 from .language import identify_documents
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_quality_rules": sql.OP1, "op5_line_dedup": sql.OP5, "op9_chat_format": sql.OP9}
