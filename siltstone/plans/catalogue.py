@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..lineage import cut
 from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, rerank, security, services, vector
 from ..sources import files, store
 from .views import articles, entities, query_log, relations, table, vectors
@@ -85,17 +86,19 @@ def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.crossJoin(F.broadcast(asked)).select("namespace", "id", F.round(vector.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
 
 
-def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """Glossary, entities and edges; entities are written once, since edges, seeds and scores all read them."""
     arts = articles(spark, sf_dir)
     names = names_of(arts)
-    ents = entities(arts, names)
-    return names, ents, graph.typed_edges(ents, relations(names))
+    ents = cut(entities(arts, names))
+    return names, ents, graph.typed_edges(ents, relations(spark, names))
 
 
-def graph_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def graph_found(spark: SparkSession, sf_dir: str, typed: bool = True) -> DataFrame:
     names, ents, edges = graph_tables(spark, sf_dir)
-    seeds = ents.join(F.broadcast(names.where(F.col("ord").isin(*SEED_ORDS))), "entity").select("namespace", "entity").distinct()
-    return graph.search(ents, graph.links(edges), seeds)
+    wanted = [n for i, n in enumerate(names) if i in SEED_ORDS]
+    seeds = ents.where(F.col("entity").isin(wanted)).select("namespace", "entity").distinct()
+    return graph.search(ents, graph.links(edges, typed=typed), seeds)
 
 
 @query(f"WITH {ARTICLES}, {TOKENS}, {BM25} SELECT namespace, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY round(score, 9) DESC, id) AS rank FROM kscore) WHERE rank <= 10")
@@ -230,9 +233,7 @@ def graph_paths(spark, d):
 @query(f"WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS.replace('0.5::DOUBLE * cnt / max(cnt) OVER (PARTITION BY namespace, src) * CASE WHEN edge_type = ' + chr(39) + 'UNTYPED' + chr(39) + ' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END', '0.5::DOUBLE')}, {SEARCH} SELECT namespace, id, round(score, 9) AS score FROM gscore")
 def graph_search_untyped(spark, d):
     """The older form: a half for each hop, whatever the edge."""
-    names, ents, edges = graph_tables(spark, d)
-    seeds = ents.join(F.broadcast(names.where(F.col("ord").isin(*SEED_ORDS))), "entity").select("namespace", "entity").distinct()
-    return graph.search(ents, graph.links(edges, typed=False), seeds).select("namespace", "id", F.round("score", 9).alias("score"))
+    return graph_found(spark, d, typed=False).select("namespace", "id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}
@@ -427,7 +428,10 @@ p AS (SELECT label, list_sort(list(sim)) AS v FROM c GROUP BY 1) SELECT c.label,
 def semantic_breaks(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b IS NOT NULL")
     sims = e.select("label", "vec_id", F.round(vector.cosine(F.col("embedding"), F.col("b")), 9).alias("sim"))
-    low = sims.groupBy("label").agg(F.array_sort(F.collect_list("sim")).alias("v")).select("label", F.element_at("v", (F.floor(F.lit(0.25) * (F.size("v") - 1)) + 1).cast("int")).alias("low"))
+    # the nearest rank by a window, which spills, instead of a sorted array of a whole group
+    w = Window.partitionBy("label")
+    placed = sims.withColumn("r", F.row_number().over(w.orderBy("sim"))).withColumn("n", F.count("*").over(w))
+    low = placed.where(F.col("r") == F.floor(F.lit(0.25) * (F.col("n") - 1)) + 1).select("label", F.col("sim").alias("low"))
     return sims.join(low, "label").select("label", "vec_id", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("low")).alias("breaks"))
 
 

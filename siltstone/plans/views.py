@@ -30,23 +30,19 @@ def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("question "), F.col("user_id").cast("string")).alias("question"), F.col("event_type").alias("model"), F.floor(F.col("value") * 100).cast("long").alias("latency_ms"), F.col("ts").alias("created_at"), F.concat(F.lit("#"), k.cast("string"), F.lit(" src")).alias("sources"), feedback.alias("feedback"), (k % 3).alias("pii_count"))
 
 
-def glossary(arts: DataFrame) -> DataFrame:
-    """(entity, ord): the long tokens that most articles hold."""
+def glossary(arts: DataFrame) -> list[str]:
+    """The GLOSSARY_SIZE long tokens that most articles hold, most frequent first; few enough to be a literal in plans."""
     long = arts.select(F.explode(F.array_distinct(F.filter(tokens(F.col("summary")), lambda x: F.length(x) >= GLOSSARY_LETTERS))).alias("entity"))
-    top = long.groupBy("entity").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "entity").limit(GLOSSARY_SIZE)
-    from pyspark.sql import Window
+    return [r[0] for r in long.groupBy("entity").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "entity").limit(GLOSSARY_SIZE).collect()]
 
-    return top.select("entity", (F.row_number().over(Window.orderBy(F.desc("df"), "entity")) - 1).alias("ord"))
 
+def entities(arts: DataFrame, names: list[str]) -> DataFrame:
+    """(namespace, id, doc, entity), found in the article's own row: no join and no shuffle."""
+    held = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda e: F.lower("summary").contains(e))
+    return arts.select("namespace", "id", "doc", F.explode(held).alias("entity"))
 
-def entities(arts: DataFrame, names: DataFrame) -> DataFrame:
-    """(namespace, id, doc, entity); the glossary has GLOSSARY_SIZE rows, whatever the input."""
-    return arts.join(F.broadcast(names), F.lower("summary").contains(F.col("entity"))).select("namespace", "id", "doc", "entity")
 
-
-def relations(names: DataFrame) -> DataFrame:
-    """Relations by a rule on ordinals: neighbours a, a + 1 are typed, in turn by three types; every third pair isn't."""
-    a, b = names.alias("a"), names.alias("b")
-    joined = a.join(F.broadcast(b), F.col("b.ord") == F.col("a.ord") + 1).where(F.col("a.ord") % 3 < 2)
-    kind = F.when(F.col("a.ord") % 3 == 0, "CALCULATES").otherwise("REQUIRES")
-    return joined.select(F.col("a.entity").alias("src"), kind.alias("type"), F.col("b.entity").alias("dst"), F.col("a.ord").alias("ord"))
+def relations(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Relations by a rule on ordinals: neighbours a, a + 1 are typed, in turn by two types; every third pair isn't."""
+    rows = [(a, ("CALCULATES", "REQUIRES")[i % 3], b, i) for i, (a, b) in enumerate(zip(names, names[1:], strict=False)) if i % 3 < 2]
+    return spark.createDataFrame(rows, "src string, type string, dst string, ord int")
