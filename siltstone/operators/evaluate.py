@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +33,33 @@ def recall(judged: DataFrame, *by: str) -> DataFrame:
 def judge_score(reply: Column) -> Column:
     """The first digit from 1 to 5 in a judge's reply, else null."""
     return F.nullif(F.regexp_extract(reply, "[1-5]", 0), F.lit("")).cast("int")
+
+
+#: Configurations of a sweep: reranker, keyword list on, graph list on.
+CONFIGS = {"vector": ("none", False, False), "hybrid": ("none", True, False), "hybrid_graph": ("none", True, True), "llm": ("llm", True, True), "mmr": ("mmr", True, True)}
+
+
+def golden(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation cases of a JSON file that holds an array of objects."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+def sweep(engine, cases: DataFrame, allowed: set[str], configs: dict[str, tuple[str, bool, bool]] | None = None) -> DataFrame:
+    """Cases (case_id, question, namespace, keywords, title_part) under every configuration, with ``hit``.
+
+    The cases are a golden set of some dozens: each is one search; what they find is compared as a table.
+    """
+    found = None
+    for case in cases.collect():
+        for name, (how, keyword, graphs) in (configs or CONFIGS).items():
+            top = engine.rerank(case["question"], engine.retrieve(case["question"], case["namespace"], allowed, keyword=keyword, graphs=graphs), how)
+            rows = top.select(F.lit(case["case_id"]).alias("case_id"), F.lit(name).alias("config"), "title", "summary")
+            found = rows if found is None else found.unionByName(rows)
+    if found is None:
+        return cases.select("case_id").withColumn("config", F.lit("")).withColumn("hit", F.lit(False))
+    return hits(cases.select("case_id", "keywords", "title_part"), found)
+
+
+def sql_hit(rows: list, expected: str) -> bool:
+    """Does the answer's rows, as JSON, hold the expected literal?"""
+    return expected in json.dumps(rows, ensure_ascii=False, default=str)

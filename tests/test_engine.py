@@ -169,6 +169,17 @@ def test_engine(spark, tmp_path):
     assert e.count(ALL) == 2
 
 
+def test_sweep(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), threshold=100)
+    e.ingest(spark.createDataFrame([("", "a", "file://a", "apples are red"), ("", "b", "file://b", "pears are green"), ("", "c", "file://c", "plums are blue")], "namespace string, title string, url string, text string"), ALL)
+    (tmp_path / "g.json").write_text(json.dumps([{"case_id": "x", "question": "apples red", "namespace": "default", "keywords": ["Apples"], "title_part": None}, {"case_id": "y", "question": "pears", "namespace": "default", "keywords": ["nothing"], "title_part": "b"}]))
+    cases = evaluate.golden(spark, str(tmp_path / "g.json"))
+    judged = evaluate.sweep(e, cases.withColumn("title_part", F.col("title_part").cast("string")), ALL, {"hybrid": ("none", True, False), "mmr": ("mmr", True, True)})
+    rows = {r["config"]: r for r in evaluate.recall(judged, "config").collect()}
+    assert {k: (r["n"], r["hits"], r["missed"]) for k, r in rows.items()} == {"hybrid": (2, 1, ["y"]), "mmr": (2, 1, ["y"])}
+    assert evaluate.sql_hit([["Q3", 4.5]], "4.5") and not evaluate.sql_hit([], "4.5")
+
+
 def test_recall(spark):
     cases = spark.createDataFrame([("a", ["X", "y"], None), ("b", None, "top")], "case_id string, keywords array<string>, title_part string")
     found = spark.createDataFrame([("a", "c1", "t", "x and Y"), ("b", "c1", "Top", ""), ("a", "c2", "t", "x")], "case_id string, config string, title string, summary string")
