@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -82,8 +82,13 @@ def keyword_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of every article that has a vector with vector 0, in the article's tenant."""
     own = vectors(spark, sf_dir).select("id", "embedding").join(articles(spark, sf_dir).select("id", "namespace"), "id")
-    asked = vectors(spark, sf_dir).where("id = 0").select(F.col("embedding").alias("q"))
-    return own.crossJoin(F.broadcast(asked)).select("namespace", "id", F.round(vector.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
+    return own.select("namespace", "id", F.round(vector.cosine(F.col("embedding"), asked_vector(spark, sf_dir)), 9).alias("score"))
+
+
+def asked_vector(spark: SparkSession, sf_dir: str) -> Column:
+    """Vector 0 as a literal, as a question's vector comes from an embedder; without one nothing is near."""
+    row = vectors(spark, sf_dir).where("id = 0").select("embedding").first()
+    return F.array(*[F.lit(float(x)) for x in row[0]]) if row else F.array(F.lit(0.0))
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[list[str], DataFrame, DataFrame]:
@@ -119,7 +124,7 @@ def bm25_postings(spark, d):
 @query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x))), 6) AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 20")
 def vector_topk(spark, d):
     v = vectors(spark, d)
-    scored = v.crossJoin(F.broadcast(v.where("id = 0").select(F.col("embedding").alias("q")))).select("id", F.round(vector.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    scored = v.select("id", F.round(vector.cosine(F.col("embedding"), asked_vector(spark, d)), 6).alias("score"))
     return bm25.topk(scored, 20)
 
 
