@@ -22,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, read from the shared checkpoint folder; a lost executor costs nothing then."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver ends; tables that nobody outside the session reads needn't stay."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
