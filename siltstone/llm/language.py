@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, bucket_of, map_texts
+from .common import SLICE, bucket_of, cut, map_texts
 
 #: Bounds of what is fitted: training rows of each language (whole texts), words, and n-grams of each length.
 ROWS = 3000
@@ -86,10 +86,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counted = chosen.mapInArrow(count, "k int, g string, l string, n long").groupBy("k", "g", "l").agg(F.sum("n").alias("n"))
     by_gram = counted.groupBy("k", "g").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "n")).alias("by")).where(F.col("n") >= LEAST)
     tables, place = [], {lang: i for i, lang in enumerate(langs)}
-    kept = by_gram.withColumn("r", F.row_number().over(_by_count())).where(F.col("r") <= F.when(F.col("k") == 0, WORDS).otherwise(GRAMS))
-    got: list[list] = [[] for _ in range(LONGEST + 1)]
-    for k, gram, by in kept.select("k", "g", "by").collect():
-        got[k].append((gram, by))
+    by_gram = cut(by_gram)
+    got = [by_gram.where(F.col("k") == k).orderBy(F.desc("n"), "g").limit(GRAMS if k else WORDS).select("g", "by").collect() for k in range(LONGEST + 1)]
     for pairs in got:
         counts = np.full((len(pairs), len(langs)), 0.5)
         for i, (_, by) in enumerate(pairs):
@@ -100,12 +98,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, tables)
 
 
-def _by_count():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("k").orderBy(F.desc("n"), "g")
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """One row per row of ``docs``: lang_pred and score (or the names ``into``), from whole texts.
 
