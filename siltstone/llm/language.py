@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE, bucket_of, cut, map_texts
 
-#: Bounds of what is fitted: training rows of each language (whole texts), words, and n-grams of each length.
-ROWS = 3000
+#: Bounds of what is fitted: languages (the most frequent ones), training rows of each (whole texts), words, and n-grams of each length.
+LANGS, ROWS = 200, 3000
 WORDS, GRAMS, LONGEST = 60_000, 20_000, 4
 LEAST = 2
 #: Words whose scores a worker keeps.
@@ -56,12 +56,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (bucket_of(F.col("i"), 5) != 0))
-    share = {lang: min(1.0, rows / n) for lang, n in labelled.groupBy("l").count().collect()}
+    share = {lang: min(1.0, rows / n) for lang, n in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGS).collect()}
     langs = sorted(share)
     if not langs:
         return Model([], [{} for _ in range(LONGEST + 1)])
     limits = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(share[lang] * 2**20))])
-    chosen = labelled.where(F.pmod(F.xxhash64("i"), F.lit(2**20)) < limits[F.col("l")]).select("l", "t")
+    chosen = labelled.where(F.col("l").isin(langs) & (F.pmod(F.xxhash64("i"), F.lit(2**20)) < limits[F.col("l")])).select("l", "t")
 
     def count(batches):
         for whole in batches:
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             if len(place) > KEPT:
                 place.clear()
                 rows.clear()
-            found = [words_of(t) if t else [] for t in texts]
+            found = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
             for word in {w for ws in found for w in ws}.difference(place):
                 place[word] = len(rows)
                 rows.append(own.score(word))
