@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut, forget_at_exit, shared_folder
+
 #: Rows of one batch that are Python objects at the same time.
 SLICE = 512
 
@@ -17,21 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder is set only where there is none (tests)."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-        named = context._jsc.sc().getCheckpointDir().get()
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder; a lost executor costs nothing then."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read again: smaller than a checkpoint, and as safe. It goes with the session."""
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    forget_at_exit(df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -5,56 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import let, stored
 from .rules import words
 
 #: Lines of fewer words are kept wherever they are.
 LEAST_WORDS = 6
+#: Slots of a filter that is sent to every task: 2048 bitmaps of 4096 bytes, whatever the input.
+SLOTS, PAGE = 2**26, 32_768
 
 
-def _digest(items: Column, salt: Column | int) -> list[Column]:
-    """128 bits of an array of words and a salt."""
-    salt = F.lit(salt) if isinstance(salt, int) else salt
-    return [F.xxhash64(F.lit(1), salt, items), F.xxhash64(F.lit(2), items, salt)]
+def filter_of(keys: DataFrame) -> DataFrame:
+    """Bitmaps (page, bits) of the slots that the keys (column ``key``, a long) fall into."""
+    slots = keys.select(F.pmod("key", F.lit(SLOTS)).alias("slot")).distinct()
+    paged = slots.select(F.floor(F.col("slot") / PAGE).cast("int").alias("page"), (F.col("slot") % PAGE).alias("bit")).repartition("page")
+    return paged.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def numbered_lines(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] | None = None) -> DataFrame:
-    """(id, hash of the text, line number from 0, words, their digest) of every line of every text; null texts have none."""
+def may_hold(df: DataFrame, bitmaps: DataFrame, key: Column) -> DataFrame:
+    """``df`` with ``__may``: false only where the filter's keys don't have the row's key. The filter's size has a fixed bound."""
+    slot = F.pmod(key, F.lit(SLOTS))
+    joined = df.withColumn("__slot", slot).withColumn("__page", F.floor(F.col("__slot") / PAGE).cast("int")).join(F.broadcast(bitmaps.withColumnRenamed("page", "__page")), "__page", "left")
+    bit = (F.col("__slot") % PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0
+    return joined.withColumn("__may", F.coalesce(held, F.lit(False))).drop("__slot", "__page", "bits")
+
+
+def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, hash of the text, line number from 0, words, 128-bit digest p, q, place) of every line that counts.
+
+    ``place`` orders lines by id, then line number; it is a decimal, which aggregates by hash as a pair would not.
+    """
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), *(keep or []), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
     own = own.withColumn("w", words(F.col("raw"))).where(F.size("w") >= LEAST_WORDS)
-    return own.withColumn("h", F.struct(*[c.alias(x) for c, x in zip(_digest(F.col("w"), 7), ("p", "q"), strict=True)])).drop("raw")
-
+    place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
+    return own.select("id", "copy", "line", "w", F.xxhash64(F.lit(1), "w").alias("p"), F.xxhash64("w", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
 
-def halves(w: Column, n: Column) -> Column:
-    """Keys of which two lines within one edit share one: what an edit in one half leaves of the other, at both lengths that it may have."""
 
-    def part(kind: int, size: Column) -> Column:
-        items = F.slice(w, 1, size) if kind == 0 else F.slice(w, n - size + 1, size)
-        return F.struct(*[c.alias(x) for c, x in zip(_digest(items, kind), ("p", "q"), strict=True)])
+def halves(w: Column, n: Column) -> list[Column]:
+    """Keys of which two lines within one edit share one: what an edit in one half leaves of the other, at both lengths that it may have.
 
-    # lines of m and m + 1 words meet at floor(m / 2), of m and m words too
+    The first two are of beginnings, the last two of ends. Lines of m and m + 1 words meet at floor(m / 2), of m and m words too.
+    """
     here, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return F.array_distinct(F.array(part(0, here), part(0, less), part(1, here), part(1, less)))
+    return [F.xxhash64(F.lit(kind), F.slice(w, F.lit(1), size) if kind == 3 else F.slice(w, n - size + 1, size)) for kind in (3, 4) for size in (here, less)]
 
 
-def variants(w: Column, n: Column) -> Column:
-    """Hashed keys of a line: itself, and for each word the line without it, plain and with the word's place.
+def variants(w: Column, n: Column, low: Column, high: Column) -> Column:
+    """Hashed keys (k, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
 
     A line and one with a word more share the shorter line's plain key; lines that differ in one word share the key with its place.
-    Plain keys carry whether they are the line itself (0) or lack a word (1): two lines that both lack one don't meet there.
     """
 
-    def key(items: Column, salt: Column, kind: int) -> Column:
-        return F.struct(*[c.alias(x) for c, x in zip(_digest(items, salt), ("p", "q"), strict=True)], F.lit(kind).alias("kind"))
+    def key(value: Column, kind: int) -> Column:
+        return F.struct(value.alias("k"), F.lit(kind).alias("kind"))
 
     def without(i: Column) -> Column:
-        return F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n))
+        return F.xxhash64(F.lit(5), F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
 
-    return F.concat(
-        F.array(key(w, F.lit(-1), 0)),
-        F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: let(without(i), lambda v: F.array(key(v, F.lit(-1), 1), key(v, i, 2))))),
-    )
+    return F.concat(F.array(key(F.xxhash64(F.lit(5), w), 0)), F.flatten(F.transform(F.sequence(low, high), lambda i: let(without(i), lambda v: F.array(key(v, 1), key(F.xxhash64(v, i), 2))))))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -69,56 +79,74 @@ def within_one(a: Column, b: Column) -> Column:
     return let(long, lambda x: let(short, lambda y: let(alike(x, y), lambda k: (F.size(x) - F.size(y) <= 1) & (F.slice(x, k + 2, F.size(x)) == F.when(F.size(x) == F.size(y), F.slice(y, k + 2, F.size(x))).otherwise(F.slice(y, k + 1, F.size(x)))))))
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows (p, k, ...) whose key stands with two lines or more; keys are counted before rows are picked, so no group is gathered."""
+    twice = keys.groupBy("k").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("k")
+    return keys.join(twice, "k", "left_semi")
+
+
 def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, copy, line) of the lines to drop: occurrences that have an earlier line within one word, by id and line number.
 
     Equal lines are one class, made first, so that a frequent line is one row. Only classes that share a half with another go on to
-    the deletion neighbourhoods (two lines within one edit always share one). A key's classes aren't paired: each key gives the
-    place of its earliest line, and a class is superseded if one of its keys has an earlier one, which is verified by its words.
+    the deletion neighbourhoods (two lines within one edit always share one); their words are read again, through a filter that
+    lets few other lines pass. A key's classes aren't paired: each key gives the place of its earliest line, and a class is
+    superseded if one of its keys has an earlier one, which is verified by its words.
     """
     own = numbered_lines(docs, id_col, text_col)
-    at = F.struct("id", "line", "copy")
-    occurrences = own.select("id", "copy", "line", "h")
-    classes = cut(own.select(at.alias("at"), "h", halves(F.col("w"), F.size("w")).alias("halves")).groupBy("h").agg(F.min("at").alias("first"), F.first("halves").alias("halves")))
-
-    # classes that share a half
-    halved = classes.select("h", F.explode("halves").alias("k"))
-    shared = halved.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("k")
-    suspects = halved.join(shared, "k", "left_semi").select("h").distinct()
-    held = classes.join(suspects, "h", "left_semi").select("first.id", "first.line", "h")
-
-    # their words, from the place where they stand first
-    lists = held.groupBy("id").agg(F.collect_set(F.struct("line", "h")).alias("m"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    found = numbered_lines(texts.join(lists, "id"), "id", "t", [F.col("m")]).where(F.array_contains("m", F.struct("line", "h")))
-    found = cut(found.select(at.alias("first"), "h", "w").groupBy("h").agg(F.min("first").alias("first"), F.first("w").alias("w")))
-
-    keys = found.select("h", "first", F.explode(variants(F.col("w"), F.size("w"))).alias("k")).select("h", "first", F.struct("k.p", "k.q").alias("k"), "k.kind")
-    earliest = keys.groupBy("k").agg(F.min(F.when(F.col("kind") != 1, F.col("first"))).alias("whole"), F.min("first").alias("any"), F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b")
+    names = ("b0", "b1", "e0", "e1")
+    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *[h.alias(c) for h, c in zip(halves(F.col("w"), F.size("w")), names, strict=True)]))
+    classes = stored(seen.groupBy("p", "q").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in names]))
+
+    # classes that share a beginning or an end, and which
+    parts = F.array_distinct(F.array(*[F.struct(F.col(c).alias("k"), F.lit(int(c[0] == "e")).alias("end")) for c in names]))
+    halved = classes.select("p", F.explode(parts).alias("x")).select("p", "x.k", "x.end")
+    suspects = shared_keys(halved).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
+    suspects = stored(classes.select("p", "q", "place").join(suspects, "p"))
+
+    near = may_hold(own.select("p", "q", "w"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p")).where("__may")
+    found = stored(near.groupBy("p", "q").agg(F.first("w").alias("w")).join(suspects, ["p", "q"]))
+
+    # what a shared beginning leaves is an edit in the second half, a shared end one in the first
+    n = F.size("w")
+    half = F.floor((n - 1) / 2).cast("int")
+    low, high = F.when(F.col("most") == 1, 0).otherwise(half), F.when(F.col("least") == 0, n - 1).otherwise(n - 1 - half)
+    keys = found.select("p", F.explode(variants(F.col("w"), n, low, high)).alias("x")).select("p", "x.k", "x.kind")
+    met = shared_keys(keys).join(found.select("p", "place"), "p")
+    earliest = met.groupBy("k").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
     # a key that lacks a word (kind 1) meets the line itself; the line itself meets either; kind 2 meets its like
-    met = keys.join(earliest.drop("a", "b"), "k").withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole"))).where(F.col("e") < F.col("first"))
-    claims = met.select("h", "e").distinct()
-    theirs = found.select(F.col("first").alias("e"), F.col("w").alias("v"))
-    verified = claims.join(theirs, "e").join(found.select("h", "w"), "h").where(within_one(F.col("w"), F.col("v"))).select("h").distinct().withColumn("gone", F.lit(True))
+    claims = met.join(earliest, "k").withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole"))).where(F.col("e") < F.col("place")).select("p", "e").distinct()
+    theirs = found.select(F.col("place").alias("e"), F.col("w").alias("v"))
+    gone = claims.join(theirs, "e").join(found.select("p", "q", "w"), "p").where(within_one(F.col("w"), F.col("v"))).select("p", "q").distinct().withColumn("gone", F.lit(True))
 
-    placed = classes.select("h", "first").join(verified, "h", "left")
-    return occurrences.join(placed, "h").where(F.coalesce("gone", F.lit(False)) | (F.col("first") < at)).select("id", "copy", "line")
+    # only classes that occur twice or are superseded lose a line
+    losing = classes.select("p", "q", "place", "times").join(gone, ["p", "q"], "left").where((F.col("times") > 1) | F.col("gone")).select("p", "q", F.col("place").alias("first"), "gone")
+    return seen.select("id", "copy", "line", "p", "q", "place").join(losing, ["p", "q"]).where(F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("place"))).select("id", "copy", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the superseded lines taken out of the text, and ``n_lines`` and ``n_dropped`` (named so, or after a clash with ``__``).
 
     A line is superseded by an earlier one that equals it or is one word from it (blanks aside); earlier by id, then line number.
-    Lines under LEAST_WORDS words and rows of a null id are left alone; null texts stay null, texts that lose all lines become
+    Lines under LEAST_WORDS words and rows of a null id are left alone (ids are whole numbers); null texts stay null, texts that lose all lines become
     empty. Repeated rows (one id and text) count as one place and keep the same lines. Other columns stay as they are.
     """
     lost = superseded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).distinct().groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_list("line").alias("__gone"))
-    joined = docs.join(lost, (docs[id_col] == lost["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == lost["__copy"]), "left")
-    lines = F.split(docs[text_col].cast("string"), "\n")
+    lost = stored(lost)
+    text = F.col(text_col).cast("string")
+    marked = may_hold(docs, filter_of(lost.select(F.col("__copy").alias("key"))), F.xxhash64(text))
+    # texts that can't have lost a line aren't moved
+    touched = marked.where("__may").drop("__may")
+    touched = touched.join(lost, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__copy")), "left")
+    lines = F.split(text, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), docs[text_col]).otherwise(let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")))
-    counted = [F.when(docs[text_col].isNull(), 0).otherwise(F.size(lines)).cast("long").alias(_free("n_lines", docs)), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(_free("n_dropped", docs))]
-    return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], *counted)
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")))
+
+    def counted(dropped: Column) -> list[Column]:
+        return [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(_free("n_lines", docs)), dropped.cast("long").alias(_free("n_dropped", docs))]
+
+    rebuilt = touched.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counted(F.coalesce(F.size("__gone"), F.lit(0))))
+    return marked.where(~F.col("__may")).select(*docs.columns, *counted(F.lit(0))).unionByName(rebuilt)
 
 
 def _free(name: str, docs: DataFrame) -> str:
