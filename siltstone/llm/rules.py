@@ -51,7 +51,9 @@ def repeated_words(w: Column, width: int = 3) -> Column:
         return [F.get(w, (i + k).cast("int")) for k in range(width)]
 
     def counted(bits: Column) -> Column:
-        packed = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), (F.size(w) - width).cast("long")), lambda i: _shift(_shift(F.xxhash64(*window(i)), bits, "right"), bits, "left").bitwiseOR(i)))
+        starts = F.slice(w, F.lit(1), F.size(w) - (width - 1))
+        upper = F.bitwise_not(_shift(F.lit(1).cast("long"), bits, "left") - 1)
+        packed = let(upper, lambda u: F.sort_array(F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, width)]).bitwiseAND(u).bitwiseOR(i.cast("long")))))
         return let(packed, lambda p: let(F.transform(_twin(p, lambda x, y: _shift(x, bits, "right") == _shift(y, bits, "right")), lambda x: x.bitwiseAND(_shift(F.lit(1).cast("long"), bits, "left") - 1)), exact))
 
     def exact(at: Column) -> Column:
@@ -82,33 +84,47 @@ def base_columns(text: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class Rule:
-    """Rejects a document where ``rejects`` of its text (never null) is true."""
+class Facts:
+    """What rules ask of a document: its text and the counts that several of them use, as columns."""
 
-    name: str
-    rejects: Callable[[Column], Column]
+    text: Column
+    n_words: Column
+    word_chars: Column
+    n_symbols: Column
+    n_dup_lines: Column
 
 
-def _share(part: Callable[[Column], Column], total: Callable[[Column], Column], most: float) -> Callable[[Column], Column]:
-    return lambda t: part(t) > most * total(t)
+def facts(text: Column) -> Facts:
+    """From the text alone."""
+    return Facts(text, F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]++")), F.length(text) - count_of(text, BLANKS), count_of(text, SYMBOLS), duplicate_lines(text))
 
 
-def _words_like(pattern: str) -> Callable[[Column], Column]:
-    return lambda t: F.regexp_count(t, F.lit(pattern))
+@dataclass(frozen=True)
+class Rule:
+    """Rejects a document where ``rejects`` of its facts (never null) is true."""
 
+    name: str
+    rejects: Callable[[Facts], Column]
 
-def n_words(t: Column) -> Column:
-    return F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+"))
+
+def _often(pattern: str, most: float, sign: str | None = None) -> Callable[[Facts], Column]:
+    """Do places of a pattern come to more than a share of the words? Texts without the ``sign`` that it needs have none."""
+
+    def rejects(f: Facts) -> Column:
+        places = F.regexp_count(f.text, F.lit(pattern))
+        return F.when(f.text.contains(sign), places).otherwise(0) > most * f.n_words if sign else places > most * f.n_words
+
+    return rejects
 
 
 RULES = (
-    Rule("symbols", _share(lambda t: count_of(t, SYMBOLS), n_words, 0.25)),
-    Rule("shouting", _share(_words_like("(?<![^\\s])[\\p{Lu}\\p{P}]{2,}(?![^\\s])"), n_words, 0.4)),
-    Rule("exclaimed", _share(_words_like("!!(?![^\\s])"), n_words, 0.2)),
-    Rule("tabular", _share(_words_like("(?<![^\\s])\\|(?![^\\s])"), n_words, 0.2)),
-    Rule("stuttering", _share(_words_like("(?<![^\\s])(\\S+)(?=\\s+\\1(?![^\\s]))"), n_words, 0.2)),
-    Rule("long_words", lambda t: F.length(t) - count_of(t, BLANKS) > 40 * n_words(t)),
-    Rule("repeated_lines", lambda t: duplicate_lines(t) * 2 > F.size(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))),
+    Rule("symbols", lambda f: f.n_symbols > 0.25 * f.n_words),
+    Rule("shouting", _often("(?<!\\S)[\\p{Lu}\\p{P}]{2,}+(?!\\S)", 0.4)),
+    Rule("exclaimed", _often("!!(?!\\S)", 0.2, "!!")),
+    Rule("tabular", _often("(?<!\\S)\\|(?!\\S)", 0.2, "|")),
+    Rule("stuttering", _often("(?<!\\S)(\\S++)(?=\\s+\\1(?!\\S))", 0.2)),
+    Rule("long_words", lambda f: f.word_chars > 40 * f.n_words),
+    Rule("repeated_lines", lambda f: f.n_dup_lines * 2 > F.size(F.filter(F.split(f.text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))),
 )
 
 
@@ -118,7 +134,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     drawn = cut(docs.select(whole(F.col(text_col)).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(2**20)) < int(share * 2**20) + 1))
     found = []
     for rule in rules:
-        ask = drawn.agg(F.count_if(rule.rejects(F.col("t"))))
+        ask = drawn.agg(F.count_if(rule.rejects(facts(F.col("t")))))
         ask.first()
         began = time.perf_counter()
         rejected = ask.first()[0]
@@ -126,12 +142,11 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
 
 
-def cascade(text: Column, rules: list[Rule]) -> Column:
+def cascade(known: Facts, rules: list[Rule]) -> Column:
     """The name of the first rule that rejects, null if none does; later rules aren't evaluated then."""
-    t = whole(text)
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        out = F.when(rule.rejects(t), rule.name).otherwise(out)
+        out = F.when(rule.rejects(known), rule.name).otherwise(out)
     return out
 
 
@@ -140,7 +155,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
 
     Null and empty texts are rejected by no rule here; equal texts get equal verdicts; an empty table gives no rows.
     """
-    return docs.withColumn(into, cascade(F.col(text_col), ordered(docs, rules, text_col, sample)))
+    return docs.withColumn(into, cascade(facts(whole(F.col(text_col))), ordered(docs, rules, text_col, sample)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeated: int = 50) -> DataFrame:
@@ -149,5 +164,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = ordered(own, RULES, "__t")
     counted = own.withColumn("__c", base_columns(F.col("__t"))).select(id_col, "__t", "__c.*")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    kept = F.when(failed, False).otherwise(cascade(F.col("__t"), order).isNull())
+    known = Facts(whole(F.col("__t")), *(F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")))
+    kept = F.when(failed, False).otherwise(cascade(known, order).isNull())
     return counted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
