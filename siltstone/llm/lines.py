@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, stored
-from .rules import words
+from .rules import BLANKS
 
 #: Lines of fewer words are kept wherever they are.
 LEAST_WORDS = 6
@@ -31,40 +31,47 @@ def may_hold(df: DataFrame, bitmaps: DataFrame, key: Column) -> DataFrame:
     return joined.withColumn("__may", F.coalesce(held, F.lit(False))).drop("__slot", "__page", "bits")
 
 
+def one_blank(raw: Column) -> Column:
+    """The words of a line with one blank between; most lines are so already."""
+    bare = F.btrim(raw, F.lit(BLANKS))
+    return F.when(F.rlike(bare, F.lit("[\\x09-\\x0D]|\\x20\\x20")), F.regexp_replace(bare, "[\\x20\\x09-\\x0D]+", " ")).otherwise(bare)
+
+
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash of the text, line number from 0, words, 128-bit digest p, q, place) of every line that counts.
+    """(id, hash of the text, line number from 0, flat words, their number n, 128-bit digest p, q, place) of every line that counts.
 
     ``place`` orders lines by id, then line number; it is a decimal, which aggregates by hash as a pair would not.
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    own = own.withColumn("w", words(F.col("raw"))).where(F.size("w") >= LEAST_WORDS)
+    own = own.withColumn("flat", one_blank(F.col("raw"))).withColumn("n", F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) + 1)
     place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    return own.select("id", "copy", "line", "w", F.xxhash64(F.lit(1), "w").alias("p"), F.xxhash64("w", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
+    return own.where(F.col("n") >= LEAST_WORDS).select("id", "copy", "line", "flat", "n", F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
 
 
-def halves(w: Column, n: Column) -> list[Column]:
+def halves(flat: Column, n: Column) -> list[Column]:
     """Keys of which two lines within one edit share one: what an edit in one half leaves of the other, at both lengths that it may have.
 
     The first two are of beginnings, the last two of ends. Lines of m and m + 1 words meet at floor(m / 2), of m and m words too.
     """
-    here, less = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    return [F.xxhash64(F.lit(kind), F.slice(w, F.lit(1), size) if kind == 3 else F.slice(w, n - size + 1, size)) for kind in (3, 4) for size in (here, less)]
+    sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
+    return [F.xxhash64(F.lit(kind), F.call_function("substring_index", flat, F.lit(" "), size if kind == 3 else -size)) for kind in (3, 4) for size in sizes]
 
 
 def variants(w: Column, n: Column, low: Column, high: Column) -> Column:
     """Hashed keys (k, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
 
-    A line and one with a word more share the shorter line's plain key; lines that differ in one word share the key with its place.
+    ``w`` holds hashes of the words. A line and one with a word more share the shorter line's plain key; lines that differ in one
+    word share the key with its place.
     """
 
     def key(value: Column, kind: int) -> Column:
         return F.struct(value.alias("k"), F.lit(kind).alias("kind"))
 
     def without(i: Column) -> Column:
-        return F.xxhash64(F.lit(5), F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
+        return F.xxhash64(F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
 
-    return F.concat(F.array(key(F.xxhash64(F.lit(5), w), 0)), F.flatten(F.transform(F.sequence(low, high), lambda i: let(without(i), lambda v: F.array(key(v, 1), key(F.xxhash64(v, i), 2))))))
+    return F.concat(F.array(key(F.xxhash64(w), 0)), F.flatten(F.transform(F.sequence(low, high), lambda i: let(without(i), lambda v: F.array(key(v, 1), key(F.xxhash64(v, i), 2))))))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -95,7 +102,7 @@ def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     own = numbered_lines(docs, id_col, text_col)
     names = ("b0", "b1", "e0", "e1")
-    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *[h.alias(c) for h, c in zip(halves(F.col("w"), F.size("w")), names, strict=True)]))
+    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *[h.alias(c) for h, c in zip(halves(F.col("flat"), F.col("n")), names, strict=True)]))
     classes = stored(seen.groupBy("p", "q").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in names]))
 
     # classes that share a beginning or an end, and which
@@ -104,14 +111,15 @@ def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     suspects = shared_keys(halved).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
     suspects = stored(classes.select("p", "q", "place").join(suspects, "p"))
 
-    near = may_hold(own.select("p", "q", "w"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p")).where("__may")
-    found = stored(near.groupBy("p", "q").agg(F.first("w").alias("w")).join(suspects, ["p", "q"]))
+    near = may_hold(own.select("p", "q", "flat"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p")).where("__may")
+    found = stored(near.groupBy("p", "q").agg(F.first("flat").alias("flat")).join(suspects, ["p", "q"]).withColumn("w", F.split("flat", " ")).drop("flat"))
 
     # what a shared beginning leaves is an edit in the second half, a shared end one in the first
     n = F.size("w")
     half = F.floor((n - 1) / 2).cast("int")
     low, high = F.when(F.col("most") == 1, 0).otherwise(half), F.when(F.col("least") == 0, n - 1).otherwise(n - 1 - half)
-    keys = found.select("p", F.explode(variants(F.col("w"), n, low, high)).alias("x")).select("p", "x.k", "x.kind")
+    hashed = found.select("p", n.alias("n"), low.alias("low"), high.alias("high"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    keys = stored(hashed.select("p", F.explode(let(F.col("w"), lambda w: variants(w, F.col("n"), F.col("low"), F.col("high")))).alias("x")).select("p", "x.k", "x.kind"))
     met = shared_keys(keys).join(found.select("p", "place"), "p")
     earliest = met.groupBy("k").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
     # a key that lacks a word (kind 1) meets the line itself; the line itself meets either; kind 2 meets its like
