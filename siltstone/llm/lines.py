@@ -43,8 +43,9 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ``place`` orders lines by id, then line number; it is a decimal, which aggregates by hash as a pair would not.
     """
     text = F.col(text_col).cast("string")
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    own = own.withColumn("flat", one_blank(F.col("raw"))).withColumn("n", F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) + 1)
+    # a text is hashed before its lines are dealt out, and a line is made flat before the filter, which would do it again
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n"), one_blank).alias("all"))
+    own = whole.select("id", "copy", F.posexplode("all").alias("line", "flat")).withColumn("n", F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) + 1)
     place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
     return own.where(F.col("n") >= LEAST_WORDS).select("id", "copy", "line", "flat", "n", F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
 
