@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries that one call takes; they travel with the tasks.
-MOST_QUERIES = 10_000
+#: Queries of a block, which travel with the tasks of its scan, and of one product with a batch of vectors.
+MOST_QUERIES, ASKED = 10_000, 256
 PLANES, MOST_PLANES, MOST_RADIUS = 16, 31, 2
 SEED = 42
 
@@ -45,15 +46,33 @@ def usable(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame
     return vectors.where((F.size(column) == dim) & F.forall(column, lambda x: x.isNotNull()))
 
 
-def knn(vectors: DataFrame, queries: list[tuple[int, Iterable[float]]], k: int, id_col: str = "id", column: str = "embedding", within: str | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: Iterable[tuple[int, Iterable[float]]], k: int, id_col: str = "id", column: str = "embedding", within: str | None = None) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query by cosine, ties to the least id.
 
-    Each batch of vectors is one block product with all queries and gives only its own k best for each, which are then ranked.
+    Queries, in any number, are asked in blocks of MOST_QUERIES, each in a scan of its own. Batches of vectors are block products with
+    a block's queries, and a task sends on only its own k best for each, which are then ranked.
     With ``within``, queries are (id, vector, value) and see only the rows whose column ``within`` has that value.
     """
-    queries = [(q[0], list(q[1]), *q[2:]) for q in queries]
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; ask in blocks")
+    found = None
+    for asked in batched(queries, MOST_QUERIES):
+        part = _block_knn(vectors, [(q[0], list(q[1]), *q[2:]) for q in asked], k, id_col, column, within)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = _block_knn(vectors, [], k, id_col, column, within)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def _best(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best rows of each query, sorted by query, then best first."""
+    order = np.lexsort((i, -s, q))
+    q, i, s = q[order], i[order], s[order]
+    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+    place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    return [x[place < k] for x in (q, i, s)]
+
+
+def _block_knn(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, column: str, within: str | None) -> DataFrame:
+    """(query_id, id, score): each task's k best of each query of a block."""
     dim = len(queries[0][1]) if queries else 1
     block = _unit(np.array([q[1] for q in queries], np.float64).reshape(-1, dim))
     names = np.array([q[0] for q in queries], np.int64)
@@ -61,25 +80,27 @@ def knn(vectors: DataFrame, queries: list[tuple[int, Iterable[float]]], k: int,
     source = usable(vectors, dim, column).select(F.col(id_col).cast("long").alias("id"), column, *([F.col(within).alias("__in")] if within else []))
 
     def search(batches):
+        # places of queries in the block, ids and scores of the best so far
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         for b in batches:
-            ids, score = b.column(0).to_numpy(), None
+            ids = b.column(0).to_numpy()
             if not len(ids) or not len(names):
                 continue
-            score = np.round(_unit(matrix(b.column(1), dim)) @ block.T, 12)
-            if within:
-                own = np.array(b.column(2).to_pylist(), object)
-                score = np.where(own[:, None] == wanted[None, :], score, -np.inf)
-            q, i, s = [], [], []
-            for j in range(len(names)):
-                best = np.lexsort((ids, -score[:, j]))[:k]
-                best = best[score[best, j] > -np.inf]
-                q.append(np.full(len(best), names[j]))
-                i.append(ids[best])
-                s.append(score[best, j])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, i, s)], names=["query_id", "id", "score"])
-
-    found = source.mapInArrow(search, "query_id long, id long, score double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+            rows, own = _unit(matrix(b.column(1), dim)), np.array(b.column(2).to_pylist(), object) if within else None
+            new = [best]
+            for at in range(0, len(names), ASKED):
+                score = np.round(block[at : at + ASKED] @ rows.T, 12)
+                score = np.where(np.isnan(score), -np.inf, score)
+                if within:
+                    score = np.where(wanted[at : at + ASKED, None] == own[None, :], score, -np.inf)
+                least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if 0 < k < len(ids) else -np.inf
+                j, r = np.nonzero((score >= least) & (score > -np.inf))
+                new.append(_best(j + at, ids[r], score[j, r], k))
+            best = _best(*[np.concatenate(x) for x in zip(*new, strict=True)], k)
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
+
+    return source.mapInArrow(search, "query_id long, id long, score double")
 
 
 class JavaRandom:

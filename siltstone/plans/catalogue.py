@@ -150,7 +150,8 @@ def lsh_stats(spark, d):
 @query()
 def lsh_topk(spark, d):
     v = vectors(spark, d)
-    return vector.lsh_knn(v, [(r["id"], r["embedding"]) for r in v.where("id < 20").orderBy("id").collect()], 10, radius=2)
+    asked = vector.usable(v, 64).where("id % 100 = 0").orderBy("id").toLocalIterator()
+    return vector.lsh_knn(v, ((r["id"], r["embedding"]) for r in asked), 10, radius=2)
 
 
 @query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])} SELECT namespace, id, round(score, 9) AS score FROM fused")
