@@ -42,3 +42,12 @@ def test_knn_takes_more_queries_than_a_block(spark, monkeypatch):
 def test_lsh_topk_asks_for_every_hundredth_row(spark):
     due = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 100 = 0").select("vec_id").collect()}
     assert {r["query_id"] for r in catalogue.QUERIES["lsh_topk"](spark, SF).select("query_id").distinct().collect()} == due
+
+
+def test_lsh_recall_holds_where_buckets_are_full(spark):
+    rng = np.random.default_rng(5)
+    m = (rng.normal(size=(20_000, 8)) @ rng.normal(size=(8, 64)) + rng.normal(size=(20_000, 64))).astype(np.float32).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, embedding array<float>")
+    asked = range(0, 20_000, 1000)
+    got, want = found(vector.lsh_knn(v, [(q, m[q].tolist()) for q in asked], 10, radius=2)), nearest(m, asked, 10)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in asked]) >= 0.9
