@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import let, stored
 from .rules import BLANKS
 
-#: Lines of fewer words are kept wherever they are.
+#: Lines of fewer words aren't held against lines one word apart.
 LEAST_WORDS = 6
 #: Slots of a filter that is sent to every task: 2048 bitmaps of 4096 bytes, whatever the input.
 SLOTS, PAGE = 2**26, 32_768
@@ -37,8 +37,8 @@ def one_blank(raw: Column) -> Column:
     return F.when(F.rlike(bare, F.lit("[\\x09-\\x0D]|\\x20\\x20")), F.regexp_replace(bare, "[\\x20\\x09-\\x0D]+", " ")).otherwise(bare)
 
 
-def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, hash of the text, line number from 0, flat words, their number n, 128-bit digest p, q, place) of every line that counts.
+def numbered_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
+    """(id, hash of the text, line number from 0, flat words, their number n, 128-bit digest p, q, place) of every line of ``least`` words or more.
 
     ``place`` orders lines by id, then line number; it is a decimal, which aggregates by hash as a pair would not.
     """
@@ -47,7 +47,7 @@ def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n"), one_blank).alias("all"))
     own = whole.select("id", "copy", F.posexplode("all").alias("line", "flat")).withColumn("n", F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) + 1)
     place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    return own.where(F.col("n") >= LEAST_WORDS).select("id", "copy", "line", "flat", "n", F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
+    return own.where((F.col("n") >= least) & (F.col("flat") != "")).select("id", "copy", "line", "flat", "n", F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
 
 
 def halves(flat: Column, n: Column) -> list[Column]:
@@ -93,7 +93,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(twice, "k", "left_semi")
 
 
-def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(id, copy, line) of the lines to drop: occurrences that have an earlier line within one word, by id and line number.
 
     Equal lines are one class, made first, so that a frequent line is one row. Only classes that share a half with another go on to
@@ -101,14 +101,16 @@ def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lets few other lines pass. A key's classes aren't paired: each key gives the place of its earliest line, and a class is
     superseded if one of its keys has an earlier one, which is verified by its words.
     """
-    own = numbered_lines(docs, id_col, text_col)
+    own = numbered_lines(docs, id_col, text_col, least)
     names = ("b0", "b1", "e0", "e1")
-    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *[h.alias(c) for h, c in zip(halves(F.col("flat"), F.col("n")), names, strict=True)]))
+    # a short line has no halves: it belongs to a class and is held against no other
+    parts = [F.when(F.col("n") >= LEAST_WORDS, h).alias(c) for h, c in zip(halves(F.col("flat"), F.col("n")), names, strict=True)]
+    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *parts))
     classes = stored(seen.groupBy("p", "q").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in names]))
 
     # classes that share a beginning or an end, and which
     parts = F.array_distinct(F.array(*[F.struct(F.col(c).alias("k"), F.lit(int(c[0] == "e")).alias("end")) for c in names]))
-    halved = classes.select("p", F.explode(parts).alias("x")).select("p", "x.k", "x.end")
+    halved = classes.where("b0 is not null").select("p", F.explode(parts).alias("x")).select("p", "x.k", "x.end")
     suspects = shared_keys(halved).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
     suspects = stored(classes.select("p", "q", "place").join(suspects, "p"))
 
@@ -133,14 +135,15 @@ def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return seen.select("id", "copy", "line", "p", "q", "place").join(losing, ["p", "q"]).where(F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("place"))).select("id", "copy", "line")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the superseded lines taken out of the text, and ``n_lines`` and ``n_dropped`` (named so, or after a clash with ``__``).
 
     A line is superseded by an earlier one that equals it or is one word from it (blanks aside); earlier by id, then line number.
-    Lines under LEAST_WORDS words and rows of a null id are left alone (ids are whole numbers); null texts stay null, texts that lose all lines become
+    Lines under ``least`` words (none without a word counts) and rows of a null id are left alone (ids are whole numbers); null texts stay null, texts that lose all lines become
     empty. Repeated rows (one id and text) count as one place and keep the same lines. Other columns stay as they are.
+    Lines from ``least`` to under LEAST_WORDS words are superseded by equal lines only.
     """
-    lost = superseded(docs.where(F.col(id_col).isNotNull()), id_col, text_col).distinct().groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_list("line").alias("__gone"))
+    lost = superseded(docs.where(F.col(id_col).isNotNull()), id_col, text_col, least).distinct().groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_list("line").alias("__gone"))
     lost = stored(lost)
     text = F.col(text_col).cast("string")
     marked = may_hold(docs, filter_of(lost.select(F.col("__copy").alias("key"))), F.xxhash64(text))
