@@ -64,3 +64,10 @@ def test_a_large_family_costs_a_pair_each(spark):
     words = [f"w{i}" for i in range(300)]
     rows = [(i, " ".join([*words[:i], "new", *words[i + 1 :]])) for i in range(300)]
     assert {r["component_id"] for r in minhash.similar(spark.createDataFrame(rows, DOCS), 5).collect()} == {0}
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (3, c + " end"), (None, "alone"), (None, "alone")]
+    kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone"), (1, a), (1, b), (3, c + " end")]
