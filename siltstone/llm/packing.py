@@ -13,126 +13,186 @@ from pyspark.sql import functions as F
 from .bpe import WordCodec
 from .common import cut, map_texts
 
-#: Rounds of the linear program; each adds one pattern at most.
-ROUNDS = 192
-STEP = 0.25
+#: Rounds of the linear program, the step of its weights, and patterns priced in one round.
+ROUNDS, STEP, PRICED = 60, 0.05, 100
+#: How far (in sequences) a pattern's price may stay under the best one: in the program, and where the roundings begin.
+NEAR, EVEN, MARGINS = 0.01, 0.004, (0.003, 0.01, 0.1)
+#: Of a pattern's possible uses the share that the even rounding takes at once, and its rounds.
+SHARE, TURNS = 0.1, 150
 #: Pieces of one length that are ranked together in one task, about.
 RANKED = 100_000
 
+#: A pattern: lengths and how many pieces of each, in order of filling.
+Pattern = dict[int, int]
 
-def price(weights: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length in the pattern of greatest weight that fits: the unbounded knapsack's dynamic program.
 
-    ``weights[i]`` belongs to length i + 1; lengths of no weight are left out.
+def best_prices(prices: np.ndarray, capacity: int) -> np.ndarray:
+    """The knapsack's dynamic program: the greatest price of pieces that fill at most 0, 1, ... ``capacity`` tokens.
+
+    ``prices[i]`` belongs to length i + 1; lengths of a negative price aren't there. A length may be taken any number of times.
     """
-    lengths = np.flatnonzero(weights > 0) + 1
-    values = weights[lengths - 1]
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
+    best = np.zeros(capacity + 1)
     for room in range(1, capacity + 1):
-        n = int(np.searchsorted(lengths, room, "right"))
-        best[room] = best[room - 1]
-        if n:
-            total = best[room - lengths[:n]] + values[:n]
-            k = int(total.argmax())
-            if total[k] > best[room] + 1e-15:
-                best[room], took[room] = total[k], lengths[k]
-    out, room = np.zeros(len(weights), np.int64), capacity
+        top = (best[:room][::-1] + prices[:room]).max()
+        best[room] = max(top, best[room - 1])
+    return best
+
+
+def filled(first: int, best: np.ndarray, prices: np.ndarray, left: np.ndarray, capacity: int, near: float, wanted: np.ndarray | None = None) -> Pattern:
+    """A pattern with a piece of length ``first`` whose rest is filled at a price within ``near`` of the best, piece by piece.
+
+    Of the lengths that allow it the longest is taken, or with ``wanted`` the longest of those that are wanted most. No length is
+    taken more often than ``left`` says; where none is left that allows such a price, the rest of the sequence stays empty.
+    """
+    held, room = {first: 1}, capacity - first
     while room:
-        if took[room]:
-            out[took[room] - 1] += 1
-            room -= took[room]
-        else:
-            room -= 1
-    return out
+        fits = (best[:room][::-1] + prices[:room] >= best[room] - near) & (left[:room] > 0)
+        for length, n in held.items():
+            if length <= room and n >= left[length - 1]:
+                fits[length - 1] = False
+        if wanted is not None and fits.any():
+            fits &= wanted[:room] >= 0.9 * wanted[:room][fits].max()
+        place = int(fits[::-1].argmax())
+        if not fits[room - 1 - place]:
+            break
+        length = room - place
+        held[length] = held.get(length, 0) + 1
+        room -= length
+    return held
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often to use each, fractional: an approximate optimum of the configuration linear program.
+def _arrays(held: Pattern) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
 
-    Each round prices a pattern under the present weights of the lengths; a length's weight falls by the share of its demand that
-    the pattern covers, so that lengths which earlier patterns left out gain. The uses are averaged and scaled to the demand.
+
+def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Prices of the lengths and the number of sequences that the configuration linear program needs at least.
+
+    The program covers each length's pieces by uses of patterns. Multiplicative weights: each round prices patterns under the
+    present weights (the knapsack), those near the best price cover what they can of the demand, and a length's weight falls
+    by the share of its demand that was covered, so that lengths which are hard to place gain. Weights scaled so that
+    no pattern costs more than one sequence bound the program from below; the best ones become the prices.
     """
-    there = counts > 0
-    # a length's demand counts by its pieces; it starts at what a piece takes of a sequence
-    log = np.where(there, np.log(np.arange(1, len(counts) + 1)), -np.inf)
-    chosen: dict[bytes, list] = {}
+    lengths, there = np.arange(1, capacity + 1), counts > 0
+    demand = np.maximum(counts, 1).astype(float)
+    log = np.log(lengths / capacity)
+    bound, prices = 0.0, np.zeros(capacity)
     for _ in range(rounds):
-        weights = np.where(there, np.exp(log - log[there].max()), 0.0)
-        pattern = price(weights, capacity)
-        pattern = np.minimum(pattern, counts)
-        used = pattern > 0
-        if not used.any():
-            break
-        share = np.zeros(len(counts))
-        share[used] = pattern[used] / counts[used]
-        width = share.max()
-        log = log - STEP * share / width
-        chosen.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += 1 / width
-    covered = sum((p * x for p, x in chosen.values()), np.zeros(len(counts)))
-    scale = max((c / d for c, d in zip(covered[there], counts[there], strict=True)), default=1.0)
-    return [(p, x / scale) for p, x in chosen.values()]
+        weights = np.where(there, np.exp(log), -1.0)
+        best = best_prices(weights, capacity)
+        weights, best = weights / best[capacity], best / best[capacity]
+        total = float((weights * counts)[there].sum())
+        if total > bound:
+            bound, prices = total, weights
+        need, start = counts.astype(float), there & (weights + best[:capacity][::-1] >= 1 - NEAR)
+        for _ in range(PRICED):
+            share = np.where(start, need / demand, 0)
+            first = capacity - int(share[::-1].argmax())
+            if share[first - 1] <= 1e-9:
+                break
+            held, copies = _arrays(filled(first, best, weights, need, capacity, NEAR / 8, need))
+            need[held - 1] -= (need[held - 1] / copies).min() * copies
+        covered = np.where(there, 1 - need / demand, 0)
+        log -= STEP * covered / max(covered.max(), 1e-9)
+        log -= log[there].max()
+    return prices, bound
+
+
+def round_longest(counts: np.ndarray, prices: np.ndarray, capacity: int, near: float = MARGINS[1]) -> list[tuple[Pattern, int]]:
+    """Whole uses of patterns that take every piece: the longest piece first, filled at near the best price by the longest that allow it.
+
+    Each pattern is used as often as the counts allow, which uses up a length, so that their number is bounded by the lengths and
+    not by the pieces. What finds no pattern near the best price waits for a wider margin.
+    """
+    left, out = counts.copy(), []
+    while left.any():
+        now = np.where(left > 0, prices, -1.0)
+        best = best_prices(now, capacity)
+        start = left > 0
+        while (start & (left > 0)).any():
+            first = int(np.flatnonzero(start & (left > 0))[-1]) + 1
+            held = filled(first, best, now, left, capacity, near)
+            lengths, copies = _arrays(held)
+            if (now[lengths - 1] * copies).sum() < best[capacity] - near:
+                start[first - 1] = False
+                continue
+            uses = int((left[lengths - 1] // copies).min())
+            out.append((held, uses))
+            left[lengths - 1] -= uses * copies
+        near = min(3 * near, 2.0)
+    return out
+
 
+def round_evenly(counts: np.ndarray, prices: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """Whole uses of patterns that lower all lengths alike: a share of the possible uses at once, the least covered lengths first.
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
+    What is left then, a part of each length, is rounded with the longest first.
+    """
+    left, out, near, demand = counts.copy(), [], EVEN, np.maximum(counts, 1)
+    for _ in range(TURNS):
+        there = left > 0
+        if not there.any() or near > 0.02:
+            break
+        share = left / demand
+        now = np.where(there, prices * np.exp(0.1 * (share - left.sum() / demand[there].sum())), -1.0)
+        best = best_prices(now, capacity)
+        now, best = now / best[capacity], best / best[capacity]
+        start, before = there & (now + best[:capacity][::-1] >= 1 - near), len(out)
+        for _ in range(24):
+            open_ = np.where(start & (left > 0), share, 0)
+            if not open_.any():
+                break
+            first = capacity - int((open_[::-1] >= 0.9 * open_.max()).argmax())
+            start[first - 1] = False
+            held = filled(first, best, now, left, capacity, near / 4, share)
+            lengths, copies = _arrays(held)
+            if (now[lengths - 1] * copies).sum() < 1 - 2 * near:
+                continue
+            uses = max(1, int((left[lengths - 1] // copies).min() * SHARE))
+            out.append((held, uses))
+            left[lengths - 1] -= uses * copies
+            share[lengths - 1] = left[lengths - 1] / demand[lengths - 1]
+        if len(out) == before:
+            near *= 2
+    return out + round_longest(left, prices, capacity)
+
+
+def plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
     """Patterns and whole numbers of uses that take every piece of the histogram exactly once.
 
-    Full-length pieces fill sequences of their own. The program's uses are rounded down; while a fifth or more of the pieces is
-    left, the rest is solved again. What remains takes the largest piece that still fits, a whole pattern at a time, as often as
-    the counts allow; each such pattern uses up one length, so that their number is bounded by the lengths, not by the pieces.
+    Full-length pieces fill sequences of their own; the program prices the others, whatever their number, and its prices are
+    rounded evenly and, with several margins, longest first. The rounding with the fewest sequences stays.
     """
     left, out = counts.astype(np.int64).copy(), []
     if left[capacity - 1]:
-        own = np.zeros(len(left), np.int64)
-        own[capacity - 1] = 1
-        out.append((own, int(left[capacity - 1])))
+        out.append(({capacity: 1}, int(left[capacity - 1])))
         left[capacity - 1] = 0
-    for _ in range(6):
-        before = left.sum()
-        if before < 2 * len(left):
-            break
-        for pattern, uses in sorted(solve(left, capacity, rounds), key=lambda x: -x[1]):
-            used = pattern > 0
-            n = min(int(uses), int((left[used] // pattern[used]).min()))
-            if n > 0 and (pattern * np.arange(1, len(left) + 1)).sum() == capacity:
-                out.append((pattern, n))
-                left -= pattern * n
-        if left.sum() > 0.8 * before:
-            break
-    while left.any():
-        pattern, room = np.zeros(len(left), np.int64), capacity
-        free = left.copy()
-        while room:
-            fits = np.flatnonzero(free[:room])
-            if not len(fits):
-                break
-            length = int(fits[-1]) + 1
-            n = min(room // length, int(free[length - 1]))
-            pattern[length - 1] += n
-            free[length - 1] -= n
-            room -= n * length
-        used = pattern > 0
-        n = int((left[used] // pattern[used]).min())
-        out.append((pattern, n))
-        left -= pattern * n
-    return out
+    if not left.any():
+        return out
+    prices, _ = solve(left, capacity, rounds)
+    tried = [*(round_longest(left, prices, capacity, near) for near in MARGINS), round_evenly(left, prices, capacity)]
+    return out + min(tried, key=lambda patterns: sum(n for _, n in patterns))
 
 
-def places(patterns: list[tuple[np.ndarray, int]]) -> pd.DataFrame:
+def places(patterns: list[tuple[Pattern, int]]) -> pd.DataFrame:
     """Runs of ranks of each length: a run's pieces go ``copies`` to a sequence, from sequence ``first`` and place ``base`` on."""
     at, first, rows = {}, 0, []
     for pattern, uses in patterns:
         base = 0
-        for i in np.flatnonzero(pattern).tolist():
-            copies = int(pattern[i])
-            rows.append((i + 1, at.get(i, 0), copies, first, base))
-            at[i] = at.get(i, 0) + copies * uses
-            base += copies * (i + 1)
+        for length, copies in pattern.items():
+            rows.append((length, at.get(length, 0), copies, first, base))
+            at[length] = at.get(length, 0) + copies * uses
+            base += copies * length
         first += uses
     return pd.DataFrame(rows, columns=["length", "rank", "copies", "first", "base"], dtype="int64").sort_values(["length", "rank"], ignore_index=True)
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents: ids of the text and ``end``; documents over ``capacity`` are cut into pieces of it."""
+    """Pieces of all documents: ids of the text and ``end``; documents over ``capacity`` are cut into pieces of it.
+
+    Null and empty texts are one piece, of ``end`` alone; repeated rows give their pieces each; an empty table gives none. Columns
+    other than the two named aren't read.
+    """
 
     def make():
         codec, tail, step = WordCodec(path), int(end).to_bytes(4, "little"), 4 * capacity
@@ -144,16 +204,18 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id
         return work
 
     made = map_texts(docs, [id_col], text_col, make, "__n long, __crc array<long>")
-    return made.select(id_col, "__n", F.posexplode("__crc").alias("piece", "ids_crc32")).select(
-        id_col, "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("__n") - F.col("piece").cast("long") * capacity).alias("length"), "ids_crc32"
-    )
+    start = F.col("piece").cast("long") * capacity
+    length = F.least(F.lit(capacity).cast("long"), F.col("__n") - start)
+    each = made.select(id_col, "__n", F.posexplode("__crc").alias("piece", "ids_crc32"))
+    return each.select(id_col, "piece", start.alias("start"), length.alias("length"), "ids_crc32")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
     """Adds sequence_id and offset to pieces (``length`` from 1 to ``capacity``); ``pieces`` should be read from storage.
 
     Only the histogram (``capacity`` counts) and the runs of ranks made from it are on the driver. Ranks of a length come from
-    counts of salted groups, so no task gets all pieces of a frequent length. Pieces that tie are ranked in any order.
+    counts of salted groups, so no task gets all pieces of a frequent length. Pieces that tie are ranked in any order; an empty
+    table gives no rows; other columns stay.
     """
     counts = np.zeros(capacity, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
