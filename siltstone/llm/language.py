@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE, bucket_of, cut, map_texts
 
-#: Bounds of what is fitted: languages (the most frequent ones), training rows of each (whole texts), words, and n-grams of each length.
-LANGS, ROWS = 200, 3000
+#: Training rows of a language (whole texts, about). Every language of the labelled rows is learned.
+ROWS = 3000
+#: Words, and n-grams of each length, that the languages share out evenly; each language keeps its most frequent ones.
 WORDS, GRAMS, LONGEST = 60_000, 20_000, 4
-LEAST = 2
-#: Words whose scores a worker keeps.
-KEPT = 300_000
+#: Places that a language has at least, however many languages there are.
+PLACES = 200
+#: Bytes of word scores, and words, that a worker keeps.
+KEPT_BYTES, KEPT = 24_000_000, 200_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -32,112 +34,190 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+@dataclass
+class Table:
+    """Log frequencies of one kind: languages' floors, and what a gram has beyond them, by the languages that hold it."""
+
+    floor: np.ndarray
+    place: dict[str, int]
+    start: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        """The log frequencies of some grams, a row each."""
+        n = self.start[at + 1] - self.start[at]
+        out = np.repeat(self.floor[None], len(at), 0)
+        row = np.repeat(np.arange(len(at)), n)
+        entry = np.arange(len(row)) + np.repeat(self.start[at] - np.cumsum(n) + n, n)
+        out[row, self.lang[entry]] += self.above[entry]
+        return out
+
+
+def table_of(found: dict[str, dict[int, int]], n_langs: int) -> Table:
+    """From counts by gram and language: logs of the count (a half more) over all that the language has in the table."""
+    total = np.full(n_langs, 0.5 * len(found))
+    for by in found.values():
+        for lang, n in by.items():
+            total[lang] += n
+    start = np.cumsum([0, *(len(by) for by in found.values())])
+    lang = np.array([x for by in found.values() for x in by], np.int32)
+    counts = np.array([n for by in found.values() for n in by.values()], np.float64)
+    floor = np.log(0.5 / np.maximum(total, 0.5))
+    return Table(floor, {g: i for i, g in enumerate(found)}, start, lang, np.log((counts + 0.5) / 0.5))
+
+
 @dataclass
 class Model:
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]  # [0] of words, [n] of n-grams: log frequencies by language
+    tables: list[Table] = field(default_factory=list)  # [0] of words, [n] of n-grams
 
-    def score(self, word: str) -> np.ndarray:
-        """Of one word: its own log frequencies, else the mean over its n-grams of the greatest length that has a known one, else zeros."""
-        found = self.tables[0].get(word)
-        if found is not None:
-            return found
+    def known(self, word: str) -> tuple[int, list[int]]:
+        """What scores a word: itself (kind 0), else its n-grams of the greatest length that has a known one; else none."""
+        at = self.tables[0].place.get(word)
+        if at is not None:
+            return 0, [at]
         for n in range(LONGEST, 0, -1):
-            known = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+            get = self.tables[n].place.get
+            found = [i for g in grams(word, n) if (i := get(g)) is not None]
+            if found:
+                return n, found
+        return 0, []
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row for each word: the mean log frequencies of what scores it, zeros if nothing does."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        found = [self.known(w) for w in words]
+        for k, table in enumerate(self.tables):
+            rows = [i for i, (kind, at) in enumerate(found) if kind == k and at]
+            for i in range(0, len(rows), 4096):
+                part = rows[i : i + 4096]
+                sizes = np.array([len(found[r][1]) for r in part])
+                logs = table.rows(np.array([x for r in part for x in found[r][1]]))
+                out[part] = np.add.reduceat(logs, np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        return out
+
+
+def counted_words(batches):
+    """Of batches (language, text) rows (language, word, count), summed over as many texts as memory is meant to hold."""
+
+    def told(seen: dict[str, Counter]) -> pa.RecordBatch:
+        columns = ([x for x, c in seen.items() for _ in c], [w for c in seen.values() for w in c], [n for c in seen.values() for n in c.values()])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["l", "g", "n"])
+
+    seen: dict[str, Counter] = {}
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            part = whole.slice(at, SLICE)
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                seen.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, seen.values())) > KEPT:
+                yield told(seen)
+                seen = {}
+    yield told(seen)
+
+
+def grams_of(words: DataFrame) -> DataFrame:
+    """(k, g, l, n) of the n-grams of counted words (l, g, n): ``grams`` as column functions, since each word is told once."""
+
+    def parts(n: int) -> Column:
+        marked = F.concat(F.lit("<"), "g", F.lit(">")) if n > 1 else F.col("g")
+        each = F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.struct(F.lit(n).alias("k"), F.substring(marked, i, F.lit(n)).alias("g")))
+        return F.when(F.length(marked) >= n, each).otherwise(F.array().cast("array<struct<k:int,g:string>>"))
+
+    every = words.select("l", "n", F.explode(F.concat(*[parts(n) for n in range(1, LONGEST + 1)])).alias("x"))
+    return every.groupBy("x.k", "x.g", "l").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Model:
     """Counts words and n-grams of at most about ``rows`` whole texts of each language, chosen by a hash of their id.
 
-    The model holds WORDS words and GRAMS n-grams of each length (the most frequent ones), whatever the input's size.
+    Every language of a labelled text is learned. The places of the model (WORDS, and GRAMS for each length) are shared out evenly,
+    with PLACES for a language at least; of its words, those go whose count is shared by too many to keep them all. What the
+    model leaves out is thus a language's rarest words and n-grams, whose texts shorter n-grams still score.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (bucket_of(F.col("i"), 5) != 0))
-    share = {lang: min(1.0, rows / n) for lang, n in labelled.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGS).collect()}
-    langs = sorted(share)
-    if not langs:
-        return Model([], [{} for _ in range(LONGEST + 1)])
-    limits = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(share[lang] * 2**20))])
-    chosen = labelled.where(F.col("l").isin(langs) & (F.pmod(F.xxhash64("i"), F.lit(2**20)) < limits[F.col("l")])).select("l", "t")
-
-    def count(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                part = whole.slice(at, SLICE)
-                seen: dict[str, Counter] = {}
-                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    seen.setdefault(lang, Counter()).update(words_of(text))
-                out = [[], [], [], []]
-                for lang, counter in seen.items():
-                    tallies = [counter, *(Counter() for _ in range(LONGEST))]
-                    for word, n in counter.items():
-                        for k in range(1, LONGEST + 1):
-                            for g in grams(word, k):
-                                tallies[k][g] += n
-                    for k, tally in enumerate(tallies):
-                        for gram, n in tally.items():
-                            for column, x in zip(out, (k, gram, lang, n), strict=True):
-                                column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), pa.array(out[3], pa.int64())], names=["k", "g", "l", "n"])
-
-    counted = chosen.mapInArrow(count, "k int, g string, l string, n long").groupBy("k", "g", "l").agg(F.sum("n").alias("n"))
-    by_gram = counted.groupBy("k", "g").agg(F.sum("n").alias("n"), F.collect_list(F.struct("l", "n")).alias("by")).where(F.col("n") >= LEAST)
-    tables, place = [], {lang: i for i, lang in enumerate(langs)}
-    by_gram = cut(by_gram)
-    got = [by_gram.where(F.col("k") == k).orderBy(F.desc("n"), "g").limit(GRAMS if k else WORDS).select("g", "by").collect() for k in range(LONGEST + 1)]
-    for pairs in got:
-        counts = np.full((len(pairs), len(langs)), 0.5)
-        for i, (_, by) in enumerate(pairs):
-            for lang, n in by:
-                counts[i, place[lang]] += n
-        logs = np.log(counts / counts.sum(0)) if len(pairs) else counts
-        tables.append({gram: logs[i] for i, (gram, _) in enumerate(pairs)})
-    return Model(langs, tables)
+    sizes = labelled.groupBy("l").agg(F.count("*").alias("rows"))
+    limits = sizes.select("l", (F.least(F.lit(1.0), rows / F.col("rows")) * 2**20).cast("long").alias("limit"))
+    chosen = labelled.join(F.broadcast(limits), "l").where(F.pmod(F.xxhash64("i"), F.lit(2**20)) < F.col("limit")).select("l", "t")
+    words = cut(chosen.mapInArrow(counted_words, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
+    counted = cut(words.select(F.lit(0).alias("k"), "g", "l", "n").unionByName(grams_of(words)))
+    langs = sorted(r[0] for r in sizes.select("l").collect())
+
+    # the least count that a language's places have room for, from how many grams have each count
+    places = F.when(F.col("k") == 0, max(PLACES, WORDS // max(len(langs), 1))).otherwise(max(PLACES, GRAMS // max(len(langs), 1)))
+    alike = counted.groupBy("k", "l", "n").agg(F.count("*").alias("grams"))
+    upto = F.sum("grams").over(Window.partitionBy("k", "l").orderBy(F.desc("n")))
+    least = alike.withColumn("upto", upto).where(F.col("upto") <= places).groupBy("k", "l").agg(F.min("n").alias("least"))
+    best = counted.join(F.broadcast(least), ["k", "l"]).where(F.col("n") >= F.col("least")).select("k", "g").distinct()
+    by_gram = counted.join(best, ["k", "g"], "left_semi").groupBy("k", "g").agg(F.collect_list(F.struct("l", "n")).alias("by"))
+
+    place, found = {lang: i for i, lang in enumerate(langs)}, [{} for _ in range(LONGEST + 1)]
+    for k, gram, by in by_gram.toLocalIterator():
+        found[k][gram] = {place[lang]: n for lang, n in sorted(by)}
+    return Model(langs, [table_of(dict(sorted(x.items())), len(langs)) for x in found])
+
+
+class Scorer:
+    """Scores of words by a model, kept in one matrix of bounded size and made anew when it is full."""
+
+    def __init__(self, model: Model):
+        self.model, self.place = model, {}
+        self.room = max(1, min(KEPT, KEPT_BYTES // max(4 * len(model.langs), 1)))
+        self.table = np.zeros((0, len(model.langs)), np.float32)
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.place) > self.room:
+            self.place.clear()
+        new, first = sorted(words.difference(self.place)), len(self.place)
+        short = first + len(new) - len(self.table)
+        if short > 0:
+            self.table = np.concatenate([self.table, np.zeros((max(short, len(self.table) // 2), self.table.shape[1]), np.float32)])
+        self.table[first : first + len(new)] = self.model.scores(new)
+        self.place.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts] if self.model.langs else [[]] * len(texts)
+        self.learn({w for words in found for w in words})
+        out = []
+        for words in found:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            mean = self.table[at].mean(0, dtype=np.float64) * len(words) ** 0.5
+            best = int(mean.argmax())
+            out.append((self.model.langs[best], float(1 / np.exp(mean - mean[best]).sum())))
+        return out
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """One row per row of ``docs``: lang_pred and score (or the names ``into``), from whole texts.
+    """One row per row of ``docs``: the columns ``keep`` (the id alone) and lang_pred and score (or the names ``into``), from whole texts.
 
     A null text, one without a letter, and every text when nothing was learned get ``und`` and 0. Equal scores go to the
-    language that sorts first. The score is the posterior of the mean word, sharpened by the root of the number of words.
+    language that sorts first. The score is the posterior of the mean word, sharpened by the root of the number of words. Repeated
+    rows get equal values; an empty table gives no rows. The names ``into`` mustn't be among ``keep``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = shared.value
-        place: dict[str, int] = {}
-        rows: list[np.ndarray] = []
+        scorer = Scorer(shared.value)
 
         def work(texts):
-            if len(place) > KEPT:
-                place.clear()
-                rows.clear()
-            found = [words_of(t) if t and any(map(str.isalpha, t)) else [] for t in texts]
-            for word in {w for ws in found for w in ws}.difference(place):
-                place[word] = len(rows)
-                rows.append(own.score(word))
-            table = np.array(rows) if rows and own.langs else None
-            langs, scores = [], []
-            for ws in found:
-                if not ws or table is None:
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                mean = table[np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))].mean(0) * len(ws) ** 0.5
-                best = int(mean.argmax())
-                langs.append(own.langs[best])
-                scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-            return {into[0]: langs, into[1]: scores}
+            found = scorer.predict(texts)
+            return {into[0]: [x for x, _ in found], into[1]: [x for _, x in found]}
 
         return work
 
-    return map_texts(docs, keep or [id_col], text_col, make, f"{into[0]} string, {into[1]} double")
+    return map_texts(docs, keep or [id_col], text_col, make, f"`{into[0]}` string, `{into[1]}` double")
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Learns from rows whose crc32(id) mod 5 isn't 0 and predicts every row; ``held_out`` marks the others."""
+    """Learns from rows whose crc32(id) mod 5 isn't 0 and predicts every row; ``held_out`` marks the others.
+
+    Null and empty texts are ``und``; null languages aren't learned from; a null id is never held out by chance, it counts as the
+    empty text. Repeated rows count as often as they stand there, and an empty table gives no rows. Other columns aren't read.
+    """
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return out.select(id_col, (bucket_of(F.col(id_col), 5) == 0).alias("held_out"), "lang_pred", "score")

@@ -342,12 +342,6 @@ def test_language(spark):
     assert language.identify_documents(df.where("false")).count() == 0
 
 
-def test_backoff_goes_from_words_to_ever_shorter_grams():
-    one = lambda x: np.array([x, 0.0])
-    m = language.Model(["a", "b"], [{"word": one(9)}, {"w": one(1)}, {"<w": one(2)}, {"<wo": one(3)}, {"<wor": one(4)}])
-    assert [m.score(w)[0] for w in ("word", "work", "wok", "wig", "own", "xyz")] == [9, 4, 3, 2, 1, 0]
-
-
 # media
 
 
