@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut, forget_at_exit, shared_folder
+from ..lineage import cut, forget, forget_at_exit, shared_folder
 
 #: Rows of one batch that are Python objects at the same time.
 SLICE = 512
@@ -21,10 +21,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet in the shared folder and read again: smaller than a checkpoint, and as safe. It goes with the session."""
+    return _written(df)[0]
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     forget_at_exit(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+class Scratch:
+    """Tables that an operator stores on its way; at the end of the block, when its result is stored itself, they are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Callable[[DataFrame], DataFrame]:
+        return self.keep
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        self.paths.append(path)
+        return out
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            forget(self.spark, path)
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or with as many ``_`` before it as it takes to be none of ``taken`` (case doesn't count, as in Spark)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -47,7 +78,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     from pyspark.sql.pandas.types import to_arrow_schema
 
     made = StructType.fromDDL(schema)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free("__text", keep)))
     out = StructType([*source.schema.fields[:-1], *made.fields])
     arrow = to_arrow_schema(made)
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import let, stored
-from .rules import BLANKS
+from .common import Scratch, free, let, stored
 
-#: Lines of fewer words aren't held against lines one word apart.
+#: Lines of fewer words aren't held against lines one word apart; their repeats go all the same.
 LEAST_WORDS = 6
 #: Slots of a filter that is sent to every task: 2048 bitmaps of 4096 bytes, whatever the input.
 SLOTS, PAGE = 2**26, 32_768
+#: Words whose hashes are taken together step by step.
+SPAN = 64
+#: A class of equal lines with more than this share of all lines is joined by broadcast; there can be no more such classes than this.
+HEAVY = 4096
 
 
 def filter_of(keys: DataFrame) -> DataFrame:
@@ -21,58 +27,109 @@ def filter_of(keys: DataFrame) -> DataFrame:
     return paged.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def may_hold(df: DataFrame, bitmaps: DataFrame, key: Column) -> DataFrame:
-    """``df`` with ``__may``: false only where the filter's keys don't have the row's key. The filter's size has a fixed bound."""
-    slot = F.pmod(key, F.lit(SLOTS))
-    joined = df.withColumn("__slot", slot).withColumn("__page", F.floor(F.col("__slot") / PAGE).cast("int")).join(F.broadcast(bitmaps.withColumnRenamed("page", "__page")), "__page", "left")
-    bit = (F.col("__slot") % PAGE).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+def may_hold(df: DataFrame, bitmaps: DataFrame, key: Column, into: str) -> DataFrame:
+    """``df`` with the flag ``into``: false only where the filter's keys don't have the row's key. The filter's size has a fixed bound."""
+    slot, page, bits = (free(name, [*df.columns, into]) for name in ("__slot", "__page", "__bits"))
+    placed = df.withColumn(slot, F.pmod(key, F.lit(SLOTS))).withColumn(page, F.floor(F.col(slot) / PAGE).cast("int"))
+    joined = placed.join(F.broadcast(bitmaps.select(F.col("page").alias(page), F.col("bits").alias(bits))), page, "left")
+    bit = (F.col(slot) % PAGE).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), bit % 8)) != 0
-    return joined.withColumn("__may", F.coalesce(held, F.lit(False))).drop("__slot", "__page", "bits")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(held, F.lit(False)).alias(into))
 
 
 def one_blank(raw: Column) -> Column:
-    """The words of a line with one blank between; most lines are so already."""
-    bare = F.btrim(raw, F.lit(BLANKS))
-    return F.when(F.rlike(bare, F.lit("[\\x09-\\x0D]|\\x20\\x20")), F.regexp_replace(bare, "[\\x20\\x09-\\x0D]+", " ")).otherwise(bare)
+    """The words of a line with one blank between; most lines are so already, which plain searches tell."""
+    odd = raw.startswith(" ") | raw.endswith(" ")
+    for blanks in ("  ", "\t", "\r", "\v", "\f"):
+        odd = odd | raw.contains(blanks)
+    return F.when(odd, F.btrim(F.regexp_replace(raw, "[\\x20\\x09-\\x0D]+", " "))).otherwise(raw)
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST_WORDS) -> DataFrame:
-    """(id, hash of the text, line number from 0, flat words, their number n, 128-bit digest p, q, place) of every line of ``least`` words or more.
+    """Every line of ``least`` words or more, with a word at least: id, hash of the text, line number from 0, flat words, their number
+    n, 128-bit digest p, q, place.
 
     ``place`` orders lines by id, then line number; it is a decimal, which aggregates by hash as a pair would not.
     """
-    text = F.col(text_col).cast("string")
+    text = F.col(f"`{text_col}`").cast("string")
     # a text is hashed before its lines are dealt out, and a line is made flat before the filter, which would do it again
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("copy"), F.transform(F.split(text, "\n"), one_blank).alias("all"))
-    own = whole.select("id", "copy", F.posexplode("all").alias("line", "flat")).withColumn("n", F.length("flat") - F.length(F.replace(F.col("flat"), F.lit(" "), F.lit(""))) + 1)
+    flat = F.transform(F.split(text, "\n"), one_blank)
+    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("copy"), flat.alias("all"))
+    own = whole.select("id", "copy", F.posexplode("all").alias("line", "flat"))
+    blanks = F.octet_length("flat") - F.octet_length(F.replace(F.col("flat"), F.lit(" "), F.lit("")))
+    long_enough = own.withColumn("n", blanks + 1).where((F.col("n") >= least) & (F.col("flat") != ""))
     place = F.col("id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("line").cast("decimal(10,0)")
-    return own.where((F.col("n") >= least) & (F.col("flat") != "")).select("id", "copy", "line", "flat", "n", F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"), place.cast("decimal(32,0)").alias("place"))
+    digest = (F.xxhash64(F.lit(1), "flat").alias("p"), F.xxhash64("flat", F.lit(2)).alias("q"))
+    return long_enough.select("id", "copy", "line", "flat", "n", *digest, place.cast("decimal(32,0)").alias("place"))
 
 
 def halves(flat: Column, n: Column) -> list[Column]:
     """Keys of which two lines within one edit share one: what an edit in one half leaves of the other, at both lengths that it may have.
 
     The first two are of beginnings, the last two of ends. Lines of m and m + 1 words meet at floor(m / 2), of m and m words too.
+    Where both lengths are one, the second key is null. Lines under LEAST_WORDS have none.
     """
-    sizes = [F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")]
-    return [F.xxhash64(F.lit(kind), F.call_function("substring_index", flat, F.lit(" "), size if kind == 3 else -size)) for kind in (3, 4) for size in sizes]
+    long, short = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
+
+    def key(kind: int, size: Column) -> Column:
+        return F.xxhash64(F.lit(kind), F.call_function("substring_index", flat, F.lit(" "), size if kind == 3 else -size))
+
+    wide, even = n >= LEAST_WORDS, (n >= LEAST_WORDS) & (long != short)
+    return [F.when(wide, key(3, long)), F.when(even, key(3, short)), F.when(wide, key(4, long)), F.when(even, key(4, short))]
+
+
+def _all_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda sofar, x: sofar.bitwiseXOR(x))
+
+
+def _before(values: Column) -> Column:
+    """Of each place the values before it, taken together; in blocks, so that a very long array doesn't cost its square."""
 
+    def dealt(blocks: Column) -> Column:
+        inside = F.flatten(F.transform(blocks, lambda block: F.transform(block, lambda _, i: _all_of(F.slice(block, F.lit(1), i)))))
+        wholes = F.transform(blocks, _all_of)
+        bases = let(wholes, lambda each: F.transform(each, lambda _, i: _all_of(F.slice(each, F.lit(1), i))))
+        return let(bases, lambda base: F.transform(inside, lambda x, i: x.bitwiseXOR(F.get(base, F.floor(i / SPAN).cast("int")))))
 
-def variants(w: Column, n: Column, low: Column, high: Column) -> Column:
-    """Hashed keys (k, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
+    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SPAN).cast("int"))
+    return let(F.transform(starts, lambda b: F.slice(values, b * SPAN + 1, F.lit(SPAN))), dealt)
+
+
+def variants(w: Column, low: Column, high: Column) -> Column:
+    """Hashed keys (k, c, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
 
     ``w`` holds hashes of the words. A line and one with a word more share the shorter line's plain key; lines that differ in one
-    word share the key with its place.
+    word share the key with its place. A key is made of the hashes of all words with their places, taken together by exclusive or:
+    a word that goes takes its own out and moves those of the words after it one place on, so that each variant costs one
+    step and not the line's length. A key has 96 bits, so that no line's own key hides behind another's by chance.
     """
 
-    def key(value: Column, kind: int) -> Column:
-        return F.struct(value.alias("k"), F.lit(kind).alias("kind"))
+    def key(k: Column, c: Column, kind: int) -> Column:
+        return F.struct(k.alias("k"), c.cast("int").alias("c"), F.lit(kind).alias("kind"))
+
+    def without(hashed: Callable[[Column, Column], Column]) -> Column:
+        here, moved = F.transform(w, hashed), F.transform(w, lambda x, j: hashed(x, j - 1))
+
+        def dropped(m: Column) -> Column:
+            before = _before(F.zip_with(here, m, lambda x, y: x.bitwiseXOR(y)))
+            each = F.struct(before.alias("before"), _all_of(m).alias("every"))
+            return let(each, lambda e: F.transform(F.sequence(low, high), lambda i: e["every"].bitwiseXOR(F.get(m, i)).bitwiseXOR(F.get(e["before"], i))))
+
+        return let(moved, dropped)
+
+    def long(x: Column, j: Column) -> Column:
+        return F.xxhash64(x, j)
+
+    def short(x: Column, j: Column) -> Column:
+        return F.hash(x, j).cast("long")
 
-    def without(i: Column) -> Column:
-        return F.xxhash64(F.concat(F.slice(w, F.lit(1), i), F.slice(w, i + 2, n)))
+    def both(x: Column) -> Column:
+        return F.array(key(x["k"], x["c"], 1), key(F.xxhash64(x["k"], x["i"]), F.hash(x["c"], x["i"]), 2))
 
-    return F.concat(F.array(key(F.xxhash64(w), 0)), F.flatten(F.transform(F.sequence(low, high), lambda i: let(without(i), lambda v: F.array(key(v, 1), key(F.xxhash64(v, i), 2))))))
+    whole = key(_all_of(F.transform(w, long)), _all_of(F.transform(w, short)), 0)
+    each = F.arrays_zip(F.sequence(low, high).alias("i"), without(long).alias("k"), without(short).alias("c"))
+    return F.concat(F.array(whole), F.flatten(F.transform(each, both)))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -83,83 +140,111 @@ def within_one(a: Column, b: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(x, i) != F.get(y, i)))
         return first[0]
 
-    long, short = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    return let(long, lambda x: let(short, lambda y: let(alike(x, y), lambda k: (F.size(x) - F.size(y) <= 1) & (F.slice(x, k + 2, F.size(x)) == F.when(F.size(x) == F.size(y), F.slice(y, k + 2, F.size(x))).otherwise(F.slice(y, k + 1, F.size(x)))))))
+    def tails(x: Column, y: Column, k: Column) -> Column:
+        same = F.size(x) == F.size(y)
+        rest = F.when(same, F.slice(y, k + 2, F.size(x))).otherwise(F.slice(y, k + 1, F.size(x)))
+        return (F.size(x) - F.size(y) <= 1) & (F.slice(x, k + 2, F.size(x)) == rest)
 
+    longer = F.size(a) >= F.size(b)
+    long, short = F.when(longer, a).otherwise(b), F.when(longer, b).otherwise(a)
+    return let(long, lambda x: let(short, lambda y: let(alike(x, y), lambda k: tails(x, y, k))))
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows (p, k, ...) whose key stands with two lines or more; keys are counted before rows are picked, so no group is gathered."""
-    twice = keys.groupBy("k").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("k")
-    return keys.join(twice, "k", "left_semi")
 
+def shared_keys(keys: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (p, by..., ...) whose key stands with two lines or more; keys are counted before rows are picked, so no group is gathered."""
+    twice = keys.groupBy(*by).agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select(*by)
+    return keys.join(twice, by, "left_semi")
 
-def superseded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, copy, line) of the lines to drop: occurrences that have an earlier line within one word, by id and line number.
 
-    Equal lines are one class, made first, so that a frequent line is one row. Only classes that share a half with another go on to
-    the deletion neighbourhoods (two lines within one edit always share one); their words are read again, through a filter that
-    lets few other lines pass. A key's classes aren't paired: each key gives the place of its earliest line, and a class is
-    superseded if one of its keys has an earlier one, which is verified by its words.
-    """
-    own = numbered_lines(docs, id_col, text_col, least)
-    names = ("b0", "b1", "e0", "e1")
-    # a short line has no halves: it belongs to a class and is held against no other
-    parts = [F.when(F.col("n") >= LEAST_WORDS, h).alias(c) for h, c in zip(halves(F.col("flat"), F.col("n")), names, strict=True)]
-    seen = stored(own.select("id", "copy", "line", "p", "q", "place", *parts))
-    classes = stored(seen.groupBy("p", "q").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in names]))
+def superseded_classes(own: DataFrame, classes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(p, q) of the classes of equal lines that have an earlier class within one word.
 
+    Only classes that share a half with another go on to the deletion neighbourhoods (two lines within one edit always share one);
+    their words are read again, through a filter that lets few other lines pass. A key's classes aren't paired: each key gives the place
+    of its earliest line, and a class is superseded if one of its keys has an earlier one, which is verified by its words.
+    """
     # classes that share a beginning or an end, and which
-    parts = F.array_distinct(F.array(*[F.struct(F.col(c).alias("k"), F.lit(int(c[0] == "e")).alias("end")) for c in names]))
-    halved = classes.where("b0 is not null").select("p", F.explode(parts).alias("x")).select("p", "x.k", "x.end")
-    suspects = shared_keys(halved).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
-    suspects = stored(classes.select("p", "q", "place").join(suspects, "p"))
+    parts = F.array(*[F.struct(F.col(c).alias("k"), F.lit(int(c[0] == "e")).alias("end")) for c in ("b0", "b1", "e0", "e1")])
+    halved = classes.where("b0 is not null").select("p", F.explode(F.filter(parts, lambda x: x["k"].isNotNull())).alias("x")).select("p", "x.k", "x.end")
+    suspects = shared_keys(halved, ["k"]).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
+    suspects = keep(classes.select("p", "q", "place").join(suspects, "p"))
 
-    near = may_hold(own.select("p", "q", "flat"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p")).where("__may")
-    found = stored(near.groupBy("p", "q").agg(F.first("flat").alias("flat")).join(suspects, ["p", "q"]).withColumn("w", F.split("flat", " ")).drop("flat"))
+    near = may_hold(own.select("p", "q", "flat"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p"), "may").where("may")
+    words = near.groupBy("p", "q").agg(F.first("flat").alias("flat"))
+    found = keep(words.join(suspects, ["p", "q"]).withColumn("w", F.split("flat", " ")).drop("flat"))
 
     # what a shared beginning leaves is an edit in the second half, a shared end one in the first
     n = F.size("w")
     half = F.floor((n - 1) / 2).cast("int")
     low, high = F.when(F.col("most") == 1, 0).otherwise(half), F.when(F.col("least") == 0, n - 1).otherwise(n - 1 - half)
-    hashed = found.select("p", n.alias("n"), low.alias("low"), high.alias("high"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    keys = stored(hashed.select("p", F.explode(let(F.col("w"), lambda w: variants(w, F.col("n"), F.col("low"), F.col("high")))).alias("x")).select("p", "x.k", "x.kind"))
-    met = shared_keys(keys).join(found.select("p", "place"), "p")
-    earliest = met.groupBy("k").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
+    hashed = found.select("p", low.cast("int").alias("low"), high.cast("int").alias("high"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    each = variants(F.col("w"), F.col("low"), F.col("high"))
+    keys = keep(hashed.select("p", F.explode(each).alias("x")).select("p", "x.k", "x.c", "x.kind"))
+    met = shared_keys(keys, ["k", "c"]).join(found.select("p", "place"), "p")
+    earliest = met.groupBy("k", "c").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
     # a key that lacks a word (kind 1) meets the line itself; the line itself meets either; kind 2 meets its like
-    claims = met.join(earliest, "k").withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole"))).where(F.col("e") < F.col("place")).select("p", "e").distinct()
+    claims = met.join(earliest, ["k", "c"]).withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole")))
+    claims = claims.where(F.col("e") < F.col("place")).select("p", "e").distinct()
     theirs = found.select(F.col("place").alias("e"), F.col("w").alias("v"))
-    gone = claims.join(theirs, "e").join(found.select("p", "q", "w"), "p").where(within_one(F.col("w"), F.col("v"))).select("p", "q").distinct().withColumn("gone", F.lit(True))
+    tested = claims.join(theirs, "e").join(found.select("p", "q", "w"), "p").where(within_one(F.col("w"), F.col("v")))
+    return tested.select("p", "q").distinct()
+
+
+def superseded(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """(id, copy, line) of the lines to drop: occurrences that have an earlier line within one word, by id and line number.
+
+    Equal lines are one class, made first, so that a frequent line is one row. The occurrences of the most frequent classes, HEAVY at
+    most, meet their class by broadcast, so that none of them lands in one task.
+    """
+    own = numbered_lines(docs, id_col, text_col, least)
+    names = ("b0", "b1", "e0", "e1")
+    parts = [h.alias(c) for h, c in zip(halves(F.col("flat"), F.col("n")), names, strict=True)]
+    seen = keep(own.select("id", "copy", "line", "p", "q", "place", *parts))
+    classes = keep(seen.groupBy("p", "q").agg(F.min("place").alias("place"), F.count("*").alias("times"), *[F.first(c).alias(c) for c in names]))
+    gone = superseded_classes(own, classes, keep).withColumn("gone", F.lit(True))
 
     # only classes that occur twice or are superseded lose a line
-    losing = classes.select("p", "q", "place", "times").join(gone, ["p", "q"], "left").where((F.col("times") > 1) | F.col("gone")).select("p", "q", F.col("place").alias("first"), "gone")
-    return seen.select("id", "copy", "line", "p", "q", "place").join(losing, ["p", "q"]).where(F.coalesce("gone", F.lit(False)) | (F.col("first") < F.col("place"))).select("id", "copy", "line")
+    joined = classes.select("p", "q", "place", "times").join(gone, ["p", "q"], "left").where((F.col("times") > 1) | F.col("gone"))
+    losing = keep(joined.select("p", "q", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"), "times"))
+    total = classes.agg(F.sum("times")).first()[0] or 0
+    heavy = F.broadcast(losing.where(F.col("times") * HEAVY > total).drop("times"))
+    light = losing.where(F.col("times") * HEAVY <= total).drop("times")
+    places = seen.select("id", "copy", "line", "p", "q", "place")
+    met = places.join(heavy, ["p", "q"]).unionByName(places.join(heavy, ["p", "q"], "left_anti").join(light, ["p", "q"]))
+    return met.where(F.col("gone") | (F.col("first") < F.col("place"))).select("id", "copy", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the superseded lines taken out of the text, and ``n_lines`` and ``n_dropped`` (named so, or after a clash with ``__``).
+    """``docs`` with the superseded lines taken out of the text, and ``n_lines`` and ``n_dropped`` (after a clash with ``_`` before).
 
     A line is superseded by an earlier one that equals it or is one word from it (blanks aside); earlier by id, then line number.
-    Lines under ``least`` words (none without a word counts) and rows of a null id are left alone (ids are whole numbers); null texts stay null, texts that lose all lines become
-    empty. Repeated rows (one id and text) count as one place and keep the same lines. Other columns stay as they are.
-    Lines from ``least`` to under LEAST_WORDS words are superseded by equal lines only.
+    Lines from ``least`` to under LEAST_WORDS words are superseded by equal lines only. Lines under ``least`` words, those without a
+    word and rows of a null id are left alone; null texts stay null, texts that lose all lines become empty. Repeated rows (one id
+    and text) count as one place and keep the same lines. Other columns stay as they are, whatever their names; an empty table gives
+    no rows. Ids are whole numbers; others raise TypeError.
     """
-    lost = superseded(docs.where(F.col(id_col).isNotNull()), id_col, text_col, least).distinct().groupBy(F.col("id").alias("__id"), F.col("copy").alias("__copy")).agg(F.collect_list("line").alias("__gone"))
-    lost = stored(lost)
-    text = F.col(text_col).cast("string")
-    marked = may_hold(docs, filter_of(lost.select(F.col("__copy").alias("key"))), F.xxhash64(text))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must hold whole numbers")
+    the_id, the_text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    with Scratch(docs.sparkSession) as keep:
+        lost = superseded(docs.where(the_id.isNotNull()), keep, id_col, text_col, least)
+        lost = stored(lost.distinct().groupBy("id", "copy").agg(F.collect_list("line").alias("gone")))
+    may, its_id, copy, gone = (free(name, docs.columns) for name in ("__may", "__id", "__copy", "__gone"))
+    lost = lost.select(F.col("id").alias(its_id), F.col("copy").alias(copy), F.col("gone").alias(gone))
+    text = the_text.cast("string")
+    marked = may_hold(docs, filter_of(lost.select(F.col(copy).alias("key"))), F.xxhash64(text), may)
     # texts that can't have lost a line aren't moved
-    touched = marked.where("__may").drop("__may")
-    touched = touched.join(lost, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text) == F.col("__copy")), "left")
+    touched = marked.where(F.col(may)).drop(may)
+    touched = touched.join(lost, (the_id == F.col(its_id)) & (F.xxhash64(text) == F.col(copy)), "left")
     lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    left = let(lines, lambda x: F.array_join(F.transform(stay, lambda i: F.get(x, i)), "\n"))
+    kept = F.when(F.col(gone).isNull(), the_text).otherwise(left)
 
     def counted(dropped: Column) -> list[Column]:
-        return [F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(_free("n_lines", docs)), dropped.cast("long").alias(_free("n_dropped", docs))]
-
-    rebuilt = touched.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counted(F.coalesce(F.size("__gone"), F.lit(0))))
-    return marked.where(~F.col("__may")).select(*docs.columns, *counted(F.lit(0))).unionByName(rebuilt)
-
+        n = F.when(the_text.isNull(), 0).otherwise(F.size(lines))
+        return [n.cast("long").alias(free("n_lines", docs.columns)), dropped.cast("long").alias(free("n_dropped", docs.columns))]
 
-def _free(name: str, docs: DataFrame) -> str:
-    return name if name not in docs.columns else f"__{name}"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rebuilt = touched.select(*[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], *counted(F.coalesce(F.size(gone), F.lit(0))))
+    return marked.where(~F.col(may)).select(*columns, *counted(F.lit(0))).unionByName(rebuilt)

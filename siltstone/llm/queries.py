@@ -45,8 +45,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("text_sha256"))
+    found = dedup_lines(table(spark, sf_dir, "documents"), least=1)
+    kept = F.length("text").cast("long").alias("n_chars_kept")
+    return found.select("doc_id", "n_lines", "n_dropped", kept, F.sha2("text", 256).alias("text_sha256"))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 OP5 = r"""
 WITH raw AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-lines AS (SELECT r, doc_id, i - 1 AS line, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
-long AS (SELECT r, doc_id, line, w, len(w) AS n FROM lines WHERE len(w) >= 6),
-classes AS (SELECT w, n, min({'d': doc_id, 'l': line}) AS first FROM long GROUP BY 1, 2),
-cut AS (SELECT w, first, i, list_concat(w[1:i - 1], w[i + 1:n]) AS v FROM (SELECT w, n, first, unnest(range(1, n + 1)) AS i FROM classes)),
-keys AS (SELECT w, first, 0 AS kind, md5(array_to_string(w, chr(1))) AS k FROM classes
+lines AS (SELECT r, doc_id, i - 1 AS line, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w
+ FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM raw)),
+told AS (SELECT r, doc_id, line, w, len(w) AS n FROM lines WHERE len(w) >= 1),
+classes AS (SELECT w, n, min({'d': doc_id, 'l': line}) AS first FROM told GROUP BY 1, 2),
+long AS (SELECT w, n, first FROM classes WHERE n >= 6),
+cut AS (SELECT w, first, i, list_concat(w[1:i - 1], w[i + 1:n]) AS v FROM (SELECT w, n, first, unnest(range(1, n + 1)) AS i FROM long)),
+keys AS (SELECT w, first, 0 AS kind, md5(array_to_string(w, chr(1))) AS k FROM long
  UNION ALL SELECT w, first, 1, md5(array_to_string(v, chr(1))) FROM cut
  UNION ALL SELECT w, first, 2, md5(i || chr(2) || array_to_string(v, chr(1))) FROM cut),
-gone AS (SELECT DISTINCT a.w FROM keys a JOIN keys b ON a.k = b.k AND b.first < a.first AND ((a.kind = 0 AND b.kind = 1) OR (a.kind = 1 AND b.kind = 0) OR (a.kind = 2 AND b.kind = 2))),
-lost AS (SELECT r, list(line) AS lost FROM long JOIN classes USING (w, n) LEFT JOIN gone g ON g.w = long.w WHERE g.w IS NOT NULL OR classes.first < {'d': doc_id, 'l': line} GROUP BY 1),
-kept AS (SELECT doc_id, len(l) AS n_lines, coalesce(len(lost), 0) AS n_dropped, array_to_string(list_filter(l, lambda x, i: lost IS NULL OR NOT list_contains(lost, i - 1)), chr(10)) AS text FROM raw LEFT JOIN lost USING (r))
+gone AS (SELECT DISTINCT a.w FROM keys a JOIN keys b
+ ON a.k = b.k AND b.first < a.first AND ((a.kind = 0 AND b.kind = 1) OR (a.kind = 1 AND b.kind = 0) OR (a.kind = 2 AND b.kind = 2))),
+lost AS (SELECT r, list(line) AS lost FROM told JOIN classes USING (w, n) LEFT JOIN gone g ON g.w = told.w
+ WHERE g.w IS NOT NULL OR classes.first < {'d': doc_id, 'l': line} GROUP BY 1),
+kept AS (SELECT doc_id, len(l) AS n_lines, coalesce(len(lost), 0) AS n_dropped,
+ array_to_string(list_filter(l, lambda x, i: lost IS NULL OR NOT list_contains(lost, i - 1)), chr(10)) AS text FROM raw LEFT JOIN lost USING (r))
 SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars_kept, sha256(text) AS text_sha256 FROM kept
 """
 

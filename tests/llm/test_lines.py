@@ -13,7 +13,7 @@ def test_short_lines_are_dropped_where_they_repeat(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = [texts[0], "\nLes\nAll rights kept.", None, "", "new"]
     assert [r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").orderBy("doc_id").collect()] == want
-    # op5's query keeps the limit that its SQL has
+    # the operator's own limit leaves them alone
     assert [r["text"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [*texts[:4], "Les.\nnew"]
 
 
@@ -37,3 +37,43 @@ def test_short_lines_against_brute_force(spark):
         want.append("\n".join(left))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["text"] for r in lines.dedup_lines(docs, least=1).orderBy("doc_id").collect()] == want
+
+
+def test_clashing_names_and_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [long, long + " more", "x\n" + long.replace("w77 ", "v77 "), None, "", "a line of six words here\n" * 3, long]
+    rows = [(i, t, *"abcdefghi") for i, t in enumerate(texts)]
+    names = ["bits", "__may", "__slot", "__page", "__copy", "__gone", "N_LINES", "n_dropped", "id"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = lines.dedup_lines(docs, least=1).orderBy("doc_id")
+    assert out.columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    got = out.collect()
+    assert [r["text"] for r in got] == [long, "", "x", None, "", "a line of six words here\n", ""]
+    assert all(tuple(r[2:11]) == tuple("abcdefghi") for r in got)
+    assert [r["_n_dropped"] for r in got] == [0, 1, 1, 0, 0, 2, 1]
+
+
+def test_ids_that_are_no_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        lines.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_a_frequent_line_meets_its_class_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(lines, "HEAVY", 8)
+    texts = [f"the frequent line of six words\nalone {i}\nseldom {i % 20}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = [r["text"] for r in lines.dedup_lines(docs, least=1).orderBy("doc_id").collect()]
+    assert got == [texts[0], *(f"alone {i}" + f"\nseldom {i}" * (i < 20) for i in range(1, 60))]
+
+
+def test_stored_tables_go_but_the_result_stays(spark):
+    import os
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.createDataFrame([(1, "a b\na b"), (2, "a b\nc")], "doc_id long, text string")
+    out = lines.dedup_lines(docs, least=1)
+    assert len({x for x in os.listdir(folder) if x.startswith("stored-")} - before) == 1
+    assert sorted(r["text"] for r in out.collect()) == ["a b", "c"]

@@ -256,7 +256,7 @@ def test_line_dedup(spark):
     out = got(lines.dedup_lines(df))
     want = brute_lines(texts)
     assert [out[i]["text"] for i in range(len(texts))] == want
-    assert out[20]["n_lines"] == "z" and out[20]["__n_lines"] == texts[20].count("\n") + 1
+    assert out[20]["n_lines"] == "z" and out[20]["_n_lines"] == texts[20].count("\n") + 1
     assert all(out[i]["n_dropped"] == (0 if t is None else t.count("\n") - want[i].count("\n") if want[i] else out[i]["n_dropped"]) for i, t in enumerate(texts))
 
 
