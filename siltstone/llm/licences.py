@@ -33,12 +33,21 @@ NOTICES = {
     "all rights reserved": ("reserved", 0.5),
 }
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(r"spdx[- ]license[- ]identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
-TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:_-]+")
-BASE_SURE = 0.8
+TAG_BYTES = re.compile(rb"spdx[- ]license[- ]identifier[ \t]*:", re.IGNORECASE)
+#: Brackets, and names that end with a letter, a digit or a plus; so comment marks and full stops after them belong to none.
+TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9]+(?:[.:_-]+[A-Za-z0-9]+)*\+?)")
+LINE = re.compile(rb"[^\r\n]*")
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Fixed values of a tag that tell of no licence.
+UNTOLD = ("none", "noassertion")
+#: How sure a base phrase and a tag with an expression make a label, and the doubt that a tag without one leaves.
+BASE_SURE, TAG_SURE, TAG_DOUBT = 0.8, 0.99, 0.5
 
 #: How much a licence family asks of one who reuses a text: 0 nothing, 1 notice, 2 share alike in part, 3 share alike, 4 no reuse.
-BURDEN = {"cc0": 0, "unlicense": 0, "0bsd": 0, "mit": 1, "apache": 1, "bsd": 1, "isc": 1, "zlib": 1, "cc-by": 1, "mpl": 2, "lgpl": 2, "epl": 2, "cc-by-sa": 3, "gpl": 3, "agpl": 3, "cc-by-nd": 4, "cc-by-nc": 4}
+BURDEN = {
+    "cc0": 0, "unlicense": 0, "0bsd": 0, "mit": 1, "apache": 1, "bsd": 1, "isc": 1, "zlib": 1, "cc-by": 1, "mpl": 2, "lgpl": 2, "epl": 2,
+    "cc-by-sa": 3, "gpl": 3, "agpl": 3, "cc-by-nd": 4, "cc-by-nc": 4,
+}
 OPERATORS = {"or": 1, "and": 2, "with": 3}
 UNKNOWN_BURDEN = 4
 
@@ -50,59 +59,91 @@ def burden(identifier: str) -> int:
     return BURDEN[max(known, key=len)] if known else UNKNOWN_BURDEN
 
 
-def evaluate(expression: str) -> tuple[list[str], int] | None:
-    """The identifiers of a licence expression and its burden; None if it is not well formed.
+def is_name(token: str) -> bool:
+    """Could the token be a licence's name? A known family, or one with more in it than small letters; prose mostly isn't."""
+    return burden(token) != UNKNOWN_BURDEN or token.lower() in BURDEN or not (token.isalpha() and token.islower())
+
+
+def tokens_at(text: str, at: int = 0) -> tuple[list[str], int]:
+    """The longest whole expression that stands at a place of the text, as tokens, and where it ends; none: no tokens.
 
-    ``or`` takes the lesser burden, ``and`` the greater, and ``with`` lowers its licence's by one; ``with`` binds closest.
+    It ends where the grammar does: at prose, a comment's end, a bracket that was never opened, an operator without an operand.
     """
-    output: list[tuple[list[str], int]] = []
-    stack: list[str] = []
-    names: list[str] = []
-
-    def reduce() -> bool:
-        op = stack.pop()
-        if op == "(" or len(output) < 2:
-            return False
-        (b, y), (a, x) = output.pop(), output.pop()
-        if op == "with" and (len(a) != 1 or len(b) != 1):
-            return False
-        output.append((a, max(x - 1, 0)) if op == "with" else (a + b, min(x, y) if op == "or" else max(x, y)))
-        return True
-
-    operand = True  # is an operand due?
-    for token in TOKEN.findall(expression):
+    found: list[str] = []
+    whole, end, depth, operand, simple, with_ = 0, at, 0, True, False, False
+    while m := TOKEN.match(text, at):
+        token, at = m[1], m.end()
         low = token.lower()
-        if low in OPERATORS:
-            if operand:
-                return None
-            while stack and stack[-1] != "(" and OPERATORS[stack[-1]] >= OPERATORS[low]:
-                if not reduce():
-                    return None
-            stack.append(low)
-            operand = True
+        if token == "(":
+            if not operand or with_:
+                break
+            depth += 1
+        elif token == ")":
+            if operand or not depth:
+                break
+            depth, simple = depth - 1, False
+        elif low in OPERATORS:
+            if operand or low == "with" and not simple:
+                break
+            operand, with_ = True, low == "with"
+        else:
+            if not operand or not is_name(token):
+                break
+            operand, simple, with_ = False, not with_, False
+        found.append(token)
+        if not depth and not operand:
+            whole, end = len(found), at
+    return found[:whole], end
+
+
+def reckon(tokens: list[str]) -> tuple[list[str], int]:
+    """The names in a whole expression, in order, and its burden, by a shunting yard.
+
+    ``or`` takes the lesser burden, ``and`` the greater, and ``with`` (an exception, which is a label too) lowers its licence's by one;
+    ``with`` binds closest, then ``and``.
+    """
+    burdens: list[int] = []
+    stack: list[str] = []
+
+    def reduce() -> None:
+        op, y, x = stack.pop(), burdens.pop(), burdens.pop()
+        burdens.append(max(x - 1, 0) if op == "with" else min(x, y) if op == "or" else max(x, y))
+
+    for token in (t.lower() for t in tokens):
+        if token in OPERATORS:
+            while stack and stack[-1] != "(" and OPERATORS[stack[-1]] >= OPERATORS[token]:
+                reduce()
+            stack.append(token)
         elif token == "(":
-            if not operand:
-                return None
             stack.append(token)
         elif token == ")":
-            if operand:
-                return None
-            while stack and stack[-1] != "(":
-                if not reduce():
-                    return None
-            if not stack:
-                return None
+            while stack[-1] != "(":
+                reduce()
             stack.pop()
         else:
-            if not operand:
-                return None
-            names.append(low)
-            output.append(([low], burden(low)))
-            operand = False
+            burdens.append(0 if token in UNTOLD else burden(token))
     while stack:
-        if not reduce():
-            return None
-    return None if operand or len(output) != 1 else output[0]
+        reduce()
+    return [t.lower() for t in tokens if t not in "()" and t.lower() not in OPERATORS and t.lower() not in UNTOLD], burdens[0]
+
+
+def evaluate(expression: str) -> tuple[list[str], int] | None:
+    """The names of a licence expression and its burden; None if it is not well formed from end to end."""
+    tokens, end = tokens_at(expression)
+    return reckon(tokens) if tokens and not expression[end:].strip() else None
+
+
+def tags(raw: bytes, places: list[int]) -> list[str | None]:
+    """The expressions of the tags whose first words the automaton found, None for one without a whole expression."""
+    words = [m.span() for m in WORD.finditer(raw)]
+    out = []
+    for place in places:
+        tag = TAG_BYTES.match(raw, words[place][0])
+        if tag:
+            line = LINE.match(raw, tag.end())[0].decode("utf-8", "replace")
+            tokens, end = tokens_at(line)
+            out.append(line[:end].strip() if tokens else None)
+    return out
 
 
 _OTHER = bytes(i if chr(i).isalnum() or i > 127 else 32 for i in range(256))
@@ -123,38 +164,36 @@ def scanner(notices: dict = NOTICES):
     machine.make_automaton()
 
     def scan(text: str | None) -> tuple:
-        words = (text or "").encode().lower().translate(_OTHER).split()
+        raw = (text or "").encode()
+        words = raw.lower().translate(_OTHER).split()
         flat = f" {b' '.join(words).decode('latin-1')} "
-        n_base, first, last, base, labels, doubt, tagged = 0, None, None, set(), set(), {}, False
-        at = seen = 0
+        n_base, first, last, base, labels, doubt, tagged = 0, None, None, set(), set(), {}, []
+        at = seen = 0  # a place in the flat text and the number of its word
         for end, (length, found) in machine.iter(flat):
+            start = end - length + 1
+            seen += flat.count(" ", at, start) if start >= at else -flat.count(" ", start, at)
+            at = start
             for label, sure, is_base in found:
                 if label is None:
-                    tagged = True
+                    tagged.append(seen)
                     continue
                 labels.add(label)
                 doubt[label] = min(doubt.get(label, 1.0), 1 - sure)
                 if is_base:
-                    start = end - length + 1
-                    if start >= at:
-                        seen += flat.count(" ", at, start)
-                    else:
-                        seen -= flat.count(" ", start, at)
-                    at = start
                     n_base += 1
                     first, last = (seen if first is None else min(first, seen)), (seen if last is None else max(last, seen))
                     base.add(label)
         expression = restriction = None
-        if tagged:
-            for raw in TAG_TEXT.findall(text):
-                value = evaluate(raw)
-                if value is None:
-                    doubt["?"] = 0.5
-                else:
-                    labels.update(x for x in value[0])
-                    doubt["tag"] = 0.01
-                    restriction = value[1] if restriction is None else max(restriction, value[1])
-                expression = raw.strip() if expression is None else expression
+        for told in tags(raw, tagged):
+            if told is None:
+                doubt["?"] = TAG_DOUBT
+                continue
+            names, weight = evaluate(told)
+            labels.update(names)
+            if names:
+                doubt["tag"] = 1 - TAG_SURE
+                restriction = weight if restriction is None else max(restriction, weight)
+                expression = told if expression is None else expression
         score = 1.0
         for key in sorted(doubt):
             score *= doubt[key]
@@ -171,7 +210,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: base phrase places, all labels, score, the first tag expression and its burden.
 
     Null and empty texts give no words and no labels; repeated rows give equal rows; an empty table gives none. Columns
-    other than the two named aren't read. Tags that don't parse add no label and score 0.5.
+    other than the two named aren't read. The automaton finds the tags too; a tag's expression goes as far as the grammar does, its
+    exceptions are labels as its licences are, and a tag without an expression adds no label and scores 0.5.
     """
     own = NOTICES if notices is None else notices
 

@@ -85,36 +85,6 @@ def test_rule_order_moves_no_verdict(spark):
     assert rules.quality_rules(documents(spark, ["x"]).where("false")).count() == 0
 
 
-# licences
-
-
-@pytest.mark.parametrize(("text", "value"), [
-    ("MIT", (["mit"], 1)), ("MIT OR GPL-3.0-only", (["mit", "gpl-3.0-only"], 1)), ("MIT and GPL-2.0+", (["mit", "gpl-2.0+"], 3)), ("GPL-2.0 WITH Classpath-exception-2.0", (["gpl-2.0"], 2)),
-    ("(MIT OR GPL-3.0) AND CC-BY-NC-4.0", (["mit", "gpl-3.0", "cc-by-nc-4.0"], 4)), ("MIT OR GPL-3.0 AND CC-BY-NC-4.0", (["mit", "gpl-3.0", "cc-by-nc-4.0"], 1)),
-    ("", None), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT GPL", None), ("OR MIT", None), ("()", None), ("(A OR B) WITH C", None), ("Odd-1", (["odd-1"], 4)),
-])
-def test_expressions(text, value):
-    assert licences.evaluate(text) == value
-
-
-def brute_places(text):
-    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-    found = [(i, label) for p, label in licences.BASE.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-    return len(w), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None), ",".join(sorted({x for _, x in found}))
-
-
-def test_licence_places(spark):
-    texts = EDGES + ["Apache License, apache-license; MIT  License CC BY-NC", "gnu General\nPublic License v3 (Apache License)", "xcc by y", "cc bye", "cc by cc by", "MİT license", "émit license", "SPDX-License-Identifier: MIT OR (Apache-2.0 AND BSD-3-Clause)\nend", "spdx license identifier"]
-    out = got(licences.scan_licences(documents(spark, texts, labels="z")))
-    for i, t in enumerate(texts):
-        r = out[i]
-        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == brute_places(t), t
-        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    r = out[len(texts) - 2]
-    assert r["labels"] == "apache-2.0,bsd-3-clause,mit" and r["burden"] == 1 and r["expression"].startswith("MIT OR")
-
-
 # packing
 
 
