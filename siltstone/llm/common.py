@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..lineage import cut, forget, forget_at_exit, shared_folder
 
+#: A key with more than this share of all rows is joined by broadcast; there can be no more such keys than this.
+HEAVY = 4096
 #: Rows of one batch that are Python objects at the same time.
 SLICE = 512
 
@@ -58,6 +60,16 @@ def free(name: str, taken: list[str]) -> str:
     return name
 
 
+def join_spread(rows: DataFrame, side: DataFrame, by: list[str], times: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side``, which has a row for each key and in ``times`` how many of the ``total`` rows have it.
+
+    Keys of more than 1/HEAVY of the rows, HEAVY at most, meet by broadcast, so that no key's rows all land in one task.
+    """
+    heavy = F.broadcast(side.where(F.col(times) * HEAVY > total).drop(times))
+    light = side.where(F.col(times) * HEAVY <= total).drop(times)
+    return rows.join(heavy, by).unionByName(rows.join(heavy, by, "left_anti").join(light, by))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once for a row, however often ``use`` names it."""
     return F.transform(F.array(value), use).getItem(0)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import Scratch, free, let, stored
+from .common import Scratch, free, join_spread, let, stored
 
 #: Lines of fewer words aren't held against lines one word apart; their repeats go all the same.
 LEAST_WORDS = 6
@@ -16,8 +16,6 @@ LEAST_WORDS = 6
 SLOTS, PAGE = 2**26, 32_768
 #: Words whose hashes are taken together step by step.
 SPAN = 64
-#: A class of equal lines with more than this share of all lines is joined by broadcast; there can be no more such classes than this.
-HEAVY = 4096
 
 
 def filter_of(keys: DataFrame) -> DataFrame:
@@ -193,8 +191,8 @@ def superseded_classes(own: DataFrame, classes: DataFrame, keep: Callable[[DataF
 def superseded(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """(id, copy, line) of the lines to drop: occurrences that have an earlier line within one word, by id and line number.
 
-    Equal lines are one class, made first, so that a frequent line is one row. The occurrences of the most frequent classes, HEAVY at
-    most, meet their class by broadcast, so that none of them lands in one task.
+    Equal lines are one class, made first, so that a frequent line is one row. The occurrences of the most frequent classes meet
+    their class by broadcast, so that none of them lands in one task.
     """
     own = numbered_lines(docs, id_col, text_col, least)
     names = ("b0", "b1", "e0", "e1")
@@ -207,10 +205,7 @@ def superseded(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], id_col:
     joined = classes.select("p", "q", "place", "times").join(gone, ["p", "q"], "left").where((F.col("times") > 1) | F.col("gone"))
     losing = keep(joined.select("p", "q", F.col("place").alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"), "times"))
     total = classes.agg(F.sum("times")).first()[0] or 0
-    heavy = F.broadcast(losing.where(F.col("times") * HEAVY > total).drop("times"))
-    light = losing.where(F.col("times") * HEAVY <= total).drop("times")
-    places = seen.select("id", "copy", "line", "p", "q", "place")
-    met = places.join(heavy, ["p", "q"]).unionByName(places.join(heavy, ["p", "q"], "left_anti").join(light, ["p", "q"]))
+    met = join_spread(seen.select("id", "copy", "line", "p", "q", "place"), losing, ["p", "q"], "times", total)
     return met.where(F.col("gone") | (F.col("first") < F.col("place"))).select("id", "copy", "line")
 
 

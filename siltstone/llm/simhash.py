@@ -10,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, join_spread, map_texts
 
 #: Fingerprints of a shard, about; bounds of the sample that the tree is fitted on and of the tree's shards.
 SHARD, SAMPLE, SHARDS = 32_768, 65_536, 16_384
+#: A shard with more than so many times SHARD rows is searched in parts.
+CROWDED = 4
 #: Vantage points tried at a node, and residents that are compared without a further split.
 TRIED, BLOCK = 6, 512
 SEED = 42
@@ -161,13 +163,36 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+class Forest:
+    """Components of positions as links come in: of each the least position that it is linked with so far."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.label[a], self.label[b]
+        apart = x != y
+        if apart.any():
+            nodes, ends = np.unique(np.r_[x[apart], y[apart]], return_inverse=True)
+            top = nodes[components(len(nodes), *np.split(ends, 2))]
+            moved = np.arange(len(self.label))
+            moved[nodes] = top
+            self.label = moved[self.label]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        moved = np.flatnonzero(self.label != np.arange(len(self.label)))
+        return moved, self.label[moved]
+
+
 def links(fps: np.ndarray, resident: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges between positions that join what lies within ``radius``: residents with residents and with visitors.
 
-    Vantage points split the residents further; small blocks are compared outright, each giving a forest instead of all its pairs.
+    Vantage points split the residents further; small blocks are compared outright. One forest takes all their links, and points that
+    are in one component already aren't compared again, so a dense ball of fingerprints costs neither its pairs' memory nor, once
+    it hangs together, their time.
     """
     rng = np.random.default_rng(SEED)
-    edges: list = []
+    forest = Forest(len(fps))
     stack = [(np.flatnonzero(resident), np.flatnonzero(~resident))]
     while stack:
         own, guests = stack.pop()
@@ -178,50 +203,64 @@ def links(fps: np.ndarray, resident: np.ndarray, radius: int) -> tuple[np.ndarra
             v, split = found
             d, g = distance(fps[own], v), distance(fps[guests], v)
             inside = d < split
-            stack.append((own[inside], np.r_[guests[g < split + radius], own[~inside & (d < split + radius)]]))
-            stack.append((own[~inside], guests[g.astype(int) >= split - radius]))
-            continue
+            near, beyond = guests[g < split + radius], guests[g.astype(int) >= split - radius]
+            border = own[~inside & (d < split + radius)]
+            # a split that sends nearly all to both sides only costs
+            if len(near) + len(beyond) + len(border) < 0.75 * (2 * len(guests) + len(own)):
+                stack.append((own[inside], np.r_[near, border]))
+                stack.append((own[~inside], beyond))
+                continue
         every = np.r_[own, guests]
         for i in range(0, len(own), BLOCK):
-            rows = own[i : i + BLOCK]
             for j in range(i, len(every), 4096):
-                columns = every[j : j + 4096]
+                rows, columns = own[i : i + BLOCK], every[j : j + 4096]
+                x, y = forest.label[rows], forest.label[columns]
+                if (y == x[0]).all() and (x == x[0]).all():
+                    continue
                 r, c = np.nonzero(distance(fps[rows][:, None], fps[columns][None, :]) <= radius)
-                keep = rows[r] != columns[c]
-                if keep.any():
-                    a, b = rows[r[keep]], columns[c[keep]]
-                    nodes, ends = np.unique(np.r_[a, b], return_inverse=True)
-                    top = components(len(nodes), ends[: len(a)], ends[len(a) :])
-                    moved = np.flatnonzero(top != np.arange(len(nodes)))
-                    edges.append((nodes[moved], nodes[top[moved]]))
-    if not edges:
-        return np.zeros(0, int), np.zeros(0, int)
-    return tuple(np.concatenate(x) for x in zip(*edges, strict=True))
+                forest.join(rows[r], columns[c])
+    return forest.edges()
+
+
+def spread(dealt: DataFrame, most: int) -> DataFrame:
+    """(shard, part, fp, resident): shards of more than ``most`` rows in parts, so that none is one task's, whatever lies in it.
+
+    A part has its own residents and, as visitors, the shard's visitors and the residents of the parts before it; every pair of the shard
+    that has a resident meets in a part.
+    """
+    sizes = dealt.groupBy("shard").count().where(F.col("count") > most).collect()  # of SHARDS shards at most
+    if not sizes:
+        return dealt.select("shard", F.lit(0).alias("part"), "fp", "resident")
+    parts = F.create_map(*[F.lit(x) for shard, n in sizes for x in (shard, -(-n // most))])
+    own = dealt.withColumn("parts", F.coalesce(F.try_element_at(parts, F.col("shard")), F.lit(1)))
+    own = own.withColumn("home", F.when(F.col("resident"), F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")))
+    each = own.withColumn("part", F.explode(F.sequence(F.coalesce("home", F.lit(0)), F.col("parts") - 1)))
+    return each.select("shard", "part", "fp", F.coalesce(F.col("home") == F.col("part"), F.lit(False)).alias("resident"))
 
 
 def near_edges(fps: DataFrame, radius: int, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """Edges (a, b) over distinct fingerprints (column ``fp``): each shard's forest. Together they link what lies within ``radius``."""
     n = fps.count()
     share = int(min(1.0, sample / max(n, 1)) * 2**20) + 1
-    drawn = fps.where(F.pmod(F.xxhash64("fp", F.lit("tree")), F.lit(2**20)) < share).select("fp").limit(2 * sample).toPandas()["fp"].to_numpy(np.int64)
-    tree = plant(np.unique(drawn.view(np.uint64)), max(1, min(SHARDS, -(-n // shard))), radius)
+    drawn = fps.where(F.pmod(F.xxhash64("fp", F.lit("tree")), F.lit(2**20)) < share).select("fp").limit(2 * sample)
+    points = np.unique(drawn.toPandas()["fp"].to_numpy(np.int64).view(np.uint64))
+    tree = plant(points, max(1, min(SHARDS, -(-n // shard))), radius)
     shared = fps.sparkSession.sparkContext.broadcast(tree)
 
     def deal(batches):
         for b in batches:
             own = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             at, to, resident = shared.value.deal(own, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(own[at].view(np.int64)), pa.array(resident)], names=["shard", "fp", "resident"])
+            columns = [pa.array(to, pa.int32()), pa.array(own[at].view(np.int64)), pa.array(resident)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "fp", "resident"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["fp"].to_numpy(np.int64)
         a, b = links(own.view(np.uint64), pdf["resident"].to_numpy(bool), radius)
-        top = components(len(own), a, b)
-        moved = np.flatnonzero(top != np.arange(len(own)))
-        return pd.DataFrame({"a": own[moved], "b": own[top[moved]]})
+        return pd.DataFrame({"a": own[a], "b": own[b]})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, fp long, resident boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "a long, b long").where("a <> b")
+    dealt = cut(fps.select("fp").mapInArrow(deal, "shard int, fp long, resident boolean"))
+    return spread(dealt, CROWDED * shard).groupBy("shard", "part").applyInPandas(search, "a long, b long").where("a <> b")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -251,8 +290,9 @@ def near_duplicates(docs: DataFrame, width: int, radius: int = 3, id_col: str =
     of copies is one row before any comparison. Rows of a null id get the least id of their component. An empty table gives no rows.
     """
     own = cut(fingerprints(docs, width, id_col, text_col))
-    nodes = cut(own.groupBy("fp").agg(F.min(id_col).alias("__first")))
+    nodes = cut(own.groupBy("fp").agg(F.min(id_col).alias("__first"), F.count("*").alias("times")))
     roots = connected(near_edges(nodes, radius, shard))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "__first", F.coalesce("root", "fp").alias("__root"))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "times", "__first", F.coalesce("root", "fp").alias("__root"))
     least = placed.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    return own.join(placed.join(least, "__root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    total = nodes.agg(F.sum("times")).first()[0] or 0
+    return join_spread(own, placed.join(least, "__root").select("fp", "times", "component_id"), ["fp"], "times", total).select(id_col, "fp", "component_id")

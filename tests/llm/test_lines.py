@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from siltstone.llm import lines
+from siltstone.llm import common, lines
 
 from test_operators import brute_lines
 
@@ -61,7 +61,7 @@ def test_ids_that_are_no_whole_numbers(spark):
 
 
 def test_a_frequent_line_meets_its_class_by_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(lines, "HEAVY", 8)
+    monkeypatch.setattr(common, "HEAVY", 8)
     texts = [f"the frequent line of six words\nalone {i}\nseldom {i % 20}" for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     got = [r["text"] for r in lines.dedup_lines(docs, least=1).orderBy("doc_id").collect()]
