@@ -14,8 +14,6 @@ from .common import Scratch, free, join_spread, let, stored
 LEAST_WORDS = 6
 #: Slots of a filter that is sent to every task: 2048 bitmaps of 4096 bytes, whatever the input.
 SLOTS, PAGE = 2**26, 32_768
-#: Words whose hashes are taken together step by step.
-SPAN = 64
 
 
 def filter_of(keys: DataFrame) -> DataFrame:
@@ -82,52 +80,50 @@ def _all_of(values: Column) -> Column:
 
 
 def _before(values: Column) -> Column:
-    """Of each place the values before it, taken together; in blocks, so that a very long array doesn't cost its square."""
+    """Of each place the values before it, taken together; in blocks of the root of their number, so that a long array doesn't cost its square."""
 
-    def dealt(blocks: Column) -> Column:
-        inside = F.flatten(F.transform(blocks, lambda block: F.transform(block, lambda _, i: _all_of(F.slice(block, F.lit(1), i)))))
-        wholes = F.transform(blocks, _all_of)
-        bases = let(wholes, lambda each: F.transform(each, lambda _, i: _all_of(F.slice(each, F.lit(1), i))))
-        return let(bases, lambda base: F.transform(inside, lambda x, i: x.bitwiseXOR(F.get(base, F.floor(i / SPAN).cast("int")))))
+    def dealt(span: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / span).cast("int")), lambda b: F.slice(values, b * span + 1, span))
+        return let(blocks, lambda each: let(bases(each), lambda base: F.flatten(F.transform(each, lambda block, b: begun(block, F.get(base, b))))))
 
-    starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / SPAN).cast("int"))
-    return let(F.transform(starts, lambda b: F.slice(values, b * SPAN + 1, F.lit(SPAN))), dealt)
+    def bases(blocks: Column) -> Column:
+        return let(F.transform(blocks, _all_of), lambda wholes: F.transform(wholes, lambda _, b: _all_of(F.slice(wholes, F.lit(1), b))))
+
+    def begun(block: Column, base: Column) -> Column:
+        return F.transform(block, lambda _, i: base.bitwiseXOR(_all_of(F.slice(block, F.lit(1), i))))
+
+    return let(F.greatest(F.lit(8), F.sqrt(F.size(values)).cast("int")), dealt)
+
+
+def hashed(*values: Column) -> Column:
+    return F.xxhash64(*values)
 
 
 def variants(w: Column, low: Column, high: Column) -> Column:
-    """Hashed keys (k, c, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
+    """Hashed keys (k, kind) of a line: itself (0), and for each word from ``low`` to ``high`` the line without it, plain (1) and with the place (2).
 
     ``w`` holds hashes of the words. A line and one with a word more share the shorter line's plain key; lines that differ in one
     word share the key with its place. A key is made of the hashes of all words with their places, taken together by exclusive or:
     a word that goes takes its own out and moves those of the words after it one place on, so that each variant costs one
-    step and not the line's length. A key has 96 bits, so that no line's own key hides behind another's by chance.
+    step and not the line's length.
     """
 
-    def key(k: Column, c: Column, kind: int) -> Column:
-        return F.struct(k.alias("k"), c.cast("int").alias("c"), F.lit(kind).alias("kind"))
-
-    def without(hashed: Callable[[Column, Column], Column]) -> Column:
-        here, moved = F.transform(w, hashed), F.transform(w, lambda x, j: hashed(x, j - 1))
-
-        def dropped(m: Column) -> Column:
-            before = _before(F.zip_with(here, m, lambda x, y: x.bitwiseXOR(y)))
-            each = F.struct(before.alias("before"), _all_of(m).alias("every"))
-            return let(each, lambda e: F.transform(F.sequence(low, high), lambda i: e["every"].bitwiseXOR(F.get(m, i)).bitwiseXOR(F.get(e["before"], i))))
-
-        return let(moved, dropped)
+    def key(k: Column, kind: int) -> Column:
+        return F.struct(k.alias("k"), F.lit(kind).alias("kind"))
 
-    def long(x: Column, j: Column) -> Column:
-        return F.xxhash64(x, j)
+    def keyed(here: Column, moved: Column) -> Column:
+        def each(x: Column) -> Column:
+            def dropped(i: Column) -> Column:
+                plain = x["every"].bitwiseXOR(F.get(moved, i)).bitwiseXOR(F.get(x["before"], i))
+                return let(plain, lambda k: F.array(key(k, 1), key(hashed(k, i), 2)))
 
-    def short(x: Column, j: Column) -> Column:
-        return F.hash(x, j).cast("long")
+            return F.flatten(F.transform(F.sequence(low, high), dropped))
 
-    def both(x: Column) -> Column:
-        return F.array(key(x["k"], x["c"], 1), key(F.xxhash64(x["k"], x["i"]), F.hash(x["c"], x["i"]), 2))
+        before = _before(F.zip_with(here, moved, lambda x, y: x.bitwiseXOR(y)))
+        return F.concat(F.array(key(_all_of(here), 0)), let(F.struct(before.alias("before"), _all_of(moved).alias("every")), each))
 
-    whole = key(_all_of(F.transform(w, long)), _all_of(F.transform(w, short)), 0)
-    each = F.arrays_zip(F.sequence(low, high).alias("i"), without(long).alias("k"), without(short).alias("c"))
-    return F.concat(F.array(whole), F.flatten(F.transform(each, both)))
+    here, moved = F.transform(w, lambda x, j: hashed(x, j)), F.transform(w, lambda x, j: hashed(x, j - 1))
+    return let(here, lambda a: let(moved, lambda b: keyed(a, b)))
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -148,10 +144,10 @@ def within_one(a: Column, b: Column) -> Column:
     return let(long, lambda x: let(short, lambda y: let(alike(x, y), lambda k: tails(x, y, k))))
 
 
-def shared_keys(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Rows (p, by..., ...) whose key stands with two lines or more; keys are counted before rows are picked, so no group is gathered."""
-    twice = keys.groupBy(*by).agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select(*by)
-    return keys.join(twice, by, "left_semi")
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """Rows (p, k, ...) whose key stands with two lines or more; keys are counted before rows are picked, so no group is gathered."""
+    twice = keys.groupBy("k").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("k")
+    return keys.join(twice, "k", "left_semi")
 
 
 def superseded_classes(own: DataFrame, classes: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -164,7 +160,7 @@ def superseded_classes(own: DataFrame, classes: DataFrame, keep: Callable[[DataF
     # classes that share a beginning or an end, and which
     parts = F.array(*[F.struct(F.col(c).alias("k"), F.lit(int(c[0] == "e")).alias("end")) for c in ("b0", "b1", "e0", "e1")])
     halved = classes.where("b0 is not null").select("p", F.explode(F.filter(parts, lambda x: x["k"].isNotNull())).alias("x")).select("p", "x.k", "x.end")
-    suspects = shared_keys(halved, ["k"]).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
+    suspects = shared_keys(halved).groupBy("p").agg(F.min("end").alias("least"), F.max("end").alias("most"))
     suspects = keep(classes.select("p", "q", "place").join(suspects, "p"))
 
     near = may_hold(own.select("p", "q", "flat"), filter_of(suspects.select(F.col("p").alias("key"))), F.col("p"), "may").where("may")
@@ -175,17 +171,29 @@ def superseded_classes(own: DataFrame, classes: DataFrame, keep: Callable[[DataF
     n = F.size("w")
     half = F.floor((n - 1) / 2).cast("int")
     low, high = F.when(F.col("most") == 1, 0).otherwise(half), F.when(F.col("least") == 0, n - 1).otherwise(n - 1 - half)
-    hashed = found.select("p", low.cast("int").alias("low"), high.cast("int").alias("high"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    each = variants(F.col("w"), F.col("low"), F.col("high"))
-    keys = keep(hashed.select("p", F.explode(each).alias("x")).select("p", "x.k", "x.c", "x.kind"))
-    met = shared_keys(keys, ["k", "c"]).join(found.select("p", "place"), "p")
-    earliest = met.groupBy("k", "c").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
+    short = found.select("p", low.cast("int").alias("low"), high.cast("int").alias("high"), F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    keys = keep(short.select("p", F.explode(variants(F.col("w"), F.col("low"), F.col("high"))).alias("x")).select("p", "x.k", "x.kind"))
+    met = shared_keys(keys).join(found.select("p", "place"), "p")
+    earliest = met.groupBy("k").agg(F.min(F.when(F.col("kind") != 1, F.col("place"))).alias("whole"), F.min("place").alias("any"))
     # a key that lacks a word (kind 1) meets the line itself; the line itself meets either; kind 2 meets its like
-    claims = met.join(earliest, ["k", "c"]).withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole")))
-    claims = claims.where(F.col("e") < F.col("place")).select("p", "e").distinct()
+    claims = met.join(earliest, "k").withColumn("e", F.when(F.col("kind") == 0, F.col("any")).otherwise(F.col("whole")))
+    claims = claims.where(F.col("e") < F.col("place")).select("p", "e", "k").distinct()
+    tested = keep(verified(claims, found))
+    good = tested.where("good").select("p", "q").distinct()
+    # a claim fails only where hashes of different lines meet; then all earlier lines of the key are tried
+    failed = tested.where(~F.col("good")).select("p", "k").distinct()
+    if failed.isEmpty():
+        return good
+    mine = failed.join(met.select("p", "k", "place"), ["p", "k"])
+    pairs = mine.join(met.select("k", F.col("place").alias("e")), "k").where(F.col("e") < F.col("place")).select("p", "e", "k").distinct()
+    return good.unionByName(verified(pairs, found).where("good").select("p", "q")).distinct()
+
+
+def verified(claims: DataFrame, found: DataFrame) -> DataFrame:
+    """Claims (p, e, k) that class p has an earlier line at place e within one word: (p, q, k, good), by the words of both."""
     theirs = found.select(F.col("place").alias("e"), F.col("w").alias("v"))
-    tested = claims.join(theirs, "e").join(found.select("p", "q", "w"), "p").where(within_one(F.col("w"), F.col("v")))
-    return tested.select("p", "q").distinct()
+    both = claims.join(theirs, "e").join(found.select("p", "q", "w", "place"), "p")
+    return both.select("p", "q", "k", ((F.col("e") < F.col("place")) & within_one(F.col("w"), F.col("v"))).alias("good"))
 
 
 def superseded(docs: DataFrame, keep: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:

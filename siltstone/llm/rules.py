@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import free, let
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample that orders the rules, about. It moves no verdict: a document is kept if no rule rejects it.
+#: Rows of the sample that orders the rules. It moves no verdict: a document is kept if no rule rejects it.
 SAMPLE = 2000
+#: Nanoseconds that a rule takes for a row by itself, for a character of a search for a sign, of a pattern's scan, of a scan that
+#: looks back at what it found, and of a split into lines, as measured on whole texts.
+ROW, FIND, SCAN, LOOK_BACK, SPLIT = 50, 1, 19, 26, 6
 
 
 def whole(text: Column) -> Column:
@@ -101,45 +103,69 @@ def facts(text: Column) -> Facts:
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects a document where ``rejects`` of its facts (never null) is true."""
+    """Rejects a document where ``rejects`` of its facts (never null) is true, which takes about ``cost`` of its facts nanoseconds."""
 
     name: str
     rejects: Callable[[Facts], Column]
+    cost: Callable[[Facts], Column] = lambda _: F.lit(ROW)
 
 
-def _often(pattern: str, most: float, sign: str | None = None) -> Callable[[Facts], Column]:
+def _often(name: str, pattern: str, most: float, sign: str | None = None, scan: int = SCAN) -> Rule:
     """Do places of a pattern come to more than a share of the words? Texts without the ``sign`` that it needs have none."""
 
     def rejects(f: Facts) -> Column:
         places = F.regexp_count(f.text, F.lit(pattern))
         return F.when(f.text.contains(sign), places).otherwise(0) > most * f.n_words if sign else places > most * f.n_words
 
-    return rejects
+    def cost(f: Facts) -> Column:
+        scanned = F.when(f.text.contains(sign), FIND + scan).otherwise(FIND) if sign else F.lit(scan)
+        return ROW + F.length(f.text) * scanned
+
+    return Rule(name, rejects, cost)
+
+
+def _lines(f: Facts) -> Column:
+    return F.size(F.filter(F.split(f.text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
 
 
 RULES = (
     Rule("symbols", lambda f: f.n_symbols > 0.25 * f.n_words),
-    Rule("shouting", _often("(?<!\\S)[\\p{Lu}\\p{P}]{2,}+(?!\\S)", 0.4)),
-    Rule("exclaimed", _often("!!(?!\\S)", 0.2, "!!")),
-    Rule("tabular", _often("(?<!\\S)\\|(?!\\S)", 0.2, "|")),
-    Rule("stuttering", _often("(?<!\\S)(\\S++)(?=\\s+\\1(?!\\S))", 0.2)),
+    _often("shouting", "(?<!\\S)[\\p{Lu}\\p{P}]{2,}+(?!\\S)", 0.4),
+    _often("exclaimed", "!!(?!\\S)", 0.2, "!!"),
+    _often("tabular", "(?<!\\S)\\|(?!\\S)", 0.2, "|"),
+    _often("stuttering", "(?<!\\S)(\\S++)(?=\\s+\\1(?!\\S))", 0.2, scan=LOOK_BACK),
     Rule("long_words", lambda f: f.word_chars > 40 * f.n_words),
-    Rule("repeated_lines", lambda f: f.n_dup_lines * 2 > F.size(F.filter(F.split(f.text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""))),
+    Rule("repeated_lines", lambda f: f.n_dup_lines * 2 > _lines(f), lambda f: ROW + F.length(f.text) * SPLIT),
 )
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejections for a second of work, most first, as measured on about ``sample`` rows spread over the table."""
-    share = min(1.0, sample / max(docs.count(), 1))
-    drawn = cut(docs.select(whole(F.col(text_col)).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(2**20)) < int(share * 2**20) + 1))
-    found = []
-    for rule in rules:
-        ask = drawn.agg(F.count_if(rule.rejects(facts(F.col("t")))))
-        ask.first()
-        began = time.perf_counter()
-        rejected = ask.first()[0]
-        found.append((-(rejected or 0) / max(time.perf_counter() - began, 1e-4), rule.name, rule))
-    return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
+def drawn(docs: DataFrame, by: list[str], sample: int = SAMPLE) -> DataFrame:
+    """``sample`` rows at most, those of the least hash of the columns ``by``: rows are drawn one by one, copies of a text too if ids differ."""
+    return docs.orderBy(F.xxhash64(*by)).limit(sample)
+
+
+def measured(sampled: DataFrame, known: Facts, rules: tuple[Rule, ...]) -> list[tuple[tuple[bool, ...], int, list[float]]]:
+    """What the sample says of the rules, in one job: for each set of verdicts that occurs, how many rows have it and what each rule costs there."""
+    flags = [rule.rejects(known).alias(f"r{i}") for i, rule in enumerate(rules)]
+    costs = [rule.cost(known).cast("double").alias(f"c{i}") for i, rule in enumerate(rules)]
+    names = [f"r{i}" for i in range(len(rules))]
+    groups = sampled.select(*flags, *costs).groupBy(*names).agg(F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))])
+    return [(tuple(g[x] for x in names), g["n"], [g[f"c{i}"] for i in range(len(rules))]) for g in groups.collect()]
+
+
+def ordered(found: list[tuple[tuple[bool, ...], int, list[float]]], rules: tuple[Rule, ...] = RULES) -> list[Rule]:
+    """The rules by rejections for their cost, each among the rows that the rules before it leave; then the cheapest first, then by name."""
+    out: list[int] = []
+    while len(out) < len(rules):
+
+        def gain(i: int) -> tuple:
+            cost = sum(c[i] for _, _, c in found)
+            return -sum(n for flags, n, _ in found if flags[i]) / max(cost, 1.0), cost, rules[i].name
+
+        best = min((i for i in range(len(rules)) if i not in out), key=gain)
+        out.append(best)
+        found = [x for x in found if not x[0][best]]
+    return [rules[i] for i in out]
 
 
 def cascade(known: Facts, rules: list[Rule]) -> Column:
@@ -153,17 +179,27 @@ def cascade(known: Facts, rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE, into: str = "failed_rule") -> DataFrame:
     """``docs`` with the rule that rejected each row in column ``into`` (null: kept); which of several is named depends on the order.
 
-    Null and empty texts are rejected by no rule here; equal texts get equal verdicts; an empty table gives no rows.
+    Null and empty texts are rejected by no rule here; equal texts get equal verdicts; an empty table gives no rows. Other columns stay.
     """
-    return docs.withColumn(into, cascade(facts(whole(F.col(text_col))), ordered(docs, rules, text_col, sample)))
+    sampled = drawn(docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.monotonically_increasing_id().alias("i")), ["i", "t"], sample)
+    order = ordered(measured(sampled, facts(whole(F.col("t"))), rules), rules)
+    return docs.withColumn(into, cascade(facts(whole(F.col(f"`{text_col}`"))), order))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 50, most_repeated: int = 50) -> DataFrame:
-    """One row per row of ``docs``: the base counts, base_failed, and kept (the cascade's verdict where the base holds)."""
-    own = docs.select(F.col(id_col), F.col(text_col).alias("__t"))
-    order = ordered(own, RULES, "__t")
-    counted = own.withColumn("__c", base_columns(F.col("__t"))).select(id_col, "__t", "__c.*")
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    known = Facts(whole(F.col("__t")), *(F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines")))
+    """One row per row of ``docs``: the base counts, base_failed, and kept (the cascade's verdict where the base holds).
+
+    The cascade's order comes from sampled rows where the base holds, and from what the rules cost there beside the base counts.
+    Null and empty texts count no words, so the base rejects them. Repeated rows give equal rows; an empty table gives none; other
+    columns aren't read.
+    """
+    text = free("__t", [id_col])
+    own = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias(text))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    failed = (F.col("c.n_words") < least_words) | (100 * F.col("c.n_repeat_words") > most_repeated * F.col("c.n_words"))
+    known = Facts(whole(F.col(text)), *(F.col(f"c.{x}") for x in names[:4]))
+    counted = own.select(F.col(f"`{id_col}`").alias("i"), F.col(text), base_columns(F.col(text)).alias("c"))
+    sampled = drawn(own.select(F.col(f"`{id_col}`").alias("i"), text), ["i", text]).select(text, base_columns(F.col(text)).alias("c"))
+    order = ordered(measured(sampled.where(~failed), known, RULES))
     kept = F.when(failed, False).otherwise(cascade(known, order).isNull())
-    return counted.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"))
+    return counted.select(F.col("i").alias(id_col), *[F.col(f"c.{x}").alias(x) for x in names], failed.alias("base_failed"), kept.alias("kept"))

@@ -75,16 +75,6 @@ def test_rules(spark, rule, text):
     assert out[0]["failed_rule"] == rule and all(out[i]["failed_rule"] is None for i in (1, 2, 3))
 
 
-def test_rule_order_moves_no_verdict(spark):
-    df = documents(spark, [prose(random.Random(i)) for i in range(6)] + [" | ".join("abcdef" * 20), "q!! " * 80])
-    order = rules.ordered(df)
-    assert sorted(r.name for r in order) == sorted(r.name for r in rules.RULES)
-    known = rules.facts(rules.whole(F.col("text")))
-    verdicts = [df.select("doc_id", rules.cascade(known, list(o)).isNull().alias("k")).orderBy("doc_id").collect() for o in (order, order[::-1])]
-    assert verdicts[0] == verdicts[1]
-    assert rules.quality_rules(documents(spark, ["x"]).where("false")).count() == 0
-
-
 # packing
 
 
