@@ -5,11 +5,16 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import map_texts
+from .common import SLICE, map_texts
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -44,70 +49,100 @@ def encode(payload: bytes, width: int = WIDTH) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(out.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The samples of a grey 8-bit PNG that isn't interlaced: signature, order and checksums are tested, all five filters undone."""
-    if data[:8] != SIGNATURE:
-        raise BadImage("no signature")
-    at, size, parts, ended = 8, None, [], False
-    while at < len(data) and not ended:
-        if at + 12 > len(data):
-            raise BadImage("cut short")
+def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Kinds and bodies up to IEND, with lengths and checksums tested; nothing may follow."""
+    at = len(SIGNATURE)
+    while at + 12 <= len(data):
         (length,), kind = struct.unpack(">I", data[at : at + 4]), data[at + 4 : at + 8]
         body, crc = data[at + 8 : at + 8 + length], data[at + 8 + length : at + 12 + length]
         if len(body) < length or struct.pack(">I", zlib.crc32(body, zlib.crc32(kind))) != crc:
             raise BadImage(f"checksum of {kind!r}")
+        at += 12 + length
+        yield kind, body
+        if kind == b"IEND":
+            if body or at != len(data):
+                raise BadImage("something follows the end")
+            return
+    raise BadImage("cut short")
+
+
+def _size(body: bytes) -> tuple[int, int]:
+    if len(body) != 13:
+        raise BadImage("a header has 13 bytes")
+    width, height, *form = struct.unpack(">IIBBBBB", body)
+    if form != [8, 0, 0, 0, 0] or not 0 < width < 2**31 or not 0 < height < 2**31:
+        raise BadImage("not a grey 8-bit image")
+    return width, height
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The samples of a grey 8-bit PNG that isn't interlaced: signature, order, sizes and checksums are tested, all five filters undone.
+
+    The header comes first and once, the parts of the data in a row; data is inflated to the header's size and not beyond it.
+    """
+    if data[:8] != SIGNATURE:
+        raise BadImage("no signature")
+    size, parts, closed = None, [], False
+    for i, (kind, body) in enumerate(_chunks(data)):
+        if (kind == b"IHDR") != (i == 0):
+            raise BadImage("the header comes first and once")
         if kind == b"IHDR":
-            size = struct.unpack(">IIBBBBB", body)
+            size = _size(body)
         elif kind == b"IDAT":
+            if closed:
+                raise BadImage("data in two places")
             parts.append(body)
-        elif kind == b"IEND":
-            ended = True
-        elif not kind[0] & 32:
-            raise BadImage(f"unknown chunk {kind!r}")
-        at += 12 + length
-    if size is None or not ended or size[2:] != (8, 0, 0, 0, 0):
-        raise BadImage("not a whole grey 8-bit image")
-    width, height = size[:2]
+        else:
+            closed = bool(parts)
+            if kind != b"IEND" and not kind[0] & 32:
+                raise BadImage(f"unknown chunk {kind!r}")
+    width, height = size
+    whole, inflate = height * (width + 1), zlib.decompressobj()
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8)
+        raw = np.frombuffer(inflate.decompress(b"".join(parts), whole + 1), np.uint8)
     except zlib.error as e:
         raise BadImage(str(e)) from e
-    if raw.size != height * (width + 1):
-        raise BadImage("samples missing")
+    if raw.size != whole or not inflate.eof or inflate.unused_data:
+        raise BadImage("samples missing or too many")
     return unfilter(raw.reshape(height, width + 1))
 
 
+def _swept(kinds: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of average (3) and Paeth (4) filters undone along diagonals: all samples whose left, upper and corner ones are known at once."""
+    n, width = rows.shape
+    out = np.zeros((n + 1, width + 1), np.int32)
+    out[0, 1:] = above
+    average = kinds == 3
+    for d in range(n + width - 1):
+        i = np.arange(max(0, d - width + 1), min(n, d + 1))
+        j = d - i
+        left, up, corner = out[i + 1, j], out[i, j + 1], out[i, j]
+        p = left + up - corner
+        to_left, to_up, to_corner = abs(p - left), abs(p - up), abs(p - corner)
+        paeth = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[i + 1, j + 1] = (rows[i, j] + np.where(average[i], (left + up) >> 1, paeth)) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def unfilter(raw: np.ndarray) -> np.ndarray:
-    """Runs of rows with one filter are undone together; average and Paeth rows go sample by sample."""
+    """Runs of rows with one kind of filter are undone together, those that look left and up along their diagonals."""
     kinds, rows = raw[:, 0], raw[:, 1:]
+    if (kinds > 4).any():
+        raise BadImage(f"filter {int(kinds.max())}")
     out = np.empty_like(rows)
-    starts = [0, *(np.flatnonzero(np.diff(kinds)) + 1), len(kinds)]
+    group = np.minimum(kinds, 3)
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(kinds)]
     above = np.zeros(rows.shape[1], np.uint8)
     for a, b in zip(starts, starts[1:], strict=False):
-        if a == b:
-            continue
-        kind, part = int(kinds[a]), rows[a:b]
-        if kind == 0:
+        part = rows[a:b]
+        if group[a] == 0:
             out[a:b] = part
-        elif kind == 1:
+        elif group[a] == 1:
             out[a:b] = np.cumsum(part, axis=1, dtype=np.uint8)
-        elif kind == 2:
+        elif group[a] == 2:
             out[a:b] = np.cumsum(part, axis=0, dtype=np.uint8) + above
-        elif kind in (3, 4):
-            for i in range(a, b):
-                up = out[i - 1] if i else above
-                left = corner = 0
-                for j, x in enumerate(rows[i].tolist()):
-                    over = int(up[j])
-                    if kind == 3:
-                        guess = (left + over) // 2
-                    else:
-                        p = left + over - corner
-                        guess = min((abs(p - left), 0, left), (abs(p - over), 1, over), (abs(p - corner), 2, corner))[2]
-                    left, corner = (x + guess) & 255, over
-                    out[i, j] = left
         else:
-            raise BadImage(f"filter {kind}")
+            out[a:b] = _swept(kinds[a:b], part, above)
         above = out[b - 1]
     return out
 
@@ -135,31 +170,59 @@ def feature(samples: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def column_of(text: str | None) -> tuple:
+def stored_form(text: str | None) -> tuple[int, bytes]:
+    """A text's bytes, and the image of its payload: the bytes with zeros up to a positive multiple of WIDTH."""
     raw = (text or "").encode()
-    media = encode(raw + b"\0" * (-len(raw) % WIDTH or (0 if raw else WIDTH)))
+    return len(raw), encode(raw + b"\0" * (-len(raw) % WIDTH or (0 if raw else WIDTH)))
+
+
+def read_back(media: bytes) -> tuple:
+    """From an image alone: payload bytes, their digest, the checksum of the last 64, the image's size and digest, and its feature."""
     samples = decode(media)
     back = samples.tobytes()
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples), media
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)
 
 
-COLUMNS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """One row per row of ``docs``: the text's PNG in binary column ``media``, and what was read back from it.
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes of the text, and its PNG in the binary column ``media``.
 
-    Null is stored as the empty text, which is one row of 64 zeros. Equal texts give equal values. Columns other than the two
-    named aren't read. ``with_media=False`` leaves the stored bytes out of the result.
+    Null is stored as the empty text, which is one row of 64 zeros. Equal texts give equal images, repeated rows a row each, an empty
+    table none. Columns other than the two named aren't read.
     """
-    names = COLUMNS if with_media else COLUMNS[:-1]
 
     def make():
         def work(texts):
-            rows = [column_of(x) for x in texts]
-            return {c: [r[i] for r in rows] for i, c in enumerate(names)}
+            rows = [stored_form(x) for x in texts]
+            return {"n_bytes": [n for n, _ in rows], "media": [m for _, m in rows]}
 
         return work
 
-    return map_texts(docs, [id_col], text_col, make, SCHEMA + ", media binary" * with_media)
+    return map_texts(docs, [id_col], text_col, make, "n_bytes long, media binary")
+
+
+def read_media(stored: DataFrame) -> DataFrame:
+    """``stored`` with what its binary column ``media`` says when it is read; a null image gives nulls, a bad one raises BadImage."""
+    schema = StructType([*stored.schema.fields, *StructType.fromDDL(SCHEMA).fields])
+    arrow, at = to_arrow_schema(StructType.fromDDL(SCHEMA)), stored.columns.index("media")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(first, SLICE)
+                rows = [(None,) * len(COLUMNS) if m is None else read_back(m) for m in batch.column(at).to_pylist()]
+                made = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
+
+    return stored.mapInArrow(read, schema)
+
+
+def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the text's PNG in the binary column ``media``, and what was read back from that column.
+
+    Rows are those of ``store_media``; the columns come from ``read_media``.
+    """
+    return read_media(store_media(docs, id_col, text_col)).select(F.col(f"`{id_col}`"), "n_bytes", *COLUMNS, "media")

@@ -77,3 +77,14 @@ def test_stored_tables_go_but_the_result_stays(spark):
     out = lines.dedup_lines(docs, least=1)
     assert len({x for x in os.listdir(folder) if x.startswith("stored-")} - before) == 1
     assert sorted(r["text"] for r in out.collect()) == ["a b", "c"]
+
+
+def test_keys_that_collide_lose_no_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = ["\n".join(" ".join(rng.choice("abc") for _ in range(rng.choice([6, 7, 8]))) for _ in range(3)) for _ in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for few in (1, 3, 40):
+        monkeypatch.setattr(lines, "hashed", lambda *x, few=few: F.pmod(F.xxhash64(*x), F.lit(few)))
+        assert [r["text"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == brute_lines(texts)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, language, licences, lines, media, packing, quality, rules, simhash
+from siltstone.llm import bpe, chat, language, lines, packing, quality, rules, simhash
 from siltstone.llm.queries import vocabulary
 
 from test_packing import best_fit_decreasing
@@ -302,47 +302,6 @@ def test_language(spark):
     assert language.identify_documents(df.where("false")).count() == 0
 
 
-# media
-
-
-def test_media(spark):
-    texts = EDGES + ["x" * 64, "x" * 63, "x" * 65]
-    out = got(media.media_columns(documents(spark, texts, feature="z")))
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        payload = raw + b"\0" * (-len(raw) % 64) or b"\0" * 64
-        r = out[i]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
-        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
-        assert media.decode(bytes(r["media"])).tobytes() == payload
-    assert out[10]["feature"] == out[11]["feature"] and len(out[0]["feature"]) == 16
-
-
-def paeth(a, b, c):
-    p = a + b - c
-    return a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
-
-
-def test_all_filters_are_undone():
-    rng = np.random.default_rng(0)
-    x = rng.integers(0, 256, (25, 9)).astype(int)
-    raw = np.zeros((25, 10), np.uint8)
-    for i in range(25):
-        kind = i * 7 % 5
-        raw[i, 0] = kind
-        for j in range(9):
-            a, b, c = x[i, j - 1] if j else 0, x[i - 1, j] if i else 0, x[i - 1, j - 1] if i and j else 0
-            raw[i, j + 1] = (x[i, j] - (0, a, b, (a + b) // 2, paeth(a, b, c))[kind]) % 256
-    assert (media.unfilter(raw) == x).all()
-
-
-def test_broken_images_are_refused():
-    good = media.encode(bytes(range(128)))
-    for bad in (b"", good[:-5], *(good[:i] + bytes([good[i] ^ 5]) + good[i + 1 :] for i in range(len(good)))):
-        with pytest.raises(media.BadImage):
-            media.decode(bad)
-
-
 # chat
 
 
