@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import cut, let
 
 #: Fixed template. The escape character and the mark opener can't stand unescaped in a text.
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
-#: Tokens (words, one more for a turn's marks) of new turns in a window and of turns repeated from the window before.
-STRIDE, HISTORY = 512, 128
-#: Turns whose sums are taken in one task.
+#: Tokens (words, one more for a turn's marks) of a window, of the turns repeated from the window before, and of new turns at least.
+BUDGET, HISTORY, ROOM = 512, 128, 128
+#: Turns that are summed and dealt into spans in one task.
 BLOCK = 1024
 
 
@@ -24,52 +24,96 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def _turns(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """Rows with their place, and the tokens of the conversation before and up to them, summed in blocks so that one long conversation isn't one task."""
-    own = chats.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("block", F.floor(F.col("turn") / BLOCK)).withColumn("tokens", F.regexp_count("text", F.lit("\\S+")).cast("long") + 1)
-    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = own.groupBy("conv", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    sums = sums.select(F.col("conv").alias("c"), F.col("block").alias("b"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    own = own.withColumn("t1", F.sum("tokens").over(inside)).withColumn("n1", F.row_number().over(inside))
-    joined = own.join(sums, own["conv"].eqNullSafe(sums["c"]) & own["block"].eqNullSafe(sums["b"]))
-    return joined.select("conv", "role", "text", "tokens", (F.col("n0") + F.col("n1") - 1).alias("place"), (F.col("t0") + F.col("t1")).alias("upto"))
+def _placed(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Rows (conv, role, text, tokens, row) with their place in the conversation, by turn number, role and text.
+
+    Rows are sorted over all tasks and counted by conversation and task, so that neither a conversation nor a turn number with a large
+    part of all rows is one task's.
+    """
+
+    def whole(name: str) -> Column:
+        return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+
+    own = chats.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"), whole(role).alias("role"), whole(text).alias("text"))
+    own = own.withColumn("tokens", F.regexp_count("text", F.lit("\\S+")).cast("long") + 1)
+    spread = own.repartitionByRange("conv", "turn", "role", F.substring("text", 1, 64))
+    rows = cut(spread.sortWithinPartitions("conv", "turn", "role", "text").drop("turn")).withColumn("row", F.monotonically_increasing_id())
+    task = F.shiftright("row", 33)
+    runs = rows.groupBy("conv", task.alias("task")).agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("conv").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("conv").alias("c"), F.col("task").alias("t"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    joined = rows.withColumn("task", task).join(runs, F.col("conv").eqNullSafe(F.col("c")) & (F.col("task") == F.col("t")))
+    return joined.select("conv", "role", "text", "tokens", "row", (F.col("row") + F.col("shift")).alias("place"))
+
+
+def spans_of(tokens: Column, room: Column) -> Column:
+    """Of each turn the number of its span from 0: a span takes turns while they fit into ``room`` tokens, one turn at least."""
+    start = F.struct(F.lit(0).alias("span"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("spans"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (s["sum"] == 0) | (s["sum"] + x <= room)
+        span = F.when(fits, s["span"]).otherwise(s["span"] + 1)
+        return F.struct(span.alias("span"), F.when(fits, s["sum"] + x).otherwise(x).alias("sum"), F.array_append(s["spans"], span).alias("spans"))
 
+    return F.aggregate(tokens, start, step, lambda s: s["spans"])
 
-def format_windows(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
+
+def _windows(placed: DataFrame, budget: int, history: int) -> DataFrame:
+    """(conv, place, start, window, next_start, last, system): of each turn the tokens before it, its window, where the next window's span
+    begins, the conversation's last window, and the tokens of its system turn (0 without one).
+
+    Blocks of BLOCK turns are dealt into spans each by itself; prefix sums over blocks number spans and tokens through.
+    """
+    own = placed.select("conv", "place", "tokens", F.floor(F.col("place") / BLOCK).alias("block"), F.when((F.col("place") == 0) & (F.col("role") == "system"), F.col("tokens")).alias("s"))
+    told = own.groupBy("conv").agg(F.coalesce(F.max("s"), F.lit(0)).alias("system")).select(F.col("conv").alias("c"), "system")
+    blocks = own.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("turns"))
+    blocks = blocks.join(told, blocks["conv"].eqNullSafe(told["c"]))
+    room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(ROOM))
+    blocks = blocks.withColumn("span", spans_of(F.transform("turns", lambda x: x["tokens"]), room))
+    sums = F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
+    blocks = blocks.select("conv", "block", "turns", "system", "span", sums.alias("t"), (F.element_at("span", -1) + 1).alias("n"))
+    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy("conv")
+    blocks = blocks.select(
+        "conv", "block", "turns", "system", "span", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("n").over(every).alias("last")
+    )
+    each = blocks.select("conv", "system", "t0", "n0", "last", F.explode(F.arrays_zip("turns", "span")).alias("x"), "block")
+    each = each.select("conv", "block", "system", "t0", (F.col("n0") + F.col("x.span") + 1).cast("long").alias("window"), "last", "x.turns.place", "x.turns.tokens")
+    inside = Window.partitionBy("conv", "block").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("start", F.col("t0") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    starts = each.groupBy("conv", "window").agg(F.min("start").alias("next_start"))
+    starts = starts.select(F.col("conv").alias("c"), (F.col("window") - 1).alias("w"), "next_start")
+    found = each.join(starts, each["conv"].eqNullSafe(starts["c"]) & (each["window"] == starts["w"]), "left")
+    return found.select("conv", "place", "start", "window", "next_start", "last", "system")
+
+
+def format_windows(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """One row per window: its conversation, number, formatted text, loss spans (from, length), and what it holds.
 
-    A turn belongs to the span of ``stride`` tokens in which it begins, so spans are turn-aligned and hold less than ``stride``
-    tokens and their last turn. A window shows the conversation's system turn (its first turn, if a system's), then the turns of the
-    span before that lie within ``history`` tokens of the span, then the span. Loss spans cover the assistant texts of the
-    span alone; repeated ones are masked. ``n_repeated`` turns come before the span's own.
+    A window shows the conversation's system turn (its first turn, if a system's), then turns of the window before that lie within
+    ``history`` tokens of the span, then its own span of whole turns, ``budget`` tokens at most in all. The span has what system turn
+    and history leave of the budget, ROOM tokens at least; it takes turns while they fit, and begins anew after BLOCK turns. So only
+    a turn that is longer than its span's room, or a system turn that leaves less than ROOM, goes over the budget. Loss spans
+    cover the assistant texts of the span alone; repeated ones are masked. ``n_repeated`` turns come before the span's own.
 
     Turns go by number, role and text; repeated rows are turns of their own; null texts and roles count as empty, a null
-    conversation is one conversation, null turn numbers come first. An empty table gives no windows.
+    conversation is one conversation, null turn numbers come first. An empty table gives no windows. Other columns aren't read.
     """
-    turns = _turns(chats, conv, turn, role, text).withColumn("span", F.floor((F.col("upto") - F.col("tokens")) / stride))
-    spans = turns.groupBy("conv", "span").agg(F.min(F.col("upto") - F.col("tokens")).alias("start"))
-    after = Window.partitionBy("conv").orderBy("span")
-    spans = spans.select(F.col("conv").alias("c"), F.col("span").alias("s"), F.lead("span").over(after).alias("next"), F.lead("start").over(after).alias("next_start"), F.row_number().over(after).alias("window"))
-    dealt = turns.join(spans, turns["conv"].eqNullSafe(spans["c"]) & (turns["span"] == spans["s"])).drop("c", "s")
+    placed = _placed(chats, conv, turn, role, text)
+    found = _windows(placed, budget, history).withColumnsRenamed({"conv": "c", "place": "p"})
+    turns = placed.join(found, placed["conv"].eqNullSafe(found["c"]) & (placed["place"] == found["p"])).drop("c", "p", "row")
+    system = (F.col("place") == 0) & (F.col("role") == "system")
     # kind 0 the system turn, 1 history, 2 the span's own
-    marks = F.filter(
-        F.array(
-            F.struct(F.col("window").alias("w"), F.lit(2).alias("kind")),
-            F.when(F.col("next").isNotNull() & ~((F.col("place") == 0) & (F.col("role") == "system")) & (F.col("next_start") - F.col("upto") + F.col("tokens") <= history), F.struct((F.col("window") + 1).alias("w"), F.lit(1).alias("kind"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    near = F.col("next_start").isNotNull() & ~system & (F.col("next_start") - F.col("start") <= history)
+    marks = F.array(F.struct(F.col("window").alias("w"), F.lit(2).alias("kind")), F.when(near, F.struct((F.col("window") + 1).alias("w"), F.lit(1).alias("kind"))))
     # the system turn is told once for each later window of its conversation
-    last = spans.groupBy("c").agg(F.max("window").alias("last"))
-    system = turns.where((F.col("place") == 0) & (F.col("role") == "system")).join(last, turns["conv"].eqNullSafe(last["c"]))
-    system = system.where("last > 1").select("conv", "role", "text", "tokens", "place", F.explode(F.sequence(F.lit(2), F.col("last"))).alias("w"), F.lit(0).alias("kind"))
-    shown = dealt.select("conv", "role", "text", "tokens", "place", F.explode(marks).alias("m")).select("conv", "role", "text", "tokens", "place", "m.w", "m.kind").unionByName(system)
-
-    piece = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
-    shown = shown.withColumn("head", piece).withColumn("body", escape(F.col("text")))
-    gathered = shown.groupBy("conv", "w").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "head", "body", (F.col("role") == "assistant").alias("target"), "tokens"))).alias("t"))
+    later = F.transform(F.sequence(F.lit(2).cast("long"), F.col("last")), lambda w: F.struct(w.alias("w"), F.lit(0).alias("kind")))
+    shows = F.when(system & (F.col("last") > 1), F.concat(marks, later)).otherwise(marks)
+    shown = turns.select("conv", "role", "text", "tokens", "place", F.explode(F.filter(shows, lambda x: x.isNotNull())).alias("m"))
+
+    shown = shown.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))).withColumn("body", escape(F.col("text")))
+    turn_ = F.struct("place", F.col("m.kind").alias("kind"), "head", "body", (F.col("role") == "assistant").alias("target"), "tokens")
+    gathered = shown.groupBy("conv", F.col("m.w").alias("w")).agg(F.array_sort(F.collect_list(turn_)).alias("t"))
     full = F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
     lengths = F.transform("t", lambda x: F.struct((F.length(x["head"])).alias("h"), F.length(x["body"]).alias("b"), ((x["kind"] == 2) & x["target"]).alias("loss")))
     return gathered.select(
@@ -104,6 +148,11 @@ def read_back(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def digests(windows: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """One row per conversation, from its windows: turns, their digest, the loss text's length and digest, and characters of all windows.
+
+    A digest is of one string, so a conversation's text stands in one row here (the windows themselves are bounded). A null
+    conversation is a row; without windows there are no rows.
+    """
     told = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read_back(windows, conv).select(
         F.col(conv),

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, language, lines, packing, quality, rules, simhash
+from siltstone.llm import bpe, language, lines, packing, quality, rules, simhash
 from siltstone.llm.queries import vocabulary
 
 from test_packing import best_fit_decreasing
@@ -302,35 +302,6 @@ def test_language(spark):
     assert language.identify_documents(df.where("false")).count() == 0
 
 
-# chat
-
-
-def test_chat_round_trip(spark):
-    rng = random.Random(6)
-    hard = ["\\", "<|", "<\\|", "|>", "<|turn|>", "<|end|>", "<|text|>", "\\\\<|", "<", "<<|end|>", "", None, "é\n", "a " * 300]
-    rows = []
-    for c in range(14):
-        for t in range(rng.randrange(1, 12)):
-            role = "system" if t == 0 and c % 2 else ("user", "assistant", "assistant", "odd<|", None)[rng.randrange(5)]
-            rows.append((c, t, role, "".join(str(rng.choice(hard) or "") for _ in range(3)) if rng.random() < 0.8 else rng.choice(hard)))
-    rows += [(50, 1, "assistant", "tie"), (50, 1, "assistant", "tie"), (50, 0, "user", LONG), (50, 3, "assistant", LONG), (50, None, "user", "first"), (None, 0, "assistant", "none")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("z")).repartition(4)
-    windows = chat.format_windows(df, stride=60, history=30)
-    out = got(chat.digests(windows), "conv_id")
-    assert set(out) == {r[0] for r in rows}
-    for c in out:
-        own = sorted((r for r in rows if r[0] == c), key=lambda r: (-1 if r[1] is None else r[1], r[2] or "", r[3] or ""))
-        told = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
-        loss = "".join(r[3] or "" for r in own if r[2] == "assistant")
-        assert (out[c]["n_turns"], out[c]["turns_sha256"]) == (len(own), hashlib.sha256(told.encode()).hexdigest())
-        assert (out[c]["loss_chars"], out[c]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    shown = windows.collect()
-    assert sum(len(r["formatted"]) for r in shown) == sum(r["formatted_chars"] for r in out.values())
-    later = [r for r in shown if r["window"] > 1 and r["conv_id"] is not None and r["conv_id"] < 14 and r["conv_id"] % 2]
-    assert later and all(r["formatted"].startswith("<|turn|>system<|text|>") for r in later)
-    assert chat.digests(chat.format_windows(df.where("false"))).count() == 0
-
-
 # quality classifier
 
 
