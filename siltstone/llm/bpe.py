@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Fragments or words whose ids a worker keeps; beyond it they are forgotten and encoded anew.
-KEPT = 500_000
+#: Fragments or words whose ids a worker keeps, and bytes of them and their ids; beyond either they are forgotten and encoded anew.
+KEPT, KEPT_BYTES = 300_000, 16_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -63,6 +63,7 @@ class Codec:
         cut[[i for i in range(256) if not (i < 128 and chr(i).isalnum())], 0x27] = False
         self.cut, self.white = cut, _white_tails()
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def fragments(self, raw: bytes) -> list[bytes]:
         if len(raw) < 2:
@@ -75,9 +76,11 @@ class Codec:
 
     def learn(self, fragments: set[bytes]) -> None:
         """Ids of fragments that aren't known yet; a special token between two keeps them apart."""
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.held > KEPT_BYTES:
             self.known.clear()
+            self.held = 0
         new = [f for f in fragments if f not in self.known]
+        self.held += 3 * sum(map(len, new))
         if self.separator is None:
             for f in new:
                 self.known[f] = np.array(self.tokenizer.encode(f.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -122,8 +125,8 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per row of ``docs``: its ids (column ``ids``, unless ``with_ids`` is false), their digest and that of the text decoded from them.
 
-    A null text counts as empty and has no ids. A text may spell special tokens; they get their ids, as in the library. Columns
-    other than the two named aren't read.
+    A null text counts as empty and has no ids. A text may spell special tokens; they get their ids, as in the library. Repeated
+    rows give equal rows; an empty table gives none. Columns other than the two named aren't read.
     """
 
     def make():
@@ -179,6 +182,7 @@ class WordCodec:
         self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
         self.part: dict[str, list[int]] = {}
         self.known: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def encode_word(self, word: str) -> list[int]:
         if "<|" in word or not self.plain(word):
@@ -193,9 +197,8 @@ class WordCodec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT:
-            self.known = {"": b""}
-        if len(self.part) > KEPT:
+        if len(self.known) > KEPT or self.held > KEPT_BYTES:
+            self.known, self.held = {"": b""}, 0
             self.part.clear()
         known, out = self.known, []
         for text in texts:
@@ -207,5 +210,6 @@ class WordCodec:
                 pass
             for w in set(words).difference(known):
                 known[w] = np.array(self.encode_word(w), "<u4").tobytes()
+                self.held += len(w) + len(known[w])
             out.append(b"".join(map(known.__getitem__, words)))
         return out

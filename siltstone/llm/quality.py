@@ -1,7 +1,9 @@
-"""Quality classifier: similar labelled documents vote, in a latent space of character-shape trigrams."""
+"""Quality classifier: similar labelled documents vote, in a latent space of words and character-shape trigrams."""
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,9 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_of, map_texts
+from .language import words_of
 
-#: Bounds of what is fitted: labelled documents, terms, latent dimensions.
+#: Bounds of what is fitted: labelled documents, terms of a kind (shapes, words), latent dimensions. The terms are those that most
+#: exemplars hold; rarer ones weigh nothing.
 EXEMPLARS, TERMS, DIMENSIONS = 5000, 1024, 48
+#: Slots that words are hashed into, and what the words' part of a vector weighs against the shapes'.
+SLOTS, WORDS_WEIGH = 2**17, 0.5
 #: Neighbours that vote, and the power of their similarity that weighs a vote.
 NEIGHBOURS, SHARPNESS = 25, 8
 THRESHOLD = 0.3
@@ -47,6 +53,16 @@ BASE = int(CLASSES.max()) + 1
 VOLUME = BASE**3
 
 
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the terms of a whole text, in the codes' order: trigrams of its shape, then hashed words."""
+    code, count = shapes(text)
+    slots: Counter = Counter()
+    for word, n in Counter(words_of(text or "")).items():
+        slots[VOLUME + zlib.crc32(word.encode()) % SLOTS] += n
+    order = sorted(slots)
+    return np.r_[code, np.array(order, np.int64)], np.r_[count, np.array([slots[x] for x in order], np.int64)]
+
+
 def shapes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the trigrams of a text's shape; runs of letters, digits and blanks count as one place, signs each."""
     c = CLASSES[np.minimum(np.frombuffer((text or "").encode("utf-32-le"), "<u4"), len(CLASSES) - 1)]
@@ -63,7 +79,7 @@ def shapes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    column: np.ndarray  # of each code: its term, or -1
+    column: np.ndarray  # of each code: its term, or -1; shapes before words
     idf: np.ndarray
     axes: np.ndarray  # terms x dimensions
     vectors: np.ndarray  # dimensions x exemplars, of length one
@@ -72,14 +88,17 @@ class Model:
 
 
 def weigh(rows: list[tuple[np.ndarray, np.ndarray]], column: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of length one (or zero) with log counts times inverse document frequency."""
+    """Rows with log counts times inverse document frequency; the part of shapes has length one (or zero), that of words WORDS_WEIGH."""
     out = np.zeros((len(rows), len(idf)), np.float32)
     for row, (code, count) in zip(out, rows, strict=True):
         term = column[code]
         known = term >= 0
         row[term[known]] = (1 + np.log(count[known])) * idf[term[known]]
-    norm = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
+    first = int((column[:VOLUME] >= 0).sum())
+    for part, length in ((out[:, :first], 1.0), (out[:, first:], WORDS_WEIGH)):
+        norm = np.sqrt((part * part).sum(1, keepdims=True))
+        part *= np.float32(length) / np.where(norm > 0, norm, 1)
+    return out
 
 
 def project(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -101,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def make():
         def work(found):
-            rows = [shapes(t) for t in found]
+            rows = [terms_of(t) for t in found]
             return {"code": [a for a, _ in rows], "count": [b for _, b in rows]}
 
         return work
@@ -111,11 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     got.sort(key=lambda r: r["i"])
     rows = [(np.array(r["code"], np.int64), np.array(r["count"], np.int64)) for r in got]
-    df = np.zeros(VOLUME)
+    df = np.zeros(VOLUME + SLOTS)
     for code, _ in rows:
         df[code] += 1
-    terms = np.sort(np.argsort(-df, kind="stable")[: min(TERMS, int((df > 0).sum()))])
-    column = np.full(VOLUME, -1, np.int64)
+    kinds = (slice(0, VOLUME), slice(VOLUME, None))
+    best = [k.start + np.argsort(-df[k], kind="stable")[: min(TERMS, int((df[k] > 0).sum()))] for k in kinds]
+    terms = np.sort(np.concatenate(best))
+    column = np.full(VOLUME + SLOTS, -1, np.int64)
     column[terms] = np.arange(len(terms))
     idf = (np.log((1 + len(rows)) / (1 + df[terms])) + 1).astype(np.float32)
     x = weigh(rows, column, idf)
@@ -141,22 +162,30 @@ def vote(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: str = "score") -> DataFrame:
-    """One row per row of ``docs`` with ``score`` (or the name ``into``), from whole texts; null texts count as empty. Without a model: 0.5."""
+    """One row per row of ``docs`` with the columns ``keep`` (the id alone) and ``score`` (or the name ``into``), from whole texts.
+
+    Null texts count as empty; without a model every score is 0.5. Equal texts get equal scores, an empty table gives no rows. The
+    name ``into`` mustn't be among ``keep``; other columns aren't read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         own = shared.value
 
         def work(texts):
-            rows = [shapes(t) for t in texts]
+            rows = [terms_of(t) for t in texts]
             return {into: vote(own, rows).clip(0, 1) if own else np.full(len(rows), 0.5)}
 
         return work
 
-    return map_texts(docs, keep or [id_col], text_col, make, f"{into} double")
+    return map_texts(docs, keep or [id_col], text_col, make, f"`{into}` double")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Learns from labelled rows whose crc32(id) mod 5 isn't 0 and scores every row; ``held_out`` marks the others."""
+    """Learns from labelled rows whose crc32(id) mod 5 isn't 0 and scores every row; ``held_out`` marks the others.
+
+    Null and empty texts are scored as empty ones; null ids and labels aren't learned from. Repeated rows get equal scores; an
+    empty table gives no rows; without labels every score is 0.5. ``predicted`` is 1 from THRESHOLD on, at it too.
+    """
     out = score(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
     return out.select(id_col, (bucket_of(F.col(id_col), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -268,6 +268,26 @@ def test_encoded_texts(spark):
         assert out[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and out[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 200)
+    rng = random.Random(2)
+    for codec, library in CODECS():
+        for _ in range(40):
+            text = prose(rng, 12)
+            assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+            assert len(codec.known) < 200
+        codec.known.clear()
+        codec.known |= {"": b""} if isinstance(codec, bpe.WordCodec) else {}
+
+
+def test_tokens_of_nothing_and_of_repeats(spark):
+    path = vocabulary("byte_bpe_50k.json")
+    df = documents(spark, ["some text", None, ""])
+    assert bpe.encode_texts(df.where("false"), path).count() == 0
+    twice = bpe.encode_texts(df.unionByName(df), path)
+    assert twice.count() == 6 and twice.distinct().count() == 3
+
+
 def test_cuts_stand_where_no_token_reaches():
     codec = CODECS()[0][0]
     raw = "The quick-brown fox's den, 12 zq\n\nend".encode()
@@ -321,8 +341,8 @@ def test_quality(spark):
 
 def test_votes_are_exact_cosines():
     rng = random.Random(1)
-    rows = [quality.shapes(prose(rng, 20)) for _ in range(30)]
-    column = np.full(quality.VOLUME, -1)
+    rows = [quality.terms_of(prose(rng, 20)) for _ in range(30)]
+    column = np.full(quality.VOLUME + quality.SLOTS, -1)
     terms = np.unique(np.concatenate([c for c, _ in rows]))
     column[terms] = np.arange(len(terms))
     m = quality.Model(column, np.ones(len(terms), np.float32), np.eye(len(terms), 10, dtype=np.float32), None, np.array([i % 2 for i in range(30)], np.float32), 0.5)
