@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 
 #: Fragments or words whose ids a worker keeps, and bytes of them and their ids; beyond either they are forgotten and encoded anew.
-KEPT, KEPT_BYTES = 300_000, 16_000_000
+KEPT, KEPT_BYTES = 500_000, 16_000_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -66,6 +66,36 @@ def test_a_large_family_costs_a_pair_each(spark):
     assert {r["component_id"] for r in minhash.similar(spark.createDataFrame(rows, DOCS), 5).collect()} == {0}
 
 
+def test_copies_of_one_text_that_are_not_similar_to_each_other(spark, monkeypatch):
+    """All link to the text they were made from and few to each other: no pair by pair comparison is needed for them."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 220):
+        new = list(base)
+        for k in rng.sample(range(400), 7):
+            new[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(new)))
+    rng.shuffle(rows)
+    label, _ = brute(rows)
+    asked, real = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    got = {r["id"]: r["component_id"] for r in minhash.similar(spark.createDataFrame(rows, DOCS).repartition(4), 5).collect()}
+    ids = [i for i, _ in rows]
+    assert [got[i] for i in ids] == [min(i for i, x in zip(ids, label, strict=True) if x == mine) for mine in label]
+    assert sum(asked) < 12 * len(rows) and len(set(got.values())) < 10
+
+
+def test_every_turn_is_taken_and_what_is_left_is_compared(spark, monkeypatch):
+    rows = families(3)
+    label, _ = brute(rows)
+    for turns, sparse in ((1, 0), (4, 0), (8, 10**6)):
+        monkeypatch.setattr(minhash, "TURNS", turns)
+        monkeypatch.setattr(minhash, "SPARSE", sparse)
+        got = {r["id"]: r["component_id"] for r in minhash.similar(spark.createDataFrame(rows, DOCS).repartition(5), 5).collect()}
+        assert [got[i] for i, _ in rows] == label
+
+
 def test_one_row_of_each_component_stays(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
     rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (3, c + " end"), (None, "alone"), (None, "alone")]
