@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import base_title, pii_count, pii_text
+from .functions.text import base_title, ns_key, pii_count, pii_text
 from .operators import bm25, fusion, governance, graph, ingest, rerank, security, services, vector
 from .operators.glossary import Glossary
 from .schema import QUERY_LOG
@@ -35,8 +35,25 @@ def ask_all(top: DataFrame, question: str, by: list[str], generate: Callable[[st
 class Engine:
     """State is tables under ``root``; services are functions given to it. ``allowed`` is the caller's set of namespaces."""
 
-    def __init__(self, spark: SparkSession, root: str, glossary: Glossary | None = None, embed: Callable | None = None, generate: Callable[[str], str] = services.echo_model, ocr: Callable = services.fixed_ocr, caption: Callable = services.fixed_ocr, models: tuple[str, str] = ("default", ""), persona: str = "", threshold: int = 3, embed_model: str = "hashing", graph_weight: float = fusion.GRAPH_WEIGHT):
-        self.spark, self.root, self.store = spark, root, store.TieredStore(spark, f"{root}/articles", threshold)
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        glossary: Glossary | None = None,
+        embed: Callable | None = None,
+        generate: Callable[[str], str] = services.echo_model,
+        ocr: Callable = services.fixed_ocr,
+        caption: Callable = services.fixed_ocr,
+        models: tuple[str, str] = ("default", ""),
+        persona: str = "",
+        threshold: int = 3,
+        embed_model: str = "hashing",
+        graph_weight: float = fusion.GRAPH_WEIGHT,
+        vectors: vector.VectorSearch | None = None,
+        hot_format: str = "parquet",
+    ):
+        self.spark, self.root, self.store = spark, root, store.TieredStore(spark, f"{root}/articles", threshold, hot_format)
+        self.vectors = vectors or vector.Exact()
         self.glossary, self.embed, self.generate = glossary or Glossary(), embed or services.hashing_embedder(), generate
         self.ocr, self.caption, self.models, self.persona, self.embed_model, self.graph_weight = ocr, caption, models, persona, embed_model, graph_weight
 
@@ -82,7 +99,7 @@ class Engine:
     def delete_document(self, title: str, namespace: str | None, allowed: set[str]) -> bool:
         security.require_access(namespace, allowed)
         rows = self.articles(allowed, namespace).where(base_title(F.col("title")) == title)
-        return self.store.delete([r[0] for r in rows.select("id").collect()])
+        return self.store.delete(rows.select("id"))
 
     def delete_article(self, article: int, allowed: set[str]) -> bool:
         if not self.articles(allowed).where(F.col("id") == article).count():
@@ -96,25 +113,64 @@ class Engine:
         security.require_access(namespace, allowed)
         ns, asked = security.key_of(namespace), self.glossary.rewrite(question)
         rows = self.store.load().where(F.col("namespace") == ns)
-        found = vector.knn(rows, [(0, self.embed([asked])[0])], n).select("query_id", "id", "score")
+        found = self.vectors.knn(rows, [(0, self.embed([asked])[0])], n).select("query_id", "id", "score")
         words = bm25.scores(rows, asked).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if keyword else None
         linked = self.graph_hits(asked, ns, rows).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if graphs else None
         best = fusion.hybrid(found, words, linked, n, ["query_id"], self.graph_weight)
         return best.join(rows.select("id", "title", "summary", "embedding"), "id").select("query_id", "id", F.col("rank0").cast("int").alias("rank0"), "score", "title", "summary", "embedding")
 
+    def retrieve_all(self, cases: DataFrame, allowed: set[str], n: int = FETCH, keyword: bool = True, graphs: bool = True) -> DataFrame:
+        """``retrieve`` for many questions (case_id, question, namespace) in one plan: adds case_id. Cases of other tenants find nothing."""
+        asked = security.visible(cases.withColumn("namespace", ns_key(F.col("namespace"))), allowed).select("case_id", "question", "namespace").collect()
+        told = [(i, c["case_id"], c["namespace"], self.glossary.rewrite(c["question"])) for i, c in enumerate(asked)]
+        queries = self.spark.createDataFrame(told, "query_id long, case_id string, namespace string, text string")
+        rows = security.visible(self.store.load(), allowed)
+        near = [(i, vector_, ns) for (i, _, ns, _), vector_ in zip(told, self.embed([t[3] or "" for t in told]) if told else [], strict=True)]
+        found = self.vectors.knn(rows, near, n, within="namespace").select("query_id", "id", "score")
+        words = bm25.batch_scores(bm25.postings(rows), bm25.term_stats(rows), queries).select("query_id", "id", "score") if keyword else None
+        linked = None
+        if graphs:
+            tables = self.graph_tables(rows)
+            named = [(i, ns, e) for i, _, ns, text in told for e in sorted(self.glossary.extract(text))]
+            seeds = self.spark.createDataFrame(named, "query_id long, namespace string, entity string")
+            seeds = seeds.join(tables["entities"].select("namespace", "entity"), ["namespace", "entity"], "left_semi")
+            linked = graph.search(tables["entities"], graph.links(tables["edges"]), seeds, by=("query_id",)).select("query_id", "id", "score")
+        best = fusion.hybrid(found, words, linked, n, ["query_id"], self.graph_weight)
+        told_rows = best.join(rows.select("id", "title", "summary", "embedding"), "id").join(queries.select("query_id", "case_id"), "query_id")
+        return told_rows.select("case_id", "query_id", "id", F.col("rank0").cast("int").alias("rank0"), "score", "title", "summary", "embedding")
+
+    def rerank_all(self, cases: DataFrame, candidates: DataFrame, how: str | None = "mmr", k: int = KEEP, scorer: Callable | None = None) -> DataFrame:
+        """``rerank`` for what ``retrieve_all`` found."""
+        return self._reranked(candidates.join(cases.select("case_id", "question"), "case_id"), how, k, scorer)
+
+    def graph_tables(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """Entities and edges of some articles; the stored ones where ``store_graph`` has been called since the last change."""
+        stored = self.store.index("graph")
+        if stored is None:
+            return ingest.indexes(rows, self.glossary)
+        spaces = rows.select("namespace").distinct()
+        return {name: self.spark.read.parquet(f"{stored}/{name}").join(F.broadcast(spaces), "namespace", "left_semi") for name in ("entities", "edges")}
+
+    def store_graph(self) -> bool:
+        """Derives the entity graph of all tenants once and stores it beside the articles; any change of the articles outdates it."""
+        tables = ingest.indexes(self.store.load(), self.glossary)
+        return self.store.add_index("graph", {name: tables[name] for name in ("entities", "edges")})
+
     def graph_hits(self, question: str, namespace: str, rows: DataFrame) -> DataFrame:
-        tables = ingest.indexes(rows, self.glossary)
+        tables = self.graph_tables(rows)
+        entities = tables["entities"].where(F.col("namespace") == namespace)
         wanted = sorted(self.glossary.extract(question))
-        seeds = tables["entities"].where(F.col("entity").isin(wanted)).select("namespace", "entity").distinct() if wanted else tables["entities"].select("namespace", "entity").where(F.lit(False))
-        return graph.search(tables["entities"], graph.links(tables["edges"]), seeds)
+        seeds = entities.where(F.col("entity").isin(wanted) if wanted else F.lit(False)).select("namespace", "entity").distinct()
+        return graph.search(entities, graph.links(tables["edges"].where(F.col("namespace") == namespace)), seeds)
 
     def rerank(self, question: str, candidates: DataFrame, how: str | None = "mmr", k: int = KEEP, scorer: Callable | None = None) -> DataFrame:
+        return self._reranked(candidates.withColumn("question", F.lit(question)), how, k, scorer)
+
+    def _reranked(self, candidates: DataFrame, how: str | None, k: int, scorer: Callable | None) -> DataFrame:
         chosen = rerank.strategy(how)
         if chosen is rerank.llm:
-            return chosen(candidates.withColumn("question", F.lit(question)), k, self.generate)
-        if chosen is rerank.cross:
-            return chosen(candidates.withColumn("question", F.lit(question)), k, scorer)
-        return chosen(candidates, k)
+            return chosen(candidates, k, self.generate)
+        return chosen(candidates, k, scorer) if chosen is rerank.cross else chosen(candidates, k)
 
     def ask(self, question: str, namespace: str | None, allowed: set[str], model: str | None = None, how: str | None = "mmr", keyword: bool = True, graphs: bool = True) -> dict:
         import time
@@ -135,11 +191,13 @@ class Engine:
 
     def summarize(self, article: int, allowed: set[str]) -> str:
         """Over the chunks of the article's document, of its own tenant."""
-        own = self.articles(allowed).where(F.col("id") == article).limit(1).select("namespace", base_title(F.col("title")).alias("base"))
-        rows = self.articles(allowed).join(own, "namespace").where(base_title(F.col("title")) == F.col("base")).orderBy("id").select("summary").collect()
-        if not rows:
+        rows = self.articles(allowed)
+        own = rows.where(F.col("id") == article).select("namespace", base_title(F.col("title")).alias("base")).limit(1)
+        mine = rows.withColumn("base", base_title(F.col("title"))).join(F.broadcast(own), ["namespace", "base"])
+        told = governance.document_texts(mine, DOCUMENT_CHARS).collect()
+        if not told:
             raise LookupError(f"no article {article}")
-        return self.generate("Summarize:\n" + "".join(f"\n{r[0]}" for r in rows)[:DOCUMENT_CHARS])
+        return self.generate("Summarize:\n" + told[0]["text"])
 
     # governance
 

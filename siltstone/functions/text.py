@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ PII = (
     ("[PHONE]", r"\b[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{4}\b"),
 )
 
-#: Fixed pattern of an acronym, and of its definition: a name of one to five capitalised words, the acronym in brackets.
+#: Fixed pattern of an acronym, and of its definition: a name of one to five capitalised words, the acronym in brackets. White space is
+#: spelled out since DuckDB's short form for it, which the SQL of this pattern runs on, has no vertical tab.
 ACRONYM = r"\b[A-Z][A-Z0-9-]{1,7}\b"
 DEFINITION = r"([A-Z][A-Za-z0-9]*(?:[ \t\n\x0B\f\r]+[A-Z][A-Za-z0-9]*){0,4})[ \t\n\x0B\f\r]*\(([A-Z]{2,6})\)"
 
@@ -27,6 +30,11 @@ PREFIXES = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once for a row, however often ``use`` names it."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def bounded(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 

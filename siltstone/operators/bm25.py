@@ -7,7 +7,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
+from ..lineage import cut
 
 K1, B = 1.2, 0.75
 
@@ -31,26 +32,37 @@ def _gain(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Colum
     return F.when((tf > 0) & (df > 0), idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).otherwise(0.0)
 
 
+def counted(articles: DataFrame, terms: list[str], text: str = "summary") -> DataFrame:
+    """(namespace, id, dl, tf): a text's tokens and how often each of the terms is one, told apart once."""
+
+    def count(toks: Column) -> Column:
+        own = F.filter(toks, lambda x: x.isin(terms))
+        return let(own, lambda found: F.struct(F.size(toks).alias("dl"), F.array(*[F.size(F.filter(found, _equals(t))) for t in terms]).alias("tf")))
+
+    return articles.select("namespace", "id", let(tokens(F.col(text)), count).alias("c")).select("namespace", "id", "c.dl", "c.tf")
+
+
 def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
 def scores(articles: DataFrame, query: str, text: str = "summary") -> DataFrame:
-    """``articles`` that a query's terms score above 0 within their tenant, with ``score``; a repeated term counts repeatedly.
+    """(namespace, id, score) of the articles that a query's terms score above 0 within their tenant; a repeated term counts repeatedly.
 
-    Term frequencies are counted in the row, for the query's terms alone, so nothing is shuffled but one row of sums per tenant.
+    Texts are read once: what is kept of them is a few numbers, which the sums per tenant and the scores are made from.
     """
     import re
 
     counts = Counter(re.findall("[a-z0-9]+", query.lower()))
     if not counts:
-        return articles.withColumn("score", F.lit(0.0)).where(F.lit(False))
+        return articles.select("namespace", "id", F.lit(0.0).alias("score")).where(F.lit(False))
     terms = sorted(counts)
-    toks = articles.withColumn("__t", tokens(F.col(text)))
-    counted = toks.withColumn("__dl", F.size("__t")).withColumn("__tf", F.array(*[F.size(F.filter("__t", _equals(t))) for t in terms])).drop("__t")
-    sums = counted.groupBy("namespace").agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"__df{i}") for i in range(len(terms))])
-    total = sum((counts[t] * _gain(F.col("__tf")[i].cast("double"), F.col("__dl"), F.col(f"__df{i}"), F.col("__n"), F.col("__avg")) for i, t in enumerate(terms)), F.lit(0.0))
-    return counted.where(F.exists("__tf", lambda x: x > 0)).join(sums, "namespace").withColumn("score", total).where("score > 0").select(*articles.columns, "score")
+    slim = cut(counted(articles, terms, text))
+    dfs = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    sums = slim.groupBy("namespace").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *dfs)
+    gains = (counts[t] * _gain(F.col("tf")[i].cast("double"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avg")) for i, t in enumerate(terms))
+    found = slim.where(F.exists("tf", lambda x: x > 0)).join(sums, "namespace")
+    return found.select("namespace", "id", sum(gains, F.lit(0.0)).alias("score")).where("score > 0")
 
 
 def batch_scores(index: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:

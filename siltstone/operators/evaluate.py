@@ -20,14 +20,18 @@ def title_hit(titles: Column, stem: Column) -> Column:
 def hits(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Cases (case_id, keywords, title_part) against rows (case_id, config, title, summary): one row per case and config with ``hit``."""
     blob = retrieved.groupBy("case_id", "config").agg(F.array_join(F.collect_list(F.concat_ws(" ", "title", "summary")), " ").alias("blob"))
-    whole = cases.crossJoin(retrieved.select("config").distinct()).join(blob, ["case_id", "config"], "left").withColumn("blob", F.coalesce("blob", F.lit("")))
+    # every case under every configuration: there are a handful of those
+    pairs = cases.crossJoin(F.broadcast(retrieved.select("config").distinct()))
+    whole = pairs.join(blob, ["case_id", "config"], "left").withColumn("blob", F.coalesce("blob", F.lit("")))
     fits = all_keywords(F.col("blob"), F.col("keywords")) & F.coalesce(F.lower("blob").contains(F.lower("title_part")), F.lit(True))
     return whole.select(*cases.columns, "config", fits.alias("hit"))
 
 
 def recall(judged: DataFrame, *by: str) -> DataFrame:
     """Share of hits and the missed cases."""
-    return judged.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("recall"), F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("case_id")))).alias("missed"))
+    missed = F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("case_id"))))
+    share = F.avg(F.col("hit").cast("double"))
+    return judged.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), share.alias("recall"), missed.alias("missed"))
 
 
 def judge_score(reply: Column) -> Column:
@@ -47,14 +51,14 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 def sweep(engine, cases: DataFrame, allowed: set[str], configs: dict[str, tuple[str, bool, bool]] | None = None) -> DataFrame:
     """Cases (case_id, question, namespace, keywords, title_part) under every configuration, with ``hit``.
 
-    The cases are a golden set of some dozens: each is one search; what they find is compared as a table.
+    A configuration is one search for all its cases, so plans grow with the configurations and not with the golden set.
     """
     found = None
-    for case in cases.collect():
-        for name, (how, keyword, graphs) in (configs or CONFIGS).items():
-            top = engine.rerank(case["question"], engine.retrieve(case["question"], case["namespace"], allowed, keyword=keyword, graphs=graphs), how)
-            rows = top.select(F.lit(case["case_id"]).alias("case_id"), F.lit(name).alias("config"), "title", "summary")
-            found = rows if found is None else found.unionByName(rows)
+    asked = cases.select("case_id", "question", "namespace")
+    for name, (how, keyword, graphs) in (configs or CONFIGS).items():
+        top = engine.rerank_all(asked, engine.retrieve_all(asked, allowed, keyword=keyword, graphs=graphs), how)
+        rows = top.select("case_id", F.lit(name).alias("config"), "title", "summary")
+        found = rows if found is None else found.unionByName(rows)
     if found is None:
         return cases.select("case_id").withColumn("config", F.lit("")).withColumn("hit", F.lit(False))
     return hits(cases.select("case_id", "keywords", "title_part"), found)

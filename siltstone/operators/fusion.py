@@ -9,19 +9,26 @@ RRF_K, GRAPH_WEIGHT = 60, 2.0
 
 
 def ranked(scored: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
-    """Adds rank0 (from 0) within the keys: best score first, ties to the least id."""
-    out = scored.withColumn("rank0", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")) - 1)
-    return out.where(F.col("rank0") < k) if k else out
+    """Adds rank0 (from 0) within the keys: best score first, ties to the least id.
+
+    The filter is on the row number itself, so that each task sends on its k best only.
+    """
+    numbered = scored.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
+    return (numbered.where(F.col("__n") <= k) if k else numbered).withColumn("rank0", F.col("__n") - 1).drop("__n")
 
 
 def fuse(lists: list[tuple[DataFrame, float]], by: list[str], rrf_k: int = RRF_K) -> DataFrame:
     """(by..., id, score) of lists with rank0: each adds weight / (rrf_k + rank0 + 1); one union and one aggregate, no outer join."""
-    parts = [df.select(*by, "id", (F.lit(float(w)) / (rrf_k + F.col("rank0") + 1)).alias("score"), F.lit(i).alias("__l")) for i, (df, w) in enumerate(lists)]
+    def part(i: int, df: DataFrame, weight: float) -> DataFrame:
+        return df.select(*by, "id", (F.lit(float(weight)) / (rrf_k + F.col("rank0") + 1)).alias("score"), F.lit(i).alias("__l"))
+
+    parts = [part(i, df, w) for i, (df, w) in enumerate(lists)]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     # added in the lists' order, so sums are equal on every run
-    return whole.groupBy(*by, "id").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("__l", "score"))), F.lit(0.0), lambda a, x: a + x["score"]).alias("score"))
+    in_order = F.array_sort(F.collect_list(F.struct("__l", "score")))
+    return whole.groupBy(*by, "id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x["score"]).alias("score"))
 
 
 def hybrid(vector: DataFrame, keyword: DataFrame | None, graph: DataFrame | None, n: int, by: list[str], graph_weight: float = GRAPH_WEIGHT) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ACRONYM
+from ..functions.text import ACRONYM, acronyms, has_word
 
 # Fixed values of the default glossary (capital markets, in Korean).
 ACRONYMS = {
@@ -26,6 +26,7 @@ ENTITIES = {
     "EVENT": ["기업공개", "유상증자", "무상증자", "자사주매입", "배당", "인수합병", "공매도", "주주총회", "기업설명회", "사업보고서", "분기보고서", "감사보고서", "정정공시", "공정공시"],
     "INDEX": ["코스피200", "코스피", "코스닥", "코넥스"],
 }
+# Fixed order of edge types (ties go to the first) and of relations (the first of a pair counts).
 EDGE_TYPES = ["SUPERVISES", "GOVERNED_BY", "ISSUES", "LISTED_ON", "CALCULATES", "REQUIRES", "CLASSIFIES", "DISCLOSES", "UNTYPED"]
 RELATIONS = [
     ("한국거래소", "CALCULATES", "코스피200"),
@@ -47,7 +48,7 @@ RELATIONS = [
     ("금융감독원", "SUPERVISES", "한국거래소"),
     ("금융감독원", "SUPERVISES", "사업보고서"),
 ]
-# Fixed pattern of a law's name with an optional decree, which is cut off.
+# Fixed patterns of a law's name with an optional decree, and of the decree, which is cut off.
 LAW = "[가-힣]{2,}법(?![인률])(?:\\s*시행령|\\s*시행규칙)?"
 DECREE = "\\s*(시행령|시행규칙)$"
 
@@ -89,6 +90,15 @@ class Glossary:
             added += {(True, False): [full], (False, True): [short]}.get(has, [])
         return " ".join([query, *added])
 
+    def rewritten(self, questions: DataFrame, column: str = "question", into: str = "asked") -> DataFrame:
+        """``rewrite`` for a column of questions, as expressions over the glossary's literals."""
+        query, added = F.col(column), []
+        for short, full in self.acronyms.items():
+            has = has_word(query, F.lit(short))
+            added += [F.when(has & ~query.contains(full), F.lit(full)), F.when(~has & query.contains(full), F.lit(short))]
+        told = F.concat_ws(" ", query, *added) if added else query
+        return questions.withColumn(into, F.when(query.isNull() | (F.regexp_replace(query, "\\s", "") == ""), query).otherwise(told))
+
     def entity_table(self, spark: SparkSession) -> DataFrame:
         rows = [(x, self.type_of(x), i) for i, x in enumerate(self.names())]
         return spark.createDataFrame(rows, "entity string, type string, ord int")
@@ -111,8 +121,6 @@ def article_entities(articles: DataFrame, glossary: Glossary | None = None, text
     found = names
     if own.acronyms:
         pairs = F.create_map(*[F.lit(x) for kv in own.acronyms.items() for x in kv])
-        from ..functions.text import acronyms
-
         found = F.concat(found, F.filter(F.transform(acronyms(F.col(text)), lambda a: pairs[a]), lambda x: x.isNotNull()))
     if own.law_rule:
         laws = F.regexp_extract_all(text, F.lit(LAW), F.lit(0))

@@ -96,3 +96,15 @@ def paired(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn that follows it at once."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     return turns.withColumn("__r", F.lead("role").over(w)).withColumn("answer", F.lead("text").over(w)).where((F.col("role") == "user") & (F.col("__r") == "assistant")).select("conv_id", "turn", F.col("text").alias("question"), "answer")
+
+
+def document_texts(articles: DataFrame, most: int) -> DataFrame:
+    """(namespace, base, text): a document's chunks (namespace, base, id, summary) by id, each after a line end, ``most`` characters in all.
+
+    Chunks that begin beyond ``most`` characters are left out in the plan, so a row holds no more than that and one chunk.
+    """
+    piece = F.concat(F.lit("\n"), F.coalesce("summary", F.lit("")))
+    before = Window.partitionBy("namespace", "base").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    begun = articles.withColumn("__p", piece).withColumn("__at", F.coalesce(F.sum(F.length("__p")).over(before), F.lit(0))).where(F.col("__at") < most)
+    parts = F.array_sort(F.collect_list(F.struct("id", F.col("__p").alias("p"))))
+    return begun.groupBy("namespace", "base").agg(F.substring(F.array_join(F.transform(parts, lambda x: x["p"]), ""), 1, most).alias("text"))

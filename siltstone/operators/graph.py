@@ -48,31 +48,35 @@ def links(edges: DataFrame, least: int = LEAST_WEIGHT, typed: bool = True) -> Da
     return by_pair.withColumn("step", step).where(F.col("w") >= least).select("namespace", "src", "dst", "edge_type", "step")
 
 
-def reach(seeds: DataFrame, steps: DataFrame, hops: int = 2) -> DataFrame:
-    """(namespace, entity, weight, hop, path) of the entities within ``hops`` steps of the seeds (namespace, entity).
+def reach(seeds: DataFrame, steps: DataFrame, hops: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., namespace, entity, weight, hop, path) of the entities within ``hops`` steps of the seeds (by..., namespace, entity).
 
     Level by level: an entity's hop is its least distance, its weight the greatest over the level before, ties to the parent that
-    sorts first. The path is an array of (from, type, to).
+    sorts first. The path is an array of (from, type, to). With ``by`` many questions are asked at once, each from its own seeds.
     """
-    step_type = "array<struct<from:string,type:string,to:string>>"
-    level = seeds.select("namespace", "entity", F.lit(1.0).alias("weight"), F.lit(0).alias("hop"), F.array().cast(step_type).alias("path")).distinct()
+    step_type, key = "array<struct<from:string,type:string,to:string>>", [*by, "namespace"]
+    start = (F.lit(1.0).alias("weight"), F.lit(0).alias("hop"), F.array().cast(step_type).alias("path"))
+    level = seeds.select(*key, "entity", *start).distinct()
     seen = level
+    ways = steps.select(F.col("namespace").alias("__ns"), "src", "dst", "edge_type", "step")
     for hop in range(1, hops + 1):
-        onward = level.join(steps, (level["namespace"] == steps["namespace"]) & (level["entity"] == steps["src"]))
-        grown = onward.select(level["namespace"], F.col("dst").alias("entity"), (F.col("weight") * F.col("step")).alias("weight"), F.concat("path", F.array(F.struct(F.col("src").alias("from"), F.col("edge_type").alias("type"), F.col("dst").alias("to")))).alias("path"), "src")
-        fresh = grown.join(seen.select("namespace", "entity"), ["namespace", "entity"], "left_anti")
-        best = fresh.groupBy("namespace", "entity").agg(F.max("weight").alias("weight"), F.min_by("path", F.struct(-F.col("weight"), F.col("src"))).alias("path"))
-        level = best.select("namespace", "entity", "weight", F.lit(hop).alias("hop"), "path")
+        onward = level.join(ways, (F.col("namespace") == F.col("__ns")) & (F.col("entity") == F.col("src")))
+        taken = F.struct(F.col("src").alias("from"), F.col("edge_type").alias("type"), F.col("dst").alias("to"))
+        grown = onward.select(*key, F.col("dst").alias("entity"), (F.col("weight") * F.col("step")).alias("weight"), F.concat("path", F.array(taken)).alias("path"), "src")
+        fresh = grown.join(seen.select(*key, "entity"), [*key, "entity"], "left_anti")
+        best = fresh.groupBy(*key, "entity").agg(F.max("weight").alias("weight"), F.min_by("path", F.struct(-F.col("weight"), F.col("src"))).alias("path"))
+        level = best.select(*key, "entity", "weight", F.lit(hop).alias("hop"), "path")
         seen = seen.unionByName(level)
     return seen
 
 
-def search(entities: DataFrame, steps: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(namespace, id, score, best_entity, path): an article's score is the sum of its reached entities' weights."""
-    found = reach(seeds, steps, hops)
+def search(entities: DataFrame, steps: DataFrame, seeds: DataFrame, hops: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., namespace, id, score, best_entity, path): an article's score is the sum of its reached entities' weights."""
+    found = reach(seeds, steps, hops, by)
     held = entities.select("namespace", "id", "entity").distinct().join(found, ["namespace", "entity"])
     order = F.struct(-F.col("weight"), F.col("hop"), F.col("entity"))
-    return held.groupBy("namespace", "id").agg(F.sum("weight").alias("score"), F.min_by("entity", order).alias("best_entity"), F.min_by("path", order).alias("path"))
+    first = (F.min_by("entity", order).alias("best_entity"), F.min_by("path", order).alias("path"))
+    return held.groupBy(*by, "namespace", "id").agg(F.sum("weight").alias("score"), *first)
 
 
 def path_text(path: Column) -> Column:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from dataclasses import dataclass
 from itertools import batched
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -166,5 +168,19 @@ def lsh_knn(vectors: DataFrame, queries: Iterable[tuple[int, Iterable[float]]],
     return knn(vectors, queries, k, id_col, column)
 
 
+class VectorSearch(Protocol):
+    """What an engine asks of a vector store: the k nearest of each query, as ``knn`` tells them."""
+
+    def knn(self, vectors: DataFrame, queries: Iterable[tuple], k: int, within: str | None = None) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class Exact:
+    """Blocks of queries against every vector."""
+
+    def knn(self, vectors: DataFrame, queries: Iterable[tuple], k: int, within: str | None = None) -> DataFrame:
+        return knn(vectors, queries, k, within=within)
+
+
 def index_stats(signed: DataFrame) -> DataFrame:
     return signed.groupBy("namespace").agg(F.count("*").alias("vectors"), F.count_distinct("sig").alias("buckets"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 GLOSSARY_SIZE, GLOSSARY_LETTERS = 40, 8
 
@@ -17,7 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     title = F.concat(F.col("source"), F.lit(" #"), (F.col("doc_id") + 1).cast("string"))
-    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("namespace"), title.alias("title"), F.col("text").alias("summary"), F.concat(F.lit("file://"), F.col("source"), F.lit("#"), (F.col("doc_id") + 1).cast("string")).alias("url"), F.lit(None).cast("timestamp_ntz").alias("ingested_at"), F.col("source").alias("doc"))
+    url = F.concat(F.lit("file://"), F.col("source"), F.lit("#"), (F.col("doc_id") + 1).cast("string"))
+    none = F.lit(None).cast("timestamp_ntz")
+    named = (F.col("doc_id").alias("id"), F.col("lang").alias("namespace"), title.alias("title"), F.col("text").alias("summary"))
+    return docs.select(*named, url.alias("url"), none.alias("ingested_at"), F.col("source").alias("doc"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +30,29 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     feedback = F.when(k % 5 == 0, "up").when(k % 5 == 1, "down")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat(F.lit("question "), F.col("user_id").cast("string")).alias("question"), F.col("event_type").alias("model"), F.floor(F.col("value") * 100).cast("long").alias("latency_ms"), F.col("ts").alias("created_at"), F.concat(F.lit("#"), k.cast("string"), F.lit(" src")).alias("sources"), feedback.alias("feedback"), (k % 3).alias("pii_count"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"),
+        F.concat(F.lit("question "), F.col("user_id").cast("string")).alias("question"),
+        F.col("event_type").alias("model"),
+        F.floor(F.col("value") * 100).cast("long").alias("latency_ms"),
+        F.col("ts").alias("created_at"),
+        F.concat(F.lit("#"), k.cast("string"), F.lit(" src")).alias("sources"),
+        feedback.alias("feedback"),
+        (k % 3).alias("pii_count"),
+    )
 
 
 def glossary(arts: DataFrame) -> list[str]:
     """The GLOSSARY_SIZE long tokens that most articles hold, most frequent first; few enough to be a literal in plans."""
-    long = arts.select(F.explode(F.array_distinct(F.filter(tokens(F.col("summary")), lambda x: F.length(x) >= GLOSSARY_LETTERS))).alias("entity"))
-    return [r[0] for r in long.groupBy("entity").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "entity").limit(GLOSSARY_SIZE).collect()]
+    long = F.filter(tokens(F.col("summary")), lambda x: F.length(x) >= GLOSSARY_LETTERS)
+    counted = arts.select(F.explode(F.array_distinct(long)).alias("entity")).groupBy("entity").agg(F.count("*").alias("df"))
+    return [r[0] for r in counted.orderBy(F.desc("df"), "entity").limit(GLOSSARY_SIZE).collect()]
 
 
 def entities(arts: DataFrame, names: list[str]) -> DataFrame:
     """(namespace, id, doc, entity), found in the article's own row: no join and no shuffle."""
-    held = F.filter(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda e: F.lower("summary").contains(e))
+    every = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    held = let(F.lower("summary"), lambda low: F.filter(every, lambda e: low.contains(e)))
     return arts.select("namespace", "id", "doc", F.explode(held).alias("entity"))
 
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from ..functions.text import ns_key
+from ..lineage import cut
 from ..schema import ARTICLE
 
+#: Manifests whose folders stay for readers that began before the last change.
+KEPT = 2
+
 
 def _path(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
@@ -28,78 +35,198 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
-def rename(spark: SparkSession, old: str, new: str) -> None:
-    at, fs = _path(spark, old)
-    if not fs.rename(at, _path(spark, new)[0]):
-        raise OSError(f"can't rename {old} to {new}")
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no folder."""
+    at, fs = _path(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, fs = _path(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> bool:
+    """A file that is there whole or not at all; false if somebody else has made it first."""
+    sc = spark.sparkContext
+    jvm, staged = sc._jvm, f"{path}.{uuid.uuid4().hex}"
+    at, fs = _path(spark, staged)
+    stream = fs.create(at)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    options = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    try:
+        context.rename(at, _path(spark, path)[0], options)
+    except Py4JJavaError as e:
+        fs.delete(at, False)
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of a Parquet folder; one that is missing or holds no rows yet is empty. Without a namespace: ``default``.
+def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Articles of Parquet folders; one that is missing or holds no rows yet is empty. Without a namespace: ``default``.
 
     Numbers that aren't floats are dropped from embeddings.
     """
-    if not exists(spark, path):
-        return spark.createDataFrame([], ARTICLE)
+    there = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
     try:
-        df = spark.read.schema(ARTICLE).parquet(path)
+        df = spark.read.schema(ARTICLE).parquet(*there) if there else None
     except AnalysisException:
-        return spark.createDataFrame([], ARTICLE)
-    return df.withColumn("namespace", ns_key(F.col("namespace"))).withColumn("embedding", F.filter("embedding", lambda x: x.isNotNull())).select(*ARTICLE.names)
+        df = None
+    return spark.createDataFrame([], ARTICLE) if df is None else _read(df)
+
+
+def _read(df: DataFrame) -> DataFrame:
+    told = df.withColumn("namespace", ns_key(F.col("namespace")))
+    return told.withColumn("embedding", F.filter("embedding", lambda x: x.isNotNull())).select(*ARTICLE.names)
 
 
 def write_parquet(df: DataFrame, path: str) -> None:
-    """Replaces a folder: written aside, then put in place, so ``df`` may read from it."""
-    spark, staged = df.sparkSession, f"{path}.staged-{uuid.uuid4().hex}"
-    df.withColumn("namespace", ns_key(F.col("namespace"))).repartition("namespace", F.pmod(F.xxhash64("id"), F.lit(8))).write.option("compression", "snappy").partitionBy("namespace").parquet(staged)
-    if exists(spark, path):
-        old = f"{path}.old-{uuid.uuid4().hex}"
-        rename(spark, path, old)
-        rename(spark, staged, path)
-        remove(spark, old)
-    else:
-        rename(spark, staged, path)
-
-
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Articles of JSON files that hold an array each (or one object a line in a folder of Spark's)."""
-    if not exists(spark, path):
+    """A new folder of articles, partitioned by namespace; a tenant's rows go to a few files."""
+    named = df.withColumn("namespace", ns_key(F.col("namespace")))
+    spread = named.repartition("namespace", F.pmod(F.xxhash64("id"), F.lit(8)))
+    spread.write.option("compression", "snappy").partitionBy("namespace").parquet(path)
+
+
+def read_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Articles of JSON files that hold an array each, or with ``lines`` an object a line."""
+    there = [p for p in ([path] if isinstance(path, str) else path) if exists(spark, p)]
+    if not there:
         return spark.createDataFrame([], ARTICLE)
-    return spark.read.schema(ARTICLE).option("multiLine", True).json(path).withColumn("namespace", ns_key(F.col("namespace")))
+    return _read(spark.read.schema(ARTICLE).option("multiLine", not lines).json(there))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A new folder of articles, an object a line; fields that are null are left out."""
+    df.select(*ARTICLE.names).write.json(path)
 
 
 class TieredStore:
-    """Cold Parquet, hot small files; ``append`` compacts when the hot tier holds ``threshold`` rows."""
+    """Cold Parquet, hot small folders (Parquet or JSON); ``append`` compacts when the hot tier holds ``threshold`` rows.
+
+    What the store holds is told by the newest of its numbered manifests, a small file that names the folders. A change writes
+    folders of its own and then the next manifest; where another writer has been first, it begins again. So a reader sees
+    all of a change or nothing, a failure leaves what was there, and two appends never give one id. (This needs a file system whose rename
+    refuses an existing name, as HDFS and local ones do.)
+    """
+
+    def __init__(self, spark: SparkSession, root: str, threshold: int = 3, hot_format: str = "parquet"):
+        if hot_format not in ("parquet", "json"):
+            raise ValueError(f"unknown format {hot_format!r}")
+        self.spark, self.root, self.threshold, self.hot_format = spark, root, threshold, hot_format
+
+    # manifests
+
+    def _numbers(self) -> list[int]:
+        names = listed(self.spark, f"{self.root}/manifests")
+        return sorted(int(n.removesuffix(".json")) for n in names if n.removesuffix(".json").isdigit())
+
+    def manifest(self, number: int | None = None) -> dict:
+        """Of a version, the newest by default: cold and hot folders, the next id, rows of the hot tier, indexes."""
+        numbers = self._numbers() if number is None else [number]
+        if not numbers:
+            return {"version": 0, "cold": None, "hot": [], "next_id": 1, "hot_rows": 0, "indexes": {}}
+        return json.loads(read_text(self.spark, f"{self.root}/manifests/{numbers[-1]}.json"))
 
-    def __init__(self, spark: SparkSession, root: str, threshold: int = 3):
-        self.spark, self.cold, self.hot, self.threshold = spark, f"{root}/cold", f"{root}/hot", threshold
+    def _commit(self, now: dict, **changes) -> bool:
+        new = now | {"version": now["version"] + 1, "indexes": {}} | changes
+        return write_new(self.spark, f"{self.root}/manifests/{new['version']}.json", json.dumps(new))
+
+    def _folder(self, kind: str) -> str:
+        return f"{kind}-{uuid.uuid4().hex}"
+
+    def vacuum(self, keep: int = KEPT) -> None:
+        """Deletes old manifests and the folders that only they name."""
+        numbers = self._numbers()
+        kept = [self.manifest(n) for n in numbers[-keep:]]
+        named = {f for m in kept for f in [m["cold"], *m["hot"], *m["indexes"].values()] if f}
+        for n in numbers[:-keep]:
+            old = self.manifest(n)
+            for f in {x for x in [old["cold"], *old["hot"], *old["indexes"].values()] if x} - named:
+                remove(self.spark, f"{self.root}/{f}")
+            remove(self.spark, f"{self.root}/manifests/{n}.json")
+
+    # rows
+
+    def _hot(self, folders: list[str]) -> DataFrame:
+        paths = [f"{self.root}/{f}" for f in folders]
+        return read_json(self.spark, paths, lines=True) if self.hot_format == "json" else read_parquet(self.spark, paths)
 
     def hot_rows(self) -> DataFrame:
-        return read_parquet(self.spark, self.hot)
+        return self._hot(self.manifest()["hot"])
+
+    def _load(self, now: dict) -> DataFrame:
+        cold = read_parquet(self.spark, f"{self.root}/{now['cold']}") if now["cold"] else self.spark.createDataFrame([], ARTICLE)
+        return tiered(cold, self._hot(now["hot"])) if now["hot"] else cold
 
     def load(self) -> DataFrame:
-        return tiered(read_parquet(self.spark, self.cold), self.hot_rows())
+        return self._load(self.manifest())
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """Gives the rows the next ids, in their order by title, and stores them; returns what was stored."""
-        last = self.load().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        numbered_from(rows, last).write.mode("append").parquet(self.hot)
-        if self.hot_rows().count() >= self.threshold:
+        """Gives the rows the next ids, in their order by namespace, title and url, and stores them; returns what was stored."""
+        while True:
+            now, folder = self.manifest(), self._folder("hot")
+            path, first = f"{self.root}/{folder}", now["next_id"]
+            numbered = numbered_from(rows, first - 1)
+            (write_json if self.hot_format == "json" else lambda df, p: df.write.parquet(p))(numbered, path)
+            n = self._hot([folder]).count()
+            if self._commit(now, hot=[*now["hot"], folder], next_id=first + n, hot_rows=now["hot_rows"] + n):
+                break
+            remove(self.spark, path)
+        if now["hot_rows"] + n >= self.threshold:
             self.compact()
-        return self.load().where(F.col("id") > last)
-
-    def compact(self) -> None:
-        write_parquet(self.load(), self.cold)
-        remove(self.spark, self.hot)
-
-    def delete(self, ids: list[int]) -> bool:
+        return self.load().where(F.col("id").between(first, first + n - 1))
+
+    def compact(self) -> bool:
+        """Moves the hot tier's rows into the cold one; false if another writer has changed the store meanwhile."""
+        now = self.manifest()
+        return self._replace(now, self._load(now))
+
+    def _replace(self, now: dict, rows: DataFrame) -> bool:
+        folder = self._folder("cold")
+        write_parquet(rows, f"{self.root}/{folder}")
+        done = self._commit(now, cold=folder, hot=[], hot_rows=0)
+        if done:
+            self.vacuum()
+        else:
+            remove(self.spark, f"{self.root}/{folder}")
+        return done
+
+    def delete(self, ids: list[int] | DataFrame) -> bool:
         """Takes rows out of both tiers; false if there was none."""
-        all_ = self.load()
-        found = all_.where(F.col("id").isin(ids)).count() > 0
-        if found:
-            write_parquet(without(all_, self.spark.createDataFrame([(i,) for i in ids], "id long")), self.cold)
-            remove(self.spark, self.hot)
-        return found
+        gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id long")
+        gone = cut(gone.select("id").distinct())
+        while True:
+            now = self.manifest()
+            rows = self._load(now)
+            if rows.join(gone, "id", "left_semi").isEmpty():
+                return False
+            if self._replace(now, without(rows, gone)):
+                return True
+
+    # derived tables that stand beside the articles
+
+    def add_index(self, name: str, tables: dict[str, DataFrame]) -> bool:
+        """Stores tables that were derived from the articles as they are now; false if they have changed meanwhile."""
+        now, folder = self.manifest(), self._folder("index")
+        for part, df in tables.items():
+            df.write.parquet(f"{self.root}/{folder}/{part}")
+        done = self._commit(now, indexes=now["indexes"] | {name: folder})
+        if not done:
+            remove(self.spark, f"{self.root}/{folder}")
+        return done
+
+    def index(self, name: str) -> str | None:
+        """Where an index of the articles as they are now lies, if there is one."""
+        found = self.manifest()["indexes"].get(name)
+        return found and f"{self.root}/{found}"
 
 
 def tiered(cold: DataFrame, hot: DataFrame) -> DataFrame:
@@ -111,9 +238,21 @@ def without(articles: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def numbered_from(rows: DataFrame, last: int) -> DataFrame:
-    """Ids after ``last`` by order of (namespace, title, url); an append is small, so one window does."""
-    order = Window.orderBy("namespace", "title", "url")
-    return rows.withColumn("id", (F.row_number().over(order) + F.lit(last)).cast("long")).select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns or f.name == "id" else F.lit(None).cast(f.dataType).alias(f.name) for f in ARTICLE])
+    """Ids after ``last`` by order of (namespace, title, url): rows are sorted over all tasks, and each task's count moves the next one's ids."""
+    spark = rows.sparkSession
+    placed = cut(rows.orderBy("namespace", "title", "url")).withColumn("__row", F.monotonically_increasing_id())
+    task = F.shiftright("__row", 33)
+    shift, at = [], last + 1
+    for number, n in sorted(placed.groupBy(task.alias("t")).count().collect()):
+        shift.append((number, at - (number << 33)))
+        at += n
+    shifts = F.broadcast(spark.createDataFrame(shift, "__task long, __shift long"))  # a row for each task
+    numbered = placed.withColumn("__task", task).join(shifts, "__task").withColumn("id", F.col("__row") + F.col("__shift"))
+
+    def told(f: StructField) -> Column:
+        return (F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+
+    return numbered.select(*[told(f) for f in ARTICLE])
 
 
 def title_clash(fresh: DataFrame, known: DataFrame) -> DataFrame:

@@ -98,12 +98,45 @@ def test_tiers(spark, tmp_path):
         t.append(new(n))
     rows = t.load().orderBy("id").collect()
     assert [(r["id"], r["title"], r["namespace"]) for r in rows] == [(i + 1, f"t{i}", "default") for i in range(4)]
-    assert store.exists(spark, t.cold) and t.hot_rows().count() == 1
+    assert store.exists(spark, f"{t.root}/{t.manifest()['cold']}") and t.hot_rows().count() == 1
     assert t.delete([2]) and not t.delete([2])
     assert sorted(r["id"] for r in t.load().collect()) == [1, 3, 4]
     assert store.read_parquet(spark, str(tmp_path / "none")).schema == ARTICLE
 
 
+def test_a_store_of_json_and_two_writers(spark, tmp_path):
+    a, b = (store.TieredStore(spark, str(tmp_path / "s"), 100, "json") for _ in range(2))
+    new = lambda *ts: spark.createDataFrame([(t, "x\n\"y\"", "n", "u", [1.0, 2.5]) for t in ts], "title string, summary string, namespace string, url string, embedding array<float>")
+    assert [r["id"] for r in a.append(new("b", "a", "c")).orderBy("title").collect()] == [1, 2, 3]
+    # another writer is first: the second one begins again after it
+    real, raced = a._commit, []
+
+    def late(now, **changes):
+        if not raced:
+            raced.append(b.append(new("d", "e")).count())
+        return real(now, **changes)
+
+    a._commit = late
+    assert sorted(r["id"] for r in a.append(new("f")).collect()) == [6] and raced == [2]
+    rows = a.load().orderBy("id").collect()
+    assert [(r["id"], r["title"]) for r in rows] == list(zip(range(1, 7), "abcdef", strict=True)) and rows[0]["summary"] == 'x\n"y"' and rows[0]["embedding"] == [1.0, 2.5]
+    before = a.load()
+    a._commit = real
+    assert a.compact() and a.manifest()["hot"] == [] and before.count() == 6
+    assert a.delete(spark.createDataFrame([(2,), (2,), (99,)], "id long")) and a.load().count() == 5
+    # what no manifest of the last two names is gone
+    named = {f for n in a._numbers() for f in [a.manifest(n)["cold"], *a.manifest(n)["hot"]]}
+    assert {x for x in store.listed(spark, a.root) if x != "manifests"} == named - {None} and len(a._numbers()) == 2
+    with pytest.raises(ValueError):
+        store.TieredStore(spark, str(tmp_path / "s"), 1, "xml")
+
+
+def test_many_rows_get_ids_in_order(spark):
+    rows = spark.range(5000).selectExpr("concat('t', lpad(id, 5, '0')) AS title", "'n' AS namespace", "'u' AS url", "'s' AS summary").repartition(7)
+    got = store.numbered_from(rows, 10).orderBy("id").select("id", "title").collect()
+    assert [tuple(r) for r in got] == [(11 + i, f"t{i:05}") for i in range(5000)]
+
+
 def test_json_tier(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "title": "t", "summary": "s", "embedding": [1, 2.5]}]))
     r = store.read_json(spark, str(tmp_path / "a.json")).first()
@@ -180,6 +213,49 @@ def test_sweep(spark, tmp_path):
     assert evaluate.sql_hit([["Q3", 4.5]], "4.5") and not evaluate.sql_hit([], "4.5")
 
 
+def test_stored_graph_is_used_until_articles_change(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), threshold=100)
+    schema = "namespace string, title string, url string, text string"
+    e.ingest(spark.createDataFrame([("", "law", "file://law", "금융위원회가 자본시장법을 고쳤다"), ("z", "law", "file://law", "금융위원회와 배당")], schema), ALL)
+    derived = sorted(map(tuple, e.graph_hits("금융위원회", "default", e.store.load().where("namespace = 'default'")).select("id", "score").collect()))
+    assert e.store_graph() and e.store.index("graph")
+    stored = sorted(map(tuple, e.graph_hits("금융위원회", "default", e.store.load().where("namespace = 'default'")).select("id", "score").collect()))
+    assert stored == derived and len(derived) == 1
+    e.ingest(spark.createDataFrame([("", "new", "file://new", "자본시장법")], schema), ALL)
+    assert e.store.index("graph") is None and e.retrieve("금융위원회", None, ALL).count() == 2
+
+
+def test_many_questions_find_what_each_finds(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "e"), threshold=100)
+    schema = "namespace string, title string, url string, text string"
+    rows = [("", f"t{i}", f"file://t{i}", f"{w} about 자본시장법 {i}") for i, w in enumerate(["apples", "pears", "금융위원회", "plums and apples"])] + [("z", "t9", "file://t9", "apples of z")]
+    e.ingest(spark.createDataFrame(rows, schema), ALL)
+    asked = [("a", "apples", None), ("b", "금융위원회 pears", ""), ("c", "apples", "z"), ("d", "", None)]
+    cases = spark.createDataFrame(asked, "case_id string, question string, namespace string")
+    many = {}
+    for r in e.retrieve_all(cases, ALL).collect():
+        many.setdefault(r["case_id"], []).append((r["rank0"], r["id"], round(r["score"], 12)))
+    for case, question, ns in asked:
+        one = [(r["rank0"], r["id"], round(r["score"], 12)) for r in e.retrieve(question, ns, ALL).collect()]
+        assert sorted(many[case]) == sorted(one)
+    assert {r["case_id"] for r in e.retrieve_all(cases, {"z"}).collect()} == {"c"}
+
+
+def test_questions_are_rewritten_as_a_column(spark):
+    g = Glossary()
+    asked = ["ETF란?", "상장지수펀드와 KRX", "nothing", "", " ", None, "ETF 상장지수펀드"]
+    df = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, question string")
+    assert [r["asked"] for r in g.rewritten(df).orderBy("i").collect()] == [g.rewrite(q) for q in asked]
+
+
+def test_ranked_sends_on_the_best_only(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS q", "cast(id % 17 AS double) AS score")
+    plan = fusion.ranked(df, ["q"], 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    texts = arts(spark, [(1, "n", "a b")])
+    assert bm25.counted(texts, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
 def test_recall(spark):
     cases = spark.createDataFrame([("a", ["X", "y"], None), ("b", None, "top")], "case_id string, keywords array<string>, title_part string")
     found = spark.createDataFrame([("a", "c1", "t", "x and Y"), ("b", "c1", "Top", ""), ("a", "c2", "t", "x")], "case_id string, config string, title string, summary string")
