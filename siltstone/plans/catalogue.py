@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..lineage import cut
-from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, rerank, security, services, vector
-from ..sources import files, store
+from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, ranks, rerank, security, services, vector
+from ..sources import files, store, tabular
 from .views import articles, entities, query_log, relations, table, vectors
 from .views import glossary as names_of
 
@@ -128,13 +129,24 @@ def vector_topk(spark, d):
     return bm25.topk(scored, 20)
 
 
-@query("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x))), 12) AS score
- FROM embeddings e, embeddings q WHERE q.vec_id < 20) SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+COSINE = """round(list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))
+ / sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x)) * list_sum(list_transform({b}, lambda x: x::DOUBLE * x))), {n})"""
+NEAREST = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.format(a="e.embedding", b="q.embedding", n=12)} AS score
+ FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def asked_vectors(v: DataFrame) -> Iterator[tuple[int, list[float]]]:
+    """The stated queries of a search: every vector whose id is divisible by 100, in blocks as the search takes them."""
+    asked = vector.usable(v, 64).where("id % 100 = 0").orderBy("id").toLocalIterator()
+    return ((r["id"], r["embedding"]) for r in asked)
+
+
+@query(NEAREST)
 def vector_knn_join(spark, d):
-    """A stated set of twenty queries against every vector, in blocks."""
+    """A stated set of queries against every vector, in blocks."""
     v = vectors(spark, d)
-    asked = [(r["id"], r["embedding"]) for r in v.where("id < 20").orderBy("id").collect()]
-    return vector.knn(v, asked, 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return vector.knn(v, asked_vectors(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT label::VARCHAR AS namespace, count(*) AS vectors FROM embeddings WHERE len(embedding) = 64 GROUP BY 1")
@@ -142,16 +154,22 @@ def vector_stats(spark, d):
     return vector.usable(vectors(spark, d), 64).groupBy("namespace").agg(F.count("*").alias("vectors"))
 
 
-@query()
+def _signature_sql() -> str:
+    """The signature of ``embedding`` in SQL, with the planes as literals."""
+    product = "list_sum(list_transform(list_zip(embedding, {0}), lambda x: x[1]::DOUBLE * x[2]))"
+    cuts = ([float(x) for x in p] for p in vector.planes(64))
+    return " + ".join(f"({product.format(p)} >= 0)::INTEGER * {1 << i}" for i, p in enumerate(cuts))
+
+
+@query(f"SELECT label::VARCHAR AS namespace, count(*) AS vectors, count(DISTINCT {_signature_sql()}) AS buckets FROM embeddings GROUP BY 1")
 def lsh_stats(spark, d):
     return vector.index_stats(vector.signatures(vectors(spark, d), vector.planes(64)))
 
 
-@query()
+@query(NEAREST)
 def lsh_topk(spark, d):
     v = vectors(spark, d)
-    asked = vector.usable(v, 64).where("id % 100 = 0").orderBy("id").toLocalIterator()
-    return vector.lsh_knn(v, ((r["id"], r["embedding"]) for r in asked), 10, radius=2)
+    return vector.lsh_knn(v, asked_vectors(v), 10, radius=2).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])} SELECT namespace, id, round(score, 9) AS score FROM fused")
@@ -198,16 +216,23 @@ def rerank_none(spark, d):
     return rerank.none(candidates(spark, d), 2).select(F.col("query_id").alias("namespace"), "id", "rank0")
 
 
-@query()
+@query(f"WITH {VSCORE}, {_ranked('vr', 'vscore')} SELECT namespace, id, (CASE rank0 WHEN 3 THEN 0 ELSE 1 END)::INTEGER AS rank0 FROM vr WHERE rank0 IN (1, 3)")
 def llm_rerank(spark, d):
+    """The model's reply names the fourth and the second candidate."""
     asked = candidates(spark, d).join(articles(spark, d).select("id", "summary"), "id").withColumn("question", F.lit(QUESTION))
     return rerank.llm(asked, 2, lambda prompt: "3, 1").select(F.col("query_id").alias("namespace"), "id", "rank0")
 
 
-@query()
+@query(rf"""WITH {ARTICLES}, {VSCORE}, {_ranked("vr", "vscore")},
+shared AS (SELECT v.namespace, v.id, rank0, len(list_intersect({sorted(set(QUESTION.split()))}, regexp_extract_all(substr(summary, 1, 512), '\S+'))) AS n
+ FROM vr v JOIN articles a USING (id))
+SELECT namespace, id, (row_number() OVER (PARTITION BY namespace ORDER BY n DESC, rank0) - 1)::INTEGER AS rank0 FROM shared
+QUALIFY row_number() OVER (PARTITION BY namespace ORDER BY n DESC, rank0) <= 2""")
 def cross_rerank(spark, d):
+    """The model counts the words that question and passage share."""
     asked = candidates(spark, d).join(articles(spark, d).select("id", "summary"), "id").withColumn("question", F.lit(QUESTION))
-    return rerank.cross(asked, 2, lambda rows: [len(set(q.split()) & set(p.split())) for q, p in rows]).select(F.col("query_id").alias("namespace"), "id", "rank0")
+    best = rerank.cross(asked, 2, lambda rows: [len(set(q.split()) & set(p.split())) for q, p in rows])
+    return best.select(F.col("query_id").alias("namespace"), "id", "rank0")
 
 
 @query(f"WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES} SELECT namespace, id, entity FROM ents")
@@ -231,7 +256,19 @@ def graph_search(spark, d):
     return graph_found(spark, d).select("namespace", "id", F.round("score", 9).alias("score"))
 
 
-@query()
+PATHS = """p0 AS (SELECT namespace, entity, w, '' AS path FROM l0),
+p1 AS (SELECT * FROM (SELECT s.namespace, s.dst AS entity, p.w * s.step AS w, s.src || ' -' || s.edge_type || '-> ' || s.dst AS path,
+ row_number() OVER (PARTITION BY s.namespace, s.dst ORDER BY p.w * s.step DESC, s.src) AS r
+ FROM p0 p JOIN steps s ON s.namespace = p.namespace AND s.src = p.entity WHERE (s.namespace, s.dst) NOT IN (SELECT (namespace, entity) FROM l0)) WHERE r = 1),
+p2 AS (SELECT * FROM (SELECT s.namespace, s.dst AS entity, p.w * s.step AS w, p.path || '; ' || s.src || ' -' || s.edge_type || '-> ' || s.dst AS path,
+ row_number() OVER (PARTITION BY s.namespace, s.dst ORDER BY p.w * s.step DESC, s.src) AS r
+ FROM p1 p JOIN steps s ON s.namespace = p.namespace AND s.src = p.entity WHERE (s.namespace, s.dst) NOT IN (SELECT (namespace, entity) FROM l01)) WHERE r = 1),
+told AS (SELECT namespace, entity, w, path, 0 AS hop FROM p0 UNION ALL SELECT namespace, entity, w, path, 1 FROM p1 UNION ALL SELECT namespace, entity, w, path, 2 FROM p2)"""
+
+
+@query(f"""WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS}, {SEARCH}, {PATHS}
+SELECT e.namespace, e.id, t.entity AS best_entity, t.path FROM ents e JOIN told t ON t.namespace = e.namespace AND t.entity = e.entity
+QUALIFY row_number() OVER (PARTITION BY e.namespace, e.id ORDER BY t.w DESC, t.hop, t.entity) = 1""")
 def graph_paths(spark, d):
     return graph_found(spark, d).select("namespace", "id", "best_entity", graph.path_text(F.col("path")).alias("path"))
 
@@ -345,7 +382,12 @@ def acronym_scan(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.acronyms(F.col("text")), ",").alias("found"))
 
 
-@query()
+_DEFINED = f"list_zip(regexp_extract_all(t, '{X.DEFINITION}', 2), regexp_extract_all(t, '{X.DEFINITION}', 1))"
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'AI: ' || text AS t FROM documents)
+SELECT doc_id, t || CASE WHEN contains(t, 'Artificial Intelligence') THEN '' ELSE chr(10) || 'Artificial Intelligence (AI)' END AS text,
+ len(list_distinct(list_transform(list_filter({_DEFINED}, lambda p: upper(p[1][1]) = upper(p[2][1])), lambda p: p[1])))::INTEGER AS n_defined FROM d""")
 def acronym_expand(spark, d):
     defined = F.array(F.struct(F.lit("AI").alias("acronym"), F.lit("Artificial Intelligence").alias("full")))
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("AI: "), "text").alias("text"))
@@ -370,17 +412,29 @@ def source_type(spark, d):
     return table(spark, d, "pages").select("page_id", X.source_type(F.col("url")).alias("source_type"))
 
 
-@query("SELECT doc_id, lang, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 100 < 5 AND k.lang = d.lang AND lower(k.source) = lower(d.source))")
+#: Web pages as what the tenants hold already: their ids deal them over languages and titles.
+KNOWN = "known AS (SELECT DISTINCT ['de', 'en', 'es', 'fr'][page_id % 4 + 1] AS lang, 'src' || (page_id // 4 % 13) AS title FROM pages)"
+
+
+def known_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    langs = F.get(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), (F.col("page_id") % 4).cast("int"))
+    number = (F.floor(F.col("page_id") / 4) % 13).cast("string")
+    return table(spark, sf_dir, "pages").select(langs.alias("namespace"), number.alias("number"), F.col("page_id").alias("id"))
+
+
+@query(f"""WITH {KNOWN} SELECT doc_id, lang, source FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.lang = d.lang AND k.title = lower(d.source))""")
 def title_dedupe(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("namespace"), F.upper("source").alias("title"), "source")
-    fresh = store.title_clash(docs, docs.where("doc_id % 100 < 5").select("namespace", F.col("source").alias("title")))
-    return fresh.select("doc_id", F.col("namespace").alias("lang"), "source")
+    known = known_pages(spark, d).select("namespace", F.concat(F.lit("Src"), "number", F.lit("_")).alias("title"))
+    return store.title_clash(docs, known).select("doc_id", F.col("namespace").alias("lang"), "source")
 
 
-@query("SELECT DISTINCT lang AS namespace, source AS title FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents k WHERE k.doc_id % 50 = 0 AND k.lang = d.lang AND k.source = d.source)")
+@query(f"""WITH {KNOWN} SELECT DISTINCT lang AS namespace, source AS title FROM documents d
+WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.lang = d.lang AND k.title = d.source)""")
 def file_dedupe(spark, d):
-    arts = articles(spark, d)
-    return ingest.new_files(arts.select("namespace", F.col("doc").alias("title")).distinct(), arts.where("id % 50 = 0"))
+    known = known_pages(spark, d).select("namespace", F.concat(F.lit("src"), "number", F.lit(" #"), F.col("id").cast("string")).alias("title"))
+    return ingest.new_files(articles(spark, d).select("namespace", F.col("doc").alias("title")).distinct(), known)
 
 
 @query(f"WITH {ARTICLES} SELECT id, namespace, title FROM articles WHERE id % 2 = 0 UNION ALL SELECT id, namespace, title FROM articles WHERE id % 2 = 1")
@@ -429,15 +483,15 @@ def context_assembly(spark, d):
     return context(top, ["namespace"])
 
 
-@query("""WITH s AS (SELECT vec_id, label, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings), c AS (SELECT label, vec_id, round(list_sum(list_transform(list_zip(a, b), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(a, lambda x: x::DOUBLE * x)) * list_sum(list_transform(b, lambda x: x::DOUBLE * x))), 9) AS sim FROM s WHERE b IS NOT NULL),
-p AS (SELECT label, list_sort(list(sim)) AS v FROM c GROUP BY 1) SELECT c.label, vec_id, round(sim, 6) AS sim, sim < v[(floor(0.25 * (len(v) - 1)) + 1)::INTEGER] AS breaks FROM c JOIN p USING (label)""")
+@query(f"""WITH s AS (SELECT vec_id, label, embedding AS a, lead(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+c AS (SELECT label, vec_id, {COSINE.format(a="a", b="b", n=9)} AS sim FROM s WHERE b IS NOT NULL),
+p AS (SELECT label, list_sort(list(sim)) AS v FROM c GROUP BY 1)
+SELECT c.label, vec_id, round(sim, 6) AS sim, sim < v[(floor(0.25 * (len(v) - 1)) + 1)::INTEGER] AS breaks FROM c JOIN p USING (label)""")
 def semantic_breaks(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding", F.lead("embedding").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b IS NOT NULL")
-    sims = e.select("label", "vec_id", F.round(vector.cosine(F.col("embedding"), F.col("b")), 9).alias("sim"))
-    # the nearest rank by a window, which spills, instead of a sorted array of a whole group
-    w = Window.partitionBy("label")
-    placed = sims.withColumn("r", F.row_number().over(w.orderBy("sim"))).withColumn("n", F.count("*").over(w))
-    low = placed.where(F.col("r") == F.floor(F.lit(0.25) * (F.col("n") - 1)) + 1).select("label", F.col("sim").alias("low"))
+    """Neighbours and the lower quartile without a window over a whole label: blocks of ids hand on their first row, bins their counts."""
+    e = ranks.with_next(table(spark, d, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", into="b").where("b IS NOT NULL")
+    sims = cut(e.select("label", "vec_id", F.round(vector.cosine(F.col("embedding"), F.col("b")), 9).alias("sim")))
+    low = ranks.nearest_rank(sims, "label", "sim", chunk.LOW_SHARE, -1.0, 1.0).withColumnRenamed("sim", "low")
     return sims.join(low, "label").select("label", "vec_id", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("low")).alias("breaks"))
 
 
@@ -458,12 +512,18 @@ def conversation_pairs(spark, d):
     return governance.paired(table(spark, d, "conversations"))
 
 
-@query()
+_BARE = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<!--.*?-->"
+HTML = f"regexp_replace(regexp_replace(html, '{_BARE}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    HTML = f"replace({HTML}, '{_entity}', '{_sign}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({HTML}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS text FROM pages")
 def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT DISTINCT namespace, 'In a few words: {QUESTION}' AS answer, 'ok' AS status FROM top2")
 def ask_batch(spark, d):
     from ..api import ask_all
 
@@ -477,25 +537,31 @@ def ingest_pages(spark, d):
     return ingest.chunks(pages, at=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).drop("embedding")
 
 
-@query()
+def _domain_sql() -> str:
+    """Names, acronyms and laws of the default glossary. RE2 can't look ahead, so the pattern takes the next letter in and what ends with one goes."""
+    own = glossary.Glossary()
+    acronyms = "MAP {" + ", ".join(f"'{a}': '{f}'" for a, f in own.acronyms.items()) + "}"
+    full = f"list_filter(list_transform(regexp_extract_all(t, '{X.ACRONYM}'), lambda a: {acronyms}[a]), lambda x: x IS NOT NULL)"
+    laws = "list_filter(regexp_extract_all(t, '[가-힣]{2,}법[인률]?(?:[ \\t\\n]*시행령|[ \\t\\n]*시행규칙)?'), lambda x: NOT regexp_matches(x, '법[인률]$'))"
+    bare = f"list_transform({laws}, lambda x: regexp_replace(x, '[ \\t\\n]*(시행령|시행규칙)$', ''))"
+    return f"""WITH p AS (SELECT page_id AS id, 'KRX 자본시장법 시행령 ' || html AS t FROM pages)
+SELECT DISTINCT 'web' AS namespace, id, unnest(list_concat(list_filter({own.names()}, lambda e: contains(t, e)), {full}, {bare})) AS entity FROM p"""
+
+
+@query(_domain_sql())
 def domain_entities(spark, d):
     """The default glossary against the web pages, with two names put in so that it has something to find."""
-    pages = table(spark, d, "pages").select(F.lit("web").alias("namespace"), F.col("page_id").alias("id"), F.concat(F.lit("KRX 자본시장법 시행령 "), "html").alias("text"))
-    return glossary.article_entities(pages)
-
+    text = F.concat(F.lit("KRX 자본시장법 시행령 "), "html").alias("text")
+    return glossary.article_entities(table(spark, d, "pages").select(F.lit("web").alias("namespace"), F.col("page_id").alias("id"), text))
 
-def _sql(name: str, text: str, duck: str | None = None) -> None:
-    """A query by the guarded SQL surface over temporary views of the tables it names."""
-    import re
 
-    from ..sources.tabular import require_read_only
+def _sql(name: str, text: str, duck: str | None = None, rows: int | None = None) -> None:
+    """A query by the guarded SQL surface (``run_select``, with ``rows`` as its cap) over temporary views of the tables it names."""
 
     def run(spark, d):
-        tables = set(re.findall(r"\b(region|nation|customer|supplier|part|orders|lineitem|events)\b", text))
-        for t in tables:
+        for t in set(re.findall(r"\b(region|nation|customer|supplier|part|orders|lineitem|events)\b", text)):
             table(spark, d, t).createOrReplaceTempView(t)
-        require_read_only(text, spark)
-        return spark.sql(text)
+        return tabular.run_select(spark, text, strict=True, rows=rows)
 
     QUERIES[name], ORACLE[name] = run, duck or text
 
@@ -512,6 +578,15 @@ _sql("sql_json", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS I
 _sql("sql_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
 _sql("sql_case_outer", "SELECT r_name, CASE WHEN n_nationkey IS NULL THEN 'none' ELSE n_name END AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0")
 _sql("sql_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(1) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders GROUP BY 1")
+_FIRST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"
+_sql("sql_qualify", f'SELECT "o_custkey", o_orderkey, o_totalprice::DOUBLE AS total FROM orders QUALIFY {_FIRST}')
+_sql("sql_strftime", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) // 7 AS weeks FROM orders GROUP BY ALL ORDER BY month")
+_sql("sql_exclude", "SELECT * EXCLUDE (n_name) FROM nation JOIN (SELECT r_regionkey FROM region WHERE strpos(r_name, 'A') > 0) r ON n_regionkey = r_regionkey")
+_NULLS = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS balance FROM customer ORDER BY balance {0}, c_custkey"
+_sql("sql_nulls_asc_capped", _NULLS.format(""), _NULLS.format("") + " LIMIT 100", rows=100)
+_sql("sql_nulls_desc_capped", _NULLS.format("DESC"), _NULLS.format("DESC") + " LIMIT 100", rows=100)
+_ERRORS = "(SELECT * FROM events WHERE event_type = 'error') b"
+_sql("sql_asof_text", f"SELECT a.event_id, b.event_id AS error FROM events a ASOF JOIN {_ERRORS} ON a.user_id = b.user_id AND a.ts >= b.ts")
 
 
 @query("SELECT o.o_orderkey, e.event_id, e.ts FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-16 00:00:00' + INTERVAL (o_orderkey % 86400) SECOND AS at FROM orders) o ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) e ON e.user_id = o.o_custkey AND e.ts <= o.at")
@@ -523,3 +598,6 @@ def sql_asof(spark, d):
     w = Window.partitionBy("k").orderBy("at", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("side") == 0, F.struct("event_id", F.col("at").alias("ts"))), ignorenulls=True).over(w)
     return left.unionByName(right).withColumn("e", last).where("side = 1 AND e IS NOT NULL").select("o_orderkey", "e.event_id", "e.ts")
+
+
+from . import stored  # noqa: E402, F401  its queries register themselves

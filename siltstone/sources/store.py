@@ -184,6 +184,16 @@ class TieredStore:
             self.compact()
         return self.load().where(F.col("id").between(first, first + n - 1))
 
+    def adopt(self, rows: DataFrame) -> None:
+        """Makes rows that have ids already the store's first ones; later ids go on after the greatest."""
+        now, folder = self.manifest(), self._folder("cold")
+        if now["version"]:
+            raise ValueError("the store holds something already")
+        write_parquet(rows, f"{self.root}/{folder}")
+        last = read_parquet(self.spark, f"{self.root}/{folder}").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        if not self._commit(now, cold=folder, next_id=last + 1):
+            raise ValueError("another writer has been first")
+
     def compact(self) -> bool:
         """Moves the hot tier's rows into the cold one; false if another writer has changed the store meanwhile."""
         now = self.manifest()

@@ -170,13 +170,3 @@ def test_java_random():
     draw = vector.JavaRandom(42)
     assert draw.gaussian() == pytest.approx(1.1419053154730547, abs=1e-12)
     assert sorted(vector.probes(0, 3, 2)) == [0, 1, 2, 3, 4, 5, 6]
-
-
-@pytest.mark.parametrize(("duck", "spark_sql"), [
-    ('SELECT "Orbiting Body" FROM t WHERE a = \'x "y" // z\'', 'SELECT `Orbiting Body` FROM t WHERE a = \'x "y" // z\''),
-    ("SELECT * EXCLUDE (a) FROM t", "SELECT * EXCEPT (a) FROM t"),
-    ("SELECT a // 2, b::INT FROM t", "SELECT a  div  2, CAST(b AS INT) FROM t"),
-    ("SELECT list_contains(x, 1) FROM t", "SELECT array_contains(x, 1) FROM t"),
-])
-def test_dialect(duck, spark_sql):
-    assert tabular.to_spark_sql(duck) == spark_sql

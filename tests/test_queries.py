@@ -32,8 +32,8 @@ def test_query(spark, duck, name):
         want = duck.execute(catalogue.ORACLE[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
-    else:
-        assert len(got) > 0
+    else:  # held against plain recursion in test_chunks.py
+        assert name in ("chunk_recursive", "chunk_semantic", "ingest_pages") and len(got) > 0
 
 
 def test_every_sql_has_a_query():
