@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..lineage import forget_at_exit, shared_folder
 from ..operators import governance, ingest, vector
 from ..operators.glossary import Glossary
-from ..sources import store, tabular
+from ..sources import files, store, tabular
 from .catalogue import ARTICLES, LOG, query
 from .views import articles, query_log, table, vectors
 
@@ -179,3 +179,9 @@ def audit_written(spark, d):
     query_log(spark, d).write.mode("append").parquet(path)
     sums = (F.count("*").alias("calls"), F.sum("latency_ms").alias("latency"), F.count("feedback").alias("told"))
     return spark.read.parquet(path).agg(*sums, F.max("created_at").alias("last"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS encoded FROM documents")
+def image_base64(spark, d):
+    """Bytes as they are handed to a model of images."""
+    return table(spark, d, "documents").select("doc_id", files.encoded(F.encode(F.col("text"), "UTF-8")).alias("encoded"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extractor
+from .office import hwp_text, pdf_text, xlsx_text
 
 PREVIEW = "Preview/PrvText.txt"
 
@@ -57,6 +58,9 @@ EXTRACTORS: dict[str, Callable[[bytes], str]] = {
     "docx": lambda b: zipped_xml_text(b, r"word/document\.xml"),
     "pptx": lambda b: zipped_xml_text(b, r"ppt/slides/slide\d+\.xml"),
     "hwpx": hwpx_text,
+    "hwp": hwp_text,
+    "pdf": pdf_text,
+    "xlsx": xlsx_text,
 }
 
 
@@ -84,6 +88,11 @@ def image_text(ocr: str, caption: str) -> str:
     return f"[OCR]\n{ocr}\n\n[Vision]\n{caption}"
 
 
+def encoded(content: Column) -> Column:
+    """Bytes as one line of base64, as a model of images takes them."""
+    return F.base64(content)
+
+
 def read_images(images: DataFrame, ocr: Callable[[bytes], str], caption: Callable[[bytes], str]) -> DataFrame:
     """(title, content) to (title, url, text); an OCR that fails gives no words."""
 
