@@ -2,13 +2,17 @@
 
 OP1 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+ list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 twice AS (SELECT r, g FROM win GROUP BY ALL HAVING count(*) > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM win JOIN twice USING (r, g)) GROUP BY 1),
-c AS (SELECT w.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, w, l FROM w LEFT JOIN covered USING (r)),
+c AS (SELECT w.r, doc_id, len(w) AS n_words,
+ coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+ coalesce(n, 0) AS n_repeat_words, w, l FROM w LEFT JOIN covered USING (r)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- n_symbols > 0.25 * n_words OR len(list_filter(w, lambda x: regexp_full_match(x, '[\p{Lu}\p{P}]{2,}'))) > 0.4 * n_words OR len(list_filter(w, lambda x: x LIKE '%!!')) > 0.2 * n_words OR len(list_filter(w, lambda x: x = '|')) > 0.2 * n_words
+ n_symbols > 0.25 * n_words OR len(list_filter(w, lambda x: regexp_full_match(x, '[\p{Lu}\p{P}]{2,}'))) > 0.4 * n_words
+ OR len(list_filter(w, lambda x: x LIKE '%!!')) > 0.2 * n_words OR len(list_filter(w, lambda x: x = '|')) > 0.2 * n_words
  OR len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) > 0.2 * n_words OR word_chars > 40 * n_words OR 2 * n_dup_lines > len(l) AS rejected FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v
 """
@@ -36,20 +40,23 @@ SELECT doc_id, n_lines, n_dropped, length(text) AS n_chars_kept, sha256(text) AS
 OP9 = r"""
 WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 1 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM raw),
+t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 1 AS tokens,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM raw),
 u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto, place // 1024 AS block,
  greatest(512 - 128 - max(CASE WHEN place = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 128) AS room FROM t),
 starts AS (SELECT conv_id, block, place, upto - tokens AS base, room FROM u WHERE place % 1024 = 0
  UNION ALL SELECT conv_id, block, place, base, room FROM (
  SELECT u.conv_id, u.block, u.place, u.upto - u.tokens AS base, u.room, row_number() OVER (PARTITION BY s.conv_id, s.block, s.place ORDER BY u.place) AS nearest
  FROM starts s JOIN u ON u.conv_id = s.conv_id AND u.block = s.block AND u.place > s.place AND u.upto > s.base + s.room) WHERE nearest = 1),
-spans AS (SELECT conv_id, place AS first, lead(place) OVER v AS next_first, lead(base) OVER v AS next_start FROM starts WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
+spans AS (SELECT conv_id, place AS first, lead(place) OVER v AS next_first, lead(base) OVER v AS next_start
+ FROM starts WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
 ends AS (SELECT conv_id, count(*) AS last FROM spans GROUP BY 1),
 shown AS (SELECT u.conv_id, place, role, text,
  1 + CASE WHEN next_start IS NOT NULL AND NOT (place = 0 AND role = 'system') AND next_start - upto + tokens <= 128 THEN 1 ELSE 0 END
  + CASE WHEN place = 0 AND role = 'system' THEN last - 1 ELSE 0 END AS times
  FROM u JOIN spans s ON u.conv_id = s.conv_id AND place >= first AND (next_first IS NULL OR place < next_first) JOIN ends e ON e.conv_id = u.conv_id),
-esc AS (SELECT *, length('<|turn|><|text|><|end|>') + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM shown),
+esc AS (SELECT *, length('<|turn|><|text|><|end|>') + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars
+ FROM shown),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS told,
  coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(times * chars)::BIGINT AS formatted_chars FROM esc GROUP BY 1)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
