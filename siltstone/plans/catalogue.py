@@ -33,22 +33,30 @@ def query(sql: str | None = None):
 
 
 # shared parts of the SQL
-ARTICLES = "articles AS (SELECT doc_id AS id, lang AS namespace, source || ' #' || (doc_id + 1) AS title, text AS summary, 'file://' || source || '#' || (doc_id + 1) AS url, source AS doc FROM documents)"
+ARTICLES = """articles AS (SELECT doc_id AS id, lang AS namespace, source || ' #' || (doc_id + 1) AS title, text AS summary, 'file://' || source || '#' || (doc_id + 1) AS url, source AS doc
+ FROM documents)"""
 TOKENS = "toks AS (SELECT id, namespace, regexp_extract_all(lower(summary), '[a-z0-9]+') AS t FROM articles)"
 LOG = """k AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
-log AS (SELECT event_id AS id, 'question ' || user_id AS question, event_type AS model, CAST(floor(value * 100) AS BIGINT) AS latency_ms, ts AS created_at, '#' || k || ' src' AS sources, CASE WHEN k % 5 = 0 THEN 'up' WHEN k % 5 = 1 THEN 'down' END AS feedback, k % 3 AS pii_count FROM k)"""
-GLOSSARY = "names AS (SELECT entity, row_number() OVER (ORDER BY df DESC, entity) - 1 AS ord FROM (SELECT w AS entity, count(DISTINCT id) AS df FROM (SELECT id, unnest(t) AS w FROM toks) WHERE length(w) >= 8 GROUP BY w ORDER BY df DESC, entity LIMIT 40))"
+log AS (SELECT event_id AS id, 'question ' || user_id AS question, event_type AS model, CAST(floor(value * 100) AS BIGINT) AS latency_ms, ts AS created_at, '#' || k || ' src' AS sources, CASE
+ WHEN k % 5 = 0 THEN 'up' WHEN k % 5 = 1 THEN 'down' END AS feedback, k % 3 AS pii_count FROM k)"""
+GLOSSARY = """names AS (SELECT entity, row_number() OVER (ORDER BY df DESC, entity) - 1 AS ord FROM (SELECT w AS entity, count(DISTINCT id) AS df
+ FROM (SELECT id, unnest(t) AS w FROM toks) WHERE length(w) >= 8 GROUP BY w ORDER BY df DESC, entity LIMIT 40))"""
 ENTITIES = "ents AS (SELECT namespace, id, doc, entity FROM articles JOIN names ON contains(lower(summary), entity))"
-RELATIONS = "rels AS (SELECT least(a.entity, b.entity) AS a, greatest(a.entity, b.entity) AS b, CASE WHEN a.ord % 3 = 0 THEN 'CALCULATES' ELSE 'REQUIRES' END AS type FROM names a JOIN names b ON b.ord = a.ord + 1 WHERE a.ord % 3 < 2)"
+RELATIONS = """rels AS (SELECT least(a.entity, b.entity) AS a, greatest(a.entity, b.entity) AS b, CASE WHEN a.ord % 3 = 0 THEN 'CALCULATES' ELSE 'REQUIRES' END AS type
+ FROM names a JOIN names b ON b.ord = a.ord + 1 WHERE a.ord % 3 < 2)"""
 EDGES = """pairs AS (SELECT x.namespace, x.entity AS a, y.entity AS b FROM ents x JOIN ents y ON x.id = y.id AND x.namespace = y.namespace AND x.entity < y.entity
- UNION ALL SELECT namespace, a, b FROM (SELECT DISTINCT x.namespace, x.doc, x.entity AS a, y.entity AS b FROM (SELECT DISTINCT namespace, doc, entity FROM ents) x JOIN (SELECT DISTINCT namespace, doc, entity FROM ents) y ON x.doc = y.doc AND x.namespace = y.namespace AND x.entity < y.entity)),
+ UNION ALL SELECT namespace, a, b FROM (SELECT DISTINCT x.namespace, x.doc, x.entity AS a, y.entity AS b FROM (SELECT DISTINCT namespace, doc, entity
+ FROM ents) x JOIN (SELECT DISTINCT namespace, doc, entity FROM ents) y ON x.doc = y.doc AND x.namespace = y.namespace AND x.entity < y.entity)),
 counted AS (SELECT namespace, p.a, p.b, coalesce(type, 'UNTYPED') AS edge_type, count(*) AS cnt FROM pairs p LEFT JOIN rels r ON p.a = r.a AND p.b = r.b GROUP BY ALL),
 edges AS (SELECT namespace, a AS src, b AS dst, edge_type, cnt FROM counted UNION ALL SELECT namespace, b, a, edge_type, cnt FROM counted)"""
-STEPS = "steps AS (SELECT namespace, src, dst, edge_type, 0.5::DOUBLE * cnt / max(cnt) OVER (PARTITION BY namespace, src) * CASE WHEN edge_type = 'UNTYPED' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS step FROM edges)"
+STEPS = """steps AS (SELECT namespace, src, dst, edge_type, 0.5::DOUBLE * cnt / max(cnt) OVER (PARTITION BY namespace, src) * CASE WHEN edge_type = 'UNTYPED' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS step
+ FROM edges)"""
 SEARCH = f"""l0 AS (SELECT DISTINCT e.namespace, e.entity, 1.0::DOUBLE AS w FROM ents e JOIN names n USING (entity) WHERE n.ord IN ({", ".join(map(str, SEED_ORDS))})),
-l1 AS (SELECT s.namespace, s.dst AS entity, max(l.w * s.step) AS w FROM l0 l JOIN steps s ON s.namespace = l.namespace AND s.src = l.entity WHERE NOT EXISTS (SELECT 1 FROM l0 z WHERE z.namespace = s.namespace AND z.entity = s.dst) GROUP BY 1, 2),
+l1 AS (SELECT s.namespace, s.dst AS entity, max(l.w * s.step) AS w FROM l0 l JOIN steps s ON s.namespace = l.namespace AND s.src = l.entity
+ WHERE NOT EXISTS (SELECT 1 FROM l0 z WHERE z.namespace = s.namespace AND z.entity = s.dst) GROUP BY 1, 2),
 l01 AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1),
-l2 AS (SELECT s.namespace, s.dst AS entity, max(l.w * s.step) AS w FROM l1 l JOIN steps s ON s.namespace = l.namespace AND s.src = l.entity WHERE NOT EXISTS (SELECT 1 FROM l01 z WHERE z.namespace = s.namespace AND z.entity = s.dst) GROUP BY 1, 2),
+l2 AS (SELECT s.namespace, s.dst AS entity, max(l.w * s.step) AS w FROM l1 l JOIN steps s ON s.namespace = l.namespace AND s.src = l.entity
+ WHERE NOT EXISTS (SELECT 1 FROM l01 z WHERE z.namespace = s.namespace AND z.entity = s.dst) GROUP BY 1, 2),
 reached AS (SELECT *, 0 AS hop FROM l0 UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2),
 gscore AS (SELECT e.namespace, e.id, sum(r.w) AS score FROM ents e JOIN reached r ON r.namespace = e.namespace AND r.entity = e.entity GROUP BY 1, 2)"""
 
@@ -61,10 +69,15 @@ def _terms() -> str:
 
 BM25 = f"""q(term, times) AS (VALUES {_terms()}),
 nsq AS (SELECT namespace, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
-post AS (SELECT namespace, id, w AS term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT namespace, id, len(t) AS dl, unnest(t) AS w FROM toks) WHERE w IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+post AS (SELECT namespace, id, w AS term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT namespace, id, len(t) AS dl, unnest(t) AS w FROM toks)
+ WHERE w IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 dfs AS (SELECT namespace, term, count(*) AS df FROM post GROUP BY 1, 2),
-kscore AS (SELECT p.namespace, p.id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM post p JOIN q USING (term) JOIN dfs USING (namespace, term) JOIN nsq USING (namespace) GROUP BY 1, 2)"""
-VSCORE = "qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), vscore AS (SELECT lang AS namespace, vec_id AS id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x))), 9) AS score FROM embeddings JOIN documents ON doc_id = vec_id, qv)"
+kscore AS (SELECT p.namespace, p.id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+ FROM post p JOIN q USING (term) JOIN dfs USING (namespace, term) JOIN nsq USING (namespace) GROUP BY 1, 2)"""
+VSCORE = """qv AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0),
+ vscore AS (SELECT lang AS namespace, vec_id AS id,
+ round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x))), 9) AS score
+ FROM embeddings JOIN documents ON doc_id = vec_id, qv)"""
 
 
 def _ranked(name: str, source: str, n: int = 20) -> str:
@@ -107,22 +120,29 @@ def graph_found(spark: SparkSession, sf_dir: str, typed: bool = True) -> DataFra
     return graph.search(ents, graph.links(edges, typed=typed), seeds)
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25} SELECT namespace, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY round(score, 9) DESC, id) AS rank FROM kscore) WHERE rank <= 10")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25} SELECT namespace, id, round(score, 6) AS score, rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY round(score, 9) DESC, id) AS rank FROM kscore) WHERE rank <= 10""")
 def bm25_topk(spark, d):
     return bm25.topk(keyword_scores(spark, d), 10, ["namespace"]).select("namespace", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, n AS (SELECT namespace, count(*) AS n_docs, avg(len(t)) AS avgdl FROM toks GROUP BY 1), f AS (SELECT namespace, term, count(*) AS df FROM (SELECT DISTINCT namespace, id, unnest(t) AS term FROM toks) GROUP BY 1, 2) SELECT namespace, term, df, n_docs, round(avgdl, 6) AS avgdl FROM f JOIN n USING (namespace)")
+@query(f"""WITH {ARTICLES}, {TOKENS}, n AS (SELECT namespace, count(*) AS n_docs, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
+ f AS (SELECT namespace, term, count(*) AS df FROM (SELECT DISTINCT namespace, id, unnest(t) AS term FROM toks) GROUP BY 1, 2)
+ SELECT namespace, term, df, n_docs, round(avgdl, 6) AS avgdl FROM f JOIN n USING (namespace)""")
 def bm25_term_stats(spark, d):
     return bm25.term_stats(articles(spark, d)).select("namespace", "term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS} SELECT namespace, id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT namespace, id, len(t)::INTEGER AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2, 3")
+@query(f"""WITH {ARTICLES}, {TOKENS} SELECT namespace, id, term, count(*) AS tf, any_value(dl) AS dl
+ FROM (SELECT namespace, id, len(t)::INTEGER AS dl, unnest(t) AS term FROM toks) GROUP BY 1, 2, 3""")
 def bm25_postings(spark, d):
     return bm25.postings(articles(spark, d))
 
 
-@query("WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id AS id, round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x))), 6) AS score FROM embeddings, q ORDER BY score DESC, id LIMIT 20")
+@query("""WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0)
+ SELECT vec_id AS id,
+ round(list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x))), 6) AS score
+ FROM embeddings, q ORDER BY score DESC, id LIMIT 20""")
 def vector_topk(spark, d):
     v = vectors(spark, d)
     scored = v.select("id", F.round(vector.cosine(F.col("embedding"), asked_vector(spark, d)), 6).alias("score"))
@@ -172,19 +192,25 @@ def lsh_topk(spark, d):
     return vector.lsh_knn(v, asked_vectors(v), 10, radius=2).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])} SELECT namespace, id, round(score, 9) AS score FROM fused")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])}
+ SELECT namespace, id, round(score, 9) AS score FROM fused""")
 def rrf_fuse(spark, d):
     by = ["namespace"]
     parts = [(fusion.ranked(x(spark, d), by, 20), 1.0) for x in (vector_scores, keyword_scores)]
     return fusion.fuse(parts, by).select("namespace", "id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])} SELECT namespace, id, round(score, 9) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, id) - 1 AS rank0 FROM fused) WHERE rank0 < 20")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])}
+ SELECT namespace, id, round(score, 9) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, id) - 1 AS rank0
+ FROM fused) WHERE rank0 < 20""")
 def hybrid_topk(spark, d):
     return fusion.hybrid(vector_scores(spark, d), keyword_scores(spark, d), None, 20, ["namespace"]).withColumn("score", F.round("score", 9))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS}, {SEARCH}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_ranked('gr', 'gscore')}, {_fused([('vr', 1.0), ('kr', 1.0), ('gr', 2.0)])} SELECT namespace, id, round(score, 9) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, id) - 1 AS rank0 FROM fused) WHERE rank0 < 20")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS}, {SEARCH}, {_ranked('vr', 'vscore')},
+ {_ranked('kr', 'kscore')}, {_ranked('gr', 'gscore')}, {_fused([('vr', 1.0), ('kr', 1.0), ('gr', 2.0)])}
+ SELECT namespace, id, round(score, 9) AS score, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, id) - 1 AS rank0
+ FROM fused) WHERE rank0 < 20""")
 def hybrid_graph_weighted(spark, d):
     found = graph_found(spark, d).select("namespace", "id", F.round("score", 9).alias("score"))
     return fusion.hybrid(vector_scores(spark, d), keyword_scores(spark, d), found, 20, ["namespace"]).withColumn("score", F.round("score", 9))
@@ -192,8 +218,11 @@ def hybrid_graph_weighted(spark, d):
 
 MMR = f"""cand AS (SELECT v.namespace, v.id, rank0, embedding, count(*) OVER (PARTITION BY v.namespace) AS n FROM vr v JOIN embeddings e ON e.vec_id = v.id),
 lead AS (SELECT namespace, embedding AS q FROM cand WHERE rank0 = 0),
-val AS (SELECT c.namespace, id, rank0, round(0.6::DOUBLE * (1 - rank0 / n) - 0.4::DOUBLE * greatest(0.0, list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x)))), 9) AS mmr FROM cand c JOIN lead USING (namespace) WHERE rank0 > 0)
-SELECT namespace, id, 0 AS rank0 FROM cand WHERE rank0 = 0 UNION ALL SELECT namespace, id, 1 FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY mmr DESC, rank0) AS r FROM val) WHERE r = 1"""
+val AS (SELECT c.namespace, id, rank0, round(0.6::DOUBLE * (1 - rank0 / n) - 0.4::DOUBLE * greatest(0.0,
+ list_sum(list_transform(list_zip(embedding, q), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x)))), 9) AS mmr
+ FROM cand c JOIN lead USING (namespace) WHERE rank0 > 0)
+SELECT namespace, id, 0 AS rank0 FROM cand WHERE rank0 = 0 UNION ALL SELECT namespace, id, 1 FROM (SELECT *,
+ row_number() OVER (PARTITION BY namespace ORDER BY mmr DESC, rank0) AS r FROM val) WHERE r = 1"""
 
 
 def candidates(spark, d):
@@ -263,7 +292,8 @@ p1 AS (SELECT * FROM (SELECT s.namespace, s.dst AS entity, p.w * s.step AS w, s.
 p2 AS (SELECT * FROM (SELECT s.namespace, s.dst AS entity, p.w * s.step AS w, p.path || '; ' || s.src || ' -' || s.edge_type || '-> ' || s.dst AS path,
  row_number() OVER (PARTITION BY s.namespace, s.dst ORDER BY p.w * s.step DESC, s.src) AS r
  FROM p1 p JOIN steps s ON s.namespace = p.namespace AND s.src = p.entity WHERE (s.namespace, s.dst) NOT IN (SELECT (namespace, entity) FROM l01)) WHERE r = 1),
-told AS (SELECT namespace, entity, w, path, 0 AS hop FROM p0 UNION ALL SELECT namespace, entity, w, path, 1 FROM p1 UNION ALL SELECT namespace, entity, w, path, 2 FROM p2)"""
+told AS (SELECT namespace, entity, w, path, 0 AS hop FROM p0 UNION ALL SELECT namespace, entity, w, path, 1 FROM p1 UNION ALL
+ SELECT namespace, entity, w, path, 2 FROM p2)"""
 
 
 @query(f"""WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS}, {SEARCH}, {PATHS}
@@ -273,21 +303,27 @@ def graph_paths(spark, d):
     return graph_found(spark, d).select("namespace", "id", "best_entity", graph.path_text(F.col("path")).alias("path"))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}, {STEPS.replace('0.5::DOUBLE * cnt / max(cnt) OVER (PARTITION BY namespace, src) * CASE WHEN edge_type = ' + chr(39) + 'UNTYPED' + chr(39) + ' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END', '0.5::DOUBLE')}, {SEARCH} SELECT namespace, id, round(score, 9) AS score FROM gscore")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES},
+ {STEPS.replace('0.5::DOUBLE * cnt / max(cnt) OVER (PARTITION BY namespace, src) * CASE WHEN edge_type = ' + chr(39) + 'UNTYPED' + chr(39) + ' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END', '0.5::DOUBLE')},
+ {SEARCH} SELECT namespace, id, round(score, 9) AS score FROM gscore""")
 def graph_search_untyped(spark, d):
     """The older form: a half for each hop, whatever the edge."""
     return graph_found(spark, d, typed=False).select("namespace", "id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {ARTICLES}, {TOKENS}, {GLOSSARY}, {ENTITIES}, {RELATIONS}, {EDGES}
-SELECT n.namespace, n.entities, n.articles, coalesce(e.edges, 0) AS edges, coalesce(e.typed_cnt, 0) AS typed_cnt, coalesce(e.total_cnt, 0) AS total_cnt FROM (SELECT namespace, count(DISTINCT entity) AS entities, count(DISTINCT id) AS articles FROM ents GROUP BY 1) n
-LEFT JOIN (SELECT namespace, count(*) AS edges, sum(CASE WHEN edge_type <> 'UNTYPED' THEN cnt ELSE 0 END)::BIGINT AS typed_cnt, sum(cnt)::BIGINT AS total_cnt FROM edges WHERE src < dst GROUP BY 1) e USING (namespace)""")
+SELECT n.namespace, n.entities, n.articles, coalesce(e.edges, 0) AS edges, coalesce(e.typed_cnt, 0) AS typed_cnt,
+ coalesce(e.total_cnt, 0) AS total_cnt FROM (SELECT namespace, count(DISTINCT entity) AS entities, count(DISTINCT id) AS articles FROM ents
+ GROUP BY 1) n
+LEFT JOIN (SELECT namespace, count(*) AS edges, sum(CASE WHEN edge_type <> 'UNTYPED' THEN cnt ELSE 0 END)::BIGINT AS typed_cnt,
+ sum(cnt)::BIGINT AS total_cnt FROM edges WHERE src < dst GROUP BY 1) e USING (namespace)""")
 def graph_stats(spark, d):
     _, ents, edges = graph_tables(spark, d)
     return graph.stats(ents, edges)
 
 
-@query(f"WITH {ARTICLES} SELECT namespace, doc AS base, count(*) AS chunks, arg_min(url, id) AS url, array_to_string(list_sort(list(id)), ',') AS ids FROM articles GROUP BY 1, 2")
+@query(f"""WITH {ARTICLES} SELECT namespace, doc AS base, count(*) AS chunks, arg_min(url, id) AS url, array_to_string(list_sort(list(id)), ',') AS ids
+ FROM articles GROUP BY 1, 2""")
 def doc_rollup(spark, d):
     return governance.documents(articles(spark, d)).select("namespace", "base", "chunks", "url", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
@@ -302,7 +338,9 @@ def stats_by_model(spark, d):
     return governance.by_model(query_log(spark, d))
 
 
-@query(f"WITH {LOG} SELECT count(*) AS total_calls, floor(coalesce(avg(latency_ms), 0) + 0.5)::BIGINT AS avg_latency_ms, coalesce(sum(pii_count), 0)::BIGINT AS total_pii FROM log")
+@query(f"""WITH {LOG}
+ SELECT count(*) AS total_calls, floor(coalesce(avg(latency_ms), 0) + 0.5)::BIGINT AS avg_latency_ms, coalesce(sum(pii_count), 0)::BIGINT AS total_pii
+ FROM log""")
 def stats_totals(spark, d):
     return governance.totals(query_log(spark, d))
 
@@ -312,12 +350,16 @@ def feedback_counts(spark, d):
     return governance.feedback(query_log(spark, d))
 
 
-@query(f"WITH {ARTICLES}, c AS (SELECT namespace, doc, CASE WHEN arg_min(url, id) LIKE 'image://%' THEN 'image' WHEN arg_min(url, id) LIKE 'file://%' THEN 'file' ELSE 'wikipedia' END AS source_type, count(*) AS chunks FROM articles GROUP BY 1, 2) SELECT source_type, count(*) AS docs, sum(chunks)::BIGINT AS chunks FROM c GROUP BY 1")
+@query(f"""WITH {ARTICLES}, c AS (SELECT namespace, doc, CASE WHEN arg_min(url, id) LIKE 'image://%' THEN 'image'
+ WHEN arg_min(url, id) LIKE 'file://%' THEN 'file' ELSE 'wikipedia' END AS source_type, count(*) AS chunks
+ FROM articles GROUP BY 1, 2) SELECT source_type, count(*) AS docs, sum(chunks)::BIGINT AS chunks FROM c GROUP BY 1""")
 def stats_by_source_type(spark, d):
     return governance.by_source_type(governance.catalogue(articles(spark, d), "hashing"))
 
 
-@query(f"WITH {LOG} SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, floor(avg(latency_ms) + 0.5)::BIGINT AS avg_latency_ms, max(latency_ms) AS max_latency_ms FROM log GROUP BY 1")
+@query(f"""WITH {LOG}
+ SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS calls, floor(avg(latency_ms) + 0.5)::BIGINT AS avg_latency_ms, max(latency_ms) AS max_latency_ms
+ FROM log GROUP BY 1""")
 def audit_by_day(spark, d):
     return governance.by_day(query_log(spark, d)).withColumn("day", F.col("day").cast("string"))
 
@@ -361,8 +403,10 @@ def pii_count(spark, d):
     return table(spark, d, "documents").select("doc_id", X.pii_count(F.col("text")).alias("pii_count"))
 
 
-@query("""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents), c AS (SELECT doc_id, unnest(range(0, CASE WHEN n <= 1000 THEN 1 ELSE ceil((n - 1000) / 850.0)::BIGINT + 1 END)) AS i, text FROM n)
-SELECT doc_id, i::INTEGER AS pos, regexp_replace(substr(text, (i * 850 + 1)::BIGINT, 1000), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS chunk FROM c WHERE regexp_matches(substr(text, (i * 850 + 1)::BIGINT, 1000), '[^\\x00-\\x20]')""")
+@query("""WITH n AS (SELECT doc_id, text, length(text) AS n FROM documents), c AS (SELECT doc_id, unnest(range(0, CASE
+ WHEN n <= 1000 THEN 1 ELSE ceil((n - 1000) / 850.0)::BIGINT + 1 END)) AS i, text FROM n)
+SELECT doc_id, i::INTEGER AS pos, regexp_replace(substr(text, (i * 850 + 1)::BIGINT, 1000), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g') AS chunk
+ FROM c WHERE regexp_matches(substr(text, (i * 850 + 1)::BIGINT, 1000), '[^\\x00-\\x20]')""")
 def chunk_fixed(spark, d):
     return chunk.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, "fixed")
 
@@ -394,13 +438,17 @@ def acronym_expand(spark, d):
     return docs.select("doc_id", X.expand_acronyms(F.col("text"), defined).alias("text"), F.size(X.definitions(F.col("text"))).alias("n_defined"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'search_query: ' WHEN event_type = 'view' THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END AS query_prefix, CASE WHEN event_type = 'click' THEN 'search_document: ' ELSE '' END AS document_prefix FROM events")
+@query("""SELECT event_id, CASE WHEN event_type = 'click' THEN 'search_query: '
+ WHEN event_type = 'view' THEN 'Represent this sentence for searching relevant passages: ' ELSE '' END AS query_prefix, CASE
+ WHEN event_type = 'click' THEN 'search_document: ' ELSE '' END AS document_prefix
+ FROM events""")
 def embed_prefix(spark, d):
     model = F.when(F.col("event_type") == "click", "NOMIC-embed-text").when(F.col("event_type") == "view", "mxbai-embed-large").when(F.col("event_type") == "error", "granite-embedding:278m")
     return table(spark, d, "events").select("event_id", X.prefix(model, "query").alias("query_prefix"), X.prefix(model, "document").alias("document_prefix"))
 
 
-@query("WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A.HWP' WHEN 1 THEN 'b.HwpX' WHEN 2 THEN 'c.hwp.pdf' ELSE 'd' END AS name FROM documents) SELECT doc_id, CASE WHEN lower(name) LIKE '%.hwpx' THEN 'HWPX' WHEN lower(name) LIKE '%.hwp' THEN 'HWP' ELSE 'TIKA' END AS route FROM f")
+@query("""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'A.HWP' WHEN 1 THEN 'b.HwpX' WHEN 2 THEN 'c.hwp.pdf' ELSE 'd' END AS name FROM documents)
+ SELECT doc_id, CASE WHEN lower(name) LIKE '%.hwpx' THEN 'HWPX' WHEN lower(name) LIKE '%.hwp' THEN 'HWP' ELSE 'TIKA' END AS route FROM f""")
 def format_router(spark, d):
     k = F.col("doc_id") % 4
     name = F.when(k == 0, "A.HWP").when(k == 1, "b.HwpX").when(k == 2, "c.hwp.pdf").otherwise("d")
@@ -469,13 +517,16 @@ def tenant_filter(spark, d):
 TOP2 = f"top2 AS (SELECT namespace, id, rank0 FROM ({_ranked('x', 'kscore', 2).removeprefix('x AS (').removesuffix(')')}))"
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT t.namespace, string_agg('#' || t.id || ' ' || title, '; ' ORDER BY rank0) AS sources FROM top2 t JOIN articles a USING (id) GROUP BY 1")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT t.namespace, string_agg('#' || t.id || ' ' || title, '; ' ORDER BY rank0) AS sources FROM top2 t
+ JOIN articles a USING (id) GROUP BY 1""")
 def provenance(spark, d):
     top = fusion.ranked(keyword_scores(spark, d), ["namespace"], 2).join(articles(spark, d).select("id", "title"), "id")
     return top.groupBy("namespace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank0", F.concat(F.lit("#"), F.col("id").cast("string"), F.lit(" "), F.col("title")).alias("s")))), lambda x: x["s"]), "; ").alias("sources"))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT t.namespace, string_agg('- ' || title || ': ' || substr(summary, 1, 600) || chr(10), '' ORDER BY rank0) AS context FROM top2 t JOIN articles a USING (id) GROUP BY 1")
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2}
+ SELECT t.namespace, string_agg('- ' || title || ': ' || substr(summary, 1, 600) || chr(10), '' ORDER BY rank0) AS context FROM top2 t
+ JOIN articles a USING (id) GROUP BY 1""")
 def context_assembly(spark, d):
     from ..api import context
 
@@ -495,7 +546,8 @@ def semantic_breaks(spark, d):
     return sims.join(low, "label").select("label", "vec_id", F.round("sim", 6).alias("sim"), (F.col("sim") < F.col("low")).alias("breaks"))
 
 
-@query("""WITH h AS (SELECT d.lang AS category, l.doc_id AS case_id, contains(lower(d.text), 'the ') AND contains(lower(d.text), 'tion') AS hit FROM labels l JOIN documents d USING (doc_id))
+@query("""WITH h AS (SELECT d.lang AS category, l.doc_id AS case_id, contains(lower(d.text), 'the ') AND contains(lower(d.text), 'tion') AS hit FROM labels l
+ JOIN documents d USING (doc_id))
 SELECT category, count(*) AS n, count(*) FILTER (hit) AS hits, round(avg(hit::INTEGER), 6) AS recall FROM h GROUP BY 1""")
 def recall_sweep(spark, d):
     cases = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select(F.col("lang").alias("category"), F.col("doc_id").alias("case_id"), evaluate.all_keywords(F.col("text"), F.array(F.lit("The "), F.lit("TION"))).alias("hit"))
@@ -507,7 +559,8 @@ def judge_scores(spark, d):
     return table(spark, d, "events").select("event_id", F.coalesce(evaluate.judge_score(F.col("props")), F.lit(0)).alias("score"))
 
 
-@query("SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'")
+@query("""SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer
+ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant'""")
 def conversation_pairs(spark, d):
     return governance.paired(table(spark, d, "conversations"))
 
@@ -566,18 +619,31 @@ def _sql(name: str, text: str, duck: str | None = None, rows: int | None = None)
     QUERIES[name], ORACLE[name] = run, duck or text
 
 
-_sql("sql_avg_sum_count", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus")
-_sql("sql_join_agg", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name HAVING count(*) > 1")
-_sql("sql_semi_anti", "SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
-_sql("sql_rollup_cube", "SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n, grouping(c_mktsegment) AS g FROM customer GROUP BY CUBE (customer.c_mktsegment, customer.c_nationkey)", "SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n, grouping(c_mktsegment)::TINYINT AS g FROM customer GROUP BY CUBE (customer.c_mktsegment, customer.c_nationkey)")
-_sql("sql_window_rank", "SELECT o_custkey, o_orderkey, rk FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) t WHERE rk <= 3")
-_sql("sql_window_frame", "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving FROM orders")
-_sql("sql_setops", "SELECT k FROM ((SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) UNION ALL (SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer)) t")
-_sql("sql_cte_subquery", "WITH avgs AS (SELECT p_brand, avg(p_retailprice) AS a FROM part GROUP BY p_brand) SELECT p.p_partkey, p.p_brand, round(p.p_retailprice - a, 4) AS over_avg FROM part p JOIN avgs ON p.p_brand = avgs.p_brand WHERE p.p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+_sql("sql_avg_sum_count", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc,
+ round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
+ GROUP BY l_returnflag, l_linestatus""")
+_sql("sql_join_agg", """SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+ JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name HAVING count(*) > 1""")
+_sql("sql_semi_anti", """SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
+ AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""")
+_sql("sql_rollup_cube", """SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n, grouping(c_mktsegment) AS g
+ FROM customer GROUP BY CUBE (customer.c_mktsegment, customer.c_nationkey)""", """SELECT coalesce(c_mktsegment, 'all') AS c_mktsegment, coalesce(c_nationkey, -1) AS c_nationkey, count(*) AS n, grouping(c_mktsegment)::TINYINT AS g
+ FROM customer GROUP BY CUBE (customer.c_mktsegment, customer.c_nationkey)""")
+_sql("sql_window_rank", """SELECT o_custkey, o_orderkey, rk FROM (SELECT o_custkey, o_orderkey,
+ row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) t WHERE rk <= 3""")
+_sql("sql_window_frame", """SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING
+ AND CURRENT ROW), 2) AS moving FROM orders""")
+_sql("sql_setops", """SELECT k FROM ((SELECT n_nationkey AS k FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) UNION ALL (SELECT s_nationkey AS k
+ FROM supplier INTERSECT SELECT c_nationkey FROM customer)) t""")
+_sql("sql_cte_subquery", """WITH avgs AS (SELECT p_brand, avg(p_retailprice) AS a FROM part GROUP BY p_brand) SELECT p.p_partkey, p.p_brand,
+ round(p.p_retailprice - a, 4) AS over_avg FROM part p JOIN avgs ON p.p_brand = avgs.p_brand WHERE p.p_retailprice > (SELECT avg(p_retailprice)
+ FROM part)""")
 _sql("sql_json", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS INT)) AS k FROM events GROUP BY event_type", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS k FROM events GROUP BY event_type")
 _sql("sql_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
-_sql("sql_case_outer", "SELECT r_name, CASE WHEN n_nationkey IS NULL THEN 'none' ELSE n_name END AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 2 = 0")
-_sql("sql_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(1) FOR o_orderstatus IN ('F' AS f, 'O' AS o))", "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders GROUP BY 1")
+_sql("sql_case_outer", """SELECT r_name, CASE WHEN n_nationkey IS NULL THEN 'none' ELSE n_name END AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
+ AND n_nationkey % 2 = 0""")
+_sql("sql_pivot", """SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(1) FOR o_orderstatus IN ('F' AS f, 'O' AS o))""", """SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders
+ GROUP BY 1""")
 _FIRST = "row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1"
 _sql("sql_qualify", f'SELECT "o_custkey", o_orderkey, o_totalprice::DOUBLE AS total FROM orders QUALIFY {_FIRST}')
 _sql("sql_strftime", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, count(*) // 7 AS weeks FROM orders GROUP BY ALL ORDER BY month")
@@ -589,7 +655,8 @@ _ERRORS = "(SELECT * FROM events WHERE event_type = 'error') b"
 _sql("sql_asof_text", f"SELECT a.event_id, b.event_id AS error FROM events a ASOF JOIN {_ERRORS} ON a.user_id = b.user_id AND a.ts >= b.ts")
 
 
-@query("SELECT o.o_orderkey, e.event_id, e.ts FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-16 00:00:00' + INTERVAL (o_orderkey % 86400) SECOND AS at FROM orders) o ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) e ON e.user_id = o.o_custkey AND e.ts <= o.at")
+@query("""SELECT o.o_orderkey, e.event_id, e.ts FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-16 00:00:00' + INTERVAL (o_orderkey % 86400) SECOND AS at
+ FROM orders) o ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) e ON e.user_id = o.o_custkey AND e.ts <= o.at""")
 def sql_asof(spark, d):
     """The last event of each order's customer: both sides in one ordered stream per customer, no range join."""
     at = F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00' + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
