@@ -19,6 +19,8 @@ ROWS = 3000
 WORDS, GRAMS, LONGEST = 60_000, 20_000, 4
 #: Places that a language has at least, however many languages there are.
 PLACES = 200
+#: With more languages than this, tables of a row for each are joined by shuffles.
+FEW = 20_000
 #: Bytes of word scores, and words, that a worker keeps.
 KEPT_BYTES, KEPT = 24_000_000, 200_000
 
@@ -138,19 +140,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (bucket_of(F.col("i"), 5) != 0))
-    sizes = labelled.groupBy("l").agg(F.count("*").alias("rows"))
-    limits = sizes.select("l", (F.least(F.lit(1.0), rows / F.col("rows")) * 2**20).cast("long").alias("limit"))
-    chosen = labelled.join(F.broadcast(limits), "l").where(F.pmod(F.xxhash64("i"), F.lit(2**20)) < F.col("limit")).select("l", "t")
+    sizes = dict(labelled.groupBy("l").agg(F.count("*").alias("rows")).collect())
+    langs = sorted(sizes)
+    if not langs:
+        return Model([], [table_of({}, 0) for _ in range(LONGEST + 1)])
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if len(langs) <= FEW else df
+
+    spark = docs.sparkSession
+    limits = small(spark.createDataFrame([(x, int(min(1.0, rows / n) * 2**20)) for x, n in sizes.items()], "l string, limit long"))
+    chosen = labelled.join(limits, "l").where(F.pmod(F.xxhash64("i"), F.lit(2**20)) < F.col("limit")).select("l", "t")
     words = cut(chosen.mapInArrow(counted_words, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
     counted = cut(words.select(F.lit(0).alias("k"), "g", "l", "n").unionByName(grams_of(words)))
-    langs = sorted(r[0] for r in sizes.select("l").collect())
 
     # the least count that a language's places have room for, from how many grams have each count
     places = F.when(F.col("k") == 0, max(PLACES, WORDS // max(len(langs), 1))).otherwise(max(PLACES, GRAMS // max(len(langs), 1)))
     alike = counted.groupBy("k", "l", "n").agg(F.count("*").alias("grams"))
     upto = F.sum("grams").over(Window.partitionBy("k", "l").orderBy(F.desc("n")))
     least = alike.withColumn("upto", upto).where(F.col("upto") <= places).groupBy("k", "l").agg(F.min("n").alias("least"))
-    best = counted.join(F.broadcast(least), ["k", "l"]).where(F.col("n") >= F.col("least")).select("k", "g").distinct()
+    best = counted.join(small(least), ["k", "l"]).where(F.col("n") >= F.col("least")).select("k", "g").distinct()
     by_gram = counted.join(best, ["k", "g"], "left_semi").groupBy("k", "g").agg(F.collect_list(F.struct("l", "n")).alias("by"))
 
     place, found = {lang: i for i, lang in enumerate(langs)}, [{} for _ in range(LONGEST + 1)]
