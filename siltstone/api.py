@@ -149,7 +149,7 @@ class Engine:
         if stored is None:
             return ingest.indexes(rows, self.glossary)
         spaces = rows.select("namespace").distinct()
-        return {name: self.spark.read.parquet(f"{stored}/{name}").join(F.broadcast(spaces), "namespace", "left_semi") for name in ("entities", "edges")}
+        return {name: self.spark.read.parquet(f"{stored}/{name}").join(spaces, "namespace", "left_semi") for name in ("entities", "edges")}
 
     def store_graph(self) -> bool:
         """Derives the entity graph of all tenants once and stores it beside the articles; any change of the articles outdates it."""

@@ -36,6 +36,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def bounded(pattern: str) -> str:
+    """A pattern with EDGE for its word boundaries; one before a class of word characters looks for the class first, which most places lack."""
+    import re
+
+    first = re.match(r"\\b(?:\(\?:)?(\[(?:0-9|A-Z)\])", pattern)
+    if first:
+        pattern = f"(?={first[1]})(?<![A-Za-z0-9_])" + pattern[2:]
     return pattern.replace(r"\b", EDGE)
 
 
@@ -100,19 +106,34 @@ def expand_acronyms(chunk: Column, glossary: Column) -> Column:
     return F.when(F.size(due) > 0, F.concat(chunk, F.lit("\n"), line)).otherwise(chunk)
 
 
+def _masked(tag: str, pattern: str) -> Callable[[Column], Column]:
+    """Only texts with an @ are searched for addresses."""
+
+    def mask(text: Column) -> Column:
+        found = F.regexp_replace(text, bounded(pattern), tag)
+        return F.when(text.contains("@"), found).otherwise(text) if "@" in pattern else found
+
+    return mask
+
+
 def pii_text(text: Column) -> Column:
     for tag, pattern in PII:
-        text = F.regexp_replace(text, bounded(pattern), tag)
+        text = let(text, _masked(tag, pattern))
     return text
 
 
 def pii_count(text: Column) -> Column:
     """Matches of the four patterns, each counted in what the ones before have left; null has none."""
-    total, left = F.lit(0), F.coalesce(text, F.lit(""))
-    for tag, pattern in PII:
-        total = total + F.regexp_count(left, F.lit(bounded(pattern)))
-        left = F.regexp_replace(left, bounded(pattern), tag)
-    return total.cast("int")
+
+    def counted(left: Column, i: int) -> Column:
+        if i == len(PII):
+            return F.lit(0)
+        tag, pattern = PII[i]
+        found = F.regexp_count(left, F.lit(bounded(pattern)))
+        own = F.when(left.contains("@"), found).otherwise(0) if "@" in pattern else found
+        return own + let(_masked(tag, pattern)(left), lambda t: counted(t, i + 1))
+
+    return let(F.coalesce(text, F.lit("")), lambda t: counted(t, 0)).cast("int")
 
 
 def vector_literal(vector: Column) -> Column:
