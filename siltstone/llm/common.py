@@ -86,12 +86,14 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     ``make`` runs once in a task and returns a function from a list of texts (None for null) to a dict of columns.
     Other columns of ``df`` aren't read, so their names can't clash.
     """
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
     from pyspark.sql.pandas.types import to_arrow_schema
 
     made = StructType.fromDDL(schema)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(free("__text", keep)))
-    out = StructType([*source.schema.fields[:-1], *made.fields])
+    # columns go under plain names, since Python functions take no names with dots in them
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
+    plain = [StructField(f"m{i}", f.dataType) for i, f in enumerate(made)]
+    out = StructType([*source.schema.fields[:-1], *plain])
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +103,6 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
                 batch = whole.slice(at, SLICE)
                 got = work(batch.column(len(keep)).to_pylist())
                 columns = [batch.column(i) for i in range(len(keep))] + [pa.array(got[f.name], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *arrow.names])
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(run, out).toDF(*keep, *made.names)

@@ -339,6 +339,30 @@ def test_quality(spark):
     assert quality.score_documents(df.where("false"), labels).count() == 0
 
 
+def test_quality_of_long_texts_repeats_and_the_threshold(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 40) if i % 2 else " | ".join(prose(rng, 40).split()) + "###" for i in range(60)] + [LONG, prose(rng, 30_000)]
+    df = documents(spark, texts, held_out="z")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once = got(quality.score_documents(df, labels))
+    twice = quality.score_documents(df.unionByName(df), labels)
+    assert twice.count() == 2 * len(texts) and twice.distinct().count() == len(texts)
+    assert all(r == once[r["doc_id"]] for r in twice.collect())
+    # at the threshold itself a document is predicted 1
+    at = max(r["score"] for r in once.values())
+    monkeypatch.setattr(quality, "THRESHOLD", at)
+    assert all(r["predicted"] == int(r["score"] >= at) for r in got(quality.score_documents(df, labels)).values())
+
+
+def test_words_tell_texts_of_one_shape_apart(spark):
+    rng = random.Random(4)
+    good, bad = (["".join(rng.choice(s) for _ in range(6)) for _ in range(60)] for s in ("abcdef", "uvwxyz"))
+    texts = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(40)) for i in range(200)]
+    out = got(quality.score_documents(documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")))
+    held = [i for i in range(200) if out[i]["held_out"]]
+    assert len(held) > 20 and all(out[i]["predicted"] == i % 2 for i in held)
+
+
 def test_votes_are_exact_cosines():
     rng = random.Random(1)
     rows = [quality.terms_of(prose(rng, 20)) for _ in range(30)]

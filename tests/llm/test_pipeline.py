@@ -61,11 +61,33 @@ def test_stages(spark, tmp_path):
     assert set(whole.columns) >= {"doc_id", "piece", "sequence_id", "offset"}
 
 
+CLASHING = ["bits", "__may", "__score", "__lang", "__sure", "__text", "__id", "__copy", "piece", "a.b"]
+
+
+def odd_rows(spark):
+    long = "the words of a very long text " * 5000
+    rows = [(None, "some text of a few words", None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0)]
+    rows += [(3, "the words the words", "en", "s", 19)] * 2 + [(4, long, "en", "s", len(long)), (5, "first text of its own here", "fr", "s", 26), (5, "quite another text that stands there", "en", "s", 36)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in CLASHING)
+    return spark.createDataFrame([(*r, *CLASHING) for r in rows], schema)
+
+
 def test_stages_on_odd_rows(spark):
-    odd = spark.createDataFrame([(None, "some text of a few words", None, None, None), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "the words the words", "en", "s", 19), (3, "the words the words", "en", "s", 19)], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd_rows(spark)
     for table in (odd, odd.where("false")):
         for _, stage in corpus_pipeline.STAGES[:4]:
-            assert stage(spark, table, SF).columns == odd.columns
+            out = stage(spark, table, SF)
+            assert out.columns == odd.columns
+            assert all(tuple(r)[5:] == tuple(CLASHING) for r in out.collect())
     near = corpus_pipeline.near_stage(spark, odd, SF)
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in near.collect()) == [(False, 1), (False, 3), (True, 0)]
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in near.collect())
+    assert [(n, i) for n, i, _ in kept] == [(False, 1), (False, 3), (False, 4), (False, 5), (False, 5), (True, 0)]
     assert corpus_pipeline.line_stage(spark, odd, SF).where(F.col("text").isNull()).count() == 2
+    packed = corpus_pipeline.packing_stage(spark, odd, SF).collect()
+    assert len(packed) == odd.count() - 1 + len({r["piece"] for r in packed if r["doc_id"] == 4}) and corpus_pipeline.packing_stage(spark, odd.where("false"), SF).count() == 0
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta"), (5, "one two three four five six seven"), (5, "red green blue yellow black white grey"), (5, "red green blue yellow black white grey")]
+    near = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(map(tuple, near.collect())) == sorted(set(rows))
