@@ -185,3 +185,12 @@ def audit_written(spark, d):
 def image_base64(spark, d):
     """Bytes as they are handed to a model of images."""
     return table(spark, d, "documents").select("doc_id", files.encoded(F.encode(F.col("text"), "UTF-8")).alias("encoded"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 5 < 4 THEN 'page ' || page_id END AS title, CASE WHEN page_id % 5 < 4 THEN html END AS extract, CASE WHEN page_id % 5 < 3 THEN url END AS url FROM pages")
+def page_json(spark, d):
+    """Summaries as a page service tells them: unknown fields, one without an address, one that is no JSON."""
+    address = F.when(F.col("page_id") % 5 < 3, F.struct(F.struct(F.col("url").alias("page"), F.lit(1).alias("other")).alias("desktop")))
+    whole = F.to_json(F.struct(F.concat(F.lit("page "), "page_id").alias("title"), F.col("html").alias("extract"), address.alias("content_urls"), F.lit("x").alias("lang")))
+    body = F.when(F.col("page_id") % 5 < 4, whole).otherwise("no json")
+    return table(spark, d, "pages").select("page_id", files.page_fields(body).alias("p")).select("page_id", "p.title", "p.extract", "p.url")

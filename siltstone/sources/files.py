@@ -90,7 +90,7 @@ def image_text(ocr: str, caption: str) -> str:
 
 def encoded(content: Column) -> Column:
     """Bytes as one line of base64, as a model of images takes them."""
-    return F.base64(content)
+    return F.translate(F.base64(content), "\r\n", "")
 
 
 def read_images(images: DataFrame, ocr: Callable[[bytes], str], caption: Callable[[bytes], str]) -> DataFrame:
@@ -111,6 +111,35 @@ def read_images(images: DataFrame, ocr: Callable[[bytes], str], caption: Callabl
     return images.select("title", F.concat(F.lit("image://"), "title").alias("url"), describe("content").alias("text"))
 
 
+#: Fixed names of a page summary's fields; others are passed over.
+PAGE = "title string, extract string, content_urls struct<desktop:struct<page:string>>"
+
+
+def page_fields(body: Column) -> Column:
+    """(title, extract, url) of a page summary's JSON; fields that lack are null, and so are all of a text that is no JSON."""
+    page = F.from_json(body, PAGE)
+    return F.struct(page["title"].alias("title"), page["extract"].alias("extract"), page["content_urls"]["desktop"]["page"].alias("url"))
+
+
+def fetch_bodies(requests: DataFrame, get: Callable[[str], str]) -> DataFrame:
+    """``fetch_pages`` for a service that answers with a summary's JSON: one call of ``get`` for each title, parsed as columns."""
+
+    @F.pandas_udf("struct<body:string,status:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for titles in batches:
+            rows = []
+            for title in titles:
+                try:
+                    rows.append((get(title), "ok"))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((None, f"failed: {e}"))
+            yield pd.DataFrame(rows, columns=["body", "status"])
+
+    named = requests.select(F.trim(F.translate("title", "_", " ")).alias("title"))
+    got = named.withColumn("__p", run("title")).select("title", page_fields(F.col("__p.body")).alias("page"), "__p.status")
+    return got.select("title", "page.url", F.col("page.extract").alias("summary"), "status")
+
+
 def fetch_pages(requests: DataFrame, fetch: Callable[[str], dict]) -> DataFrame:
     """(title) to (title, url, summary, status): one call of ``fetch`` for each; _ in a title counts as a blank."""
 

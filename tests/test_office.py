@@ -138,3 +138,13 @@ def test_routed(spark, tmp_path):
     got = {r["name"]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.pdf"]["text"] == "told" and got["b.hwp"]["text"] == "앞" and got["d.xlsx"]["text"].startswith("Day")
     assert got["c.pdf"]["status"].startswith("failed") and got["b.hwp"]["route"] == "HWP"
+
+
+def test_bodies_of_a_page_service(spark):
+    def get(title):
+        if title == "gone":
+            raise OSError("404")
+        return '{"title": "' + title + '", "extract": "about", "more": [1], "content_urls": {"desktop": {"page": "http://p"}, "mobile": {}}}' if title != "odd" else "<html>"
+
+    rows = files.fetch_bodies(spark.createDataFrame([("a_b",), ("odd",), ("gone",)], "title string"), get).collect()
+    assert [tuple(r) for r in rows] == [("a b", "http://p", "about", "ok"), ("odd", None, None, "ok"), ("gone", None, None, "failed: 404")]
