@@ -80,10 +80,10 @@ def bucket_of(key: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list], dict]], schema: str, rows: int = SLICE) -> DataFrame:
     """One row per row: the columns ``keep`` and those of ``schema``, made from whole texts.
 
-    ``make`` runs once in a task and returns a function from a list of texts (None for null) to a dict of columns.
+    ``make`` runs once in a task and returns a function from a list of texts (None for null), ``rows`` of them at most, to a dict of columns.
     Other columns of ``df`` aren't read, so their names can't clash.
     """
     from pyspark.sql.types import StructField, StructType
@@ -99,8 +99,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 got = work(batch.column(len(keep)).to_pylist())
                 columns = [batch.column(i) for i in range(len(keep))] + [pa.array(got[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)

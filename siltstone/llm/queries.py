@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sql
+from . import chat, periods, sql
 from .bpe import encode_texts
 from .common import table
+from .divergence import divergence
 from .language import identify_documents
 from .licences import scan_licences
 from .lines import dedup_lines
@@ -73,6 +74,21 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periods.periodic_runs(docs.select("doc_id", periods.planted(F.col("text"), F.col("doc_id")).alias("text")))
+    best = found.withColumn("best", periods.longest_run(F.col("runs")))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.call_function("div", 1000 * length, period).alias("exponent_milli"), F.sha2(periods.told_runs(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -84,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_columns": op8_media_columns,
     "op9_chat_format": op9_chat_format,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLE: dict[str, str] = {"op1_quality_rules": sql.OP1, "op5_line_dedup": sql.OP5, "op9_chat_format": sql.OP9}
+ORACLE: dict[str, str] = {"op1_quality_rules": sql.OP1, "op5_line_dedup": sql.OP5, "op9_chat_format": sql.OP9, "op13_source_divergence": sql.OP13}
