@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
+from itertools import count as count_from
 
 import numpy as np
 import pandas as pd
@@ -11,10 +13,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import WordCodec
-from .common import cut, map_texts
+from .common import cut, free, map_texts
 
-#: Rounds of the linear program, the step of its weights, and patterns priced in one round.
-ROUNDS, STEP, PRICED = 60, 0.05, 100
+#: The program stops once the sequences are within this share of its bound, or after STALE stages that bring less than PROGRESS.
+GAP, PROGRESS, STALE = 0.01, 0.001, 3
+#: Rounds of a stage, the first step of the weights and the rounds after which it is down to 0.7 of that, and patterns priced in a round.
+STAGE, STEP, SLOWER, PRICED = 100, 0.1, 10, 100
 #: How far (in sequences) a pattern's price may stay under the best one: in the program, and where the roundings begin.
 NEAR, EVEN, MARGINS = 0.01, 0.004, (0.003, 0.01, 0.1)
 #: Of a pattern's possible uses the share that the even rounding takes at once, and its rounds.
@@ -65,19 +69,20 @@ def _arrays(held: Pattern) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """Prices of the lengths and the number of sequences that the configuration linear program needs at least.
+def solve(counts: np.ndarray, capacity: int, stage: int = STAGE) -> Iterator[tuple[np.ndarray, float]]:
+    """Prices of the lengths and the number of sequences that the configuration linear program needs at least, after each stage.
 
     The program covers each length's pieces by uses of patterns. Multiplicative weights: each round prices patterns under the
     present weights (the knapsack), those near the best price cover what they can of the demand, and a length's weight falls
-    by the share of its demand that was covered, so that lengths which are hard to place gain. Weights scaled so that
-    no pattern costs more than one sequence bound the program from below; the best ones become the prices.
+    by the share of its demand that was covered, so that lengths which are hard to place gain. Steps grow smaller by the root of
+    the rounds. Weights scaled so that no pattern costs more than one sequence bound the program from below; the best ones
+    become the prices.
     """
     lengths, there = np.arange(1, capacity + 1), counts > 0
     demand = np.maximum(counts, 1).astype(float)
     log = np.log(lengths / capacity)
     bound, prices = 0.0, np.zeros(capacity)
-    for _ in range(rounds):
+    for turn in count_from(1):
         weights = np.where(there, np.exp(log), -1.0)
         best = best_prices(weights, capacity)
         weights, best = weights / best[capacity], best / best[capacity]
@@ -93,9 +98,10 @@ def solve(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[np.n
             held, copies = _arrays(filled(first, best, weights, need, capacity, NEAR / 8, need))
             need[held - 1] -= (need[held - 1] / copies).min() * copies
         covered = np.where(there, 1 - need / demand, 0)
-        log -= STEP * covered / max(covered.max(), 1e-9)
+        log -= STEP / math.sqrt(1 + (turn - 1) / SLOWER) * covered / max(covered.max(), 1e-9)
         log -= log[there].max()
-    return prices, bound
+        if turn % stage == 0:
+            yield prices, bound
 
 
 def round_longest(counts: np.ndarray, prices: np.ndarray, capacity: int, near: float = MARGINS[1]) -> list[tuple[Pattern, int]]:
@@ -157,11 +163,13 @@ def round_evenly(counts: np.ndarray, prices: np.ndarray, capacity: int) -> list[
     return out + round_longest(left, prices, capacity)
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[Pattern, int]]:
+def plan(counts: np.ndarray, capacity: int, stage: int = STAGE) -> list[tuple[Pattern, int]]:
     """Patterns and whole numbers of uses that take every piece of the histogram exactly once.
 
-    Full-length pieces fill sequences of their own; the program prices the others, whatever their number, and its prices are
-    rounded evenly and, with several margins, longest first. The rounding with the fewest sequences stays.
+    Full-length pieces fill sequences of their own; the program prices the others, whatever their number. After each of its stages
+    the prices are rounded evenly and, with several margins, longest first, and the rounding with the fewest sequences stays. The
+    program goes on until these are within GAP of its bound, or neither has come nearer for STALE stages: rounding alone may cost
+    more than that, on few pieces.
     """
     left, out = counts.astype(np.int64).copy(), []
     if left[capacity - 1]:
@@ -169,9 +177,20 @@ def plan(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[
         left[capacity - 1] = 0
     if not left.any():
         return out
-    prices, _ = solve(left, capacity, rounds)
-    tried = [*(round_longest(left, prices, capacity, near) for near in MARGINS), round_evenly(left, prices, capacity)]
-    return out + min(tried, key=lambda patterns: sum(n for _, n in patterns))
+
+    def sequences(patterns: list[tuple[Pattern, int]]) -> int:
+        return sum(n for _, n in patterns)
+
+    kept, best_n, best_bound, stale = [], 0, 0.0, 0
+    for prices, bound in solve(left, capacity, stage):
+        tried = [*(round_longest(left, prices, capacity, near) for near in MARGINS), round_evenly(left, prices, capacity), *([kept] if kept else [])]
+        found = min(tried, key=sequences)
+        n = sequences(found)
+        nearer = not kept or n < best_n or bound > best_bound * (1 + PROGRESS)
+        kept, best_n, best_bound, stale = found, n, bound, 0 if nearer else stale + 1
+        if n <= math.ceil(bound - 1e-6) or n <= (1 + GAP) * bound or stale == STALE:
+            return out + kept
+    return out
 
 
 def places(patterns: list[tuple[Pattern, int]]) -> pd.DataFrame:
@@ -210,37 +229,45 @@ def tokenized(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id
     return each.select(id_col, "piece", start.alias("start"), length.alias("length"), "ids_crc32")
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """Adds sequence_id and offset to pieces (``length`` from 1 to ``capacity``); ``pieces`` should be read from storage.
+def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id", into: tuple[str, str] = ("sequence_id", "offset")) -> DataFrame:
+    """Adds the columns ``into`` to pieces (``length`` from 1 to ``capacity``); ``pieces`` should be read from storage.
 
     Only the histogram (``capacity`` counts) and the runs of ranks made from it are on the driver. Ranks of a length come from
     counts of salted groups, so no task gets all pieces of a frequent length. Pieces that tie are ranked in any order; an empty
-    table gives no rows; other columns stay.
+    table gives no rows; all other columns stay, whatever their names, and those of ``into`` are replaced.
     """
     counts = np.zeros(capacity, np.int64)
     for length, n in pieces.groupBy("length").count().collect():
         counts[length - 1] = n
-    runs = places(plan(counts, capacity, rounds))
+    runs = places(plan(counts, capacity))
     salts = max(8, math.ceil(int(counts.sum()) / RANKED))
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    sums = salted.groupBy("length", "__salt").count().select("length", "__salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("length", "__salt").orderBy(id_col, "piece")
-    ranked = salted.withColumn("__rank", F.row_number().over(own) - 1).join(sums, ["length", "__salt"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__before", "__salt")
+    kept = pieces.drop(*into)
+    salt, before, rank, n = (free(x, kept.columns) for x in ("salt", "before", "rank", "n"))
+    name = f"`{id_col}`"
+    salted = kept.withColumn(salt, F.pmod(F.xxhash64(name, "piece"), F.lit(salts)))
+    earlier = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    sums = salted.groupBy("length", salt).agg(F.count("*").alias(n)).select("length", salt, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    own = Window.partitionBy("length", salt).orderBy(name, "piece")
+    ranked = salted.withColumn(rank, F.row_number().over(own) - 1).join(sums, ["length", salt])
+    ranked = ranked.select(*[F.col(f"`{c}`") for c in kept.columns], (F.col(rank) + F.col(before)).alias(rank))
 
     wide = int(counts.max(initial=0)) + 1
     keys = runs["length"].to_numpy() * wide + runs["rank"].to_numpy()
     tables = [runs[c].to_numpy() for c in ("rank", "copies", "first", "base")]
-    schema = ranked.drop("__rank").schema.add("sequence_id", "long").add("offset", "long")
+    # columns go under plain names, since Python functions take no names with dots in them
+    length_at, rank_at = (f"c{ranked.columns.index(c)}" for c in ("length", rank))
+    plain = ranked.toDF(*[f"c{i}" for i in range(len(ranked.columns))])
+    schema = plain.drop(rank_at).schema.add("s", "long").add("o", "long")
 
     def place(batches):
         for b in batches:
-            k = np.searchsorted(keys, b["length"].to_numpy() * wide + b["__rank"].to_numpy(), "right") - 1
+            lengths, ranks = b[length_at].to_numpy(), b[rank_at].to_numpy()
+            k = np.searchsorted(keys, lengths * wide + ranks, "right") - 1
             rank, copies, first, base = (t[k] for t in tables)
-            over = b["__rank"].to_numpy() - rank
-            yield b.drop(columns="__rank").assign(sequence_id=first + over // copies, offset=base + over % copies * b["length"].to_numpy())
+            over = ranks - rank
+            yield b.drop(columns=rank_at).assign(s=first + over // copies, o=base + over % copies * lengths)
 
-    return ranked.mapInPandas(place, schema)
+    return plain.mapInPandas(place, schema).toDF(*[c for c in ranked.columns if c != rank], *into)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

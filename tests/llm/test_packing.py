@@ -76,6 +76,28 @@ def test_no_more_sequences_than_best_fit_decreasing(kind):
         assert n <= 1.005 * bound
 
 
+@pytest.mark.parametrize(("kind", "most"), [("middle", 8905), ("thirds", 9816)])
+def test_sequences_meet_the_programs_bound(kind, most):
+    counts = histogram(drawn(kind))
+    full, counts[-1] = int(counts[-1]), 0
+    for (_, bound), _ in zip(packing.solve(counts, CAPACITY), range(5), strict=False):
+        pass
+    n = sequences(packing.plan(counts, CAPACITY), counts)
+    assert bound <= n <= 1.025 * bound
+    assert n + full <= most
+
+
+def test_all_columns_stay(spark):
+    rows = [(i, 0, 100 + i % 7, i, "s", "b", "r", 1.5, "dot") for i in range(40)]
+    names = ["doc_id", "piece", "length", "__salt", "salt", "before", "rank", "n", "a.b"]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, __salt long, salt string, before string, rank string, n double, `a.b` string")
+    found = packing.pack(pieces)
+    assert found.columns == [*names, "sequence_id", "offset"]
+    assert sorted(tuple(r)[:9] for r in found.collect()) == rows
+    again = packing.pack(found)
+    assert again.columns == found.columns and again.count() == 40
+
+
 def test_the_program_prices_few_pieces_too(monkeypatch):
     calls = []
     real = packing.solve
@@ -91,7 +113,7 @@ def test_plan_takes_every_piece_once(found):
     counts = np.zeros(40, np.int64)
     for length, n in found.items():
         counts[length - 1] = n
-    sequences(packing.plan(counts, 40, rounds=20), counts, 40)
+    sequences(packing.plan(counts, 40, stage=20), counts, 40)
 
 
 def test_prices_are_those_of_the_best_pattern():
@@ -111,10 +133,10 @@ def test_prices_are_those_of_the_best_pattern():
 def test_the_bound_is_one():
     # halves and a bit: two never share a sequence, so as many sequences as pieces are needed
     counts = histogram(np.random.default_rng(2).integers(1025, 2000, 500))
-    _, bound = packing.solve(counts, CAPACITY)
+    _, bound = next(packing.solve(counts, CAPACITY))
     assert 0.6 * 500 <= bound <= 500
     # any packing needs at least the bound
     for kind in ("middle", "thirds", "few"):
         counts = histogram(drawn(kind))
         counts[-1] = 0
-        assert packing.solve(counts, CAPACITY)[1] <= sequences(packing.plan(counts, CAPACITY), counts)
+        assert next(packing.solve(counts, CAPACITY))[1] <= sequences(packing.plan(counts, CAPACITY), counts)
