@@ -131,12 +131,18 @@ def grams_of(words: DataFrame) -> DataFrame:
     return every.groupBy("x.k", "x.g", "l").agg(F.sum("n").alias("n"))
 
 
+def limit_of(rows: int, n: int) -> int:
+    """Of ``n`` texts at places spread over 2^62 about ``rows`` stand below this."""
+    return 2**62 if n <= rows else max(1, 2**62 * rows // n)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS) -> Model:
     """Counts words and n-grams of at most about ``rows`` whole texts of each language, chosen by a hash of their id.
 
-    Every language of a labelled text is learned. The places of the model (WORDS, and GRAMS for each length) are shared out evenly,
-    with PLACES for a language at least; of its words, those go whose count is shared by too many to keep them all. What the
-    model leaves out is thus a language's rarest words and n-grams, whose texts shorter n-grams still score.
+    Every language of a labelled text is learned, however many texts it has: a text stands at a place below 2^62 by the hash of its id
+    and number, and those below a limit, about ``rows``, are read. The places of the model (WORDS, and GRAMS for each length) are
+    shared out evenly, with PLACES for a language at least; its most frequent words have them, by the word's hash among those of
+    one count. What the model leaves out is thus a language's rarest words and n-grams, whose texts shorter n-grams still score.
     """
     labelled = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     labelled = labelled.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (bucket_of(F.col("i"), 5) != 0))
@@ -149,17 +155,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return F.broadcast(df) if len(langs) <= FEW else df
 
     spark = docs.sparkSession
-    limits = small(spark.createDataFrame([(x, int(min(1.0, rows / n) * 2**20)) for x, n in sizes.items()], "l string, limit long"))
-    chosen = labelled.join(limits, "l").where(F.pmod(F.xxhash64("i"), F.lit(2**20)) < F.col("limit")).select("l", "t")
+    limits = small(spark.createDataFrame([(x, limit_of(rows, n)) for x, n in sizes.items()], "l string, limit long"))
+    chosen = labelled.join(limits, "l").where(F.shiftrightunsigned(F.xxhash64("i", "t"), 2) < F.col("limit")).select("l", "t")
     words = cut(chosen.mapInArrow(counted_words, "l string, g string, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
     counted = cut(words.select(F.lit(0).alias("k"), "g", "l", "n").unionByName(grams_of(words)))
 
-    # the least count that a language's places have room for, from how many grams have each count
+    # the least count that a language's places have room for, from how many grams have each count; of those with that count the first
+    # by their hash take what is left
     places = F.when(F.col("k") == 0, max(PLACES, WORDS // max(len(langs), 1))).otherwise(max(PLACES, GRAMS // max(len(langs), 1)))
     alike = counted.groupBy("k", "l", "n").agg(F.count("*").alias("grams"))
     upto = F.sum("grams").over(Window.partitionBy("k", "l").orderBy(F.desc("n")))
-    least = alike.withColumn("upto", upto).where(F.col("upto") <= places).groupBy("k", "l").agg(F.min("n").alias("least"))
-    best = counted.join(small(least), ["k", "l"]).where(F.col("n") >= F.col("least")).select("k", "g").distinct()
+    told = alike.withColumn("before", upto - F.col("grams")).where(F.col("before") < places)
+    least = told.groupBy("k", "l").agg(F.min_by(F.struct("n", F.greatest(places - F.col("before"), F.lit(0)).alias("room"), "grams"), "n").alias("x"))
+    held = counted.join(small(least.select("k", "l", "x.*").withColumnRenamed("n", "least")), ["k", "l"]).where(F.col("n") >= F.col("least"))
+    # a share of the last class by hash, a little more than its room, so that few are ranked
+    cut_off = F.least(F.lit(1.0), F.col("room") / F.col("grams") + 4 * F.sqrt(F.col("room") + 16) / F.col("grams"))
+    last = held.where(F.col("n") == F.col("least")).withColumn("h", F.shiftrightunsigned(F.xxhash64("g"), 2)).where(F.col("h") <= cut_off * float(2**62))
+    rank = F.row_number().over(Window.partitionBy("k", "l").orderBy("h", "g"))
+    last = last.withColumn("rank", rank).where(F.col("rank") <= F.col("room"))
+    best = held.where(F.col("n") > F.col("least")).select("k", "g").unionByName(last.select("k", "g")).distinct()
     by_gram = counted.join(best, ["k", "g"], "left_semi").groupBy("k", "g").agg(F.collect_list(F.struct("l", "n")).alias("by"))
 
     place, found = {lang: i for i, lang in enumerate(langs)}, [{} for _ in range(LONGEST + 1)]
@@ -225,8 +239,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from rows whose crc32(id) mod 5 isn't 0 and predicts every row; ``held_out`` marks the others.
 
-    Null and empty texts are ``und``; null languages aren't learned from; a null id is never held out by chance, it counts as the
-    empty text. Repeated rows count as often as they stand there, and an empty table gives no rows. Other columns aren't read.
+    Null and empty texts are ``und``; null languages aren't learned from; a null id counts as the empty text, whose crc32 is 0: its rows
+    are held out. Repeated rows count as often as they stand there, and an empty table gives no rows. Other columns aren't read.
     """
     out = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return out.select(id_col, (bucket_of(F.col(id_col), 5) == 0).alias("held_out"), "lang_pred", "score")

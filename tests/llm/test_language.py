@@ -112,3 +112,32 @@ def test_ties_go_to_the_first_language(spark):
     balanced = df.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).withColumn("lang", F.explode(F.array(F.lit("b"), F.lit("a"))))
     got = language.identify(df, language.fit(balanced)).collect()
     assert {(r["lang_pred"], round(r["score"], 6)) for r in got} == {("a", 0.5)}
+
+
+@pytest.mark.parametrize("n", [1, 3000, 3001, 10**6, 4 * 10**9, 10**13, 2**60])
+def test_a_language_of_any_size_is_read_at_about_the_same_rate(n):
+    limit = language.limit_of(3000, n)
+    assert 1 <= limit <= 2**62
+    assert abs(min(3000, n) - n * limit / 2**62) <= 1
+
+
+def test_words_of_one_count_have_the_places_that_are_there(spark, monkeypatch):
+    """Of a language whose words all occur once as many are learned as it has places for, and of a count that doesn't fit a part."""
+    monkeypatch.setattr(language, "PLACES", 1)
+    monkeypatch.setattr(language, "WORDS", 600)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    once = [letters[a] + letters[b] + letters[c] for a in range(10) for b in range(10) for c in range(10)]
+    rows = [(ids[0], " ".join(once), "xx"), (ids[1], " ".join(f"{w}z" for w in once[:50]) + " " + " ".join(f"{w}y" for w in once[:400]) * 2, "yy")]
+    model = language.fit(spark.createDataFrame(rows, SCHEMA))
+    known = model.tables[0].place
+    xx, yy = [w for w in known if len(w) == 3], [w for w in known if len(w) > 3]
+    assert len(xx) == 300 and len(yy) == 300
+    again = language.fit(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert again.tables[0].place == known
+
+
+def test_a_null_id_is_held_out(spark):
+    rows = [(None, "aa bb", "xx"), (1, "cc dd", "yy")]
+    found = {r["doc_id"]: r["held_out"] for r in language.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found[None] is True
