@@ -11,8 +11,8 @@ from .common import cut, let
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Tokens (words, one more for a turn's marks) of a window, of the turns repeated from the window before, and of new turns at least.
 BUDGET, HISTORY, ROOM = 512, 128, 128
-#: Turns that are summed and dealt into spans in one task.
-BLOCK = 1024
+#: Turns that are dealt into spans in one task, and blocks whose tables of carried tokens are put together in one.
+BLOCK, TABLES = 1024, 256
 
 
 def escape(text: Column) -> Column:
@@ -46,36 +46,82 @@ def _placed(chats: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
     return joined.select("conv", "role", "text", "tokens", "row", (F.col("row") + F.col("shift")).alias("place"))
 
 
-def spans_of(tokens: Column, room: Column) -> Column:
-    """Of each turn the number of its span from 0: a span takes turns while they fit into ``room`` tokens, one turn at least."""
-    start = F.struct(F.lit(0).alias("span"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("spans"))
+def _next_sum(sum_: Column, x: Column, room: Column) -> Column:
+    """The tokens of the open span after a turn of ``x`` tokens; 0 if there is no span yet."""
+    return F.when((sum_ == 0) | (sum_ + x <= room), sum_ + x).otherwise(x)
+
+
+def spans_of(tokens: Column, room: Column, carried: Column) -> Column:
+    """Of each turn the number of its span: a span takes turns while they fit into ``room`` tokens, one turn at least.
+
+    ``carried`` tokens are in span 0, which was begun before these turns; with none of them span 0 begins here.
+    """
+    start = F.struct(F.lit(0).alias("span"), carried.alias("sum"), F.array().cast("array<int>").alias("spans"))
 
     def step(s: Column, x: Column) -> Column:
         fits = (s["sum"] == 0) | (s["sum"] + x <= room)
         span = F.when(fits, s["span"]).otherwise(s["span"] + 1)
-        return F.struct(span.alias("span"), F.when(fits, s["sum"] + x).otherwise(x).alias("sum"), F.array_append(s["spans"], span).alias("spans"))
+        return F.struct(span.alias("span"), _next_sum(s["sum"], x, room).alias("sum"), F.array_append(s["spans"], span).alias("spans"))
 
     return F.aggregate(tokens, start, step, lambda s: s["spans"])
 
 
+def _carried(blocks: DataFrame) -> DataFrame:
+    """(conv, block, carried): of each block the tokens that are in the open span when it begins.
+
+    A block's table says, for each number of carried tokens, how many it carries on; more than the room are as good as one more than it.
+    Tables of neighbouring blocks make one, in a tree, so that no task has all of a conversation's.
+    """
+    more = F.col("room") + 1
+    turns = F.transform("turns", lambda x: x["tokens"])
+    table = F.transform(F.sequence(F.lit(0).cast("long"), more), lambda c: F.aggregate(turns, c, lambda s, x: F.least(_next_sum(s, x, F.col("room")), more)))
+    levels = [cut(blocks.select("conv", "block", table.alias("table")))]
+    while (levels[-1].agg(F.max("block")).first()[0] or 0) >= TABLES:
+        groups = levels[-1].groupBy("conv", F.floor(F.col("block") / TABLES).alias("block")).agg(F.array_sort(F.collect_list(F.struct("block", "table"))).alias("t"))
+        first = F.col("t")[0]["table"]
+        put = F.transform(F.sequence(F.lit(0), F.size(first) - 1), lambda c: F.aggregate("t", c.cast("long"), lambda s, x: F.get(x["table"], s.cast("int"))))
+        levels.append(cut(groups.select("conv", "block", put.alias("table"))))
+    # down again: of each group what is carried into it, then into each of its members
+    known = levels[-1].groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "table"))).alias("t")).select("conv", "t", F.lit(0).cast("long").alias("carried"))
+    for level in [*reversed(levels[:-1]), None]:
+        start = F.struct(F.col("carried").alias("sum"), F.array().cast("array<bigint>").alias("sums"))
+        sums = F.aggregate("t", start, lambda s, x: F.struct(F.get(x["table"], s["sum"].cast("int")).alias("sum"), F.array_append(s["sums"], s["sum"]).alias("sums")), lambda s: s["sums"])
+        each = known.select("conv", F.explode(F.arrays_zip(F.transform("t", lambda x: x["block"]).alias("block"), sums.alias("carried"))).alias("x"))
+        each = each.select("conv", F.col("x.block").alias("block"), F.col("x.carried").alias("carried"))
+        if level is not None:
+            groups = level.groupBy("conv", F.floor(F.col("block") / TABLES).alias("group")).agg(F.array_sort(F.collect_list(F.struct("block", "table"))).alias("t"))
+            into = each.select(F.col("conv").alias("c"), F.col("block").alias("g"), "carried")
+            known = groups.join(into, F.col("conv").eqNullSafe(F.col("c")) & (F.col("group") == F.col("g"))).select("conv", "t", "carried")
+    return each
+
+
 def _windows(placed: DataFrame, budget: int, history: int) -> DataFrame:
     """(conv, place, start, window, next_start, last, system): of each turn the tokens before it, its window, where the next window's span
     begins, the conversation's last window, and the tokens of its system turn (0 without one).
 
-    Blocks of BLOCK turns are dealt into spans each by itself; prefix sums over blocks number spans and tokens through.
+    Blocks of BLOCK turns are dealt into spans in a task each, from what the blocks before carry into them; prefix sums over blocks number
+    spans and tokens through. Blocks are a matter of work alone: they move no span.
     """
     own = placed.select("conv", "place", "tokens", F.floor(F.col("place") / BLOCK).alias("block"), F.when((F.col("place") == 0) & (F.col("role") == "system"), F.col("tokens")).alias("s"))
     told = own.groupBy("conv").agg(F.coalesce(F.max("s"), F.lit(0)).alias("system")).select(F.col("conv").alias("c"), "system")
     blocks = own.groupBy("conv", "block").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("turns"))
     blocks = blocks.join(told, blocks["conv"].eqNullSafe(told["c"]))
     room = F.greatest(F.lit(budget - history) - F.col("system"), F.lit(ROOM))
-    blocks = blocks.withColumn("span", spans_of(F.transform("turns", lambda x: x["tokens"]), room))
+    blocks = blocks.withColumn("room", room)
+    carried = F.lit(0).cast("long")
+    if (placed.agg(F.max("place")).first()[0] or 0) >= BLOCK:
+        blocks = cut(blocks)
+        long = blocks.where("block > 0").select(F.col("conv").alias("many")).distinct()
+        into = _carried(blocks.join(long, F.col("conv").eqNullSafe(F.col("many")), "left_semi")).select(F.col("conv").alias("v"), F.col("block").alias("b"), "carried")
+        blocks = blocks.join(into, F.col("conv").eqNullSafe(F.col("v")) & (F.col("block") == F.col("b")), "left").drop("v", "b")
+        carried = F.coalesce("carried", carried)
+    blocks = blocks.withColumn("span", spans_of(F.transform("turns", lambda x: x["tokens"]), F.col("room"), carried))
     sums = F.aggregate("turns", F.lit(0).cast("long"), lambda a, x: a + x["tokens"])
-    blocks = blocks.select("conv", "block", "turns", "system", "span", sums.alias("t"), (F.element_at("span", -1) + 1).alias("n"))
+    blocks = blocks.select("conv", "block", "turns", "system", "span", sums.alias("t"), F.element_at("span", -1).alias("n"))
     before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy("conv")
     blocks = blocks.select(
-        "conv", "block", "turns", "system", "span", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("n").over(every).alias("last")
+        "conv", "block", "turns", "system", "span", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), (F.sum("n").over(every) + 1).alias("last")
     )
     each = blocks.select("conv", "system", "t0", "n0", "last", F.explode(F.arrays_zip("turns", "span")).alias("x"), "block")
     each = each.select("conv", "block", "system", "t0", (F.col("n0") + F.col("x.span") + 1).cast("long").alias("window"), "last", "x.turns.place", "x.turns.tokens")
@@ -92,8 +138,7 @@ def format_windows(chats: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     A window shows the conversation's system turn (its first turn, if a system's), then turns of the window before that lie within
     ``history`` tokens of the span, then its own span of whole turns, ``budget`` tokens at most in all. The span has what system turn
-    and history leave of the budget, ROOM tokens at least; it takes turns while they fit, and begins anew after BLOCK turns. So only
-    a turn that is longer than its span's room, or a system turn that leaves less than ROOM, goes over the budget. Loss spans
+    and history leave of the budget, ROOM tokens at least, and takes turns while they fit. So only a turn that is longer than its span's room, or a system turn that leaves less than ROOM, goes over the budget. Loss spans
     cover the assistant texts of the span alone; repeated ones are masked. ``n_repeated`` turns come before the span's own.
 
     Turns go by number, role and text; repeated rows are turns of their own; null texts and roles count as empty, a null

@@ -42,12 +42,11 @@ WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesc
  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 t AS (SELECT *, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 1 AS tokens,
  row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM raw),
-u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto, place // 1024 AS block,
- greatest(512 - 128 - max(CASE WHEN place = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 128) AS room FROM t),
-starts AS (SELECT conv_id, block, place, upto - tokens AS base, room FROM u WHERE place % 1024 = 0
- UNION ALL SELECT conv_id, block, place, base, room FROM (
- SELECT u.conv_id, u.block, u.place, u.upto - u.tokens AS base, u.room, row_number() OVER (PARTITION BY s.conv_id, s.block, s.place ORDER BY u.place) AS nearest
- FROM starts s JOIN u ON u.conv_id = s.conv_id AND u.block = s.block AND u.place > s.place AND u.upto > s.base + s.room) WHERE nearest = 1),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) AS upto, greatest(512 - 128 - max(CASE WHEN place = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 128) AS room FROM t),
+starts AS (SELECT conv_id, place, upto - tokens AS base, room FROM u WHERE place = 0
+ UNION ALL SELECT conv_id, place, base, room FROM (
+ SELECT u.conv_id, u.place, u.upto - u.tokens AS base, u.room, row_number() OVER (PARTITION BY s.conv_id, s.place ORDER BY u.place) AS nearest
+ FROM starts s JOIN u ON u.conv_id = s.conv_id AND u.place > s.place AND u.upto > s.base + s.room) WHERE nearest = 1),
 spans AS (SELECT conv_id, place AS first, lead(place) OVER v AS next_first, lead(base) OVER v AS next_start
  FROM starts WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
 ends AS (SELECT conv_id, count(*) AS last FROM spans GROUP BY 1),

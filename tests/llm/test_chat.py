@@ -31,13 +31,13 @@ def conversations(rows):
     return {c: [(role, text, len(text.split()) + 1) for _, role, text in sorted(turns)] for c, turns in out.items()}
 
 
-def plain_windows(turns, budget, history, block):
+def plain_windows(turns, budget, history):
     """(shown turns, which of them are the span's own) of each window."""
     system = turns[0][2] if turns[0][0] == "system" else 0
     room = max(budget - history - system, chat.ROOM)
     spans = []
     for i, (_, _, tokens) in enumerate(turns):
-        if i % block == 0 or sum(turns[j][2] for j in spans[-1]) + tokens > room:
+        if not spans or sum(turns[j][2] for j in spans[-1]) + tokens > room:
             spans.append([])
         spans[-1].append(i)
     out = []
@@ -53,9 +53,10 @@ def plain_windows(turns, budget, history, block):
     return out
 
 
-@pytest.mark.parametrize(("budget", "history", "block"), [(512, 128, 1024), (160, 30, 1024), (200, 0, 7)])
-def test_every_window_equals_the_plain_loop(spark, monkeypatch, budget, history, block):
+@pytest.mark.parametrize(("budget", "history", "block", "tables"), [(512, 128, 1024, 256), (160, 30, 1024, 256), (200, 0, 7, 256), (160, 30, 5, 3)])
+def test_every_window_equals_the_plain_loop(spark, monkeypatch, budget, history, block, tables):
     monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "TABLES", tables)
     monkeypatch.setattr(chat, "ROOM", 40)
     rows = chats()
     df = spark.createDataFrame([(*r, "z", "y") for r in rows], SCHEMA + ", window string, formatted string").repartition(4)
@@ -70,7 +71,7 @@ def test_every_window_equals_the_plain_loop(spark, monkeypatch, budget, history,
         return x.replace("\\", "\\\\").replace("<|", "<\\|")
 
     for c, turns in told.items():
-        want = plain_windows(turns, budget, history, block)
+        want = plain_windows(turns, budget, history)
         assert [r["window"] for r in got[c]] == list(range(1, len(want) + 1))
         system = turns[0][2] if turns[0][0] == "system" else 0
         for r, (shown, span) in zip(got[c], want, strict=True):
@@ -105,3 +106,10 @@ def test_a_hot_conversation_is_not_one_task(spark):
     in_order = [r["text"] for r in placed.orderBy("place").collect()]
     assert in_order == sorted(in_order)
     assert chat.format_windows(df).agg(F.max("tokens")).first()[0] <= chat.BUDGET
+
+
+def test_blocks_end_no_span(spark):
+    """2,100 turns of two tokens: all windows but the last hold the whole budget, across both blocks' edges."""
+    df = spark.range(2100).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "'x' AS text")
+    found = [r["tokens"] for r in chat.format_windows(df).orderBy("window").collect()]
+    assert len(found) == -(-4200 // 384) and set(found[1:-1]) == {512} and found[0] == 384
