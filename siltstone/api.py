@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import base_title, ns_key, pii_count, pii_text
-from .operators import bm25, fusion, governance, graph, ingest, rerank, security, services, vector
-from .operators.glossary import Glossary
+from .operators import bm25, fusion, governance, graph, ingest, nearest, rerank, security, services, vector
+from .lineage import cut
+from .operators.glossary import Glossary, article_entities
 from .schema import QUERY_LOG
 from .sources import files, store, tabular
 
@@ -53,7 +54,7 @@ class Engine:
         hot_format: str = "parquet",
     ):
         self.spark, self.root, self.store = spark, root, store.TieredStore(spark, f"{root}/articles", threshold, hot_format)
-        self.vectors = vectors or vector.Exact()
+        self.vectors = vectors or nearest.Exact()
         self.glossary, self.embed, self.generate = glossary or Glossary(), embed or services.hashing_embedder(), generate
         self.ocr, self.caption, self.models, self.persona, self.embed_model, self.graph_weight = ocr, caption, models, persona, embed_model, graph_weight
 
@@ -113,28 +114,29 @@ class Engine:
         security.require_access(namespace, allowed)
         ns, asked = security.key_of(namespace), self.glossary.rewrite(question)
         rows = self.store.load().where(F.col("namespace") == ns)
-        found = self.vectors.knn(rows, [(0, self.embed([asked])[0])], n).select("query_id", "id", "score")
+        found = self.vectors.one(rows, self.embed([asked])[0], n).select("query_id", "id", "score")
         words = bm25.scores(rows, asked).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if keyword else None
         linked = self.graph_hits(asked, ns, rows).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if graphs else None
         best = fusion.hybrid(found, words, linked, n, ["query_id"], self.graph_weight)
         return best.join(rows.select("id", "title", "summary", "embedding"), "id").select("query_id", "id", F.col("rank0").cast("int").alias("rank0"), "score", "title", "summary", "embedding")
 
     def retrieve_all(self, cases: DataFrame, allowed: set[str], n: int = FETCH, keyword: bool = True, graphs: bool = True) -> DataFrame:
-        """``retrieve`` for many questions (case_id, question, namespace) in one plan: adds case_id. Cases of other tenants find nothing."""
-        asked = security.visible(cases.withColumn("namespace", ns_key(F.col("namespace"))), allowed).select("case_id", "question", "namespace").collect()
-        told = [(i, c["case_id"], c["namespace"], self.glossary.rewrite(c["question"])) for i, c in enumerate(asked)]
-        queries = self.spark.createDataFrame(told, "query_id long, case_id string, namespace string, text string")
+        """``retrieve`` for many questions (case_id, question, namespace) in one plan, none of which goes through the driver: adds case_id.
+
+        Cases of other tenants find nothing.
+        """
+        asked = security.visible(cases.withColumn("namespace", ns_key(F.col("namespace"))), allowed).select("case_id", "question", "namespace")
+        told = self.glossary.rewritten(asked, into="text").withColumn("text", F.coalesce("text", F.lit("")))
+        queries = cut(told.withColumn("embedding", services.embed_column(F.col("text"), self.embed))).withColumn("query_id", F.monotonically_increasing_id())
         rows = security.visible(self.store.load(), allowed)
-        near = [(i, vector_, ns) for (i, _, ns, _), vector_ in zip(told, self.embed([t[3] or "" for t in told]) if told else [], strict=True)]
-        found = self.vectors.knn(rows, near, n, within="namespace").select("query_id", "id", "score")
+        found = self.vectors.many(rows, queries, n, within="namespace").select("query_id", "id", "score")
         words = bm25.batch_scores(bm25.postings(rows), bm25.term_stats(rows), queries).select("query_id", "id", "score") if keyword else None
         linked = None
         if graphs:
             tables = self.graph_tables(rows)
-            named = [(i, ns, e) for i, _, ns, text in told for e in sorted(self.glossary.extract(text))]
-            seeds = self.spark.createDataFrame(named, "query_id long, namespace string, entity string")
-            seeds = seeds.join(tables["entities"].select("namespace", "entity"), ["namespace", "entity"], "left_semi")
-            linked = graph.search(tables["entities"], graph.links(tables["edges"]), seeds, by=("query_id",)).select("query_id", "id", "score")
+            named = article_entities(queries.select("namespace", F.col("query_id").alias("id"), "text"), self.glossary).withColumnRenamed("id", "query_id")
+            seeds = named.join(tables["entities"].select("namespace", "entity"), ["namespace", "entity"], "left_semi")
+            linked = graph.search(tables["entities"], graph.links(tables["edges"]), seeds.select("query_id", "namespace", "entity"), by=("query_id",)).select("query_id", "id", "score")
         best = fusion.hybrid(found, words, linked, n, ["query_id"], self.graph_weight)
         told_rows = best.join(rows.select("id", "title", "summary", "embedding"), "id").join(queries.select("query_id", "case_id"), "query_id")
         return told_rows.select("case_id", "query_id", "id", F.col("rank0").cast("int").alias("rank0"), "score", "title", "summary", "embedding")

@@ -1,11 +1,9 @@
-"""Cosine search, exact, over any number of queries in blocks of bounded number; locality-sensitive signatures."""
+"""Cosine search for the few queries of a question, exact; locality-sensitive signatures. ``nearest`` has searches for tables of queries."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
-from itertools import batched
 from typing import Protocol
 
 import numpy as np
@@ -14,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries of a block, which travel with the tasks of its scan, and of one product with a batch of vectors.
+#: Queries that travel with the tasks of a scan, and those of one product with a batch of vectors.
 MOST_QUERIES, ASKED = 10_000, 256
-PLANES, MOST_PLANES, MOST_RADIUS = 16, 31, 2
+PLANES, MOST_PLANES = 16, 31
 SEED = 42
 
 
@@ -38,7 +36,7 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
     size = np.sqrt((rows * rows).sum(1, keepdims=True))
     return rows / np.where(size > 0, size, 1)
 
@@ -49,22 +47,20 @@ def usable(vectors: DataFrame, dim: int, column: str = "embedding") -> DataFrame
 
 
 def knn(vectors: DataFrame, queries: Iterable[tuple[int, Iterable[float]]], k: int, id_col: str = "id", column: str = "embedding", within: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the k nearest of each query by cosine, ties to the least id.
+    """(query_id, id, score, rank): the k nearest of each of a few queries by cosine, ties to the least id.
 
-    Queries, in any number, are asked in blocks of MOST_QUERIES, each in a scan of its own. Batches of vectors are block products with
-    a block's queries, and a task sends on only its own k best for each, which are then ranked.
-    With ``within``, queries are (id, vector, value) and see only the rows whose column ``within`` has that value.
+    Queries travel with the tasks of one scan, so there are MOST_QUERIES at most; ``nearest`` takes tables of them. A task sends on only its
+    own k best for each, which are then ranked. With ``within``, queries are (id, vector, value) and see only the rows whose
+    column ``within`` has that value.
     """
-    found = None
-    for asked in batched(queries, MOST_QUERIES):
-        part = _block_knn(vectors, [(q[0], list(q[1]), *q[2:]) for q in asked], k, id_col, column, within)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = _block_knn(vectors, [], k, id_col, column, within)
+    asked = [(q[0], list(q[1]), *q[2:]) for q in queries]
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"{len(asked)} queries; nearest.knn_join takes a table of any size")
+    found = _block_knn(vectors, asked, k, id_col, column, within)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
 
 
-def _best(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarray]:
+def best_of(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarray]:
     """The k best rows of each query, sorted by query, then best first."""
     order = np.lexsort((i, -s, q))
     q, i, s = q[order], i[order], s[order]
@@ -76,10 +72,10 @@ def _best(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarra
 def _block_knn(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, column: str, within: str | None) -> DataFrame:
     """(query_id, id, score): each task's k best of each query of a block."""
     dim = len(queries[0][1]) if queries else 1
-    block = _unit(np.array([q[1] for q in queries], np.float64).reshape(-1, dim))
+    block = unit(np.array([q[1] for q in queries], np.float64).reshape(-1, dim))
     names = np.array([q[0] for q in queries], np.int64)
     wanted = np.array([q[2] for q in queries], object) if within else None
-    source = usable(vectors, dim, column).select(F.col(id_col).cast("long").alias("id"), column, *([F.col(within).alias("__in")] if within else []))
+    source = usable(vectors, dim, column).select(F.col(id_col).cast("long").alias("id"), column, *([F.col(within).alias("in")] if within else []))
 
     def search(batches):
         # places of queries in the block, ids and scores of the best so far
@@ -88,7 +84,7 @@ def _block_knn(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, co
             ids = b.column(0).to_numpy()
             if not len(ids) or not len(names):
                 continue
-            rows, own = _unit(matrix(b.column(1), dim)), np.array(b.column(2).to_pylist(), object) if within else None
+            rows, own = unit(matrix(b.column(1), dim)), np.array(b.column(2).to_pylist(), object) if within else None
             new = [best]
             for at in range(0, len(names), ASKED):
                 score = np.round(block[at : at + ASKED] @ rows.T, 12)
@@ -97,8 +93,8 @@ def _block_knn(vectors: DataFrame, queries: list[tuple], k: int, id_col: str, co
                     score = np.where(wanted[at : at + ASKED, None] == own[None, :], score, -np.inf)
                 least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if 0 < k < len(ids) else -np.inf
                 j, r = np.nonzero((score >= least) & (score > -np.inf))
-                new.append(_best(j + at, ids[r], score[j, r], k))
-            best = _best(*[np.concatenate(x) for x in zip(*new, strict=True)], k)
+                new.append(best_of(j + at, ids[r], score[j, r], k))
+            best = best_of(*[np.concatenate(x) for x in zip(*new, strict=True)], k)
         if len(best[0]):
             yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
 
@@ -151,35 +147,12 @@ def signatures(vectors: DataFrame, cuts: np.ndarray, column: str = "embedding")
     return source.mapInArrow(sign, T.StructType([*source.schema.fields, T.StructField("sig", T.IntegerType())]))
 
 
-def probes(sig: int, count: int, radius: int) -> list[int]:
-    """Signatures within a Hamming radius (2 at most) of one."""
-    radius = min(radius, MOST_RADIUS)
-    one = [1 << i for i in range(count)] if radius else []
-    two = [x | y for i, x in enumerate(one) for y in one[i + 1 :]] if radius > 1 else []
-    return [sig ^ m for m in (0, *one, *two)]
-
-
-def lsh_knn(vectors: DataFrame, queries: Iterable[tuple[int, Iterable[float]]], k: int, id_col: str = "id", column: str = "embedding", count: int = PLANES, radius: int = 1, seed: int = SEED) -> DataFrame:
-    """As ``knn``: every query is asked exactly, whatever ``count``, ``radius`` and ``seed`` say.
-
-    The buckets that those name were probed once, with an exact answer for queries that found fewer than k there only. On
-    larger tables all found k, and among them 0.15 of the ten nearest (16 planes, radius 2).
-    """
-    return knn(vectors, queries, k, id_col, column)
-
-
 class VectorSearch(Protocol):
-    """What an engine asks of a vector store: the k nearest of each query, as ``knn`` tells them."""
-
-    def knn(self, vectors: DataFrame, queries: Iterable[tuple], k: int, within: str | None = None) -> DataFrame: ...
-
+    """What an engine asks of a vector store, over articles of one tenant (``one``) or of many (``many``, with a table of queries)."""
 
-@dataclass(frozen=True)
-class Exact:
-    """Blocks of queries against every vector."""
+    def one(self, vectors: DataFrame, embedding: list[float], k: int) -> DataFrame: ...
 
-    def knn(self, vectors: DataFrame, queries: Iterable[tuple], k: int, within: str | None = None) -> DataFrame:
-        return knn(vectors, queries, k, within=within)
+    def many(self, vectors: DataFrame, queries: DataFrame, k: int, within: str | None = None) -> DataFrame: ...
 
 
 def index_stats(signed: DataFrame) -> DataFrame:

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..lineage import cut
-from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, ranks, rerank, security, services, vector
+from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, nearest, ranks, rerank, security, services, vector
 from ..sources import files, store, tabular
-from .views import articles, entities, query_log, relations, table, vectors
+from .views import articles, entities, fresh_folder, query_log, relations, table, vectors
 from .views import glossary as names_of
 
 QUESTION = "the ndanon of thatre ingersh tion"
@@ -156,17 +156,16 @@ NEAREST = f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {COSINE.fo
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
 
 
-def asked_vectors(v: DataFrame) -> Iterator[tuple[int, list[float]]]:
-    """The stated queries of a search: every vector whose id is divisible by 100, in blocks as the search takes them."""
-    asked = vector.usable(v, 64).where("id % 100 = 0").orderBy("id").toLocalIterator()
-    return ((r["id"], r["embedding"]) for r in asked)
+def asked_vectors(v: DataFrame) -> DataFrame:
+    """The stated queries of a search: every vector whose id is divisible by 100."""
+    return v.where("id % 100 = 0").withColumnRenamed("id", "query_id")
 
 
 @query(NEAREST)
 def vector_knn_join(spark, d):
-    """A stated set of queries against every vector, in blocks."""
+    """A stated set of queries against every vector: a join of blocks of both tables."""
     v = vectors(spark, d)
-    return vector.knn(v, asked_vectors(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    return nearest.knn_join(v, asked_vectors(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("SELECT label::VARCHAR AS namespace, count(*) AS vectors FROM embeddings WHERE len(embedding) = 64 GROUP BY 1")
@@ -187,9 +186,12 @@ def lsh_stats(spark, d):
 
 
 @query(NEAREST)
-def lsh_topk(spark, d):
-    v = vectors(spark, d)
-    return vector.lsh_knn(v, asked_vectors(v), 10, radius=2).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+def vector_index_topk(spark, d):
+    """The same queries through an index of rings that is written and read again; of its members only those are compared that the bounds leave."""
+    v, folder = vectors(spark, d), fresh_folder(spark)
+    for name, df in nearest.build(v).tables().items():
+        df.write.parquet(f"{folder}/{name}")
+    return nearest.search(nearest.Index.read(spark, folder), asked_vectors(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {VSCORE}, {_ranked('vr', 'vscore')}, {_ranked('kr', 'kscore')}, {_fused([('vr', 1.0), ('kr', 1.0)])}

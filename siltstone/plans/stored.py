@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..lineage import forget_at_exit, shared_folder
 from ..operators import governance, ingest, vector
 from ..operators.glossary import Glossary
 from ..sources import files, store, tabular
 from .catalogue import ARTICLES, LOG, query
-from .views import articles, query_log, table, vectors
-
-
-def fresh_folder(spark: SparkSession) -> str:
-    """A folder of one query's own, which goes with the session."""
-    folder = f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
-    forget_at_exit(spark, folder)
-    return folder
+from .views import articles, fresh_folder, query_log, table, vectors
 
 
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let, tokens
+from ..lineage import forget_at_exit, shared_folder
 
 GLOSSARY_SIZE, GLOSSARY_LETTERS = 40, 8
 
@@ -14,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of one query's own, which goes with the session."""
+    folder = f"{shared_folder(spark)}/query-{uuid.uuid4().hex}"
+    forget_at_exit(spark, folder)
+    return folder
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     title = F.concat(F.col("source"), F.lit(" #"), (F.col("doc_id") + 1).cast("string"))

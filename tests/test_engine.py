@@ -74,7 +74,7 @@ def test_fusion_order_and_flags(spark):
     assert weighted[3] == pytest.approx(2 / 62)
 
 
-def test_knn_and_lsh(spark):
+def test_knn(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -86,8 +86,6 @@ def test_knn_and_lsh(spark):
     for q in (0, 7):
         w = np.float64(rows[q][2])
         assert [exact[q, k + 1] for k in range(5)] == list(np.argsort(-(u @ w), kind="stable")[:5])
-    lsh = vector.lsh_knn(v, [(0, rows[0][2])], 5, radius=2).collect()
-    assert len(lsh) == 5 and {r["id"] for r in lsh if r["rank"] == 1} == {0}
     assert vector.knn(v, [(1, rows[1][2], "a")], 3, within="namespace").where("id % 2 = 0 and id < 900").count() == 0
 
 

@@ -169,4 +169,3 @@ def test_clean_sql(reply, sql):
 def test_java_random():
     draw = vector.JavaRandom(42)
     assert draw.gaussian() == pytest.approx(1.1419053154730547, abs=1e-12)
-    assert sorted(vector.probes(0, 3, 2)) == [0, 1, 2, 3, 4, 5, 6]
