@@ -15,7 +15,8 @@ ODD = [None, "", " ", "\n", "a", "\x1c\x1d", "漢字 かな", "😀😀", LONG,
     ("MIT", (["mit"], 1)), ("MIT OR GPL-3.0-only", (["mit", "gpl-3.0-only"], 1)), ("MIT and GPL-2.0+", (["mit", "gpl-2.0+"], 3)),
     ("GPL-2.0 WITH Classpath-exception-2.0", (["gpl-2.0", "classpath-exception-2.0"], 2)), ("(MIT)", (["mit"], 1)), ("NONE", ([], 0)),
     ("(MIT OR GPL-3.0) AND CC-BY-NC-4.0", (["mit", "gpl-3.0", "cc-by-nc-4.0"], 4)), ("MIT OR GPL-3.0 AND CC-BY-NC-4.0", (["mit", "gpl-3.0", "cc-by-nc-4.0"], 1)),
-    ("", None), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT GPL", None), ("OR MIT", None), ("()", None), ("(A OR B) WITH C", None), ("Odd-1", (["odd-1"], 4)),
+    ("", None), ("MIT OR", None), ("(MIT", None), ("MIT)", None), ("MIT GPL", None), ("OR MIT", None), ("()", None), ("(A OR B) WITH C", None), ("Odd-1", None), ("LicenseRef-Odd", (["licenseref-odd"], 4)), ("MIT OR Odd-1", None), ("GPL-2.0 WITH Odd-1", None), ("MIT WITH MIT", None), ("Apache-2.0+", (["apache-2.0+"], 1)),
+    ("DocumentRef-x:LicenseRef-y AND MIT", (["documentref-x:licenseref-y", "mit"], 4)),
 ])
 def test_expressions(text, value):
     assert licences.evaluate(text) == value
@@ -27,7 +28,8 @@ def test_expressions(text, value):
     ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0-only WITH Linux-syscall-note", "gpl-2.0-only,linux-syscall-note"),
     ("# spdx license identifier : (MIT or Apache-2.0), see there", "(MIT or Apache-2.0)", "apache-2.0,mit"), ("SPDX-License-Identifier: 0BSD OR\nMIT", "0BSD", "0bsd"),
     ("SPDX-License-Identifier:\nMIT", None, ""), ("SPDX-License-Identifier: (MIT", None, ""), ("SPDX-License-Identifier: see the file", None, ""), ("SPDX license identifier", None, ""),
-    ("SPDX-License-Identifier: NOASSERTION", None, ""), ("é漢 SPDX-License-Identifier: MIT\r\nSPDX-License-Identifier: ISC", "MIT", "isc,mit"),
+    ("SPDX-License-Identifier: See LICENSE file", None, ""), ("SPDX-License-Identifier: Copyright 2020 Foo", None, ""), ("SPDX-License-Identifier: MIT OR Foo-1.0", "MIT", "mit"),
+    ("SPDX-License-Identifier: LicenseRef-Foo AND MIT", "LicenseRef-Foo AND MIT", "licenseref-foo,mit"), ("SPDX-License-Identifier: NOASSERTION", None, ""), ("é漢 SPDX-License-Identifier: MIT\r\nSPDX-License-Identifier: ISC", "MIT", "isc,mit"),
 ])
 def test_tags(line, expression, labels):
     found = dict(zip(licences.COLUMNS, licences.scanner()(line), strict=True))
@@ -35,6 +37,19 @@ def test_tags(line, expression, labels):
     assert found["burden"] == (licences.evaluate(expression)[1] if expression else None) or "\r" in line
 
 
+@pytest.mark.parametrize(("line", "score"), [
+    ("SPDX-License-Identifier: MIT", 0.99), ("SPDX-License-Identifier: MIT and more words", 0.99), ("SPDX-License-Identifier: MIT OR Foo-1.0", 0.5), ("SPDX-License-Identifier: Copyright 2020", 0.5),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC OR Foo", 0.99), ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Foo", 0.995),
+])
+def test_unknown_names_leave_doubt(line, score):
+    assert dict(zip(licences.COLUMNS, licences.scanner()(line), strict=True))["score"] == pytest.approx(score)
+
+
+def test_other_tables_of_names():
+    names = licences.names_of(["Odd-1"], [])
+    assert licences.evaluate("Odd-1", names) == (["odd-1"], 4) and licences.evaluate("MIT", names) is None
+
+
 def words_of(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
