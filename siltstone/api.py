@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import base_title, ns_key, pii_count, pii_text
-from .operators import bm25, fusion, governance, graph, ingest, nearest, rerank, security, services, vector
+from .operators import bm25, fusion, governance, graph, ingest, keywords, nearest, rerank, security, services, vector
 from .lineage import cut
 from .operators.glossary import Glossary, article_entities
 from .schema import QUERY_LOG
 from .sources import files, store, tabular
 
 FETCH, KEEP, SUMMARY_CHARS, DOCUMENT_CHARS = 20, 2, 600, 8000
+#: Folders of changes that an index gathers before it is made anew.
+CHANGES = 16
 GROUND = "Answer from these sources alone; where figures differ, an [OCR] part outranks a [Vision] part.\n"
 
 
@@ -51,10 +53,11 @@ class Engine:
         embed_model: str = "hashing",
         graph_weight: float = fusion.GRAPH_WEIGHT,
         vectors: vector.VectorSearch | None = None,
+        indexed_vectors: bool = True,
         hot_format: str = "parquet",
     ):
         self.spark, self.root, self.store = spark, root, store.TieredStore(spark, f"{root}/articles", threshold, hot_format)
-        self.vectors = vectors or nearest.Exact()
+        self.vectors, self.indexed_vectors = vectors or nearest.Exact(), indexed_vectors
         self.glossary, self.embed, self.generate = glossary or Glossary(), embed or services.hashing_embedder(), generate
         self.ocr, self.caption, self.models, self.persona, self.embed_model, self.graph_weight = ocr, caption, models, persona, embed_model, graph_weight
 
@@ -74,7 +77,7 @@ class Engine:
         """(namespace, title, url, text) rows; those of files that the tenant holds already are left out."""
         named = security.visible(security.normalised(texts), allowed)
         fresh = ingest.new_files(named.dropDuplicates(["namespace", "title"]), self.store.load())
-        return self.store.append(ingest.chunks(fresh, size, how, embed=self.embed))
+        return self._appended(ingest.chunks(fresh, size, how, embed=self.embed))
 
     def ingest_files(self, path: str, namespace: str, allowed: set[str], **options) -> tuple[DataFrame, DataFrame]:
         """What was stored, and the status of each file."""
@@ -90,7 +93,7 @@ class Engine:
         pages = files.fetch_pages(fresh.select("title"), fetch).cache()
         good = pages.where("status = 'ok'").select(F.lit(security.key_of(namespace)).alias("namespace"), "title", "summary", "url", F.current_timestamp().cast("timestamp_ntz").alias("ingested_at"))
         rows = good.withColumn("embedding", services.embed_column(F.concat("title", F.lit(". "), "summary"), self.embed))
-        return self.store.append(rows), pages.select("title", "status")
+        return self._appended(rows), pages.select("title", "status")
 
     def ingest_image(self, title: str, content: bytes, namespace: str, allowed: set[str]) -> DataFrame:
         security.require_access(namespace, allowed)
@@ -100,12 +103,12 @@ class Engine:
     def delete_document(self, title: str, namespace: str | None, allowed: set[str]) -> bool:
         security.require_access(namespace, allowed)
         rows = self.articles(allowed, namespace).where(base_title(F.col("title")) == title)
-        return self.store.delete(rows.select("id"))
+        return self.store.delete(rows.select("id"), self._followers())
 
     def delete_article(self, article: int, allowed: set[str]) -> bool:
         if not self.articles(allowed).where(F.col("id") == article).count():
             return False
-        return self.store.delete([article])
+        return self.store.delete([article], self._followers())
 
     # retrieval
 
@@ -114,8 +117,12 @@ class Engine:
         security.require_access(namespace, allowed)
         ns, asked = security.key_of(namespace), self.glossary.rewrite(question)
         rows = self.store.load().where(F.col("namespace") == ns)
-        found = self.vectors.one(rows, self.embed([asked])[0], n).select("query_id", "id", "score")
-        words = bm25.scores(rows, asked).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if keyword else None
+        found = self._searched().one(rows, self.embed([asked])[0], n).select("query_id", "id", "score")
+        words = None
+        if keyword and self.store.index("keywords"):
+            words = self.keyword_hits(rows, self.spark.createDataFrame([(0, ns, asked)], "query_id long, namespace string, text string"), n)
+        elif keyword:  # one question: a pass over the texts is less than their postings
+            words = bm25.scores(rows, asked).select(F.lit(0).cast("long").alias("query_id"), "id", "score")
         linked = self.graph_hits(asked, ns, rows).select(F.lit(0).cast("long").alias("query_id"), "id", "score") if graphs else None
         best = fusion.hybrid(found, words, linked, n, ["query_id"], self.graph_weight)
         return best.join(rows.select("id", "title", "summary", "embedding"), "id").select("query_id", "id", F.col("rank0").cast("int").alias("rank0"), "score", "title", "summary", "embedding")
@@ -129,8 +136,8 @@ class Engine:
         told = self.glossary.rewritten(asked, into="text").withColumn("text", F.coalesce("text", F.lit("")))
         queries = cut(told.withColumn("embedding", services.embed_column(F.col("text"), self.embed))).withColumn("query_id", F.monotonically_increasing_id())
         rows = security.visible(self.store.load(), allowed)
-        found = self.vectors.many(rows, queries, n, within="namespace").select("query_id", "id", "score")
-        words = bm25.batch_scores(bm25.postings(rows), bm25.term_stats(rows), queries).select("query_id", "id", "score") if keyword else None
+        found = self._searched().many(rows, queries, n, within="namespace").select("query_id", "id", "score")
+        words = self.keyword_hits(rows, queries, n) if keyword else None
         linked = None
         if graphs:
             tables = self.graph_tables(rows)
@@ -145,19 +152,75 @@ class Engine:
         """``rerank`` for what ``retrieve_all`` found."""
         return self._reranked(candidates.join(cases.select("case_id", "question"), "case_id"), how, k, scorer)
 
-    def graph_tables(self, rows: DataFrame) -> dict[str, DataFrame]:
-        """Entities and edges of some articles; the stored ones where ``store_graph`` has been called since the last change."""
-        stored = self.store.index("graph")
-        if stored is None:
-            return ingest.indexes(rows, self.glossary)
-        spaces = rows.select("namespace").distinct()
-        return {name: self.spark.read.parquet(f"{stored}/{name}").join(spaces, "namespace", "left_semi") for name in ("entities", "edges")}
+    # indexes
+
+    def _vectors_follow(self, rows: DataFrame) -> dict[str, DataFrame]:
+        stored = self.store.index("vectors")
+        return {"members": nearest.extended(nearest.Index(stored.table("members"), stored.table("centres")), rows, within="namespace")}
+
+    def _followers(self) -> store.Follow:
+        """What each stored index makes of articles that come or go."""
+        return {
+            "keywords": keywords.changes,
+            "vectors": self._vectors_follow,
+            "graph": lambda rows: {"entities": ingest.indexes(rows, self.glossary)["entities"]},
+        }
+
+    def _appended(self, rows: DataFrame) -> DataFrame:
+        stored = self.store.append(rows, self._followers())
+        self._settle()
+        return stored
+
+    def _settle(self) -> None:
+        """Indexes that have gathered more than CHANGES folders are made anew, from their own tables and not from texts."""
+        for name in ("keywords", "vectors", "graph"):
+            found = self.store.index(name)
+            if found and len(found.added) + len(found.gone) > CHANGES:
+                self.store.add_index(name, self._rebuilt(name, found))
+
+    def _rebuilt(self, name: str, found: store.Stored) -> dict[str, DataFrame]:
+        if name == "keywords":
+            return self._keywords(found).rebuilt()
+        if name == "vectors":
+            return {"members": found.now("members"), "centres": found.table("centres")}
+        return graph.with_changes(found, self.glossary.relation_table(self.spark))
+
+    def store_indexes(self) -> bool:
+        """Derives postings, vectors and the entity graph of all tenants once and stores them; later changes of the articles change them too."""
+        rows = self.store.load()
+        dim = len(self.embed([""])[0])
+        tables = {"keywords": keywords.build(rows), "vectors": nearest.build(rows, within="namespace", dim=dim).tables()}
+        return all([self.store.add_index(name, t) for name, t in tables.items()]) and self.store_graph()
 
     def store_graph(self) -> bool:
-        """Derives the entity graph of all tenants once and stores it beside the articles; any change of the articles outdates it."""
+        """The entity graph alone."""
         tables = ingest.indexes(self.store.load(), self.glossary)
         return self.store.add_index("graph", {name: tables[name] for name in ("entities", "edges")})
 
+    def _keywords(self, found: store.Stored) -> keywords.Keywords:
+        parts = [found.changes(how, part) for how in ("added", "gone") for part in ("postings", "sums")]
+        return keywords.Keywords(found.table("blocks"), found.table("sums"), *parts)
+
+    def keyword_hits(self, rows: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+        """(query_id, id, score) of questions (query_id, namespace, text) by BM25: from the stored index, or from the texts where there is none."""
+        found = self.store.index("keywords")
+        if found:
+            return keywords.search(self._keywords(found), queries, n).select("query_id", "id", "score")
+        return bm25.batch_scores(bm25.postings(rows), bm25.term_stats(rows), queries).select("query_id", "id", "score")
+
+    def _searched(self) -> vector.VectorSearch:
+        found = self.store.index("vectors")
+        return nearest.Indexed(nearest.Index(found.now("members"), found.table("centres"))) if found and self.indexed_vectors else self.vectors
+
+    def graph_tables(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """Entities and edges of some tenants' articles: the stored ones as they are now, or made from the texts."""
+        found = self.store.index("graph")
+        if found is None:
+            return ingest.indexes(rows, self.glossary)
+        spaces = rows.select("namespace").distinct()
+        tables = graph.with_changes(found, self.glossary.relation_table(self.spark))
+        return {name: df.join(spaces, "namespace", "left_semi") for name, df in tables.items()}
+
     def graph_hits(self, question: str, namespace: str, rows: DataFrame) -> DataFrame:
         tables = self.graph_tables(rows)
         entities = tables["entities"].where(F.col("namespace") == namespace)

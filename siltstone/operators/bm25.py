@@ -27,7 +27,8 @@ def term_stats(articles: DataFrame, text: str = "summary") -> DataFrame:
     return df.join(per_ns, "namespace")
 
 
-def _gain(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+def gain(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+    """What a term adds to a text's score: more with its count there, less with the text's length and with how many texts hold it."""
     idf = F.ln(1 + (n - df + 0.5) / (df + 0.5))
     return F.when((tf > 0) & (df > 0), idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))).otherwise(0.0)
 
@@ -60,7 +61,7 @@ def scores(articles: DataFrame, query: str, text: str = "summary") -> DataFrame:
     slim = cut(counted(articles, terms, text))
     dfs = [F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
     sums = slim.groupBy("namespace").agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *dfs)
-    gains = (counts[t] * _gain(F.col("tf")[i].cast("double"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avg")) for i, t in enumerate(terms))
+    gains = (counts[t] * gain(F.col("tf")[i].cast("double"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("avg")) for i, t in enumerate(terms))
     found = slim.where(F.exists("tf", lambda x: x > 0)).join(sums, "namespace")
     return found.select("namespace", "id", sum(gains, F.lit(0.0)).alias("score")).where("score > 0")
 
@@ -69,8 +70,8 @@ def batch_scores(index: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
     """(query_id, namespace, id, score) of many queries (query_id, namespace, text) over stored postings and term_stats."""
     asked = queries.select("query_id", "namespace", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "namespace", "term").agg(F.count("*").alias("times"))
     joined = asked.join(stats, ["namespace", "term"]).join(index, ["namespace", "term"])
-    gain = F.col("times") * _gain(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))
-    return joined.groupBy("query_id", "namespace", "id").agg(F.sum(gain).alias("score")).where("score > 0")
+    own = F.col("times") * gain(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))
+    return joined.groupBy("query_id", "namespace", "id").agg(F.sum(own).alias("score")).where("score > 0")
 
 
 def topk(scored: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:

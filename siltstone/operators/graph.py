@@ -35,6 +35,26 @@ def typed_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return one.select("namespace", ends.alias("x"), "edge_type", "cnt").select("namespace", "x.src", "x.dst", "edge_type", "cnt")
 
 
+def with_changes(stored, relations: DataFrame) -> dict[str, DataFrame]:
+    """Entities and edges of a stored graph as it is now (tables ``entities`` and ``edges``; what has come and gone since: ``entities``).
+
+    Edges count pairs of an article and of a document, and what comes or goes belongs to a few documents: the edges of these, as they
+    were, are taken from the stored ones, and as they are now, added.
+    """
+    entities, edges = stored.now("entities"), stored.table("edges")
+    changed = [x for x in (stored.changes("added", "entities"), stored.changes("gone", "entities")) if x is not None]
+    if not changed:
+        return {"entities": entities, "edges": edges}
+    docs = changed[0].select("namespace", "doc")
+    for x in changed[1:]:
+        docs = docs.unionByName(x.select("namespace", "doc"))
+    docs = docs.distinct()
+    was, is_ = (typed_edges(x.join(docs, ["namespace", "doc"], "left_semi"), relations) for x in (stored.table("entities"), entities))
+    every = edges.unionByName(was.withColumn("cnt", -F.col("cnt"))).unionByName(is_)
+    counted = every.groupBy("namespace", "src", "dst", "edge_type").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+    return {"entities": entities, "edges": counted}
+
+
 def links(edges: DataFrame, least: int = LEAST_WEIGHT, typed: bool = True) -> DataFrame:
     """(namespace, src, dst, edge_type, step): what a step along an edge keeps of a weight.
 

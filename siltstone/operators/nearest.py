@@ -17,7 +17,7 @@ from .vector import best_of, knn, matrix, unit, usable
 #: Rows of either side that meet in one task, about, and queries of one product.
 ROWS, ASKED = 20_000, 256
 #: Bounds of what an index is fitted on and with: vectors of the sample, centres, turns of their fitting; and a ring's width in radians.
-SAMPLE, CENTRES, TURNS, RING = 20_000, 1024, 8, 0.05
+SAMPLE, CENTRES, TURNS, RING = 20_000, 1024, 8, 0.1
 #: What angles and scores may be off by rounding.
 ANGLE_SLACK, SCORE_SLACK = 1e-6, 1e-9
 #: Tables of a row for each key are joined by broadcast up to this number of rows.
@@ -43,21 +43,31 @@ def _joined(rows: DataFrame, small: DataFrame, keys: list[str], few: bool) -> Da
 
 
 def block_best(members: DataFrame, asked: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """(query_id, id, score): of each pair of blocks of the rows that share the keys the k best members of each query.
+    """(query_id, id, score): of each pair of blocks of the rows that share the keys the k best members of each query, but none under its ``least``.
 
-    ``members`` (keys, id, v) and ``asked`` (keys, query_id, v) are dealt by hash into blocks of about ROWS rows of a key, however many it
+    ``members`` (keys, id, v) and ``asked`` (keys, query_id, v, least) are dealt by hash into blocks of about ROWS rows of a key, however many it
     has, and every block of one side meets every one of the other. No row of either side goes through the driver.
     """
     parts = F.ceil(F.count("*") / ROWS).cast("int")
     sizes = cut(members.groupBy(*keys).agg(parts.alias("own")).join(asked.groupBy(*keys).agg(parts.alias("theirs")), keys))
-    few = sizes.count() <= FEW
+    told = sizes.limit(2).collect()
+    few = len(told) < 2 or sizes.count() <= FEW
+
+    def sized(rows: DataFrame) -> DataFrame:
+        if len(told) != 1:
+            return _joined(rows, sizes, keys, few)
+        own = rows
+        for key in keys:
+            own = own.where(F.col(key) == F.lit(told[0][key]))
+        return own.withColumn("own", F.lit(told[0]["own"])).withColumn("theirs", F.lit(told[0]["theirs"]))
 
     def dealt(rows: DataFrame, name: str, mine: str, other: str) -> DataFrame:
         home = F.pmod(F.xxhash64(name, F.lit(name)), F.col(mine)).cast("int")
-        each = _joined(rows, sizes, keys, few).withColumn("home", home).withColumn("met", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        each = sized(rows).withColumn("home", home).withColumn("met", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         a, b = ("home", "met") if mine == "own" else ("met", "home")
         named = [F.col(name) if x == name else F.lit(None).cast("long").alias(x) for x in ("id", "query_id")]
-        return each.select(*keys, F.col(a).alias("block_a"), F.col(b).alias("block_b"), *named, "v")
+        least = F.col("least") if name == "query_id" else F.lit(None).cast("double").alias("least")
+        return each.select(*keys, F.col(a).alias("block_a"), F.col(b).alias("block_b"), *named, "v", least)
 
     both = dealt(members, "id", "own", "theirs").unionByName(dealt(asked, "query_id", "theirs", "own"))
     return both.groupBy(*keys, "block_a", "block_b").applyInArrow(_product(k), "query_id long, id long, score double")
@@ -71,9 +81,11 @@ def _product(k: int) -> Callable[[pa.Table], pa.Table]:
         if len(ids) and len(names):
             dim = len(own[0])
             m, q = unit(matrix(own, dim)), unit(matrix(theirs, dim))
+            bar = np.nan_to_num(np.asarray(sides_[1]["least"], np.float64), nan=-2.0) - SCORE_SLACK  # null: NaN
             for at in range(0, len(names), ASKED):
                 score = np.round(q[at : at + ASKED] @ m.T, 12)
                 score = np.where(np.isnan(score), -np.inf, score)
+                score = np.where(score >= bar[at : at + ASKED, None], score, -np.inf)
                 least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None] if 0 < k < len(ids) else -np.inf
                 j, r = np.nonzero((score >= least) & (score > -np.inf))
                 found.append(best_of(names[j + at], ids[r], score[j, r], k))
@@ -97,7 +109,7 @@ def knn_join(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "id",
     """
     dim = dimension(queries, query_column)
     members, asked = sides(vectors, "id", id_col, column, within, dim), sides(queries, "query_id", query_id, query_column, within, dim)
-    return ranked(block_best(members, asked, ["space"], k), k)
+    return ranked(block_best(members, asked.withColumn("least", F.lit(None).cast("double")), ["space"], k), k)
 
 
 # an index of rings
@@ -193,7 +205,7 @@ def placed(members: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def build(vectors: DataFrame, id_col: str = "id", column: str = "embedding", within: str | None = None, dim: int | None = None, centres: int | None = None) -> Index:
-    """An index of every vector. Centres are fitted on SAMPLE vectors, those of the least hash: root of the rows many, CENTRES at most.
+    """An index of every vector. Centres are fitted on SAMPLE vectors, those of the least hash: half the root of the rows many, CENTRES at most.
 
     It is meant to be written (``tables``) and read again. An empty table gives an index that finds nothing.
     """
@@ -204,7 +216,7 @@ def build(vectors: DataFrame, id_col: str = "id", column: str = "embedding", wit
     sample = unit(np.array(drawn.tolist(), np.float64).reshape(-1, dim))
     sample = sample[np.isfinite(sample).all(1) & sample.any(1)]
     sample = sample if len(sample) else np.eye(1, dim)
-    own = fitted_centres(sample, min(centres or max(1, round(n**0.5)), CENTRES, len(sample)))
+    own = fitted_centres(sample, min(centres or max(1, round(n**0.5 / 2)), CENTRES, len(sample)))
     table = members.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(own)], "cluster int, centre array<double>")
     return Index(placed(members, own), table)
 
@@ -216,10 +228,10 @@ def extended(index: Index, vectors: DataFrame, id_col: str = "id", column: str =
 
 
 def routed(asked: DataFrame, rings: Rings, k: int) -> DataFrame:
-    """(space, query_id, v, cluster, ring, place): the rings that queries (space, query_id, v, seen, score) see.
+    """(space, query_id, v, least, cluster, ring, place): the rings that queries (space, query_id, v, seen, least) see.
 
     Where ``seen`` is null these are the nearest ones that have k members. Else they are all others (by their place among the rings) that may
-    hold something as good as the score, the k-th so far; all if there is none yet.
+    hold something as good as ``least``, the k-th score so far; all if there is none yet.
     """
     shared = asked.sparkSession.sparkContext.broadcast(rings)
 
@@ -230,7 +242,7 @@ def routed(asked: DataFrame, rings: Rings, k: int) -> DataFrame:
                 b = whole.slice(at, 64)
                 q = unit(matrix(b.column("v"), own.centres.shape[1]))
                 low, angle = own.bounds(np.nan_to_num(q))
-                score = b.column("score").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
+                score = b.column("least").to_numpy(zero_copy_only=False).astype(np.float64)  # null: NaN
                 good = np.cos(np.maximum(0, low - ANGLE_SLACK)) >= np.nan_to_num(score, nan=-2.0)[:, None] - SCORE_SLACK
                 see = own.first(low, angle, k)
                 for row, before in enumerate(b.column("seen").to_pylist()):
@@ -239,24 +251,24 @@ def routed(asked: DataFrame, rings: Rings, k: int) -> DataFrame:
                         see[row, before] = False
                 see[np.isnan(q).any(1)] = False
                 i, r = np.nonzero(see)
-                columns = [b.column(c).take(pa.array(i)) for c in ("space", "query_id", "v")]
+                columns = [b.column(c).take(pa.array(i)) for c in ("space", "query_id", "v", "least")]
                 made = [pa.array(x.astype(np.int32)) for x in (own.cluster[r], own.ring[r], r)]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=["space", "query_id", "v", "cluster", "ring", "place"])
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=["space", "query_id", "v", "least", "cluster", "ring", "place"])
 
-    source = asked.select("space", "query_id", "v", "seen", "score")
-    return source.mapInArrow(run, "space string, query_id long, v array<double>, cluster int, ring int, place int")
+    source = asked.select("space", "query_id", "v", "seen", "least")
+    return source.mapInArrow(run, "space string, query_id long, v array<double>, least double, cluster int, ring int, place int")
 
 
 def _rounds(index: Index, queries: DataFrame, k: int, query_id: str, query_column: str, within: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What queries are sent to first, the k best of that, and what they are sent to then."""
     rings = index.rings()
     asked = sides(queries, "query_id", query_id, query_column, within, rings.centres.shape[1])
-    none = asked.withColumn("seen", F.lit(None).cast("array<int>")).withColumn("score", F.lit(None).cast("double"))
+    none = asked.withColumn("seen", F.lit(None).cast("array<int>")).withColumn("least", F.lit(None).cast("double"))
     first = cut(routed(none, rings, k))
     found = cut(ranked(block_best(index.members, first, KEYS, k), k))
     # a query is told which rings it has seen: angles that are reckoned twice may differ in their last bits
     seen = first.groupBy("query_id").agg(F.collect_set("place").alias("seen"))
-    least = found.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
+    least = found.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k).drop("n")
     rest = routed(asked.join(seen, "query_id").join(least, "query_id", "left"), rings, k)
     return first, found, rest
 

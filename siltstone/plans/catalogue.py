@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..lineage import cut
-from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, nearest, ranks, rerank, security, services, vector
+from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, keywords, nearest, ranks, rerank, security, services, vector
 from ..sources import files, store, tabular
 from .views import articles, entities, fresh_folder, query_log, relations, table, vectors
 from .views import glossary as names_of
@@ -126,6 +126,41 @@ def bm25_topk(spark, d):
     return bm25.topk(keyword_scores(spark, d), 10, ["namespace"]).select("namespace", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def asked_everywhere(rows: DataFrame) -> DataFrame:
+    """The question, put to every tenant."""
+    return rows.select("namespace").distinct().select(F.lit(0).cast("long").alias("query_id"), "namespace", F.lit(QUESTION).alias("text"))
+
+
+@query(ORACLE["bm25_topk"])
+def keyword_index_topk(spark, d):
+    """The same through an index of blocks that is written and read again; only blocks are read that can reach the tenth score."""
+    arts, folder = articles(spark, d), fresh_folder(spark)
+    for name, df in keywords.build(arts).items():
+        df.write.parquet(f"{folder}/{name}")
+    index = keywords.Keywords(*(spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "sums")))
+    return keywords.search(index, asked_everywhere(index.sums), 10).select("namespace", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH {ARTICLES}, {TOKENS}, w AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+asked AS (SELECT query_id, term, count(*) AS times FROM w GROUP BY 1, 2),
+nsq AS (SELECT namespace, count(*) AS n, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
+post AS (SELECT namespace, id, w AS term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT namespace, id, len(t) AS dl, unnest(t) AS w FROM toks)
+ WHERE w IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
+dfs AS (SELECT namespace, term, count(*) AS df FROM post GROUP BY 1, 2),
+s AS (SELECT query_id, namespace, id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+ FROM post p JOIN asked USING (term) JOIN dfs USING (namespace, term) JOIN nsq USING (namespace) GROUP BY 1, 2, 3)
+SELECT query_id, namespace, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, namespace ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""")
+def keyword_index_batch(spark, d):
+    """Every passage of the benchmark as a question to every tenant, in one plan."""
+    arts, folder = articles(spark, d), fresh_folder(spark)
+    for name, df in keywords.build(arts).items():
+        df.write.parquet(f"{folder}/{name}")
+    index = keywords.Keywords(*(spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "sums")))
+    spaces = F.explode(F.lit([r[0] for r in index.sums.select("namespace").distinct().limit(1000).collect()]).cast("array<string>")).alias("namespace")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text", spaces)
+    return keywords.search(index, asked, 5).select("query_id", "namespace", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH {ARTICLES}, {TOKENS}, n AS (SELECT namespace, count(*) AS n_docs, avg(len(t)) AS avgdl FROM toks GROUP BY 1),
  f AS (SELECT namespace, term, count(*) AS df FROM (SELECT DISTINCT namespace, id, unnest(t) AS term FROM toks) GROUP BY 1, 2)
  SELECT namespace, term, df, n_docs, round(avgdl, 6) AS avgdl FROM f JOIN n USING (namespace)""")

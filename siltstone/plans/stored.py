@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import governance, ingest, vector
+from ..operators import governance, graph, ingest, keywords, nearest, vector
 from ..operators.glossary import Glossary
+from ..schema import ARTICLE
 from ..sources import files, store, tabular
-from .catalogue import ARTICLES, LOG, query
-from .views import articles, fresh_folder, query_log, table, vectors
+from .catalogue import ARTICLES, BM25, COSINE, EDGES, ENTITIES, GLOSSARY, LOG, RELATIONS, TOKENS, asked_everywhere, asked_vectors, query
+from .views import articles, entities, fresh_folder, query_log, relations, table, vectors
+from .views import glossary as names_of
 
 
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,3 +188,66 @@ def page_json(spark, d):
     whole = F.to_json(F.struct(F.concat(F.lit("page "), "page_id").alias("title"), F.col("html").alias("extract"), address.alias("content_urls"), F.lit("x").alias("lang")))
     body = F.when(F.col("page_id") % 5 < 4, whole).otherwise("no json")
     return table(spark, d, "pages").select("page_id", files.page_fields(body).alias("p")).select("page_id", "p.title", "p.extract", "p.url")
+
+
+#: What the stores of the next queries hold in the end: French articles came later, with new ids, and one English document went.
+CHANGED = """first AS (SELECT doc_id AS id, lang AS namespace, source || ' #' || (doc_id + 1) AS title, text AS summary, 'file://' || source || '#' || (doc_id + 1) AS url, source AS doc
+ FROM documents), articles AS (SELECT id, namespace, summary, doc FROM first WHERE namespace <> 'fr' AND NOT (namespace = 'en' AND doc = 'src1')
+ UNION ALL SELECT (SELECT max(id) FROM first WHERE namespace <> 'fr') + row_number() OVER (ORDER BY title, url), namespace, summary, doc FROM first WHERE namespace = 'fr')"""
+
+
+def changed_store(spark: SparkSession, sf_dir: str, name: str, made: Callable, follow: Callable) -> store.TieredStore:
+    """A store with an index that is made of its first articles, told of others that come, and of some that go."""
+    whole, tiers = stored_articles(spark, sf_dir), store.TieredStore(spark, fresh_folder(spark), threshold=10**12)
+    tiers.adopt(whole.where("namespace <> 'fr'"))
+    tiers.add_index(name, made(tiers.load()))
+    tiers.append(whole.where("namespace = 'fr'").drop("id"), {name: follow})
+    going = tiers.load().where((F.col("namespace") == "en") & (X.base_title(F.col("title")) == "src1"))
+    tiers.delete(going.select("id"), {name: follow})
+    return tiers
+
+
+@query(f"""WITH {CHANGED}, {TOKENS}, {BM25} SELECT namespace, id, round(score, 6) AS score, rank
+ FROM (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY round(score, 9) DESC, id) AS rank FROM kscore) WHERE rank <= 10""")
+def keyword_index_changes(spark, d):
+    """Append, delete and search: the index answers as one that is made of what there is now."""
+    found = changed_store(spark, d, "keywords", keywords.build, keywords.changes).index("keywords")
+    parts = [found.changes(how, part) for how in ("added", "gone") for part in ("postings", "sums")]
+    index = keywords.Keywords(found.table("blocks"), found.table("sums"), *parts)
+    return keywords.search(index, asked_everywhere(index.tenants()), 10).select("namespace", "id", F.round("score", 6).alias("score"), "rank")
+
+
+_FIRST_NAMES = GLOSSARY.replace("FROM toks", "FROM all_toks")
+
+
+@query(f"""WITH {CHANGED}, all_toks AS (SELECT id, regexp_extract_all(lower(summary), '[a-z0-9]+') AS t FROM first), {_FIRST_NAMES}, {ENTITIES}, {RELATIONS}, {EDGES}
+SELECT namespace, src, dst, edge_type, cnt FROM edges""")
+def graph_index_changes(spark, d):
+    """Edges of a stored graph after an append and a delete: only documents that changed are counted again."""
+    names = names_of(articles(spark, d))
+    known = relations(spark, names)
+
+    def found(rows: DataFrame) -> DataFrame:
+        return entities(rows.withColumn("doc", X.base_title(F.col("title"))), names)
+
+    tiers = changed_store(spark, d, "graph", lambda rows: {"entities": found(rows), "edges": graph.typed_edges(found(rows), known)}, lambda rows: {"entities": found(rows)})
+    return graph.with_changes(tiers.index("graph"), known)["edges"]
+
+
+@query(f"""WITH e AS (SELECT vec_id AS id, embedding FROM embeddings WHERE label NOT IN (0, 1)
+ UNION ALL SELECT (SELECT max(vec_id) FROM embeddings WHERE label <> 0) + row_number() OVER (ORDER BY vec_id), embedding FROM embeddings WHERE label = 0),
+s AS (SELECT q.vec_id AS query_id, e.id, {COSINE.format(a="e.embedding", b="q.embedding", n=12)} AS score FROM e, embeddings q WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10""")
+def vector_index_changes(spark, d):
+    """A store of vectors whose index was made before those of label 0 came, with new ids, and those of label 1 went."""
+    v, tiers = vectors(spark, d), store.TieredStore(spark, fresh_folder(spark), threshold=10**12)
+    named = v.withColumn("title", F.lpad(F.col("id").cast("string"), 12, "0")).withColumn("url", F.lit(""))
+    tiers.adopt(named.where("namespace <> '0'").select(*[F.col(f.name) if f.name in named.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in ARTICLE]))
+    tiers.add_index("vectors", nearest.build(tiers.load(), dim=64).tables())
+    told = tiers.index("vectors")
+    follow = {"vectors": lambda rows: {"members": nearest.extended(nearest.Index(told.table("members"), told.table("centres")), rows)}}
+    tiers.append(named.where("namespace = '0'").drop("id"), follow)
+    tiers.delete(tiers.load().where("namespace = '1'").select("id"), follow)
+    found = tiers.index("vectors")
+    index = nearest.Index(found.now("members"), found.table("centres"))
+    return nearest.search(index, asked_vectors(v), 10).select("query_id", "id", F.round("score", 6).alias("score"), "rank")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -15,6 +17,8 @@ from ..functions.text import ns_key
 from ..lineage import cut
 from ..schema import ARTICLE
 
+#: What an index makes of articles that come or go: tables by name.
+Follow = dict[str, Callable[[DataFrame], dict[str, DataFrame]]]
 #: Manifests whose folders stay for readers that began before the last change.
 KEPT = 2
 
@@ -146,10 +150,9 @@ class TieredStore:
         """Deletes old manifests and the folders that only they name."""
         numbers = self._numbers()
         kept = [self.manifest(n) for n in numbers[-keep:]]
-        named = {f for m in kept for f in [m["cold"], *m["hot"], *m["indexes"].values()] if f}
+        named = {f for m in kept for f in _folders(m)}
         for n in numbers[:-keep]:
-            old = self.manifest(n)
-            for f in {x for x in [old["cold"], *old["hot"], *old["indexes"].values()] if x} - named:
+            for f in _folders(self.manifest(n)) - named:
                 remove(self.spark, f"{self.root}/{f}")
             remove(self.spark, f"{self.root}/manifests/{n}.json")
 
@@ -169,15 +172,19 @@ class TieredStore:
     def load(self) -> DataFrame:
         return self._load(self.manifest())
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Gives the rows the next ids, in their order by namespace, title and url, and stores them; returns what was stored."""
+    def append(self, rows: DataFrame, follow: Follow | None = None) -> DataFrame:
+        """Gives the rows the next ids, in their order by namespace, title and url, and stores them; returns what was stored.
+
+        Indexes named in ``follow`` are told of the rows in the same manifest and stay; others are outdated by it.
+        """
         while True:
             now, folder = self.manifest(), self._folder("hot")
             path, first = f"{self.root}/{folder}", now["next_id"]
             numbered = numbered_from(rows, first - 1)
             (write_json if self.hot_format == "json" else lambda df, p: df.write.parquet(p))(numbered, path)
             n = self._hot([folder]).count()
-            if self._commit(now, hot=[*now["hot"], folder], next_id=first + n, hot_rows=now["hot_rows"] + n):
+            indexes = self._followed(now, self._hot([folder]), follow, "added")
+            if self._commit(now, hot=[*now["hot"], folder], next_id=first + n, hot_rows=now["hot_rows"] + n, indexes=indexes):
                 break
             remove(self.spark, path)
         if now["hot_rows"] + n >= self.threshold:
@@ -197,46 +204,84 @@ class TieredStore:
     def compact(self) -> bool:
         """Moves the hot tier's rows into the cold one; false if another writer has changed the store meanwhile."""
         now = self.manifest()
-        return self._replace(now, self._load(now))
+        return self._replace(now, self._load(now), now["indexes"])
 
-    def _replace(self, now: dict, rows: DataFrame) -> bool:
+    def _replace(self, now: dict, rows: DataFrame, indexes: dict) -> bool:
         folder = self._folder("cold")
         write_parquet(rows, f"{self.root}/{folder}")
-        done = self._commit(now, cold=folder, hot=[], hot_rows=0)
+        done = self._commit(now, cold=folder, hot=[], hot_rows=0, indexes=indexes)
         if done:
             self.vacuum()
         else:
             remove(self.spark, f"{self.root}/{folder}")
         return done
 
-    def delete(self, ids: list[int] | DataFrame) -> bool:
-        """Takes rows out of both tiers; false if there was none."""
+    def delete(self, ids: list[int] | DataFrame, follow: Follow | None = None) -> bool:
+        """Takes rows out of both tiers; false if there was none. Indexes named in ``follow`` are told of them and stay."""
         gone = ids if isinstance(ids, DataFrame) else self.spark.createDataFrame([(i,) for i in ids], "id long")
         gone = cut(gone.select("id").distinct())
         while True:
             now = self.manifest()
             rows = self._load(now)
-            if rows.join(gone, "id", "left_semi").isEmpty():
+            going = rows.join(gone, "id", "left_semi")
+            if going.isEmpty():
                 return False
-            if self._replace(now, without(rows, gone)):
+            if self._replace(now, without(rows, gone), self._followed(now, going, follow, "gone")):
                 return True
 
     # derived tables that stand beside the articles
 
-    def add_index(self, name: str, tables: dict[str, DataFrame]) -> bool:
-        """Stores tables that were derived from the articles as they are now; false if they have changed meanwhile."""
-        now, folder = self.manifest(), self._folder("index")
+    def _written(self, tables: dict[str, DataFrame]) -> str:
+        folder = self._folder("index")
         for part, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{part}")
-        done = self._commit(now, indexes=now["indexes"] | {name: folder})
+        return folder
+
+    def _followed(self, now: dict, rows: DataFrame, follow: Follow | None, how: str) -> dict:
+        """The manifest's indexes, with a folder more of what has come or gone; those that nobody follows are left out."""
+        return {name: entry | {how: [*entry[how], self._written(follow[name](rows))]} for name, entry in now["indexes"].items() if name in (follow or {})}
+
+    def add_index(self, name: str, tables: dict[str, DataFrame]) -> bool:
+        """Stores tables that were derived from the articles as they are now; false if they have changed meanwhile."""
+        now, folder = self.manifest(), self._written(tables)
+        done = self._commit(now, indexes=now["indexes"] | {name: {"base": folder, "added": [], "gone": []}})
         if not done:
             remove(self.spark, f"{self.root}/{folder}")
         return done
 
-    def index(self, name: str) -> str | None:
-        """Where an index of the articles as they are now lies, if there is one."""
+    def index(self, name: str) -> Stored | None:
+        """An index of the articles as they are now, if there is one."""
         found = self.manifest()["indexes"].get(name)
-        return found and f"{self.root}/{found}"
+        return found and Stored(self.spark, f"{self.root}/{found['base']}", *([f"{self.root}/{f}" for f in found[how]] for how in ("added", "gone")))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Folders of an index: what it was made with, and what has come and gone since, each with a table for each part."""
+
+    spark: SparkSession
+    base: str
+    added: list[str]
+    gone: list[str]
+
+    def table(self, part: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/{part}")
+
+    def changes(self, how: str, part: str) -> DataFrame | None:
+        """A part of all that has come (``added``) or gone; None if nothing has."""
+        folders = getattr(self, how)
+        return self.spark.read.parquet(*[f"{f}/{part}" for f in folders]) if folders else None
+
+    def now(self, part: str) -> DataFrame:
+        """A part whose rows carry the articles' ids, as it is now."""
+        rows, added, gone = self.table(part), self.changes("added", part), self.changes("gone", part)
+        rows = rows if added is None else rows.unionByName(added, allowMissingColumns=True)
+        return rows if gone is None else rows.join(gone.select("id").distinct(), "id", "left_anti")
+
+
+def _folders(manifest: dict) -> set[str]:
+    indexes = [f for x in manifest["indexes"].values() for f in (x["base"], *x["added"], *x["gone"])]
+    return {f for f in [manifest["cold"], *manifest["hot"], *indexes] if f}
 
 
 def tiered(cold: DataFrame, hot: DataFrame) -> DataFrame:
@@ -268,5 +313,7 @@ def numbered_from(rows: DataFrame, last: int) -> DataFrame:
 def title_clash(fresh: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``fresh`` whose tenant has no article of that title yet; _ counts as a blank and case doesn't count."""
     key = lambda c: F.lower(F.trim(F.translate(c, "_", " ")))
-    have = known.select("namespace", key(F.col("title")).alias("__k")).distinct()
-    return fresh.withColumn("__k", key(F.col("title"))).join(have, ["namespace", "__k"], "left_anti").drop("__k")
+    have = known.select(F.col("namespace").alias("known_namespace"), key(F.col("title")).alias("known_title")).distinct()
+    left = fresh.alias("fresh")
+    same = (F.col("fresh.namespace") == have["known_namespace"]) & (key(F.col("fresh.title")) == have["known_title"])
+    return left.join(have, same, "left_anti")
