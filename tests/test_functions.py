@@ -75,43 +75,12 @@ def test_glossary():
     assert len(g.names()) == 54 and g.type_of("코스피") == "INDEX"
 
 
-def test_recursive_chunks():
-    assert chunk.recursive("short", 100) == ["short"]
-    assert chunk.recursive("a\n\n\n\nb", 100) == ["a\n\n\n\nb"]
-    long = "\n\n".join(c * 300 for c in "ABC")
-    assert len(chunk.recursive(long, 350)) == 3
-    # every level leaves its separator behind the last part
-    assert chunk.recursive("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5 + "\n."]
-    assert chunk.recursive("", 10) == [] and chunk.recursive("  ", 10) == []
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["word ", "sentence. ", "line\n", "\n\n", "longerword"]), max_size=80), st.integers(12, 60))
-def test_recursive_chunks_hold_the_text(parts, size):
-    text = "".join(parts)
-    chunks = chunk.recursive(text, size)
-    assert all(len(c) <= size + 2 for c in chunks)
-    assert "".join("".join(chunks).split()).replace(".", "") == "".join(text.split()).replace(".", "")
-
-
 def test_fixed_chunks(spark):
     text = "".join(chr(97 + i % 26) for i in range(500))
     rows = chunk.chunked(spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string"), "t", 200, "fixed").collect()
     assert [(r["id"], r["pos"], r["chunk"]) for r in rows] == [(1, i, text[i * 50 : i * 50 + 200]) for i in range(7)]
 
 
-def test_semantic_chunks():
-    def embed(xs):
-        return [[1.0, 0.0] if "cat" in x else [0.0, 1.0] for x in xs]
-
-    # likenesses 1, 0, 1, 1: the lower quartile is 0 of them sorted at place 0, and nothing lies under it
-    assert chunk.semantic("A cat. The cat. One dog. Two dogs. Ten dogs.", 100, embed) == ["A cat. The cat. One dog. Two dogs. Ten dogs."]
-    assert chunk.semantic("A cat. The cat. One dog. Two dogs. Ten dogs. Old dogs. New dogs.", 100, embed) == ["A cat. The cat.", "One dog. Two dogs. Ten dogs. Old dogs. New dogs."]
-    assert chunk.semantic("A cat. The cat.", 10, embed) == ["A cat.", "The cat."]
-    assert chunk.semantic("just one", 100, embed) == ["just one"]
-    assert chunk.low_quartile([0.1, 0.5, 0.7, 0.9, 1.0]) == 0.5 and chunk.low_quartile([]) == 0
-
-
 def test_mmr_prefers_other_content():
     same, other = [1.0, 0.0], [0.0, 1.0]
     assert rerank.mmr_order([same, same, other], 2) == [0, 2]
