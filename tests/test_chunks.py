@@ -44,17 +44,6 @@ def test_recursive_pieces_hold_the_text(spark, size):
             assert pieces == ([text.strip(BLANKS)] if text.strip(BLANKS) else [])
 
 
-def test_a_piece_of_one_level_takes_all_that_fits(spark):
-    """Of a text with one kind of separator no two neighbours could have been one piece."""
-    rng = random.Random(2)
-    for separator in (". ", "\n", " "):
-        texts = [separator.join("w" * rng.randrange(1, 9) for _ in range(50)) for _ in range(30)]
-        for pieces in told(spark, texts, 40):
-            assert len(pieces) > 1
-            first_parts = [p.split(separator)[0].rstrip(".") for p in pieces[1:-1]]  # the last part has the separators of other levels behind it
-            assert all(len(p) + len(separator) + len(q) > 40 for p, q in zip(pieces, first_parts, strict=False))
-
-
 def cats(xs):
     return [[1.0, 0.0] if "cat" in x else [0.0, 1.0] for x in xs]
 
