@@ -157,3 +157,15 @@ def safe_column(name: str) -> str:
 
     bare = re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
     return f"_{bare}" if not bare or bare[0].isdigit() else bare
+
+
+def term_counts(toks: Column) -> Column:
+    """An array's distinct items and how often each is there (struct of term, tf), in order: told from its sorted form, in one row."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        ends = lambda h, j: F.coalesce(F.get(h, j + 1), F.size(s) + 1)
+        return let(heads, lambda h: F.transform(h, lambda at, j: F.struct(F.get(s, at - 1).alias("term"), (ends(h, j) - at).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(toks) > 0, let(F.array_sort(toks), runs)).otherwise(none)

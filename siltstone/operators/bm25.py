@@ -7,16 +7,17 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, tokens
+from ..functions.text import let, term_counts, tokens
 from ..lineage import cut
 
 K1, B = 1.2, 0.75
 
 
 def postings(articles: DataFrame, text: str = "summary") -> DataFrame:
-    """(namespace, id, term, tf, dl): the inverted index as a table."""
+    """(namespace, id, term, tf, dl): the inverted index as a table. Ids are unique, so an article's terms are counted in its own row."""
     own = articles.select("namespace", "id", tokens(F.col(text)).alias("t"))
-    return own.select("namespace", "id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("namespace", "id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    each = own.select("namespace", "id", F.size("t").alias("dl"), F.explode(term_counts(F.col("t"))).alias("x"))
+    return each.select("namespace", "id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "dl")
 
 
 def term_stats(articles: DataFrame, text: str = "summary") -> DataFrame:

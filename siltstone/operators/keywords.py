@@ -35,13 +35,12 @@ def blocks(post: DataFrame) -> DataFrame:
     more than BLOCK are alike they are dealt by hash, so a term that every text has is no one row's.
     """
     level = post.withColumn("tf_level", F.least(F.floor(F.log2("tf") * 2), F.lit(12)).cast("int")).withColumn("dl_level", F.floor(F.log2("dl") * 2).cast("int"))
-    level = cut(level)
     kind = ["namespace", "term", "tf_level", "dl_level"]
     crowded = cut(level.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
     dealt = level.join(_near(crowded), kind, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
     held = F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("held")
     made = dealt.groupBy(*HEAD).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held)
-    return made.repartitionByRange("namespace", "term").sortWithinPartitions(*HEAD)
+    return made.sortWithinPartitions(*HEAD)  # so that a file's row groups hold few terms each
 
 
 def build(articles: DataFrame, text: str = "summary") -> dict[str, DataFrame]:

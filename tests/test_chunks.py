@@ -44,11 +44,15 @@ def test_recursive_pieces_hold_the_text(spark, size):
             assert pieces == ([text.strip(BLANKS)] if text.strip(BLANKS) else [])
 
 
-def cats(xs):
-    return [[1.0, 0.0] if "cat" in x else [0.0, 1.0] for x in xs]
+def by_cats():
+    def embed(xs):
+        return [[1.0, 0.0] if "cat" in x else [0.0, 1.0] for x in xs]
+
+    return embed
 
 
 def test_semantic_pieces(spark):
+    cats = by_cats()
     # likenesses 1, 0, 1, 1: the lower quartile is 0 of them sorted at place 0, and nothing lies under it
     texts = ["A cat. The cat. One dog. Two dogs. Ten dogs.", "A cat. The cat. One dog. Two dogs. Ten dogs. Old dogs. New dogs.", "just one", "", None, " . ", "A cat.\n\nA cat"]
     assert told(spark, texts, 100, "semantic", cats) == [[texts[0]], ["A cat. The cat.", "One dog. Two dogs. Ten dogs. Old dogs. New dogs."], ["just one"], [""], [], ["."], ["A cat. A cat"]]
@@ -60,6 +64,8 @@ def test_semantic_pieces(spark):
 def test_sentences_of_many_texts_are_embedded_together(spark, tmp_path, monkeypatch):
     seen = str(tmp_path / "calls")
 
+    cats = by_cats()
+
     def embed(xs):
         with open(seen, "a") as f:
             f.write(f"{len(xs)}\n")

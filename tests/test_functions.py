@@ -138,3 +138,13 @@ def test_clean_sql(reply, sql):
 def test_java_random():
     draw = vector.JavaRandom(42)
     assert draw.gaussian() == pytest.approx(1.1419053154730547, abs=1e-12)
+
+
+def test_term_counts(spark):
+    from collections import Counter
+
+    from siltstone.functions.text import term_counts
+
+    rows = [(["b", "a", "b", "c", "b", "a"],), ([],), (None,), (["x"],), (["é", "e", "é"],)]
+    for r in spark.createDataFrame(rows, "t array<string>").select("t", term_counts(F.col("t")).alias("c")).collect():
+        assert {x["term"]: x["tf"] for x in r["c"] or []} == Counter(r["t"] or [])
