@@ -731,7 +731,19 @@ _sql("sql_cte_subquery", """WITH avgs AS (SELECT p_brand, avg(p_retailprice) AS
  round(p.p_retailprice - a, 4) AS over_avg FROM part p JOIN avgs ON p.p_brand = avgs.p_brand WHERE p.p_retailprice > (SELECT avg(p_retailprice)
  FROM part)""")
 _sql("sql_json", "SELECT event_type, sum(CAST(get_json_object(props, '$.k') AS INT)) AS k FROM events GROUP BY event_type", "SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS k FROM events GROUP BY event_type")
-_sql("sql_recursive", "WITH RECURSIVE r(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * 2 FROM r WHERE n < 12) SELECT n, f FROM r")
+_sql("sql_recursive", """WITH RECURSIVE r(n, place, steps) AS (SELECT n_nationkey, n_regionkey, 1 FROM nation
+ UNION ALL SELECT r.n, nation.n_regionkey, steps + 1 FROM r JOIN nation ON n_nationkey = r.place WHERE nation.n_regionkey <> r.place AND steps < 6)
+SELECT n, max(steps) AS steps, count(*) AS visits FROM r GROUP BY n""")
+_sql("sql_list_index", "SELECT c_custkey, string_split(c_name, '#')[2] AS number, len(string_split(c_name, '#')) AS parts, c_name[1:4] AS head, c_name[-1] AS tail FROM customer")
+_sql("sql_whole_division", "SELECT o_orderkey, o_orderkey // 7 AS weeks, o_totalprice // 7 AS share, (o_orderkey + 1) // 2 AS half FROM orders")
+_sql("sql_concat_nulls", "SELECT n_nationkey, concat(n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE '-' END, n_regionkey) AS told FROM nation")
+_sql("sql_list_nulls", "SELECT n_regionkey, len(list(CASE WHEN n_nationkey % 2 = 0 THEN n_name END)) AS n, count(CASE WHEN n_nationkey % 2 = 0 THEN 1 END) AS held FROM nation GROUP BY n_regionkey")
+_sql("sql_list_position", "SELECT p_partkey, list_position(string_split(p_type, ' '), 'BRASS') AS place, list_contains(string_split(p_type, ' '), 'STEEL') AS steel FROM part")
+_sql("sql_epoch", "SELECT event_id, epoch(ts) AS seconds, dayofweek(ts) AS day, isodow(ts) AS iso FROM events")
+_sql("sql_list_sums", "SELECT l_orderkey, l_linenumber, list_sum([l_quantity, l_tax, NULL]) AS s, list_avg([l_quantity, l_tax]) AS a, list_sort([l_quantity, l_tax])[1] AS least FROM lineitem")
+_sql("sql_powers", "SELECT p_partkey, round(log(p_retailprice), 6) AS digits, p_size ** 2 AS area FROM part")
+_sql("sql_substrings", "SELECT s_suppkey, substr(s_name, -3, 3) AS tail, s_name[3] AS third, strpos(s_name, '#') AS sign FROM supplier")
+_sql("sql_split_counts", "SELECT len(string_split(p_name, ' ')) AS words, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY ALL")
 _sql("sql_case_outer", """SELECT r_name, CASE WHEN n_nationkey IS NULL THEN 'none' ELSE n_name END AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey
  AND n_nationkey % 2 = 0""")
 _sql("sql_pivot", """SELECT * FROM (SELECT o_orderstatus, o_orderpriority FROM orders) PIVOT (count(1) FOR o_orderstatus IN ('F' AS f, 'O' AS o))""", """SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o FROM orders
@@ -747,6 +759,31 @@ _ERRORS = "(SELECT * FROM events WHERE event_type = 'error') b"
 _sql("sql_asof_text", f"SELECT a.event_id, b.event_id AS error FROM events a ASOF JOIN {_ERRORS} ON a.user_id = b.user_id AND a.ts >= b.ts")
 
 
+@query("""SELECT a.c_custkey, b.s_suppkey, b.s_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer) a
+ FULL JOIN (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_name, s_suppkey) AS r FROM supplier) b USING (r)""")
+def sql_side_by_side(spark, d):
+    """Customers by balance beside suppliers by name: what a positional join says where both have an order."""
+    a, b = (table(spark, d, t).select(*c) for t, c in (("customer", ("c_custkey", "c_acctbal")), ("supplier", ("s_suppkey", "s_name"))))
+    return tabular.side_by_side(a, b, ["c_acctbal", "c_custkey"], ["s_name", "s_suppkey"]).select("c_custkey", "s_suppkey", "s_name")
+
+
+_PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+def _profile_sql() -> str:
+    def part(c: str, kind: str) -> str:
+        number = f"round(avg({c}), 4)" if kind in ("bigint", "double") else "NULL::DOUBLE"
+        return f"SELECT '{c}' AS column_name, '{kind}' AS column_type, min({c})::VARCHAR AS min, max({c})::VARCHAR AS max, {number} AS avg, count(*) AS rows, count(*) - count({c}) AS nulls FROM orders"
+
+    return " UNION ALL ".join(part(c, kind) for c, kind in _PROFILED.items())
+
+
+@query(_profile_sql())
+def sql_summarize(spark, d):
+    """Least and greatest value, mean, rows and nulls of every column of a table, in one pass."""
+    return tabular.summarize(table(spark, d, "orders")).withColumn("avg", F.round("avg", 4))
+
+
 @query("""SELECT o.o_orderkey, e.event_id, e.ts FROM (SELECT o_orderkey, o_custkey, TIMESTAMP '2024-01-16 00:00:00' + INTERVAL (o_orderkey % 86400) SECOND AS at
  FROM orders) o ASOF JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events GROUP BY 1, 2) e ON e.user_id = o.o_custkey AND e.ts <= o.at""")
 def sql_asof(spark, d):

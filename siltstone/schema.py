@@ -28,3 +28,11 @@ QUERY_LOG = T.StructType(
         T.StructField("augmented_prompt", T.StringType()),
     ]
 )
+
+
+def free(name: str, taken: list[str]) -> str:
+    """``name``, or with as many ``_`` before it as it takes to be none of ``taken`` (case doesn't count, as in Spark)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

@@ -15,7 +15,7 @@ from pyspark.sql.types import StructField
 
 from ..functions.text import ns_key
 from ..lineage import cut
-from ..schema import ARTICLE
+from ..schema import ARTICLE, free
 
 #: What an index makes of articles that come or go: tables by name.
 Follow = dict[str, Callable[[DataFrame], dict[str, DataFrame]]]
@@ -292,17 +292,23 @@ def without(articles: DataFrame, ids: DataFrame) -> DataFrame:
     return articles.join(ids, "id", "left_anti")
 
 
-def numbered_from(rows: DataFrame, last: int) -> DataFrame:
-    """Ids after ``last`` by order of (namespace, title, url): rows are sorted over all tasks, and each task's count moves the next one's ids."""
+def in_order(rows: DataFrame, order: list[str], last: int, into: str) -> DataFrame:
+    """``rows`` with the numbers after ``last`` by an order, in column ``into``: sorted over all tasks, each task's count moves the next one's."""
     spark = rows.sparkSession
-    placed = cut(rows.orderBy("namespace", "title", "url")).withColumn("__row", F.monotonically_increasing_id())
-    task = F.shiftright("__row", 33)
+    row, number, by = (free(x, [*rows.columns, into]) for x in ("row", "task", "shift"))
+    placed = cut(rows.orderBy(*[f"`{c}`" for c in order])).withColumn(row, F.monotonically_increasing_id())
+    task = F.shiftright(row, 33)
     shift, at = [], last + 1
-    for number, n in sorted(placed.groupBy(task.alias("t")).count().collect()):
-        shift.append((number, at - (number << 33)))
-        at += n
-    shifts = F.broadcast(spark.createDataFrame(shift, "__task long, __shift long"))  # a row for each task
-    numbered = placed.withColumn("__task", task).join(shifts, "__task").withColumn("id", F.col("__row") + F.col("__shift"))
+    for n, count in sorted(placed.groupBy(task.alias("t")).count().collect()):
+        shift.append((n, at - (n << 33)))
+        at += count
+    shifts = F.broadcast(spark.createDataFrame(shift, f"`{number}` long, `{by}` long"))  # a row for each task
+    return placed.withColumn(number, task).join(shifts, number).withColumn(into, F.col(row) + F.col(by)).drop(row, number, by)
+
+
+def numbered_from(rows: DataFrame, last: int) -> DataFrame:
+    """Ids after ``last`` by order of (namespace, title, url)."""
+    numbered = in_order(rows, ["namespace", "title", "url"], last, "id")
 
     def told(f: StructField) -> Column:
         return (F.col(f.name) if f.name in numbered.columns else F.lit(None)).cast(f.dataType).alias(f.name)
