@@ -11,8 +11,8 @@ from ..functions.text import tokens
 from ..lineage import cut
 from .bm25 import gain, postings
 
-#: Postings of a block at most, about, and places that scores are rounded to, so that ties don't hang on the order of sums.
-BLOCK, PLACES = 4096, 9
+#: Articles of a segment, about, so that a block has no more postings than that; and places that scores are rounded to, so that ties don't hang on the order of sums.
+SEGMENT, PLACES = 32_768, 9
 #: Tables of a row for each block or term asked for are joined by broadcast up to this number of rows.
 FEW = 50_000
 HEAD = ["namespace", "term", "tf_level", "dl_level", "part"]
@@ -28,24 +28,24 @@ def _near(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
-def blocks(post: DataFrame) -> DataFrame:
-    """(HEAD, n, max_tf, min_dl, held): postings (namespace, id, term, tf, dl) of a term whose counts and lengths are alike, BLOCK at most.
+def blocks(post: DataFrame, articles: int) -> DataFrame:
+    """(HEAD, n, max_tf, min_dl, held): postings (namespace, id, term, tf, dl) of a term whose counts and lengths are alike.
 
-    A gain rises with the count and falls with the length, so ``max_tf`` and ``min_dl`` bound it whatever the average length is. Where
-    more than BLOCK are alike they are dealt by hash, so a term that every text has is no one row's.
+    A gain rises with the count and falls with the length, so ``max_tf`` and ``min_dl`` bound it whatever the average length is. Articles
+    are dealt by hash into segments (``part``), so a block of a term that every text has is no larger than one of these. Postings
+    are moved once.
     """
-    level = post.withColumn("tf_level", F.least(F.floor(F.log2("tf") * 2), F.lit(12)).cast("int")).withColumn("dl_level", F.floor(F.log2("dl") * 2).cast("int"))
-    kind = ["namespace", "term", "tf_level", "dl_level"]
-    crowded = cut(level.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1"))
-    dealt = level.join(_near(crowded), kind, "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("id", "tf", "dl"))).alias("held")
-    made = dealt.groupBy(*HEAD).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held)
+    levels = (F.least(F.floor(F.log2("tf") * 2), F.lit(12)).cast("tinyint").alias("tf_level"), F.floor(F.log2("dl") * 2).cast("tinyint").alias("dl_level"))
+    part = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-articles // SEGMENT)))).cast("int").alias("part")
+    one = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl")).alias("x")
+    dealt = post.select("namespace", "term", *levels, part, one)
+    made = dealt.groupBy(*HEAD).agg(F.count("*").alias("n"), F.max("x.tf").alias("max_tf"), F.min("x.dl").alias("min_dl"), F.array_sort(F.collect_list("x")).alias("held"))
     return made.sortWithinPartitions(*HEAD)  # so that a file's row groups hold few terms each
 
 
 def build(articles: DataFrame, text: str = "summary") -> dict[str, DataFrame]:
     """The tables of an index: ``blocks`` and ``sums``."""
-    return {"blocks": blocks(postings(articles, text)), "sums": sums(articles, text)}
+    return {"blocks": blocks(postings(articles, text), articles.count()), "sums": sums(articles, text)}
 
 
 def changes(articles: DataFrame, text: str = "summary") -> dict[str, DataFrame]:
@@ -75,7 +75,7 @@ class Keywords:
 
     def postings(self) -> DataFrame:
         """(namespace, id, term, tf, dl) as they are now, to make blocks of again."""
-        held = self.blocks.select("namespace", "term", F.explode("held").alias("x")).select("namespace", F.col("x.id").alias("id"), "term", F.col("x.tf").alias("tf"), F.col("x.dl").alias("dl"))
+        held = self.blocks.select("namespace", "term", F.explode("held").alias("x")).select("namespace", F.col("x.id").alias("id"), "term", F.col("x.tf").cast("long").alias("tf"), F.col("x.dl").alias("dl"))
         return self._kept(held if self.added is None else held.unionByName(self.added.select(held.columns)))
 
     def _kept(self, rows: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ class Keywords:
     def rebuilt(self) -> dict[str, DataFrame]:
         """The tables of an index of what there is now, made from postings and not from texts."""
         now = self.tenants()
-        return {"blocks": blocks(self.postings()), "sums": now.select("namespace", F.col("n_docs").alias("docs"), F.round(F.col("avgdl") * F.col("n_docs")).cast("long").alias("words"))}
+        return {"blocks": blocks(self.postings(), now.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]), "sums": now.select("namespace", F.col("n_docs").alias("docs"), F.round(F.col("avgdl") * F.col("n_docs")).cast("long").alias("words"))}
 
 
 def _asked(queries: DataFrame) -> DataFrame:

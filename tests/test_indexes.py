@@ -52,15 +52,15 @@ def same(got, want):
     assert all(a == pytest.approx(b, abs=2e-9) for q in got for (_, a), (_, b) in zip(got[q], want[q], strict=True))
 
 
-@pytest.mark.parametrize(("block", "k"), [(4096, 5), (3, 5), (3, 1), (7, 500)])
+@pytest.mark.parametrize(("block", "k"), [(32_768, 5), (9, 5), (9, 1), (20, 500)])
 def test_blocks_give_what_all_postings_give(spark, monkeypatch, block, k):
-    monkeypatch.setattr(keywords, "BLOCK", block)
+    monkeypatch.setattr(keywords, "SEGMENT", block)
     rows = texts(300, 1)
     index = keywords.Keywords(**keywords.build(spark.createDataFrame(rows, SCHEMA).repartition(3)))
     same(found(keywords.search(index, asked(spark), k)), plain(spark, rows, k))
     read, every = keywords.postings_read(index, asked(spark), k)
     assert read <= every and (k == 500 or read < every)
-    assert index.blocks.agg(F.max("n")).first()[0] <= max(3 * block, 10) or block == 4096
+    assert index.blocks.agg(F.max("n")).first()[0] <= 3 * block
 
 
 def test_changes_give_what_a_new_index_gives(spark):
