@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import free
+
 RRF_K, GRAPH_WEIGHT = 60, 2.0
 
 
@@ -13,21 +15,24 @@ def ranked(scored: DataFrame, by: list[str], k: int | None = None) -> DataFrame:
 
     The filter is on the row number itself, so that each task sends on its k best only.
     """
-    numbered = scored.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
-    return (numbered.where(F.col("__n") <= k) if k else numbered).withColumn("rank0", F.col("__n") - 1).drop("__n")
+    n = free("n", [*scored.columns, "rank0"])
+    numbered = scored.withColumn(n, F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id")))
+    return (numbered.where(F.col(n) <= k) if k else numbered).withColumn("rank0", F.col(n) - 1).drop(n)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], by: list[str], rrf_k: int = RRF_K) -> DataFrame:
     """(by..., id, score) of lists with rank0: each adds weight / (rrf_k + rank0 + 1); one union and one aggregate, no outer join."""
+    of = free("list", [*by, "id", "score"])
+
     def part(i: int, df: DataFrame, weight: float) -> DataFrame:
-        return df.select(*by, "id", (F.lit(float(weight)) / (rrf_k + F.col("rank0") + 1)).alias("score"), F.lit(i).alias("__l"))
+        return df.select(*by, "id", (F.lit(float(weight)) / (rrf_k + F.col("rank0") + 1)).alias("score"), F.lit(i).alias(of))
 
     parts = [part(i, df, w) for i, (df, w) in enumerate(lists)]
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     # added in the lists' order, so sums are equal on every run
-    in_order = F.array_sort(F.collect_list(F.struct("__l", "score")))
+    in_order = F.array_sort(F.collect_list(F.struct(of, "score")))
     return whole.groupBy(*by, "id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a + x["score"]).alias("score"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import free
+
 from ..functions.text import base_title, pii_count, pii_text, rounded, source_type
 
 
@@ -88,8 +90,10 @@ def redacted(df: DataFrame, *columns: str, count: str = "pii_count") -> DataFram
 
 def with_feedback(log: DataFrame, events: DataFrame) -> DataFrame:
     """``log`` with the latest feedback of an append-only table (id, feedback, at)."""
-    last = events.groupBy("id").agg(F.max_by("feedback", "at").alias("__f"))
-    return log.join(last, "id", "left").withColumn("feedback", F.coalesce("__f", "feedback")).select(*log.columns)
+    told = free("told", log.columns)
+    last = events.groupBy("id").agg(F.max_by("feedback", "at").alias(told))
+    kept = [F.coalesce(told, "feedback").alias(c) if c == "feedback" else F.col(f"`{c}`") for c in log.columns]
+    return log.join(last, "id", "left").select(*kept)
 
 
 def paired(turns: DataFrame) -> DataFrame:

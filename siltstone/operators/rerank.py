@@ -101,14 +101,13 @@ def mmr_two(candidates: DataFrame, trade: float = LAMBDA) -> DataFrame:
     """MMR for k = 2 as joins and windows: the first candidate, then the best of the others against it alone."""
     from .vector import cosine
 
-    total = F.count("*").over(Window.partitionBy("query_id"))
-    all_ = candidates.withColumn("__n", total)
-    first = all_.where(F.col("rank0") == 0).select(F.col("query_id").alias("__q"), F.col("embedding").alias("__e"))
-    value = trade * (1 - F.col("rank0") / F.col("__n")) - (1 - trade) * F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("__e")))
-    others = all_.where(F.col("rank0") > 0).join(first, F.col("query_id") == F.col("__q")).withColumn("__v", F.round(value, 9))
-    second = others.withColumn("__r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("__v"), "rank0"))).where("__r = 1")
-    lead = all_.where(F.col("rank0") == 0).select("query_id", "id", F.lit(0).alias("rank0"), F.lit(float(trade)).alias("mmr"))
-    return lead.unionByName(second.select("query_id", "id", F.lit(1).alias("rank0"), F.col("__v").alias("mmr")))
+    own = candidates.select("query_id", "id", "rank0", "embedding", F.count("*").over(Window.partitionBy("query_id")).alias("n"))
+    first = own.where(F.col("rank0") == 0).select(F.col("query_id").alias("q"), F.col("embedding").alias("e"))
+    value = trade * (1 - F.col("rank0") / F.col("n")) - (1 - trade) * F.greatest(F.lit(0.0), cosine(F.col("embedding"), F.col("e")))
+    others = own.where(F.col("rank0") > 0).join(first, F.col("query_id") == F.col("q")).withColumn("v", F.round(value, 9))
+    second = others.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("v"), "rank0"))).where("r = 1")
+    lead = own.where(F.col("rank0") == 0).select("query_id", "id", F.lit(0).alias("rank0"), F.lit(float(trade)).alias("mmr"))
+    return lead.unionByName(second.select("query_id", "id", F.lit(1).alias("rank0"), F.col("v").alias("mmr")))
 
 
 def strategy(name: str | None) -> Callable:
