@@ -272,14 +272,20 @@ class Engine:
         told = f"{self.root}/feedback"
         return governance.with_feedback(rows, self.spark.read.parquet(told)) if store.exists(self.spark, told) else rows
 
+    def audit_all(self, calls: DataFrame, order: list[str]) -> int:
+        """Appends calls (question, answer, model, latency_ms, sources, augmented_prompt) to the log, masked, with the next ids by ``order``; the last id."""
+        last = self.log().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        found = (pii_count(F.col("question")) + pii_count(F.col("answer"))).cast("int")
+        masked = {"question": pii_text(F.col("question")), "answer": pii_text(F.col("answer")), "pii_count": found, "created_at": F.current_timestamp().cast("timestamp_ntz"), "feedback": F.lit(None).cast("string")}
+        rows = store.in_order(calls, order, last, "id").withColumns(masked)
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in QUERY_LOG]).write.mode("append").parquet(f"{self.root}/log")
+        return self.log().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+
     def audit(self, question: str, answer: str, model: str, latency_ms: int, sources: str, prompt: str) -> int | None:
         """Writes a masked row; a log that can't be written never fails the answer."""
         try:
-            last = self.log().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-            row = self.spark.createDataFrame([(last + 1, question, answer, model, latency_ms, sources, prompt)], "id long, question string, answer string, model string, latency_ms long, sources string, augmented_prompt string")
-            row = row.select("id", pii_text(F.col("question")).alias("question"), pii_text(F.col("answer")).alias("answer"), "model", "latency_ms", F.current_timestamp().cast("timestamp_ntz").alias("created_at"), "sources", F.lit(None).cast("string").alias("feedback"), (pii_count(F.col("question")) + pii_count(F.col("answer"))).cast("int").alias("pii_count"), "augmented_prompt")
-            row.write.mode("append").parquet(f"{self.root}/log")
-            return last + 1
+            call = self.spark.createDataFrame([(question, answer, model, latency_ms, sources, prompt)], "question string, answer string, model string, latency_ms long, sources string, augmented_prompt string")
+            return self.audit_all(call, ["question"])
         except Exception:  # noqa: BLE001
             return None
 

@@ -12,7 +12,7 @@ from ..operators import governance, graph, ingest, keywords, nearest, vector
 from ..operators.glossary import Glossary
 from ..schema import ARTICLE
 from ..sources import files, store, tabular
-from .catalogue import ARTICLES, BM25, COSINE, EDGES, ENTITIES, GLOSSARY, LOG, RELATIONS, TOKENS, asked_everywhere, asked_vectors, query
+from .catalogue import ARTICLES, BM25, COSINE, EDGES, ENTITIES, GLOSSARY, LOG, RELATIONS, TOKENS, _pii_sql, asked_everywhere, asked_vectors, query
 from .views import articles, entities, fresh_folder, query_log, relations, table, vectors
 from .views import glossary as names_of
 
@@ -166,13 +166,53 @@ def vector_count(spark, d):
     return vector.usable(vectors(spark, d), 64).agg(F.count("*").alias("vectors"), F.count_distinct("namespace").alias("namespaces"))
 
 
-@query(f"WITH {LOG} SELECT count(*) AS calls, sum(latency_ms)::BIGINT AS latency, count(feedback) AS told, max(created_at) AS last FROM log")
+@query(f"""WITH pairs AS (SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(role) OVER w AS r, lead(text) OVER w AS answer FROM conversations
+ WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant')
+SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, {_pii_sql('question')[0]} AS question, {_pii_sql('answer')[0]} AS answer, 'model' AS model, turn AS latency_ms, '#' || conv_id AS sources,
+ CASE WHEN turn % 4 = 0 THEN 'up' END AS feedback, ({_pii_sql('question')[1]} + {_pii_sql('answer')[1]})::INTEGER AS pii_count FROM pairs""")
 def audit_written(spark, d):
-    """The audit log as it is stored: appended rows are read back with their types."""
-    path = fresh_folder(spark)
-    query_log(spark, d).write.mode("append").parquet(path)
-    sums = (F.count("*").alias("calls"), F.sum("latency_ms").alias("latency"), F.count("feedback").alias("told"))
-    return spark.read.parquet(path).agg(*sums, F.max("created_at").alias("last"))
+    """The log's own sink: questions and answers are masked and counted, numbered and appended; feedback to some is joined on when it is read."""
+    from ..api import Engine
+
+    engine, pairs = Engine(spark, fresh_folder(spark)), governance.paired(table(spark, d, "conversations"))
+    told = (F.lit("model").alias("model"), F.col("turn").alias("latency_ms"), F.concat(F.lit("#"), "conv_id").alias("sources"), F.lit("").alias("augmented_prompt"))
+    engine.audit_all(pairs.select("conv_id", "turn", "question", "answer", *told), ["conv_id", "turn"])
+    liked = engine.log().where("latency_ms % 4 = 0").select("id", F.lit("up").alias("feedback"), F.current_timestamp().alias("at"))
+    liked.write.mode("append").parquet(f"{engine.root}/feedback")
+    return engine.log().select("id", "question", "answer", "model", "latency_ms", "sources", "feedback", "pii_count")
+
+
+@query(f"""WITH {ARTICLES} SELECT id, namespace FROM articles WHERE id <> (SELECT min(id) FROM articles WHERE namespace = 'de')""")
+def delete_article(spark, d):
+    """One article of the caller's tenant goes; another tenant's stays, whoever asks."""
+    from ..api import Engine
+
+    engine = Engine(spark, fresh_folder(spark))
+    engine.store.adopt(stored_articles(spark, d))
+    first = {r["namespace"]: r["id"] for r in engine.store.load().where("namespace IN ('de', 'fr')").groupBy("namespace").agg(F.min("id").alias("id")).collect()}
+    for namespace in ("de", "fr"):
+        if namespace in first:
+            engine.delete_article(first[namespace], {"de"})
+    return engine.store.load().select("id", "namespace")
+
+
+_FULL = ("Amber Ink", "Art Index", "Aged Iron")
+
+
+@query(f"""SELECT doc_id, {list(_FULL)}[doc_id % 3 + 1] AS first_full FROM documents""")
+def first_definition(spark, d):
+    """Of an acronym that a text defines twice the first definition counts, whatever stands between."""
+    full = F.get(F.array(*[F.lit(x) for x in _FULL]), (F.col("doc_id") % 3).cast("int"))
+    text = F.concat(full, F.lit(" (AI) "), "text", F.lit(" Another Idea (AI)"))
+    found = F.filter(X.definitions(text), lambda x: x["acronym"] == "AI")
+    return table(spark, d, "documents").select("doc_id", F.get(found, 0)["full"].alias("first_full"))
+
+
+@query("""SELECT coalesce(nullif(trim(CASE source WHEN 'src1' THEN NULL WHEN 'src2' THEN '  ' ELSE ' ' || lang END), ''), 'default') AS namespace, count(*) AS n FROM documents GROUP BY 1""")
+def tenant_default(spark, d):
+    """Null and blank tenants are the default one; others lose blanks at their ends."""
+    given = F.when(F.col("source") == "src2", "  ").when(F.col("source") != "src1", F.concat(F.lit(" "), "lang"))
+    return table(spark, d, "documents").groupBy(X.ns_key(given).alias("namespace")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, to_base64(encode(text)) AS encoded FROM documents")
