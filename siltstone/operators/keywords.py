@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +19,9 @@ from .bm25 import gain, postings
 
 #: Articles of a segment, about, so that a block has no more postings than that; and places that scores are rounded to, so that ties don't hang on the order of sums.
 SEGMENT, PLACES = 32_768, 9
+#: Postings that a task gathers before it makes a segment of them.
+POSTINGS = 2_000_000
+WORD = re.compile("[a-z0-9]+")
 #: Tables of a row for each block or term asked for are joined by broadcast up to this number of rows.
 FEW = 50_000
 HEAD = ["namespace", "term", "tf_level", "dl_level", "part"]
@@ -29,7 +38,7 @@ def _near(df: DataFrame) -> DataFrame:
 
 
 def blocks(post: DataFrame, articles: int) -> DataFrame:
-    """(HEAD, n, max_tf, min_dl, held): postings (namespace, id, term, tf, dl) of a term whose counts and lengths are alike.
+    """(HEAD, n, max_tf, min_dl, held): postings (namespace, id, term, tf, dl) of a term whose counts and lengths are alike, of stored postings.
 
     A gain rises with the count and falls with the length, so ``max_tf`` and ``min_dl`` bound it whatever the average length is. Articles
     are dealt by hash into segments (``part``), so a block of a term that every text has is no larger than one of these. Postings
@@ -43,9 +52,69 @@ def blocks(post: DataFrame, articles: int) -> DataFrame:
     return made.sortWithinPartitions(*HEAD)  # so that a file's row groups hold few terms each
 
 
+def segments(articles: DataFrame, text: str = "summary") -> DataFrame:
+    """The blocks of articles, made where these are read: each task makes segments of its own, and nothing is moved.
+
+    A segment has SEGMENT articles or POSTINGS postings at most, about; its number tells the task and its turn there.
+    """
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 12
+        gathered = Segment()
+        for batch in batches:
+            for space, id_, low in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                gathered.add(space, id_, Counter(WORD.findall(low or "")))
+                if gathered.articles >= SEGMENT or len(gathered.tf) >= POSTINGS:
+                    yield gathered.blocks(first)
+                    first, gathered = first + 1, Segment()
+        if gathered.tf:
+            yield gathered.blocks(first)
+
+    own = articles.select("namespace", F.col("id").cast("long").alias("id"), F.lower(F.col(text)).alias("low"))
+    return own.mapInArrow(run, "namespace string, term string, tf_level byte, dl_level byte, part int, n long, max_tf int, min_dl int, held array<struct<id:long,tf:int,dl:int>>")
+
+
+class Segment:
+    """Postings of some articles, gathered by tenant and term."""
+
+    def __init__(self):
+        self.articles, self.keys = 0, {}
+        self.key, self.id, self.tf, self.dl = (array(t) for t in "lqll")
+
+    def add(self, space: str, id_: int, counts: Counter) -> None:
+        self.articles += 1
+        length, keys = sum(counts.values()), self.keys
+        for term, n in counts.items():
+            self.key.append(keys.setdefault((space, term), len(keys)))
+            self.id.append(id_)
+            self.tf.append(n)
+            self.dl.append(length)
+
+    def blocks(self, part: int) -> pa.RecordBatch:
+        """A row for each tenant, term and level, in their order."""
+        known = sorted(self.keys)
+        place = np.empty(len(known), np.int64)
+        place[[self.keys[k] for k in known]] = np.arange(len(known))
+        key, id_, tf, dl = (np.array(x, np.int64) for x in (self.key, self.id, self.tf, self.dl))
+        key = place[key]
+        tf_level, dl_level = np.minimum(np.floor(np.log2(tf) * 2), 12).astype(np.int8), np.floor(np.log2(dl) * 2).astype(np.int8)
+        order = np.lexsort((id_, dl_level, tf_level, key))
+        key, id_, tf, dl, tf_level, dl_level = (x[order] for x in (key, id_, tf, dl, tf_level, dl_level))
+        new = np.r_[True, (key[1:] != key[:-1]) | (tf_level[1:] != tf_level[:-1]) | (dl_level[1:] != dl_level[:-1])]
+        at = np.flatnonzero(new)
+        held = pa.StructArray.from_arrays([pa.array(id_), pa.array(tf.astype(np.int32)), pa.array(dl.astype(np.int32))], names=["id", "tf", "dl"])
+        columns = [
+            pa.array([known[k][0] for k in key[at]], pa.string()), pa.array([known[k][1] for k in key[at]], pa.string()), pa.array(tf_level[at]), pa.array(dl_level[at]),
+            pa.array(np.full(len(at), part, np.int32)), pa.array(np.diff(np.r_[at, len(key)])), pa.array(np.maximum.reduceat(tf, at).astype(np.int32)),
+            pa.array(np.minimum.reduceat(dl, at).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.r_[at, len(key)].astype(np.int32)), held),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*HEAD, "n", "max_tf", "min_dl", "held"])
+
+
 def build(articles: DataFrame, text: str = "summary") -> dict[str, DataFrame]:
     """The tables of an index: ``blocks`` and ``sums``."""
-    return {"blocks": blocks(postings(articles, text), articles.count()), "sums": sums(articles, text)}
+    return {"blocks": segments(articles, text), "sums": sums(articles, text)}
 
 
 def changes(articles: DataFrame, text: str = "summary") -> dict[str, DataFrame]:
