@@ -47,7 +47,11 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs`` with its fingerprint in ``fp``, a long that holds the 64 bits."""
+    """One row per row of ``docs`` with its fingerprint in ``fp``, a long that holds the 64 bits.
+
+    Null and empty texts and those without a word have fingerprint 0; a text of fewer words than ``width`` is one shingle. Equal texts have
+    equal fingerprints, whatever their length; an empty table gives no rows. Columns other than ``keep`` aren't read.
+    """
 
     def make():
         return lambda texts: {"fp": np.array([fingerprint(shingle_hashes(t, width)) for t in texts], np.uint64).view(np.int64)}
