@@ -13,7 +13,8 @@ HOP_STEP, UNTYPED_TRUST, LEAST_WEIGHT = 0.5, 0.5, 1
 def pairs(entities: DataFrame, keys: list[str]) -> DataFrame:
     """Unordered pairs a < b of the entities that share the keys.
 
-    A group holds at most the glossary's entities, so its pairs are bounded by the glossary, not by the data.
+    Of the glossary's own entities a group holds at most all, so their pairs are bounded by the glossary, not by the data. Names that the
+    law rule finds by its pattern have no such bound: a group's pairs are quadratic in how many of them it names.
     """
     sets = entities.groupBy("namespace", *keys).agg(F.array_sort(F.collect_set("entity")).alias("e")).where(F.size("e") > 1)
     firsts = sets.select("namespace", *keys, "e", F.posexplode("e").alias("i", "a"))
