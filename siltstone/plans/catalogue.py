@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..lineage import cut
-from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, keywords, nearest, ranks, rerank, security, services, vector
+from ..operators import bm25, chunk, evaluate, fusion, glossary, governance, graph, ingest, keywords, nearest, ranks, rerank, security, vector
 from ..sources import files, store, tabular
 from .views import articles, entities, fresh_folder, query_log, relations, table, vectors
 from .views import glossary as names_of

@@ -1,14 +1,11 @@
 """Searches for the nearest vectors: blocks of two tables, and an index of rings, against plain products."""
 
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import nearest, vector
 
-SF = "/root/testdata/sf0.001"
 SCHEMA = "id long, namespace string, embedding array<double>"
 
 
