@@ -738,7 +738,7 @@ _sql("sql_list_index", "SELECT c_custkey, string_split(c_name, '#')[2] AS number
 _sql("sql_whole_division", "SELECT o_orderkey, o_orderkey // 7 AS weeks, o_totalprice // 7 AS share, (o_orderkey + 1) // 2 AS half FROM orders")
 _sql("sql_concat_nulls", "SELECT n_nationkey, concat(n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE '-' END, n_regionkey) AS told FROM nation")
 _sql("sql_list_nulls", "SELECT n_regionkey, len(list(CASE WHEN n_nationkey % 2 = 0 THEN n_name END)) AS n, count(CASE WHEN n_nationkey % 2 = 0 THEN 1 END) AS held FROM nation GROUP BY n_regionkey")
-_sql("sql_list_position", "SELECT p_partkey, list_position(string_split(p_type, ' '), 'BRASS') AS place, list_contains(string_split(p_type, ' '), 'STEEL') AS steel FROM part")
+_sql("sql_list_position", "SELECT p_partkey, list_position(string_split(p_type, ' '), 'BRASS') IS NULL AS missing, coalesce(list_position(string_split(p_type, ' '), 'BRASS'), 0) AS place, list_contains(string_split(p_type, ' '), 'STEEL') AS steel FROM part")
 _sql("sql_epoch", "SELECT event_id, epoch(ts) AS seconds, dayofweek(ts) AS day, isodow(ts) AS iso FROM events")
 _sql("sql_list_sums", "SELECT l_orderkey, l_linenumber, list_sum([l_quantity, l_tax, NULL]) AS s, list_avg([l_quantity, l_tax]) AS a, list_sort([l_quantity, l_tax])[1] AS least FROM lineitem")
 _sql("sql_powers", "SELECT p_partkey, round(log(p_retailprice), 6) AS digits, p_size ** 2 AS area FROM part")
@@ -759,12 +759,12 @@ _ERRORS = "(SELECT * FROM events WHERE event_type = 'error') b"
 _sql("sql_asof_text", f"SELECT a.event_id, b.event_id AS error FROM events a ASOF JOIN {_ERRORS} ON a.user_id = b.user_id AND a.ts >= b.ts")
 
 
-@query("""SELECT a.c_custkey, b.s_suppkey, b.s_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer) a
+@query("""SELECT a.c_custkey, coalesce(b.s_suppkey, -1) AS s_suppkey, b.s_name FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS r FROM customer) a
  FULL JOIN (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_name, s_suppkey) AS r FROM supplier) b USING (r)""")
 def sql_side_by_side(spark, d):
     """Customers by balance beside suppliers by name: what a positional join says where both have an order."""
     a, b = (table(spark, d, t).select(*c) for t, c in (("customer", ("c_custkey", "c_acctbal")), ("supplier", ("s_suppkey", "s_name"))))
-    return tabular.side_by_side(a, b, ["c_acctbal", "c_custkey"], ["s_name", "s_suppkey"]).select("c_custkey", "s_suppkey", "s_name")
+    return tabular.side_by_side(a, b, ["c_acctbal", "c_custkey"], ["s_name", "s_suppkey"]).select("c_custkey", F.coalesce("s_suppkey", F.lit(-1)).alias("s_suppkey"), "s_name")
 
 
 _PROFILED = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
