@@ -19,6 +19,8 @@ from siltstone.llm.queries import vocabulary
 LEAST_SURE = 0.3
 #: Words of a shingle, and similarity in percent (Jaccard, of the shingle sets) from which documents are linked.
 SHINGLE, SIMILAR = 5, 80
+#: Bits in which fingerprints of one SimHash component differ at most from the next one.
+RADIUS = 3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +46,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays: of the least id (a null one comes last), and of its texts the one of the least hash.
 
+    Candidates are documents of one SimHash component, as in op4 (fingerprints that differ in RADIUS bits at most), and those that share a MinHash
+    band, since most similar ones differ in more bits; an exact check of the shingle sets follows, which links those of the similarity SIMILAR.
     Texts without a word, null ones too, are one group. Rows of one id whose texts aren't similar stay both.
     """
-    found = minhash.similar(docs, SHINGLE, SIMILAR)
+    found = minhash.similar(docs, SHINGLE, SIMILAR, bits=RADIUS)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "copy")).alias("first"))
     its_id, copy, text = (free(name, docs.columns) for name in ("__id", "__copy", "__text"))
     kept = first.select(F.col("first.id").alias(its_id), F.col("first.copy").alias(copy))

@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of shingle sets: candidates share a MinHash band, and each link is verified by the sets themselves."""
+"""Near-duplicates by Jaccard similarity of shingle sets: candidates share a MinHash band or near SimHash fingerprints, and each link is verified by the sets themselves."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, join_spread, let, map_texts, stored
 from .lines import filter_of, may_hold
-from .simhash import SEED, connected, shingle_hashes
+from .simhash import SEED, connected, fingerprint, near_edges, shingle_hashes
 
 #: Bands, and least hashes in one: a pair of similarity 0.8 shares none with probability (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
@@ -41,9 +41,11 @@ def band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str, prints: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``copy`` (hash of the text), ``set`` (128-bit hash of the shingle set), its size ``n`` and ``bands``.
 
+    With ``prints`` also ``fp``, the fingerprint of all shingles, repeats included.
+
     Null texts, empty ones and those without a word have the empty set, size 0 and no bands; a text of fewer words than ``width`` is one shingle.
     Repeated rows give equal rows, an empty table none; other columns aren't read. Long texts are hashed in blocks of BLOCK shingles.
     """
@@ -54,14 +56,16 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
         a, b = multipliers()
 
         def work(texts):
-            sets = [np.unique(shingle_hashes(t, width)) for t in texts]
-            return {"set": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s, a, b) for s in sets]}
+            hashes = [shingle_hashes(t, width) for t in texts]
+            sets = [np.unique(h) for h in hashes]
+            told = {"set": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s, a, b) for s in sets]}
+            return told | ({"fp": np.array([fingerprint(h) for h in hashes], np.uint64).view(np.int64)} if prints else {})
 
         return work
 
     text = F.col(text_col).cast("string")
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("copy"), text.alias("text"))
-    return map_texts(named, ["id", "copy"], "text", make, "set binary, n int, bands array<long>")
+    return map_texts(named, ["id", "copy"], "text", make, "set binary, n int, bands array<long>" + (", fp long" if prints else ""))
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int, text_col: str) -> DataFrame:
@@ -98,18 +102,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(enough).select("a", "b")
 
 
-def similar(docs: DataFrame, width: int, percent: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, width: int, percent: int = LEAST, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id``, ``copy`` (hash of the text), ``root`` (a component's name) and ``component_id``, the least id that links reach.
 
     Texts of equal sets are one node, texts without a word too. Every pair of nodes that share a band is either verified or already
-    linked by others. Repeated rows give equal rows; null ids are no component's least id unless it has no other; an empty table
+    linked by others. With ``bits``, a component of fingerprints that differ in at most so many (as ``simhash`` links them)
+    is a band as well. Repeated rows give equal rows; null ids are no component's least id unless it has no other; an empty table
     gives no rows. Other columns aren't read.
     """
     with Scratch(docs.sparkSession) as keep:
-        own = stored(sketches(docs, width, id_col, text_col))
+        own = stored(sketches(docs, width, id_col, text_col, bits is not None))
         grouped = (F.min("id").alias("__first"), F.min("copy").alias("copy"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("times"))
         nodes = keep(own.groupBy("set").agg(*grouped))
-        roots = connected(band_links(docs, nodes, width, percent, text_col, keep))
+        near = None if bits is None else fingerprint_bands(own, bits, keep)
+        roots = connected(band_links(docs, nodes, width, percent, text_col, keep, near))
         rooted = nodes.join(roots, nodes["set"] == roots["node"], "left").select("set", "times", "__first", F.coalesce("root", "set").alias("root"))
         component = rooted.groupBy("root").agg(F.min("__first").alias("component_id"))
         placed = stored(rooted.join(component, "root").select("set", "times", "root", "component_id"))
@@ -117,14 +123,16 @@ def similar(docs: DataFrame, width: int, percent: int = LEAST, id_col: str = "do
     return join_spread(own.select("id", "copy", "set"), placed, ["set"], "times", total).select("id", "copy", "root", "component_id")
 
 
-def band_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text_col: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Verified links (a, b) between nodes that share a band: enough of them to join all that are similar and share one.
+def band_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text_col: str, keep: Callable[[DataFrame], DataFrame], near: DataFrame | None = None) -> DataFrame:
+    """Verified links (a, b) between nodes that share a band, one of theirs or of ``near`` (set, band): enough of them to join all that are similar and share one.
 
     Of each band the node that meets most others over all its bands is held against the rest: a text that many were made from is such a
     one, so that a large family costs a pair for each. What is then in one band and not in one component is compared in blocks, which
     tell links between components and nothing else.
     """
     entries = nodes.select("set", "copy", "n", F.explode("bands").alias("band"))
+    if near is not None:
+        entries = entries.unionByName(nodes.join(near, "set").select("set", "copy", "n", "band"))
     counts = keep(entries.groupBy("band").agg(F.count("*").alias("times")).where("times > 1"))
     total = counts.agg(F.sum("times")).first()[0] or 0
     met = join_spread(entries, counts.withColumn("others", F.col("times")), ["band"], "times", total)
@@ -142,6 +150,17 @@ def band_links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, text
     return links.unionByName(block_links(left, sets, percent))
 
 
+def fingerprint_bands(own: DataFrame, bits: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(set, band): a band for each component of fingerprints (column ``fp``) that is of several sets. The empty set is in none."""
+    pairs = keep(own.where("n > 0").select("set", "fp").distinct())
+    prints = keep(pairs.groupBy("fp").agg(F.count("*").alias("times")))
+    roots = connected(near_edges(prints.select("fp"), bits))
+    rooted = keep(prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "times", F.coalesce("root", "fp").alias("root")))
+    several = rooted.groupBy("root").agg(F.sum("times").alias("all")).where("all > 1").select("root", F.xxhash64(F.lit("fingerprint"), "root").alias("band"))
+    total = prints.agg(F.sum("times")).first()[0] or 0
+    return join_spread(pairs, rooted.join(several, "root").select("fp", "times", "band"), ["fp"], "times", total).select("set", "band").distinct()
+
+
 def dealt(left: DataFrame, rows: int, shingles: int) -> DataFrame:
     """(band, part, set, n, root, resident): bands in parts of about ``rows`` nodes and ``shingles`` shingles at most.
 

@@ -109,3 +109,30 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (3, c + " end"), (None, "alone"), (None, "alone")]
     kept = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone"), (1, a), (1, b), (3, c + " end")]
+
+
+def test_near_fingerprints_are_candidates(spark, monkeypatch):
+    """Where texts share no band of hashes, those with near fingerprints still meet and are checked by their sets; the stage asks for them."""
+    words, phrase = [f"w{i}" for i in range(400)], [f"p{i}" for i in range(7)] * 60
+    rows = [(i, " ".join([*words[:i], *words[i + 1 :]])) for i in (0, 1, 399)] + [(i, " ".join([*phrase, *(f"t{i}-{k}" for k in range(i))])) for i in (9, 12)] + [(20, "quite another text of some words"), (30, None), (31, "")]
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t, 5)) for _, t in rows]
+    bits = [int(prints[i] ^ prints[j]).bit_count() for i, j in ((0, 2), (3, 4))]
+    assert bits[0] <= 3 and bits[1] == 0
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    own = minhash.sketches(docs, 5, "doc_id", "text", True).cache()
+    assert {r["id"]: np.int64(r["fp"]).view(np.uint64) for r in own.collect()} == dict(zip([i for i, _ in rows], prints, strict=True))
+    keep = lambda df: df.cache()
+    near = minhash.fingerprint_bands(own, 3, keep)
+    ids = {bytes(r["set"]): r["id"] for r in own.where("n > 0").collect()}
+    bands = {}
+    for r in near.collect():
+        bands.setdefault(r["band"], set()).add(ids[bytes(r["set"])])
+    assert {9, 12} in bands.values() and any({0, 399} <= x for x in bands.values()) and not any({20} & x for x in bands.values())
+    nodes = own.selectExpr("set", "copy", "n", "CAST(array() AS array<long>) AS bands")
+    links = [{ids[bytes(r["a"])], ids[bytes(r["b"])]} for r in minhash.band_links(docs, nodes, 5, 80, "text", keep, near).collect()]
+    assert any(0 in x or 399 in x for x in links) and {9, 12} not in links  # equal fingerprints, but sets of too little in common
+    assert minhash.band_links(docs, nodes, 5, 80, "text", keep).count() == 0
+    asked, real = [], minhash.near_edges
+    monkeypatch.setattr(minhash, "near_edges", lambda fps, radius, *a: asked.append(radius) or real(fps, radius, *a))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert asked == [corpus_pipeline.RADIUS] and kept == {0, 9, 12, 20, 30}
