@@ -17,6 +17,10 @@ from .views import articles, entities, fresh_folder, query_log, relations, table
 from .views import glossary as names_of
 
 
+#: Rows of a CSV file of texts.
+CSV_ROWS = 4096
+
+
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     vector_ = F.array(F.col("id").cast("float"), F.lit(0.5).cast("float"))
     return articles(spark, sf_dir).withColumn("embedding", vector_).drop("doc")
@@ -65,7 +69,8 @@ def csv_load(spark, d):
     """Texts with quotes and line ends through a CSV file, and column names that need cleaning."""
     path = fresh_folder(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("Doc Id"), "text", F.col("lang").alias("lang (1)"), F.col("source").alias("2 source"))
-    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    # a file with line ends inside of its values is read by one task, whose share is a file of so many rows, whatever the table's size
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("maxRecordsPerFile", CSV_ROWS).csv(path)
     loaded = tabular.load(spark, "loaded_documents", path)
     return loaded.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang_1", "_2_source")
 

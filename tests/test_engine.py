@@ -276,3 +276,15 @@ def test_streams(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r["calls"], r["avg_latency_ms"]) for r in spark.table("hours").orderBy("hour").collect()] == [(2, 20.0), (1, 5.0)]
+
+
+def test_a_csv_table_is_many_files(spark, monkeypatch):
+    """Values with line ends keep a file from being split, so no file has more than a task's share."""
+    from siltstone.plans import stored
+
+    monkeypatch.setattr(stored, "CSV_ROWS", 9)
+    sf = "/root/testdata/sf0.001"
+    found = stored.csv_load(spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert found.count() == n and len(found.inputFiles()) >= n / 9
+    assert found.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 9
