@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ SENTENCE_END = "(?<=[.!?])[ \\t\\n\\x0b\\f\\r]+|\\n{2,}"
 #: Sentences that are embedded in one call.
 EMBEDDED = 4096
 TEXTS = "array<string>"
+VECTORS = pa.list_(pa.float64())
 
 
 def fixed(text: Column, size: int, overlap: int = OVERLAP) -> Column:
@@ -88,19 +91,25 @@ def sentences(text: Column) -> Column:
 
 
 def embed_lists(lists: Column, embed: Callable[[list[str]], list[list[float]]]) -> Column:
-    """A vector for each text of each list: the lists of a batch of rows are embedded together, EMBEDDED texts in a call."""
+    """A vector for each text of each list: the lists of a batch of rows are embedded together, EMBEDDED texts in a call.
 
-    @F.pandas_udf("array<array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    What is Python's at the same time is the texts of a call and their vectors; the rest of a batch stays in Arrow.
+    """
+
+    @F.arrow_udf("array<array<double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for rows in batches:
-            told = [list(x) if x is not None else [] for x in rows]
-            flat = [t for x in told for t in x]
-            vectors = [v for at in range(0, len(flat), EMBEDDED) for v in embed(flat[at : at + EMBEDDED])]
-            out, at = [], 0
-            for x in told:
-                out.append([list(map(float, v)) for v in vectors[at : at + len(x)]])
-                at += len(x)
-            yield pd.Series(out)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < len(rows):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + EMBEDDED, "right")))
+                texts = rows.slice(at, to - at).flatten()
+                calls = (embed(texts.slice(i, EMBEDDED).to_pylist()) for i in range(0, len(texts), EMBEDDED))
+                told = [pa.array([list(map(float, v)) for v in call], VECTORS) for call in calls]
+                vectors = pa.concat_arrays(told) if told else pa.array([], VECTORS)
+                yield pa.ListArray.from_arrays(pa.array(np.r_[before, ends[at:to]] - before, pa.int32()), vectors)
+                at = to
 
     return run(lists)
 

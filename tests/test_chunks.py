@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunk
@@ -81,3 +82,22 @@ def test_other_columns_stay(spark):
     for how in ("fixed", "recursive", "semantic"):
         out = chunk.chunked(df, "text", 100, how)
         assert out.columns == ["p.q", "told", "near", "pos", "chunk"] and out.collect()[0][0] == 1
+
+
+def test_sentences_are_python_objects_call_by_call(spark, monkeypatch):
+    """Vectors come in pieces of rows whose sentences fill a call, in their places, also where a row alone has more; never of a whole batch of rows."""
+    monkeypatch.setattr(chunk, "EMBEDDED", 7)
+    sizes = [0, 1, 3, 40, 2, 2, 2, 0, 7, 1]
+    rows = [(i, [f"{i}-{k}" for k in range(n)]) for i, n in enumerate(sizes)] + [(99, None)]
+    made = {}
+    monkeypatch.setattr(chunk.F, "arrow_udf", lambda kind: lambda f: made.setdefault("f", f) and (lambda c: c))
+    chunk.embed_lists(F.col("told"), lambda texts: [[float(len(texts)), float(t.partition("-")[2])] for t in texts])
+    pieces = [x.to_pylist() for x in made["f"](iter([pa.array([r[1] for r in rows], pa.list_(pa.string()))]))]
+    assert len(pieces) > 4 and all(sum(map(len, p)) <= 7 or len(p) == 1 for p in pieces)
+    flat = [x for p in pieces for x in p]
+    assert [[v[1] for v in x] for x in flat] == [[float(k) for k in range(n)] for n in [*sizes, 0]]
+    assert max(v[0] for x in flat for v in x) <= 7
+    monkeypatch.undo()
+    df = spark.createDataFrame(rows, "i int, told array<string>").coalesce(1)
+    got = {r[0]: r[1] for r in df.select("i", chunk.embed_lists(F.col("told"), lambda texts: [[float(t.partition("-")[2]), 1] for t in texts])).collect()}
+    assert got == {i: [[float(k), 1.0] for k in range(len(t or []))] for i, t in rows}
