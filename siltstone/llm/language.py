@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,17 +57,18 @@ class Table:
         return out
 
 
-def table_of(found: dict[str, dict[int, int]], n_langs: int) -> Table:
-    """From counts by gram and language: logs of the count (a half more) over all that the language has in the table."""
-    total = np.full(n_langs, 0.5 * len(found))
-    for by in found.values():
-        for lang, n in by.items():
-            total[lang] += n
-    start = np.cumsum([0, *(len(by) for by in found.values())])
-    lang = np.array([x for by in found.values() for x in by], np.int32)
-    counts = np.array([n for by in found.values() for n in by.values()], np.float64)
+def table_of(found: pa.Table, langs: list[str]) -> Table:
+    """From counts (g, l, n) by gram and language, in that order: logs of the count (a half more) over all that the language has in the table.
+
+    Counts stay in Arrow's columns, since a Python object for each takes ten times that; only the grams become Python's.
+    """
+    grams = found.column("g").combine_chunks().dictionary_encode()
+    start = np.searchsorted(grams.indices.to_numpy(), np.arange(len(grams.dictionary) + 1))
+    lang = pc.index_in(found.column("l"), pa.array(langs, pa.string())).to_numpy()
+    counts = found.column("n").to_numpy().astype(np.float64)
+    total = 0.5 * len(grams.dictionary) + np.bincount(lang, counts, len(langs))
     floor = np.log(0.5 / np.maximum(total, 0.5))
-    return Table(floor, {g: i for i, g in enumerate(found)}, start, lang, np.log((counts + 0.5) / 0.5))
+    return Table(floor, {g: i for i, g in enumerate(grams.dictionary.to_pylist())}, start, lang, np.log((counts + 0.5) / 0.5))
 
 
 @dataclass
@@ -149,7 +151,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = dict(labelled.groupBy("l").agg(F.count("*").alias("rows")).collect())
     langs = sorted(sizes)
     if not langs:
-        return Model([], [table_of({}, 0) for _ in range(LONGEST + 1)])
+        return Model([], [table_of(pa.table({"g": pa.array([], pa.string()), "l": pa.array([], pa.string()), "n": pa.array([], pa.int64())}), []) for _ in range(LONGEST + 1)])
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if len(langs) <= FEW else df
@@ -174,12 +176,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rank = F.row_number().over(Window.partitionBy("k", "l").orderBy("h", "g"))
     last = last.withColumn("rank", rank).where(F.col("rank") <= F.col("room"))
     best = held.where(F.col("n") > F.col("least")).select("k", "g").unionByName(last.select("k", "g")).distinct()
-    by_gram = counted.join(best, ["k", "g"], "left_semi").groupBy("k", "g").agg(F.collect_list(F.struct("l", "n")).alias("by"))
-
-    place, found = {lang: i for i, lang in enumerate(langs)}, [{} for _ in range(LONGEST + 1)]
-    for k, gram, by in by_gram.toLocalIterator():
-        found[k][gram] = {place[lang]: n for lang, n in sorted(by)}
-    return Model(langs, [table_of(dict(sorted(x.items())), len(langs)) for x in found])
+    found = counted.join(best, ["k", "g"], "left_semi").select("k", "g", "l", "n").toArrow().sort_by([(c, "ascending") for c in ("k", "g", "l")])
+    return Model(langs, [table_of(found.filter(pc.equal(found.column("k"), k)), langs) for k in range(LONGEST + 1)])
 
 
 class Scorer:

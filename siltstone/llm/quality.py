@@ -7,6 +7,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,16 @@ def project(model: Model, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return out / np.where(norm > 1e-6, norm, np.inf)
 
 
+def told(chosen: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Codes and counts of each row, and the labels, in the order of the ids: views into Arrow's columns, since a Python object for each number takes ten times that."""
+    chosen = chosen.combine_chunks().sort_by("i")
+    columns = []
+    for name in ("code", "count"):
+        column = chosen.column(name).combine_chunks()
+        columns.append(np.split(column.flatten().to_numpy(), column.offsets.to_numpy()[1:-1] - column.offsets[0].as_py()))
+    return list(zip(*columns, strict=True)), chosen.column("y").to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", exemplars: int = EXEMPLARS) -> Model | None:
     """From at most ``exemplars`` labelled rows whose crc32(id) mod 5 isn't 0, the first by a hash of their id.
 
@@ -121,15 +132,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def make():
         def work(found):
             rows = [terms_of(t) for t in found]
-            return {"code": [a for a, _ in rows], "count": [b for _, b in rows]}
+            return {"code": [a.astype(np.int32) for a, _ in rows], "count": [b.astype(np.int32) for _, b in rows]}
 
         return work
 
-    got = map_texts(chosen, ["i", "y"], "t", make, "code array<long>, count array<long>").collect()
-    if not got:
+    got = map_texts(chosen, ["i", "y"], "t", make, "code array<int>, count array<int>").toArrow()
+    if not got.num_rows:
         return None
-    got.sort(key=lambda r: r["i"])
-    rows = [(np.array(r["code"], np.int64), np.array(r["count"], np.int64)) for r in got]
+    rows, marks = told(got)
     df = np.zeros(VOLUME + SLOTS)
     for code, _ in rows:
         df[code] += 1
@@ -140,10 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     column[terms] = np.arange(len(terms))
     idf = (np.log((1 + len(rows)) / (1 + df[terms])) + 1).astype(np.float32)
     x = weigh(rows, column, idf)
-    _, axes = np.linalg.eigh(x.T @ x)
-    axes = axes[:, ::-1][:, :DIMENSIONS]
-    y = np.array([min(max(r["y"], 0), 1) for r in got], np.float32)
-    model = Model(column, idf, np.ascontiguousarray(axes, np.float32), np.zeros((0, 0)), y, float(y.mean()))
+    products = x.T @ x
+    del x  # the largest table on the driver; it is made again when there are axes to project it on
+    axes = np.ascontiguousarray(np.linalg.eigh(products)[1][:, ::-1][:, :DIMENSIONS], np.float32)
+    del products
+    y = marks.clip(0, 1).astype(np.float32)
+    model = Model(column, idf, axes, np.zeros((0, 0)), y, float(y.mean()))
     model.vectors = np.ascontiguousarray(project(model, rows).T)
     return model
 

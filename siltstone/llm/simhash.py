@@ -18,6 +18,8 @@ SHARD, SAMPLE, SHARDS = 32_768, 65_536, 16_384
 CROWDED = 4
 #: Vantage points tried at a node, and residents that are compared without a further split.
 TRIED, BLOCK = 6, 512
+#: Edges that a task contracts at a time, about.
+HELD = 1_000_000
 SEED = 42
 
 
@@ -267,12 +269,37 @@ def near_edges(fps: DataFrame, radius: int, shard: int = SHARD, sample: int = SA
     return spread(dealt, CROWDED * shard).groupBy("shard", "part").applyInPandas(search, "a long, b long").where("a <> b")
 
 
+def contracted(edges: DataFrame, most: int = HELD) -> DataFrame:
+    """Edges (u, v) of the same components: of ``most`` edges of a task at a time each node's with the least one that they reach."""
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        both = pa.Table.from_batches(held).to_pandas()
+        nodes, ends = np.unique(np.r_[both["u"].to_numpy(), both["v"].to_numpy()], return_inverse=True)
+        label = components(len(nodes), *np.split(ends, 2))
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((nodes[moved], nodes[label[moved]]), held[0].schema, strict=True)], names=["u", "v"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= most:
+                yield told(held)
+                held = []
+        if held:
+            yield told(held)
+
+    return edges.mapInArrow(run, edges.schema)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of an edge, root the least node of its component: large and small stars in turn until nothing moves.
 
-    Every round is written to the checkpoint folder; only counts and sums of hashes reach the driver.
+    Each task contracts its own edges first, so that a small graph needs one round: a thread of the driver lives for a minute after each
+    shuffle, and many rounds in a minute cost it more memory than their rows do. Every round is written to the checkpoint folder; only
+    counts and sums of hashes reach the driver.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = cut(contracted(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()))
     before = None
     while True:
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -141,3 +141,23 @@ def test_a_null_id_is_held_out(spark):
     rows = [(None, "aa bb", "xx"), (1, "cc dd", "yy")]
     found = {r["doc_id"]: r["held_out"] for r in language.identify_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found[None] is True
+
+
+def test_fits_gather_columns_and_no_rows(spark, monkeypatch):
+    """Rows of Python numbers took the driver ten times the memory of Arrow's columns."""
+    import pyarrow as pa
+
+    from siltstone.llm import quality
+
+    df = spark.createDataFrame([(i, f"word{i % 7} some other{i % 3} text", "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
+    gathered, told = [], quality.told
+    monkeypatch.setattr(quality, "told", lambda found: gathered.append((found, told(found))) or told(found))
+    assert quality.fit(df, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")).labels.sum() > 0
+    (found, (rows, marks)), = gathered
+    assert isinstance(found, pa.Table) and len(rows) == len(marks) == found.num_rows
+    assert not any(a.flags.owndata for row in rows for a in row)
+    by_id = {r["i"]: r for r in found.to_pylist()}
+    for i, (code, count), y in zip(sorted(by_id), rows, marks, strict=True):
+        assert (code.tolist(), count.tolist(), y) == (by_id[i]["code"], by_id[i]["count"], by_id[i]["y"])
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    assert language.fit(df).langs == ["a", "b"]

@@ -72,3 +72,29 @@ def test_hot_fingerprints_meet_their_component_by_broadcast(spark, monkeypatch):
     for r in out:
         by.setdefault(r["fp"], set()).add(r["component_id"])
     assert all(len(c) == 1 for c in by.values()) and by[0] == {7}
+
+
+def test_a_small_graph_takes_one_round(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(simhash, "cut", lambda df: cuts.append(df) or common.cut(df))
+    for kind, node in (("long", lambda i: i - 300), ("binary", lambda i: i.to_bytes(2, "big"))):
+        cuts.clear()
+        edges = [(node(i), node(i + 1)) for i in range(600) if i % 200 != 199] + [(node(5), node(5))]
+        roots = {r["node"]: r["root"] for r in simhash.connected(spark.createDataFrame(edges, f"a {kind}, b {kind}").repartition(3)).collect()}
+        assert {bytes(k) if kind == "binary" else k: bytes(v) if kind == "binary" else v for k, v in roots.items()} == {node(i): node(i - i % 200) for i in range(600) if i % 200}
+        assert len(cuts) == 2  # the contracted edges and the round that moves nothing
+
+
+def test_contraction_in_parts_keeps_components(spark):
+    rng = np.random.default_rng(5)
+    u, v = rng.integers(0, 400, (2, 300))
+    edges = spark.createDataFrame([(int(max(a, b)), int(min(a, b))) for a, b in zip(u, v, strict=True) if a != b], "u long, v long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = simhash.contracted(edges, 20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r["u"] > r["v"] for r in got)
+    small = simhash.components(400, np.array([r["u"] for r in got]), np.array([r["v"] for r in got]))
+    assert (small == simhash.components(400, u, v)).all()
+    assert simhash.contracted(edges.where("false")).count() == 0
