@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as X
 from ..operators import governance, graph, ingest, keywords, nearest, vector
@@ -19,6 +20,8 @@ from .views import glossary as names_of
 
 #: Rows of a CSV file of texts.
 CSV_ROWS = 4096
+#: Nulls as something that no escaped text is, so that empty texts are none, and line ends that aren't guessed, so that a carriage return in a text is none.
+CSV_EXACT = {"nullValue": r"\N", "lineSep": "\n"}
 
 
 def stored_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +69,14 @@ def store_delete(spark, d):
 
 @query("SELECT doc_id, text, lang AS lang_1, source AS _2_source FROM documents")
 def csv_load(spark, d):
-    """Texts with quotes and line ends through a CSV file, and column names that need cleaning."""
+    """Texts with quotes and line ends through a CSV file, and column names that need cleaning. Every text comes back as it was, odd ones too."""
     path = fresh_folder(spark)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("Doc Id"), "text", F.col("lang").alias("lang (1)"), F.col("source").alias("2 source"))
+    told = docs.select(*[tabular.escaped(F.col(f"`{f.name}`")).alias(f.name) if f.dataType == StringType() else F.col(f"`{f.name}`") for f in docs.schema])
     # a file with line ends inside of its values is read by one task, whose share is a file of so many rows, whatever the table's size
-    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("maxRecordsPerFile", CSV_ROWS).csv(path)
-    loaded = tabular.load(spark, "loaded_documents", path)
-    return loaded.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang_1", "_2_source")
+    told.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, maxRecordsPerFile=CSV_ROWS, **CSV_EXACT).csv(path)
+    loaded = tabular.load(spark, "loaded_documents", path, schema=docs.schema, **CSV_EXACT)
+    return loaded.select(F.col("doc_id").cast("long").alias("doc_id"), *[tabular.unescaped(F.col(c)).alias(c) for c in ("text", "lang_1", "_2_source")])
 
 
 @query("SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 ORDER BY n DESC, n_name LIMIT 100")

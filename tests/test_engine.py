@@ -288,3 +288,16 @@ def test_a_csv_table_is_many_files(spark, monkeypatch):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert found.count() == n and len(found.inputFiles()) >= n / 9
     assert found.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_odd_texts_come_back_from_csv(spark, tmp_path):
+    """Blanks at the ends, empty texts, carriage returns, code 0, what means null in the file, and columns of figures alone."""
+    from siltstone.plans import stored
+
+    odd = [" a", "a\t", "\n", "", None, "a\rb", "\r\n", "\0\"a\0#", "\\N", "\\", "\\0b\\b", '"', 'a",\n"b', "plain words", "﻿"]
+    tables = {"odd": [(i, t, "en", "s") for i, t in enumerate(odd)], "figures": [(1, "007", "1.50", ""), (2, "1", None, "2024-01-01"), (None, "2", "3", "2024-01-02")]}
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        found = stored.csv_load(spark, f"{tmp_path}/{name}")
+        assert found.dtypes == [("doc_id", "bigint"), ("text", "string"), ("lang_1", "string"), ("_2_source", "string")]
+        assert sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
