@@ -93,6 +93,39 @@ def test_many_questions_meet_each_segment_at_once(spark, monkeypatch):
     assert keywords.search(keywords.Keywords(**keywords.build(df.limit(0))), asked(spark), 3).count() == 0
 
 
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_every_tenant_is_asked(spark, tmp_path, monkeypatch, many):
+    """More tenants than a driver would list, some without a word of any question, against the registered SQL."""
+    import duckdb
+
+    from siltstone.plans import catalogue
+
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices(["north", "wind", "sun", "cloak"] if i % 9 else ["other"], k=5)), f"t{i % 1100}" if i % 50 else None, "s") for i in range(2500)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "The North wind"), (2, "sun, Sun and cloak"), (3, "nothing"), (4, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(keywords, "MANY", many)
+    got = sorted(map(tuple, catalogue.QUERIES["keyword_index_batch"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(catalogue.ORACLE["keyword_index_batch"]).fetchall())
+    assert len({r[1] for r in want}) > 1000 and [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
+    assert all(a[3] == pytest.approx(b[3], abs=2e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_questions_to_every_tenant_of_a_changed_index(spark, monkeypatch):
+    rows, more = texts(60, 2), [("c", 900, "w1 w2 fresh"), ("a", 901, "fresh common")]
+    base, added = keywords.build(spark.createDataFrame(rows, SCHEMA)), keywords.changes(spark.createDataFrame(more, SCHEMA))
+    index = keywords.Keywords(base["blocks"], base["sums"], added["postings"], added["sums"])
+    once = spark.createDataFrame([(1, "fresh w1"), (2, "common w0 w0")], "query_id long, text string")
+    each = once.crossJoin(spark.createDataFrame([("a",), ("b",), ("c",)], "namespace string"))
+    for many in (0, 10**9):
+        monkeypatch.setattr(keywords, "MANY", many)
+        got, want = (sorted(map(tuple, keywords.search(index, q, 4).select("query_id", "namespace", "rank", "id", "score").collect())) for q in (once, each))
+        assert got == want and {(r[0], r[1]) for r in got} == {(1, "a"), (1, "b"), (1, "c"), (2, "a"), (2, "b")}
+
+
 def test_a_segment_is_small_and_goes_in_batches(monkeypatch):
     from collections import Counter
 
